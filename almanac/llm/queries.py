@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, embeddings, langid, mixing, secret_scan, sketches
+from almanac.llm import bpe, embeddings, langid, licenses, media, mixing, pii, quality, secret_scan, sketches
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -25,10 +25,24 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_guess", "max_log10_guesses")
 
 
+def op4_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(_docs(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_term")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_docs(spark, sf_dir, "doc_id", "text"))
 
 
+def op6_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.classify(_docs(spark, sf_dir, "doc_id", "text"), labels)
+
+
+def op7_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.chunked_media(_docs(spark, sf_dir, "doc_id", "text"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir, "doc_id", "text", "source"))
 
@@ -38,7 +52,29 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected", "cross_entropy")
 
 
-QUERIES = {f.__name__: f for f in (op1_rp_forest_dedup, op2_setsketch_dedup, op3_secret_scan, op5_bpe_round_trip, op8_source_mixing, op9_language_id)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: 20 to a folder, 20 folders to a group; the first of each is its licence file."""
+    docs = _docs(spark, sf_dir, "doc_id", "text", "source")
+    group, folder = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("none")), F.expr("doc_id div 400")), F.expr("doc_id div 20 % 20")
+    path = F.when(F.expr("doc_id % 400 = 0"), F.concat_ws("/", group, F.lit("LICENSE"))).when(F.expr("doc_id % 20 = 0"), F.concat_ws("/", group, folder, F.lit("LICENSE")))
+    return licenses.scan(docs.withColumn("path", path.otherwise(F.concat(F.concat_ws("/", group, folder, F.col("doc_id")), F.lit(".txt")))))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_rp_forest_dedup,
+        op2_setsketch_dedup,
+        op3_secret_scan,
+        op4_pii_disclosure,
+        op5_bpe_round_trip,
+        op6_gam_quality,
+        op7_chunked_media,
+        op8_source_mixing,
+        op9_language_id,
+        op10_license_scan,
+    )
+}
 
 ORACLES = {
     "op8_source_mixing": r"""
