@@ -9,9 +9,9 @@ verified on the full sets.
 
 Copies cost nothing: documents of equal sets form a class before. Groups of near copies don't become all
 pairs: first each document meets only the smallest and largest of each band's bucket, and of those it
-is verified with the likeliest. Then components are formed, and only documents outside the
-component of a bucket's smallest are compared with the bucket's other components. So no link between
-components is lost, and links inside one are not listed.
+is verified with the likeliest, then with the other likely ones of other components. Documents still outside
+the main component of a bucket try a few more of its members, and what remains is compared with all of the
+bucket's other components. So no link between components is lost, and links inside one are not listed.
 
 Defined cases: a null or wordless text has no shingle and links with nothing; a text of fewer words than a shingle
 is one shingle; a null doc_id links with nothing and has no component; rows that share a doc_id are one
@@ -34,7 +34,9 @@ from almanac.llm.components import connected_components
 REGISTERS, BANDS = 120, 24
 BASE, RATE, TOP = 1.02, 20.0, 2046
 #: Registers whose parities differ in more than this many places are too unlike at any wanted similarity (0.8: 12 expected).
-MOST_PARITY = 36
+MOST_PARITY = 30
+#: Times that a document outside its bucket's main component tries one more member of it before it meets all.
+MATE_TURNS = 2
 #: How far below the best log likelihood that of the wanted similarity may lie.
 LIKELIHOOD_GAP = 14.0
 CACHE_WORDS = 500_000
@@ -216,25 +218,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     star = shared.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).union(shared.where("id <> hi and id <> lo").select(F.col("id").alias("a"), F.col("hi").alias("b"))).distinct()
     tested = cut(estimated(star, reps, similarity), "likely")
     best = tested.groupBy("b").agg(F.max_by("a", "j").alias("a")).select("a", "b")
-    first = cut(verified(cut(best, "best"), docs, words, similarity), "links")
-    found = cut(connected_components(first), "components")
-    # What the stars left apart: members of other components than the bucket's smallest.
-    narrow = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "p1", "p2")
-    placed = checked_join(narrow, found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = cut(placed.join(shared.select("id").distinct(), "id", "left_semi"), "placed")
-    there = shared.select("id", "band", "lo").join(placed, "id")
-    of_lo = placed.select(F.col("id").alias("lo"), F.col("component").alias("lo_component"))
-    there = cut(there.join(of_lo, "lo"), "buckets")
-    apart = there.where("component <> lo_component")
-    x, y = apart.alias("x"), there.join(apart.select("band").distinct(), "band", "left_semi").alias("y")
-    near = (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
-    near &= F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1"))) + F.bit_count(F.col("x.p2").bitwiseXOR(F.col("y.p2"))) <= MOST_PARITY
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    rest = cut(estimated(rest.join(best, ["a", "b"], "left_anti"), reps, similarity).select("a", "b"), "rest")
-    links = first
-    if rest.limit(1).count():
-        links = first.union(cut(verified(rest, docs, words, similarity), "links"))
-        found = cut(connected_components(links), "components")
+    links = verified(cut(best, "best"), docs, words, similarity)
+    found = cut(connected_components(links := cut(links, "links")), "components")
+
+    def grown(pairs: DataFrame) -> None:
+        """Verify pairs between components, and form the components anew if any link is found."""
+        nonlocal links, found
+        new = cut(verified(cut(pairs.select("a", "b").distinct(), "pairs"), docs, words, similarity), "links")
+        if new.limit(1).count():
+            links = links.union(new)
+            found = cut(connected_components(links), "components")
+
+    # The other likely star pairs, where they lie in different components.
+    ends = [found.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab"]
+    both = checked_join(checked_join(tested, ends[0], "a", "left"), ends[1], "b", "left")
+    grown(both.where("coalesce(c_a, a) <> coalesce(c_b, b)"))
+    # Members outside a bucket's main component: against other members of it, few at a time, then against all.
+    side = F.struct("id", "n", "p1", "p2")
+    narrow = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "p1", "p2", "bands")
+    narrow = cut(narrow.join(shared.select("id").distinct(), "id", "left_semi"), "narrow")
+    for turn in range(MATE_TURNS + 1):
+        there = checked_join(shared.select("id", "band"), found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        main = there.groupBy("band", "component").count().groupBy("band").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        there = cut(there.join(cut(main, "main"), "band").join(narrow, "id"), "buckets")
+        x = there.where("component <> main").alias("x")
+        if turn < MATE_TURNS:
+            mate = F.min_by(side, F.xxhash64("id", "band", F.lit(turn))).alias("y")
+            y = there.where("component = main").groupBy("band").agg(mate).select("band", "y.*", F.lit(None).cast("long").alias("component")).alias("y")
+            once = F.lit(True)
+        else:
+            y = there.alias("y")
+            first = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")  # a pair meets once
+            once = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & first
+        near = 100 * F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")
+        near &= F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1"))) + F.bit_count(F.col("x.p2").bitwiseXOR(F.col("y.p2"))) <= MOST_PARITY
+        pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & near & once).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        pairs = pairs.distinct() if turn < MATE_TURNS else pairs
+        grown(estimated(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), reps, similarity))
     out = checked_join(sk.select("doc_id", "n_shingles"), copies, "doc_id", "left").withColumn("id", F.coalesce("rep", "doc_id"))
     out = checked_join(out, found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
