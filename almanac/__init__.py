@@ -1,0 +1 @@
+"""Point-in-time research analytics on Spark DataFrames."""

@@ -1,4 +1,462 @@
 """Registered queries and the SQL that they are held against."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from almanac.operators import asof, contracts, factors, harvest, ledger, portfolio, research, valuation
+from almanac.plans import views as v
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+CUTOFF = "1997-06-30"
+
+
+def query(sql: str | None = None, places: int = 6):
+    """Register a function (spark, sf_dir); its doubles are rounded to ``places``."""
+
+    def add(fn):
+        def run(spark, sf_dir) -> DataFrame:
+            df = fn(spark, sf_dir)
+            return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+        QUERIES[fn.__name__] = run
+        if sql:
+            ORACLES[fn.__name__] = v.sql(sql)
+        return fn
+
+    return add
+
+
+@query("select series_id, observation_date, value, case when nullif(b, '') is not null then b when available_date is null then 'unknown' else 'unverified' end as availability_basis from (select *, case when series_id < '3' then '' else availability_basis end as b from v_obs)")
+def normalize_obs(s, d):
+    obs = v.observations(s, d).withColumn("availability_basis", F.when(F.col("series_id") < "3", "").otherwise(F.col("availability_basis")))
+    return contracts.normalize_observations(obs).select("series_id", "observation_date", "value", "availability_basis")
+
+
+@query("select series_id, observation_date, observation_date + lag_days as available_date, 'fixed_lag' as availability_basis from v_obs")
+def attach_lag(s, d):
+    return contracts.attach_lag(v.observations(s, d)).select("series_id", "observation_date", "available_date", "availability_basis")
+
+
+@query("select series_id, observation_date, value from v_obs where availability_basis in ('official_release', 'official_schedule')")
+def policy_filter(s, d):
+    return contracts.apply_policy(v.observations(s, d), "include_schedule").select("series_id", "observation_date", "value")
+
+
+@query("select series_id, observation_date, case when series_id < '5' then available_date else observation_date + lag_days end as available_date, case when series_id < '5' then availability_basis else 'fixed_lag' end as availability_basis from v_obs")
+def resolve_dates(s, d):
+    return contracts.resolve_dates(v.observations(s, d)).select("series_id", "observation_date", "available_date", "availability_basis")
+
+
+@query("select 'basis_without_date' as rule, series_id, observation_date from v_obs where series_id > '5' union all select 'look_ahead', series_id, observation_date from v_obs where series_id < '2'")
+def contract_violations(s, d):
+    obs = v.observations(s, d)
+    early = F.when(F.col("series_id") < "2", F.date_sub("observation_date", 1)).otherwise(F.col("available_date"))
+    return contracts.violations(obs.withColumn("available_date", early).withColumn("availability_basis", F.when(F.col("series_id") > "5", "fixed_lag").otherwise(F.col("availability_basis"))))
+
+
+@query("select s.series_id, b.availability_basis, count(o.value) as n from (select distinct series_id from v_obs) s cross join (select unnest(['official_release', 'official_schedule', 'fixed_lag', 'unverified', 'unknown']) as availability_basis) b left join v_obs o on o.series_id = s.series_id and o.availability_basis = b.availability_basis group by all")
+def basis_counts(s, d):
+    return contracts.basis_counts(v.observations(s, d))
+
+
+@query("select series_id, observation_date, array_to_string(list_filter([case when series_id < '3' then 'official_evidence' end, case when available_date is null then 'release_date_unknown' end, case when available_date - observation_date > 45 then 'late_release' end], lambda x: x is not null), ',') as flags from v_obs")
+def quality_flags(s, d):
+    return contracts.quality_flags(v.observations(s, d)).select("series_id", "observation_date", F.array_join("quality_flags", ",").alias("flags"))
+
+
+@query("select * from v_panel")
+def asof_month_end(s, d):
+    return asof.asof_month_end(v.observations(s, d), v.START, v.END)
+
+
+@query("""select month_end, max(value) filter (series_id = '1-URGENT') as urgent, max(value) filter (series_id = '2-HIGH') as high from v_panel group by 1""")
+def panel_wide(s, d):
+    return asof.panel_wide(asof.asof_month_end(v.observations(s, d), v.START, v.END), ["1-URGENT", "2-HIGH"]).toDF("month_end", "urgent", "high")
+
+
+@query(f"select series_id, observation_date, arg_max(value, vintage) as value, max(vintage) as vintage from v_ledger where vintage <= date '{CUTOFF}' group by all")
+def latest_version(s, d):
+    return asof.visible_versions(v.ledger(s, d), CUTOFF).select("series_id", "observation_date", "value", "vintage")
+
+
+@query("select l.series_id, c.month_end, max(observation_date) as observation_date, arg_max(value, (observation_date, vintage)) as value from v_ledger l join v_cal c on vintage <= month_end group by all")
+def vintage_panel(s, d):
+    return asof.vintage_panel(v.ledger(s, d), v.START, v.END)
+
+
+@query(f"select series_id, vintage, observation_date, value from v_ledger join (select series_id, max(vintage) as vintage from v_ledger where vintage <= date '{CUTOFF}' group by 1) using (series_id, vintage)")
+def vintage_asof(s, d):
+    return asof.vintage_asof(v.ledger(s, d), CUTOFF).select("series_id", "vintage", "observation_date", "value")
+
+
+@query("select series_id, observation_date, arg_min(value, vintage) as first_value, arg_max(value, vintage) as last_value, cast(sum(m) as bigint) as revisions from (select *, coalesce((abs(value - lag(value) over (partition by series_id, observation_date order by vintage)) > 1e-12)::int, 0) as m from v_ledger) group by all")
+def vintage_revisions(s, d):
+    return asof.vintage_revisions(v.ledger(s, d))
+
+
+@query(f"select company_id, metric, max(period_end) as period_end, arg_max(value, (period_end, available_date)) as value from v_fund where available_date <= date '{CUTOFF}' group by all")
+def fundamentals_asof(s, d):
+    return asof.fundamentals_asof(v.fundamentals(s, d), CUTOFF).select("company_id", "metric", "period_end", "value")
+
+
+@query("select company_id, metric, decision_date, max(period_end) as period_end, arg_max(value, (period_end, available_date)) as value from v_fund join (select unnest([date '1995-12-31', date '1996-12-31', date '1997-12-31']) as decision_date) on available_date <= decision_date group by all")
+def fundamentals_asof_dates(s, d):
+    dates = s.sql("select explode(array(date'1995-12-31', date'1996-12-31', date'1997-12-31')) as decision_date")
+    return asof.fundamentals_asof_dates(v.fundamentals(s, d), dates)
+
+
+def _transformed(s, d):
+    return factors.transforms(asof.asof_month_end(v.observations(s, d), v.START, v.END), v.config(s))
+
+
+def _factors(s, d):
+    return factors.composite(factors.expanding_zscore(_transformed(s, d)))
+
+
+@query("select factor, component, series_id, month_end, round(x, 6) as x from v_tr")
+def transforms(s, d):
+    return _transformed(s, d).drop("weight")
+
+
+@query("select factor, component, month_end, round(z, 6) as z from v_z")
+def expanding_zscore(s, d):
+    return factors.expanding_zscore(_transformed(s, d)).select("factor", "component", "month_end", "z")
+
+
+@query("select factor, month_end, round(score, 6) as score from v_factor")
+def composite_factor(s, d):
+    return _factors(s, d)
+
+
+@query("select month_end, regime from v_regime")
+def regime(s, d):
+    return factors.regimes(_factors(s, d)).select("month_end", "regime")
+
+
+@query("select month_end, round(growth, 6) as growth, round(inflation, 6) as inflation, regime from v_regime")
+def country_baseline(s, d):
+    return factors.country_baseline(v.observations(s, d), v.config(s), v.START, v.END)
+
+
+@query("select factor, component, month_end, round(z * weight / sum(weight) over (partition by factor), 6) as contribution from v_z where z is not null and month_end = (select max(month_end) from v_z)")
+def factor_contributions(s, d):
+    return factors.contributions(factors.expanding_zscore(_transformed(s, d)))
+
+
+@query("select factor, month_end, round(score, 6) as score, round(p, 6) as previous, round(score - p, 6) as change from (select *, lag(score) over (partition by factor order by month_end) as p from v_factor where score is not null) qualify row_number() over (partition by factor order by month_end desc) = 1")
+def factor_latest(s, d):
+    return factors.factor_latest(_factors(s, d))
+
+
+@query("select month_end, regime, p as previous, regime <> p as changed from (select *, lag(regime) over (order by month_end) as p from v_regime where regime is not null) order by month_end desc limit 1")
+def regime_latest(s, d):
+    return factors.regime_latest(factors.regimes(_factors(s, d)))
+
+
+@query("select asset from v_price_m group by 1 having min(price) > 0")
+def price_guard(s, d):
+    return research.price_guard(v.monthly_prices(s, d))
+
+
+@query("select asset, month_end, horizon, round(fwd_return, 6) as fwd_return from v_fwd")
+def forward_returns(s, d):
+    return research.forward_returns(v.monthly_prices(s, d))
+
+
+@query("select regime, asset, horizon, count(*) as n, round(avg(fwd_return), 6) as mean, round(median(fwd_return), 6) as median, round(stddev_samp(fwd_return), 6) as std, round(avg((fwd_return > 0)::int), 6) as positive_rate from v_fwd join v_regime using (month_end) where fwd_return is not null and regime is not null group by all")
+def regime_return_summary(s, d):
+    return research.regime_return_summary(factors.regimes(_factors(s, d)), research.forward_returns(v.monthly_prices(s, d)))
+
+
+def _paired(s, d):
+    signal = asof.asof_month_end(v.observations(s, d), v.START, v.END).where("series_id = '1-URGENT'").select("month_end", F.col("value").alias("signal"))
+    return research.pairs(signal, research.cross_section(research.forward_returns(v.monthly_prices(s, d))))
+
+
+IC = "select horizon, case when count(*) filter (signal is not null and y is not null) >= 3 then corr(signal, y) end as ic, count(*) filter (signal is not null and y is not null) as n from v_pair group by 1"
+
+
+@query(f"select horizon, round(ic, 6) as ic, n from ({IC})")
+def ic(s, d):
+    return research.information_coefficient(_paired(s, d))
+
+
+@query("""select horizon, round(corr(a, b) filter (signal is not null and y is not null), 6) as rank_ic, count(*) filter (signal is not null and y is not null) as n from (select *,
+  rank() over (partition by horizon, signal is null order by signal) + (count(*) over (partition by horizon, signal) - 1) / 2 as a, rank() over (partition by horizon, y is null order by y) + (count(*) over (partition by horizon, y) - 1) / 2 as b from v_pair) group by 1""")
+def rank_ic(s, d):
+    return research.rank_ic(_paired(s, d))
+
+
+@query("select horizon, count(c) as windows, round(case when count(c) >= 24 then avg(c) / nullif(stddev_samp(c), 0) * sqrt(12) end, 6) as ic_ir from (select horizon, case when count(*) over w = 12 then corr(signal, y) over w end as c from v_pair where signal is not null and y is not null window w as (partition by horizon order by month_end rows between 11 preceding and current row)) group by 1")
+def ic_ir(s, d):
+    return research.ic_stability(_paired(s, d))
+
+
+@query("select horizon, round(avg(((signal > m) = (y > 0))::int), 6) as hit_rate, count(*) as n from (select *, median(signal) over (partition by horizon) as m from v_pair where signal is not null and y is not null) group by 1")
+def hit_rate(s, d):
+    return research.hit_rate(_paired(s, d))
+
+
+@query("select horizon, cast(bucket as int) as bucket, n, round(mean, 6) as mean, round(std, 6) as std from v_bucket")
+def quantile_returns(s, d):
+    return research.quantile_returns(_paired(s, d))
+
+
+@query("select horizon, round(arg_max(mean, bucket) - arg_min(mean, bucket), 6) as spread from v_bucket group by 1")
+def long_short(s, d):
+    return research.long_short(research.quantile_returns(_paired(s, d)))
+
+
+@query(f"select arg_max(horizon, abs(ic)) as best_horizon, round(arg_max(ic, abs(ic)), 6) as best_ic from ({IC})")
+def idea_verdict(s, d):
+    return research.idea_verdict(research.information_coefficient(_paired(s, d)))
+
+
+@query("select max(a) as first, min(b) as last from (select min(date) as a, max(date) as b from v_price_d group by symbol)")
+def common_history(s, d):
+    return portfolio.common_history(v.daily_prices(s, d))
+
+
+@query("select date, (select count(distinct symbol) from v_price_d) - count(*) as missing from v_price_d where date between (select max(a) from (select min(date) as a from v_price_d group by symbol)) and (select min(b) from (select max(date) as b from v_price_d group by symbol)) group by 1 having count(*) < (select count(distinct symbol) from v_price_d)")
+def price_gaps(s, d):
+    return portfolio.price_gaps(v.daily_prices(s, d))
+
+
+FILLS = """select strategy_id, pos + 1 as pos from (select *, row_number() over (order by date) - 1 as pos, lead(date) over (order by date) as nxt from (select distinct date from v_price_w))
+  cross join (values ('even', 'month'), ('half', 'quarter'), ('pair', 'year')) s(strategy_id, u) where pos = 0 or date_trunc(u, date) <> date_trunc(u, nxt)"""
+
+
+@query(f"select strategy_id, cast(pos - 1 as int) as signal_pos from ({FILLS})")
+def rebalance_instructions(s, d):
+    return portfolio.rebalance_instructions(v.strategies(s), portfolio.sessions(v.weekly_prices(s, d)))
+
+
+@query(f"select strategy_id, cast(pos as int) as pos, date from ({FILLS}) join (select date, row_number() over (order by date) - 1 as pos from (select distinct date from v_price_w)) using (pos)")
+def fills(s, d):
+    calendar = portfolio.sessions(v.weekly_prices(s, d))
+    return portfolio.fills(portfolio.rebalance_instructions(v.strategies(s), calendar), calendar).select("strategy_id", "pos", "date")
+
+
+def _daily(s, d):
+    return portfolio.backtest_daily(v.weekly_prices(s, d), v.strategies(s))
+
+
+@query()
+def backtest_daily(s, d):
+    return _daily(s, d)
+
+
+@query()
+def backtest_metrics(s, d):
+    return portfolio.backtest_metrics(_daily(s, d), 52.0)
+
+
+@query()
+def monthly_returns(s, d):
+    return portfolio.period_returns(_daily(s, d), "month")
+
+
+@query()
+def annual_returns(s, d):
+    return portfolio.period_returns(_daily(s, d), "year")
+
+
+@query()
+def drawdown_episode(s, d):
+    return portfolio.drawdown_episode(_daily(s, d))
+
+
+def _deposits(s, d):
+    return portfolio.contribution_sessions(v.session_prices(s, d).select("date").distinct()).withColumn("amount", F.lit(100.0))
+
+
+def _units(s, d):
+    prices = v.session_prices(s, d)
+    return portfolio.deposit_units(prices, _deposits(s, d), prices.select("symbol").distinct().withColumn("weight", F.lit(0.2)))
+
+
+@query("select date from v_dep")
+def contribution_sessions(s, d):
+    return _deposits(s, d).select("date")
+
+
+@query("select symbol, date, round(units, 6) as units from v_units")
+def deposit_units(s, d):
+    return _units(s, d).select("symbol", "date", "units")
+
+
+@query("select date, round(equity, 6) as equity, cast(flow as double) as flow, round(nav, 6) as nav from v_nav")
+def unit_nav(s, d):
+    return portfolio.unit_nav(_units(s, d), _deposits(s, d))
+
+
+@query("select cast(t as double) as tier, min(date) filter (nav - 1 >= t) as date from v_nav cross join (select unnest([0.02, 0.1, 5.0]) as t) group by 1")
+def take_profit_triggers(s, d):
+    return portfolio.take_profit_triggers(portfolio.unit_nav(_units(s, d), _deposits(s, d)), (0.02, 0.1, 5.0))
+
+
+@query()
+def xirr(s, d):
+    """Per customer: orders paid in, and 1.1 times their sum paid out at the end of 2001."""
+    orders = v.table(s, d, "orders").select(F.col("o_custkey").alias("account"), F.col("o_orderdate").cast("date").alias("date"), (-F.col("o_totalprice")).alias("amount"))
+    out = orders.groupBy("account").agg((F.sum("amount") * -1.1).alias("amount")).select("account", F.to_date(F.lit("2001-12-31")).alias("date"), "amount")
+    return portfolio.xirr(orders.unionByName(out))
+
+
+@query("select round(avg(a - b), 6) as effect, count(*) as pairs from (select l_returnflag, l_shipmonth, max(m) filter (l_linestatus = 'F') as a, max(m) filter (l_linestatus <> 'F') as b from (select l_returnflag, l_linestatus, month(l_shipdate) as l_shipmonth, sum(l_extendedprice) / sum(l_quantity) as m from lineitem group by all) group by 1, 2) where a is not null and b is not null", 6)
+def paired_effects(s, d):
+    runs = v.table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus", F.month("l_shipdate").alias("month")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("m"))
+    return portfolio.paired_effects(runs.withColumn("closed", F.col("l_linestatus") == "F"), "closed", ["l_returnflag", "month"], "m")
+
+
+@query(f"""select n.series_id, n.observation_date, n.value, case when o.value is null then 'new_release' when abs(n.value - o.value) > 1e-12 then 'historical_revision' else 'unchanged' end as event
+  from (select series_id, observation_date, arg_max(value, vintage) as value from v_ledger group by all) n left join (select series_id, observation_date, arg_max(value, vintage) as value from v_ledger where vintage <= date '{CUTOFF}' group by all) o using (series_id, observation_date)""")
+def ledger_changes(s, d):
+    rows = v.ledger(s, d)
+    newest = asof.latest(rows, ledger.KEY, "vintage")
+    return ledger.ledger_changes(newest, rows.where(F.col("vintage") <= CUTOFF)).select("series_id", "observation_date", "value", "event")
+
+
+@query("select series_id, month_end from (select distinct series_id, observation_date from v_obs) o right join (select series_id, cast(last_day(m) as date) as month_end from (select series_id, unnest(generate_series(date_trunc('month', min(observation_date)), max(observation_date), interval 1 month)) as m from v_obs where month(observation_date) % 5 <> 0 group by 1)) g using (series_id) where o.observation_date = g.month_end and month(month_end) % 5 = 0")
+def missing_periods(s, d):
+    return ledger.missing_periods(v.observations(s, d).where("month(observation_date) % 5 <> 0"))
+
+
+@query("select series_id, round(avg(available_date - observation_date), 6) as mean_lag, cast(max(available_date - observation_date) as int) as max_lag, count(*) filter (available_date - observation_date > 45) as late from v_ledger group by 1")
+def publication_lag(s, d):
+    return ledger.publication_lag(v.ledger(s, d))
+
+
+@query("select series_id, max(observation_date) as last_date, cast(date '2002-01-01' - max(observation_date) as int) as age_days from v_obs group by 1 having date '2002-01-01' - max(observation_date) > 75")
+def stale_series(s, d):
+    return ledger.stale_series(v.observations(s, d), "2002-01-01")
+
+
+@query("select series_id, observation_date, value, p as previous, round(value / p - 1, 6) as change from (select *, lag(value) over (partition by series_id order by observation_date) as p from v_obs) where abs(value / p - 1) > 0.2")
+def large_changes(s, d):
+    return ledger.large_changes(v.observations(s, d), 0.2)
+
+
+@query("select series_id, observation_date, value, p as previous, round(value - p, 6) as change from (select *, lag(value) over (partition by series_id order by observation_date) as p from v_obs) qualify row_number() over (partition by series_id order by observation_date desc) = 1")
+def latest_metrics(s, d):
+    return ledger.latest_metrics(v.observations(s, d))
+
+
+@query("select series_id, count(*) as n_rows, count(distinct observation_date) as observations, min(observation_date) as first_date, max(observation_date) as last_date, count(*) - count(distinct observation_date) as revisions from v_ledger group by 1")
+def ledger_coverage(s, d):
+    return ledger.ledger_coverage(v.ledger(s, d))
+
+
+@query(f"select company_id, metric, period_end, filed, value from (select company_id, metric, period_end, available_date as filed, value from v_fund where available_date <= date '{CUTOFF}') qualify row_number() over (partition by company_id, metric, period_end order by filed desc) = 1")
+def pit_facts(s, d):
+    filings = v.fundamentals(s, d).withColumnRenamed("available_date", "filed").withColumn("unit", F.lit("USD")).withColumn("ordinal", F.lit(0))
+    return valuation.pit_facts(filings, CUTOFF).select("company_id", "metric", "period_end", "filed", "value")
+
+
+def _suppliers(s, d):
+    return v.table(s, d, "supplier").withColumn("n", F.col("s_suppkey"))
+
+
+@query("select company_id, round(tax_rate, 6) as tax_rate, round(ebit * (1 - tax_rate), 6) as nopat, round(ebit * (1 - tax_rate) + 10 - 5, 6) as fcff, case when company_id % 7 = 0 then 'missing_metric' when company_id % 5 = 0 then 'no_pretax_income' end as reason from (select s_suppkey as company_id, s_acctbal as ebit, case when s_suppkey % 7 <> 0 and s_suppkey % 5 <> 0 then 20.0::double / (s_suppkey % 5 * 100) end as tax_rate from supplier)")
+def fcff(s, d):
+    wide = _suppliers(s, d).select(F.col("n").alias("company_id"), F.when(F.expr("n % 7 <> 0"), F.col("s_acctbal")).alias("ebit"), (F.expr("n % 5") * 100.0).alias("pretax_income"), F.lit(20.0).alias("tax_expense"), F.lit(10.0).alias("depreciation"), F.lit(5.0).alias("capex"))
+    return valuation.fcff(wide).select("company_id", "tax_rate", "nopat", "fcff", "reason")
+
+
+def _dcf_rows(s, d):
+    return _suppliers(s, d).select(F.col("n").alias("company_id"), F.lit(100.0).alias("fcf"), F.array_repeat((F.expr("n % 9") / 100.0), 5).alias("growth_rates"), F.lit(0.1).alias("discount"), F.lit(0.03).alias("terminal"), F.lit(50.0).alias("net_debt"), F.expr("double(n % 11)").alias("shares"))
+
+
+DCF = "(list_sum([100 * power(1 + g, y) / power(1.1, y) for y in [1, 2, 3, 4, 5]]) + 100 * power(1 + g, 5) * 1.03 / 0.07 / power(1.1, 5) - 50)"
+
+
+@query(f"select company_id, case when k > 0 then round({DCF} / k, 6) end as value_per_share from (select s_suppkey as company_id, (s_suppkey % 9) / 100.0::double as g, s_suppkey % 11 as k from supplier)")
+def dcf(s, d):
+    return valuation.dcf(_dcf_rows(s, d)).select("company_id", "value_per_share")
+
+
+@query("select s_suppkey as company_id, case when s_suppkey % 11 > 0 then round((s_suppkey % 9) / 100.0::double, 6) end as implied_growth from supplier")
+def reverse_dcf(s, d):
+    return valuation.reverse_dcf(valuation.dcf(_dcf_rows(s, d)).where("shares > 0").withColumnRenamed("value_per_share", "price")).select("company_id", "implied_growth").unionByName(_dcf_rows(s, d).where("shares = 0").select("company_id", F.lit(None).cast("double").alias("implied_growth")))
+
+
+@query("select s_suppkey as company_id, s_acctbal >= 0 and s_acctbal <= 5000 as valid, round(5000 / (100.0::double + s_suppkey) - 1, 6) as margin from supplier")
+def valuation_band(s, d):
+    band = _suppliers(s, d).select(F.col("n").alias("company_id"), F.col("s_acctbal").alias("low"), F.lit(5000.0).alias("base"), F.lit(9000.0).alias("high"), (F.col("n") + 100.0).alias("price"))
+    return valuation.valuation_band(band).select("company_id", "valid", "margin")
+
+
+@query("select company_id, array_to_string(list_sort(list_filter(['ebit', 'pretax_income', 'tax_expense', 'depreciation', 'capex'], lambda m: not list_contains(have, m))), ',') as missing from (select l_suppkey as company_id, list(distinct case l_returnflag when 'A' then 'ebit' when 'N' then 'capex' else 'depreciation' end) as have from lineitem group by 1)")
+def fcff_support(s, d):
+    metric = F.when(F.col("l_returnflag") == "A", "ebit").when(F.col("l_returnflag") == "N", "capex").otherwise("depreciation")
+    facts = v.table(s, d, "lineitem").select(F.col("l_suppkey").alias("company_id"), metric.alias("metric"))
+    return valuation.fcff_support(facts).select("company_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("select company_id, cast(generate_subscripts(m, 1) - 1 as int) as place, unnest(m) as method from (select s_suppkey as company_id, case s_suppkey % 3 when 0 then ['fcff_dcf', 'reverse_dcf'] when 1 then ['residual_income'] else ['affo', 'nav'] end as m from supplier)")
+def method_routing(s, d):
+    kind = F.element_at(F.array(F.lit("operating"), F.lit("bank"), F.lit("property")), (F.expr("n % 3") + 1).cast("int"))
+    return valuation.method_routing(_suppliers(s, d).select(F.col("n").alias("company_id"), kind.alias("business_type")))
+
+
+@query("select company_id, round(sum(case when metric = 'debt' then x else -x end), 2) as net_debt from (select company_id, case when metric like 'A%' then 'debt' else 'cash' end as metric, arg_max(value, (period_end, available_date, value)) as x from v_fund where metric like 'A%' or metric like 'R%' group by 1, 2) group by 1", 2)
+def net_debt(s, d):
+    facts = v.fundamentals(s, d).where("metric like 'A%' or metric like 'R%'").withColumn("metric", F.when(F.col("metric").like("A%"), "debt").otherwise("cash"))
+    one = facts.groupBy("company_id", "metric", "period_end", "available_date").agg(F.max("value").alias("value"))
+    return valuation.net_debt(one)
+
+
+@query("select holder, date, round(f, 6) as flow from (select *, stock - lag(stock) over (partition by holder order by date) - stock * 0.01 - 1 as f from v_stock) where f is not null")
+def stock_flow(s, d):
+    return valuation.stock_flow(v.stocks(s, d).withColumn("valuation", F.col("stock") * 0.01).withColumn("other", F.lit(1.0))).select("holder", "date", "flow")
+
+
+@query("select holder, date, round(f, 6) as flow from (select *, stock - lag(stock) over (partition by holder order by date) * 1.02::double as f from v_stock) where f is not null")
+def aum_flow(s, d):
+    return valuation.aum_flow(v.stocks(s, d).withColumnRenamed("stock", "aum").withColumn("ret", F.lit(0.02))).select("holder", "date", "flow")
+
+
+@query("select node, round(sum(i), 2) as inflow, round(sum(o), 2) as outflow, round(sum(i) - sum(o), 2) as net from (select dst as node, amount as i, 0 as o from v_flow where src <> dst union all select src, 0, amount from v_flow where src <> dst) group by 1", 2)
+def flow_network(s, d):
+    return valuation.flow_network(v.flow_edges(s, d))
+
+
+@query("select entity, round(sum(score * weight * confidence) / sum(weight * confidence), 6) as score, count(*) as n from v_sig group by 1")
+def combine_signals(s, d):
+    return valuation.combine_signals(v.signals(s, d))
+
+
+@query("select n_nationkey as company_id, n_name as name, s_suppkey as security_id from nation left join supplier on s_nationkey = n_nationkey")
+def entity_join(s, d):
+    companies = v.table(s, d, "nation").select(F.col("n_nationkey").alias("company_id"), F.col("n_name").alias("name"))
+    return valuation.entity_join(companies, v.table(s, d, "supplier").select(F.col("s_nationkey").alias("company_id"), F.col("s_suppkey").alias("security_id")))
+
+
+@query(r"""select page_id, coalesce(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '') as title, coalesce(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '') as heading, cast(len(regexp_extract_all(html, '<a href="')) as int) as n_links,
+  cast(length(trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)\b[^>]*>.*?</(script|style)>', '', 'gs'), '<[^>]*>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))) as int) as text_chars from pages""")
+def page_fields(s, d):
+    return harvest.page_fields(v.table(s, d, "pages"))
+
+
+@query(r"""select page_id, href, arg_max(title, (length(title), title)) as title from (select page_id, regexp_extract(a, '<a href="([^"]*)">', 1) as href, regexp_extract(a, '>([^<]*)</a>', 1) as title from (select page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) as a from pages)) group by all""")
+def page_links(s, d):
+    return harvest.page_links(v.table(s, d, "pages"))
+
+
+@query("select symbol, max(date) as date, round(arg_max(price, date), 6) as close from v_price_d group by symbol, date_trunc('month', date) qualify date_trunc('month', max(date)) < max(date_trunc('month', max(date))) over (partition by symbol)")
+def completed_month_close(s, d):
+    return harvest.completed_month_close(v.daily_prices(s, d).withColumnRenamed("price", "close"))
+
+
+@query("select symbol, count(*) as n, count(*) filter (least(price, price - 1500) <= 0) as bad_price, count(*) filter (price < 3000) as high_below_low, 0::bigint as duplicates from v_price_d group by 1")
+def ohlc_checks(s, d):
+    p = F.col("price")
+    return harvest.ohlc_checks(v.daily_prices(s, d).select("symbol", "date", p.alias("open"), (p - 1500).alias("close"), p.alias("high"), F.least(p, F.lit(3000.0)).alias("low")).withColumn("low", F.when(F.col("high") < 3000, F.lit(3000.0)).otherwise(F.col("low"))))
+
+
+@query("select symbol, count(*) as n, min(date) as first_date, max(date) as last_date, round(min(price), 6) as least, round(max(price), 6) as most from v_price_d group by 1")
+def price_status(s, d):
+    return harvest.price_status(v.daily_prices(s, d))
