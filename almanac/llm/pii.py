@@ -122,7 +122,8 @@ def mentions(docs: DataFrame) -> DataFrame:
                     for term, a, z in terms_near(text, s, e, spans):
                         rows.append((key, entity, term, a, z, (entity, term) not in seen))
                         seen.add((entity, term))
-            yield pd.DataFrame(rows, columns=["key", "entity", "term", "start", "end", "first"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "entity", "term", "start", "end", "first"]).astype({"term": object})
 
     keyed = docs.select(text_key().alias("key"), "text").where("text is not null")
     return keyed.mapInPandas(run, "key long, entity long, term string, start int, end int, first boolean")
@@ -148,7 +149,8 @@ def document_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         hit = known[term] = there[zlib.crc32(term.encode()) % SLOTS]
                     if hit:
                         counts[term] += 1
-            yield pd.DataFrame({"term": list(counts.keys()), "n": list(counts.values())})
+            if counts:
+                yield pd.DataFrame({"term": list(counts.keys()), "n": list(counts.values())})
 
     counted = docs.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return counted.join(wanted, "term", "left_semi")
