@@ -116,7 +116,7 @@ def _factors(s, d):
     return factors.composite(factors.expanding_zscore(_transformed(s, d)))
 
 
-@query("select factor, component, series_id, month_end, round(x, 6) as x from v_tr")
+@query("select factor, component, series_id, month_end, round(x, 6) + 0.0 as x from v_tr")
 def transforms(s, d):
     return _transformed(s, d).drop("weight")
 
@@ -320,7 +320,8 @@ def ledger_changes(s, d):
     return ledger.ledger_changes(newest, rows.where(F.col("vintage") <= CUTOFF)).select("series_id", "observation_date", "value", "event")
 
 
-@query("select series_id, month_end from (select distinct series_id, observation_date from v_obs) o right join (select series_id, cast(last_day(m) as date) as month_end from (select series_id, unnest(generate_series(date_trunc('month', min(observation_date)), max(observation_date), interval 1 month)) as m from v_obs where month(observation_date) % 5 <> 0 group by 1)) g using (series_id) where o.observation_date = g.month_end and month(month_end) % 5 = 0")
+@query("""select series_id, cast(last_day(m) as date) as month_end from (select series_id, unnest(generate_series(date_trunc('month', min(observation_date)), max(observation_date), interval 1 month)) as m from v_obs where month(observation_date) % 5 <> 0 group by 1)
+  except select series_id, observation_date from v_obs where month(observation_date) % 5 <> 0""")
 def missing_periods(s, d):
     return ledger.missing_periods(v.observations(s, d).where("month(observation_date) % 5 <> 0"))
 

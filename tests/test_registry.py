@@ -4,6 +4,7 @@ import datetime
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from almanac.plans import registry
@@ -20,11 +21,12 @@ def db():
 
 
 def plain(x):
-    if x is None or x != x:
+    if pd.isna(x):
         return None
     if isinstance(x, datetime.datetime):
         return x.date()
-    return x.item() if hasattr(x, "item") else x
+    x = x.item() if hasattr(x, "item") else x
+    return int(x) if isinstance(x, float) and x.is_integer() else x  # a column with nulls comes as floats
 
 
 def rows(frame, columns):
