@@ -27,8 +27,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from almanac.llm.common import checked_join, cut
+from almanac.llm.common import BROADCAST_ROWS, checked_join, cut
 from almanac.llm.components import connected_components
 
 REGISTERS, BANDS = 120, 24
@@ -37,6 +38,8 @@ BASE, RATE, TOP = 1.02, 20.0, 2046
 MOST_PARITY = 30
 #: Times that a document outside its bucket's main component tries one more member of it before it meets all.
 MATE_TURNS = 2
+#: Members of a bucket up to which its components are compared pair by pair.
+SMALL_BUCKET = 64
 #: How far below the best log likelihood that of the wanted similarity may lie.
 LIKELIHOOD_GAP = 14.0
 CACHE_WORDS = 500_000
@@ -186,21 +189,64 @@ def estimated(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFra
     return full.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInPandas(run, "a long, b long, j double")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have the similarity."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "verify-ids")
+def shingle_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(doc_id, s: the full shingle set) of the documents with these ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at, texts in _groups(b["text"].tolist()):
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at : at + len(texts)].array, "s": [s.view(np.int64) for s in shingle_sets(texts, words)]})
 
-    sets = cut(checked_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, s array<long>"), "verify-sets")
+    return cut(checked_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, s array<long>"), "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have the similarity."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "verify-ids")
+    sets = shingle_table(docs, ids, words)
     full = pairs.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b")
     both = full.withColumn("shared", F.size(F.array_intersect("s_a", "s_b")))
     return both.where(100 * F.col("shared") >= similarity * (F.size("s_a") + F.size("s_b") - F.col("shared"))).select("a", "b")
 
 
+def differing(members: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Pairs (a, b) that may link the components of each group, by how their sets differ from the group's pivot.
+
+    ``members`` has (main, id, component); the pivot is what most of a main component's sets hold. With ``a``
+    pivot shingles missing and ``b`` others present, two sets have the similarity exactly if the differences that they
+    share, times 100 + similarity, reach both weights ``100 a + similarity b`` less the pivot's slack. Differences
+    that one document alone has join with nothing, and a shared one counts only if enough follow it in the order
+    from rare to frequent, so near copies that differ each in their own way don't meet. Pairs that need share
+    nothing all link with the group's document of least weight, so that pair stands for them.
+    """
+    sets = shingle_table(docs, cut(members.select(F.col("id").alias("doc_id")).distinct(), "member-ids"), words).dropDuplicates(["doc_id"])
+    held = members.join(sets.withColumnRenamed("doc_id", "id"), "id")
+    core = held.where("component = main")
+    half = cut(core.groupBy("main").agg((F.count("*") / 2).alias("half")), "half")
+    common = core.select("main", F.explode("s").alias("e")).groupBy("main", "e").count()
+    pivot = checked_join(common, half, "main", "inner").where("count > half")
+    pivot = cut(pivot.groupBy("main").agg(F.collect_list("e").alias("pivot")), "pivot")
+    few = (pivot.agg(F.sum(F.size("pivot"))).first()[0] or 0) <= BROADCAST_ROWS
+    both = held.join(F.broadcast(pivot) if few else pivot, "main", "left").withColumn("pivot", F.coalesce("pivot", F.array().cast("array<long>")))
+    both = both.withColumn("gone", F.array_except("pivot", "s")).withColumn("more", F.array_except("s", "pivot"))
+    weight = 100 * F.size("gone") + similarity * F.size("more")
+    slack = (100 - similarity) * F.size("pivot")
+    both = cut(both.select("main", "id", "component", weight.alias("w"), slack.alias("slack"), F.concat("gone", "more").alias("d")), "differences")
+    nearest = cut(both.groupBy("main").agg(F.min_by(F.struct("id", "component", "w"), F.struct("w", "id")).alias("least")), "nearest")
+    both = checked_join(both, nearest, "main", "inner").withColumn("short", F.col("w") + F.col("least.w") - F.col("slack"))
+    sure = both.where("short <= 0 and component <> least.component").select(F.least("id", "least.id").alias("a"), F.greatest("id", "least.id").alias("b"))
+    each = both.select("main", "id", "component", "w", "slack", "short", F.explode("d").alias("e"))
+    order = each.groupBy("main", "e").agg(F.count("*").alias("n")).where("n > 1")
+    each = each.join(order, ["main", "e"])
+    document = Window.partitionBy("main", "id")
+    each = each.withColumn("rest", F.row_number().over(document.orderBy(F.desc("n"), F.desc("e"))))  # shared differences from here on
+    each = cut(each.where(f"{100 + similarity} * rest >= short").select("main", "id", "component", "w", "slack", "e", "rest"), "shared-differences")
+    x, y = each.alias("x"), each.alias("y")
+    enough = (100 + similarity) * F.least("x.rest", "y.rest") >= F.col("x.w") + F.col("y.w") - F.col("x.slack")
+    meet = (F.col("x.main") == F.col("y.main")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+    return sure.union(x.join(y, meet & enough).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``; ``similarity`` in hundredths."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -241,6 +287,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
         there = checked_join(shared.select("id", "band"), found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         main = there.groupBy("band", "component").count().groupBy("band").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
         there = cut(there.join(cut(main, "main"), "band").join(narrow, "id"), "buckets")
+        if turn == MATE_TURNS:
+            large = cut(there.groupBy("band").count().where(f"count > {SMALL_BUCKET}").select("band"), "large")
+            crowd = cut(checked_join(there, large, "band", "left_semi").select("main", "id", "component").distinct(), "crowd")
+            there = checked_join(there, large, "band", "left_anti")
         x = there.where("component <> main").alias("x")
         if turn < MATE_TURNS:
             mate = F.min_by(side, F.xxhash64("id", "band", F.lit(turn))).alias("y")
@@ -253,7 +303,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
         near = 100 * F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")
         near &= F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1"))) + F.bit_count(F.col("x.p2").bitwiseXOR(F.col("y.p2"))) <= MOST_PARITY
         pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & near & once).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        pairs = pairs.distinct() if turn < MATE_TURNS else pairs
+        pairs = pairs.distinct() if turn < MATE_TURNS else pairs.union(differing(crowd, docs, words, similarity)).distinct()
         grown(estimated(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), reps, similarity))
     out = checked_join(sk.select("doc_id", "n_shingles"), copies, "doc_id", "left").withColumn("id", F.coalesce("rep", "doc_id"))
     out = checked_join(out, found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
