@@ -208,3 +208,29 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "secret_scan", "mix", "bpe"]
     assert set(got.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and 100 < got.select("doc_id").distinct().count() <= 200
+
+
+def test_differing_finds_every_link_of_a_crowd(spark):
+    """Near copies around the wanted similarity, more than a small bucket: no link between components is lost."""
+    rng, rows = random.Random(7), []
+    base = [f"w{i}" for i in range(60)]
+    for i in range(90):
+        words = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 2, 3, 4, 5, 6, 8])):
+            words[at] = rng.choice([f"x{i}-{at}", f"y{at}"])
+        rows.append((i, " ".join(words)))
+    sets = {i: set(s.tolist()) for i, s in zip(range(90), sketches.shingle_sets([t for _, t in rows], 2), strict=True)}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # Half of the documents form the main component, each other one is its own.
+    members = spark.createDataFrame([(0, i, 0 if i % 2 == 0 else i) for i in range(90)], "main long, id long, component long")
+    found = {tuple(r) for r in sketches.differing(members, docs, 2, 80).collect()}
+
+    def components(pairs):
+        root = {i: 0 if i % 2 == 0 else i for i in sets}
+        for a, b in sorted(pairs):
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if v == high else v for k, v in root.items()}
+        return root
+
+    assert linked and components(found & linked) == components(linked)
