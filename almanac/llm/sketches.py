@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from almanac.llm.common import BROADCAST_ROWS, checked_join, cut
-from almanac.llm.components import connected_components
+from almanac.llm.components import connected_components, merged_components
 
 REGISTERS, BANDS = 120, 24
 BASE, RATE, TOP = 1.02, 20.0, 2046
@@ -265,15 +265,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     tested = cut(estimated(star, reps, similarity), "likely")
     best = tested.groupBy("b").agg(F.max_by("a", "j").alias("a")).select("a", "b")
     links = verified(cut(best, "best"), docs, words, similarity)
-    found = cut(connected_components(links := cut(links, "links")), "components")
+    found = cut(connected_components(links), "components")
 
     def grown(pairs: DataFrame) -> None:
-        """Verify pairs between components, and form the components anew if any link is found."""
-        nonlocal links, found
+        """Verify pairs between components, and merge the components that links are found between."""
+        nonlocal found
         new = cut(verified(cut(pairs.select("a", "b").distinct(), "pairs"), docs, words, similarity), "links")
         if new.limit(1).count():
-            links = links.union(new)
-            found = cut(connected_components(links), "components")
+            found = cut(merged_components(found, new), "components")
 
     # The other likely star pairs, where they lie in different components.
     ends = [found.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab"]
