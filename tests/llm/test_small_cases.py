@@ -101,6 +101,20 @@ def test_forest_equals_brute_force(spark, monkeypatch):
     assert all(found[i].n_links == 0 and found[i].kept for i in range(900, 907))
 
 
+def test_forest_finds_every_link_of_a_large_group(spark):
+    """Near copies that differ, far more than a leaf, among other vectors: pairs just above and below the similarity too."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((5000, 64))
+    x[:3000] = x[0] + np.sqrt(1 / 0.99 - 1) * rng.standard_normal((3000, 64))  # mean cosine 0.99
+    x[3000:4000] = x[3000] + np.sqrt(1 / 0.975 - 1) * rng.standard_normal((1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, x[i].tolist(), 0) for i in range(5000)]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = (x @ x.T >= 0.98).sum(axis=1) - 1
+    assert want[:3000].sum() > 8_000_000 and want[3000:4000].sum() > 10_000
+    assert [got[i] for i in range(5000)] == want.tolist()
+
+
 def test_secrets(docs):
     got = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
     assert got[11].spans == "assign:0:28" and got[12].n_guess == 1 and got[0].spans == ""
