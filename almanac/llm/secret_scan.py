@@ -1,7 +1,7 @@
 """Secret scans: base patterns, and credential values judged by the cost of guessing them.
 
 Next to the base patterns, values in a credential context (a name such as ``pwd`` or ``private key``,
-then a separator) are split by dynamic programming into the cheapest sequence of words, dates,
+then a separator; letters, digits and underscores may stand before the name) are split by dynamic programming into the cheapest sequence of words, dates,
 repeats, keyboard walks and brute-force characters. The cost of a sequence is the sum of the
 log10 guesses of its parts plus the log10 of the factorial of their number. A value that takes at least
 ``MIN_LOG10_GUESSES`` to guess is a secret; a cheaper one, such as ``changeme``, is a placeholder.
@@ -16,8 +16,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
 MIN_LOG10_GUESSES = 8.0
-#: Characters of the longest value that the dynamic programme prices; a longer one costs more than the threshold.
-MAX_VALUE = 64
+#: Of a walk longer than twice this, only ends this near to its start or end are tried: no cheaper sequence leaves it in between.
+WALK_ENDS = 64
 
 _FLAGS = re.ASCII | re.IGNORECASE
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _FLAGS)
@@ -34,7 +37,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # Runs of hex digits are maximal, so asking for the least length at once finds the same matches.
 HEX = re.compile(r"[0-9a-f]{16,}")
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|api[ _-]?key|(?:access|private|secret)[ _-]?key)\b["']?\x20*(?::=|=>|[:=])\x20*(?:"([^"\n]{6,200})"|'([^'\n]{6,200})'|([^\s"',;<>]{6,200}))""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|api[ _-]?key|(?:access|private|secret)[ _-]?key)\b["']?\x20*(?::=|=>|[:=])\x20*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;<>]+))""",
     _FLAGS,
 )
 _HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "key")
@@ -63,6 +66,21 @@ def _class_size(value: str) -> float:
     return size + 33 * any(not c.isalnum() for c in value) or 36
 
 
+def repeats(value: str) -> Iterator[tuple[int, int, int]]:
+    """(start, unit, times) of the longest run of each unit at each start, twice at least; units that are no repeats themselves."""
+    n = len(value)
+    code = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    reach = np.zeros(n, np.int64)  # by start: where the runs of smaller units end
+    for unit in range(1, n // 2 + 1):
+        differs = np.concatenate(([-1], np.flatnonzero(code[:-unit] != code[unit:]), [n - unit]))
+        for gap in np.flatnonzero(np.diff(differs) > unit):
+            end = int(differs[gap + 1]) + unit  # of the stretch that has this period
+            starts = np.arange(differs[gap] + 1, end - 2 * unit + 1)
+            for i in starts[reach[starts] < starts + 2 * unit].tolist():  # else the unit repeats a smaller one
+                yield i, unit, (end - i) // unit
+            reach[starts] = np.maximum(reach[starts], end)
+
+
 def guess_cost(value: str) -> float:
     """Least log10 guesses over all segmentations of ``value``."""
     return segment(value)[0]
@@ -79,22 +97,19 @@ def segment(value: str) -> tuple[float, list[tuple[str, str]]]:
     per_char = math.log10(_class_size(value))
     low, plain = value.lower(), value.lower().translate(LEET)
     parts: list[list[tuple[int, str, float]]] = [[] for _ in range(n)]  # by start: end, kind, cost
+    for i, unit, times in repeats(value):
+        for k in range(max(2, times - LONGEST_WORD // unit), times + 1):  # the last ones may belong to a word
+            if unit * k >= 3:
+                parts[i].append((i + unit * k, "repeat", min(unit * per_char, 12.0) + math.log10(k)))
     for i in range(n):
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
             if (rank := RANK.get(low[i:j]) or RANK.get(plain[i:j])) is not None:
                 changed = (low[i:j] not in RANK) + (not value[i:j].islower())
                 parts[i].append((j, "word", math.log10(rank + 1) + changed * math.log10(2 * (j - i))))
-        for unit in range(1, (n - i) // 2 + 1):
-            end = i + unit
-            while value.startswith(value[i : i + unit], end):
-                end += unit
-            times = (end - i) // unit
-            if times > 1 and unit * times >= 3:
-                parts[i].append((end, "repeat", min(unit * per_char, 12.0) + math.log10(times)))
         j = i + 1
         while j < n and (low[j - 1 : j + 1] in NEXT_TO or ord(low[j]) - ord(low[j - 1]) == 1):
             j += 1
-        for end in range(i + 3, j + 1):
+        for end in chain(range(i + 3, min(j, i + WALK_ENDS) + 1), range(max(i + WALK_ENDS + 1, j - WALK_ENDS), j + 1)):
             parts[i].append((end, "walk", math.log10(47 * 4) + math.log10(end - i)))
         if (m := DATE.match(value, i)) is not None:
             parts[i].append((m.end(), "date", YEAR_COST if m.end() - i == 4 else DATE_COST))
@@ -137,13 +152,18 @@ def find(text: str | None) -> list[tuple[int, int, str, float]]:
     low = text.lower()
     if any(h in low for h in _HINTS):
         spans += [(m.start(), m.end(), 0, 0.0) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_CHARS]
-        base = sorted(spans)
+        base: list[list[int]] = []  # without overlaps
+        for s, e, _, _ in sorted(spans):
+            if base and s <= base[-1][1]:
+                base[-1][1] = max(e, base[-1][1])
+            else:
+                base.append([s, e])
         for m in CONTEXT.finditer(text):
             start, end = m.span(m.lastindex)
-            if any(s < end and start < e for s, e, _, _ in base):
+            at = bisect_right(base, start, key=lambda x: x[0]) - 1
+            if at >= 0 and base[at][1] >= end:  # a value that base spans cover whole
                 continue
-            value = text[start:end]
-            cost = guess_cost(value) if end - start <= MAX_VALUE else MIN_LOG10_GUESSES + guess_cost(value[:MAX_VALUE])
+            cost = guess_cost(text[start:end])
             if cost >= MIN_LOG10_GUESSES:
                 spans.append((start, end, 3, cost))
     return [(s, e, KINDS[k], c) for s, e, k, c in sorted(spans, key=lambda x: (x[0], x[2]))]

@@ -125,6 +125,24 @@ def test_secrets(docs):
     assert secret_scan.redact(docs).columns == docs.columns
 
 
+def test_secret_values_of_any_length_and_name():
+    long = "".join(random.Random(3).choices("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789!$%", k=250))
+    strong = "Tr0ub4dor&3xQz!"
+    found = {f'private_key = "{long}"': long, f"pwd = {long} more": long, f'DB_PWD = "{strong}"': strong, f'DB_PASSWORD="{strong}"': strong, f'aws_secret_access_key = "{strong}"': strong, 'pin_pwd = "k9$Zq"': "k9$Zq"}
+    found['token = "abcdefghijkl1234&rest$Of!it9"'] = "abcdefghijkl1234&rest$Of!it9"  # reaches beyond the base span
+    for text, value in found.items():
+        assert [text[s:e] for s, e, kind, _ in secret_scan.find(text) if kind == "guess"] == [value]
+        assert value[-5:] not in secret_scan.redact_text(text)
+    for value in ("x" * 80, "qw" * 300, "x" * 3000, "sssssecret"):  # long placeholders
+        assert secret_scan.guess_cost(value) < secret_scan.MIN_LOG10_GUESSES and secret_scan.redact_text(f'pwd="{value}"') == f'pwd="{value}"'
+    r = random.Random(5)
+    for _ in range(300):
+        v = "".join(r.choice("ab") for _ in range(r.randint(1, 30)))
+        plain = {(i, u) for i in range(len(v)) for u in range(1, len(v)) if v[i : i + u] == v[i + u : i + 2 * u] and not any(u % d == 0 and v[i : i + d] * (u // d) == v[i : i + u] for d in range(1, u))}
+        got = list(secret_scan.repeats(v))
+        assert {(i, u) for i, u, _ in got} == plain and all(v.startswith(v[i : i + u] * n, i) and not v.startswith(v[i : i + u] * (n + 1), i) for i, u, n in got)
+
+
 def test_pii(spark, docs):
     text = "call +1 (499) 555-6503 or mail bob.smith@mail.example.com now 10.0.0.1 300.1.1.1 and 4111 1111 1111 1111 a@@b.c d@e-.f.g"
     spans = [f"{pii.KINDS[k]}:{text[s:e]}" for s, e, k in pii.base_spans(text)]
