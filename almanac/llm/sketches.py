@@ -310,9 +310,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
-    """The documents with one of each group of near copies kept, all columns; rows that repeat a doc_id count as copies."""
-    result = cut(near_duplicates(docs, words, similarity), "near")
-    gone = result.where("not kept and doc_id is not null").select("doc_id").distinct()
-    out = checked_join(docs, cut(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = result.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """The documents with one of each group of near copies kept, all columns.
+
+    Rows that repeat doc_id and text count as copies; another text under the same doc_id is a document of its own,
+    and rows without doc_id all stay.
+    """
+    text_hash = F.xxhash64("text")
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text_hash).alias("dedup_text"), F.max(text_hash).alias("most"))
+    several = cut(ids.where("dedup_text < most").drop("most"), "several")
+    key = F.col("doc_id").cast("long")
+    keyed = docs
+    if several.limit(1).count():
+        keyed = checked_join(docs, several, "doc_id", "left")
+        other = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).bitwiseOR(F.lit(1 << 62))  # beyond the usual ids
+        key = F.when(text_hash != F.col("dedup_text"), other).otherwise(key)
+    keyed = keyed.withColumn("dedup_key", key)
+    result = cut(near_duplicates(keyed.select(F.col("dedup_key").alias("doc_id"), "text"), words, similarity), "near")
+    gone = result.where("not kept and doc_id is not null").select(F.col("doc_id").alias("dedup_key")).distinct()
+    out = checked_join(keyed, cut(gone, "gone"), "dedup_key", "left_anti")
+    repeated = result.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if repeated:
+        out = out.where("dedup_key is not null").dropDuplicates(["dedup_key"]).union(out.where("dedup_key is null"))
+    return out.select(*docs.columns)

@@ -242,6 +242,28 @@ def test_pipeline(spark):
     assert set(got.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and 100 < got.select("doc_id").distinct().count() <= 200
 
 
+def test_keep_one_drops_copies_alone(spark, docs):
+    """Rows without an id beside a repeated id, and two texts under one id, one of them a copy of another document."""
+    a, b, c = words(50, 21), words(50, 22), words(50, 23)
+    rows = [(1, a), (1, a), (2, a), (2, b), (3, c), (4, c), (None, a), (None, a), (None, c), (None, None), (5, None), (6, ""), (6, None)]
+    table = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    got = sketches.keep_one(table)
+    assert got.columns == table.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert kept == sorted([(1, a), (2, b), (3, c), (None, a), (None, a), (None, c), (None, None), (5, None), (6, ""), (6, None)], key=str)
+
+
+def test_near_dedup_stage_equals_brute_force(spark):
+    import corpus_pipeline
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sets = {r.doc_id: shingles(r.text, 5) for r in table.collect()}
+    linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    low = brute_components(sets, linked)
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, "").collect())
+    assert linked and got == sorted(i for i in sets if low[i] == i)
+
+
 def test_differing_finds_every_link_of_a_crowd(spark):
     """Near copies around the wanted similarity, more than a small bucket: no link between components is lost."""
     rng, rows = random.Random(7), []
