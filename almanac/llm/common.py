@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,14 @@ BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset a new local one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("almanac.shared.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, the session's checkpoint
+    folder, or a new local one if the session itself is local. Any other session must name a folder.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or spark.conf.get("almanac.shared.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-almanac-")
         spark.conf.set("almanac.shared.dir", found)
     return found.rstrip("/")
@@ -32,8 +38,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_join(big: DataFrame, small: DataFrame, on: str, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join on one column; ``small`` (already written, narrow) is broadcast only if it has at most ``limit`` rows.
+def checked_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join on named columns; ``small`` (already written, narrow) is broadcast only if it has at most ``limit`` rows.
 
     With more rows Spark shuffles both sides, and adaptive execution splits skewed partitions.
     """

@@ -1,23 +1,27 @@
 """Secret scans: base patterns, and credential values judged by the cost of guessing them.
 
-Next to the base patterns, values in a credential context (a name such as ``pwd`` or ``private key``,
-then a separator; letters, digits and underscores may stand before the name) are split by dynamic programming into the cheapest sequence of words, dates,
-repeats, keyboard walks and brute-force characters. The cost of a sequence is the sum of the
-log10 guesses of its parts plus the log10 of the factorial of their number. A value that takes at least
-``MIN_LOG10_GUESSES`` to guess is a secret; a cheaper one, such as ``changeme``, is a placeholder.
+Next to the base patterns, every value in a credential context (a name such as ``pwd`` or ``private key``,
+then a separator; letters, digits and underscores may stand before the name), whether a base span holds it or not, is split
+by dynamic programming into the cheapest sequence of words, dates, repeats, keyboard walks and brute-force characters.
+The cost of a sequence is the sum of the log10 guesses of its parts plus the log10 of the factorial of their number. A value
+that takes at least ``MIN_LOG10_GUESSES`` to guess is a secret and a span of kind ``guess``; a cheaper one, such as ``changeme``, is a placeholder.
+Costs are exact below ``MOST_LOG10_GUESSES`` and reported as that beyond it, so states that cost more are not followed and
+the work on a value grows with its length alone.
+
+Words are ranked: first the usual ones of passwords, then the ``DICTIONARY`` words of the corpus that most documents
+hold, counted over all documents, ties by code point. A word beyond that bound costs what its characters cost.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned each by itself; spans of one
-start follow the order of ``KINDS``; texts are scanned whole at any length; an empty table gives an
+start follow the order of ``KINDS``; texts and values are scanned whole at any length; an empty table gives an
 empty table; other columns are not read by ``scan`` and are kept by ``redact``.
 """
 
 from __future__ import annotations
 
-import hashlib
+import heapq
 import math
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from itertools import chain
 
 import numpy as np
@@ -28,6 +32,10 @@ from pyspark.sql import functions as F
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
 MIN_LOG10_GUESSES = 8.0
+#: Where reported costs end; no value is less or more of a secret for it.
+MOST_LOG10_GUESSES = 32.0
+#: Words taken from the corpus, and their letters at most.
+DICTIONARY, LONGEST_WORD = 20_000, 24
 #: Of a walk longer than twice this, only ends this near to its start or end are tried: no cheaper sequence leaves it in between.
 WALK_ENDS = 64
 
@@ -42,7 +50,7 @@ CONTEXT = re.compile(
 )
 _HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "key")
 
-#: Common words of passwords, commonest first; the rank of a word is the guesses it takes.
+#: Usual words of passwords, commonest first; the rank of a word is the guesses it takes.
 WORDS = (
     "password secret admin letmein welcome monkey dragon master login hello qwerty sunshine princess football shadow superman "
     "iloveyou trustno test testing example sample changeme change placeholder default user guest root pass token key api your "
@@ -50,11 +58,12 @@ WORDS = (
     "company server database service account access private public love baby angel star blue red green black white"
 ).split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
 LEET = str.maketrans("013457@$!", "oieastasi")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 NEXT_TO = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {b + a for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+#: By number of parts, as many as may cost less than is reported.
+LOG10_FACTORIAL = [math.log10(math.factorial(k)) for k in range(int(MOST_LOG10_GUESSES / math.log10(2)) + 2)]
 # log10 of the dates of 200 years, and of the years alone.
 DATE_COST, YEAR_COST = math.log10(73_000), math.log10(200)
 
@@ -66,83 +75,101 @@ def _class_size(value: str) -> float:
     return size + 33 * any(not c.isalnum() for c in value) or 36
 
 
-def repeats(value: str) -> Iterator[tuple[int, int, int]]:
-    """(start, unit, times) of the longest run of each unit at each start, twice at least; units that are no repeats themselves."""
-    n = len(value)
-    code = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
-    reach = np.zeros(n, np.int64)  # by start: where the runs of smaller units end
-    for unit in range(1, n // 2 + 1):
-        differs = np.concatenate(([-1], np.flatnonzero(code[:-unit] != code[unit:]), [n - unit]))
-        for gap in np.flatnonzero(np.diff(differs) > unit):
-            end = int(differs[gap + 1]) + unit  # of the stretch that has this period
-            starts = np.arange(differs[gap] + 1, end - 2 * unit + 1)
-            for i in starts[reach[starts] < starts + 2 * unit].tolist():  # else the unit repeats a smaller one
-                yield i, unit, (end - i) // unit
-            reach[starts] = np.maximum(reach[starts], end)
+class Repeats:
+    """Runs of repeated units up to a length, found by start."""
+
+    def __init__(self, value: str, longest: int):
+        code = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.n = len(value)
+        #: By unit: the places whose character is not the one a unit later.
+        self.differs = [np.flatnonzero(code[:-unit] != code[unit:]) for unit in range(1, min(longest, self.n // 2) + 1)]
+
+    def at(self, start: int) -> Iterator[tuple[int, int]]:
+        """(unit, times) of the run of each unit from ``start``, twice at least; no unit that repeats a smaller one."""
+        found: list[tuple[int, int]] = []
+        for unit, differs in enumerate(self.differs, 1):
+            k = np.searchsorted(differs, start)
+            end = int(differs[k]) + unit if k < len(differs) else self.n
+            if end - start >= 2 * unit and not any(unit % u == 0 and start + unit <= e for u, e in found):
+                found.append((unit, end))
+                yield unit, (end - start) // unit
 
 
-def guess_cost(value: str) -> float:
-    """Least log10 guesses over all segmentations of ``value``."""
-    return segment(value)[0]
+def guess_cost(value: str, rank: Mapping[str, int] = RANK) -> float:
+    """Least log10 guesses over all segmentations of ``value``, ``MOST_LOG10_GUESSES`` at most."""
+    return segment(value, rank)[0]
 
 
-def segment(value: str) -> tuple[float, list[tuple[str, str]]]:
+def parts_at(value: str, low: str, plain: str, runs: Repeats, i: int, per_char: float, rank: Mapping[str, int]) -> Iterator[tuple[int, str, float]]:
+    """(end, kind, log10 guesses) of the words, repeats, walks and dates that start at ``i``."""
+    n = len(value)
+    for unit, times in runs.at(i):
+        for k in range(max(2, times - LONGEST_WORD // unit), times + 1):  # the last ones may belong to a word
+            if unit * k >= 3:
+                yield i + unit * k, "repeat", unit * per_char + math.log10(k)
+    for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
+        word, swapped = low[i:j], plain[i:j]
+        own, other = rank.get(word), rank.get(swapped)
+        if own is not None or other is not None:
+            changed = (own is None) + (value[i:j] != value[i:j].lower())
+            yield j, "word", math.log10((own if own is not None else other) + 1) + changed * math.log10(2 * (j - i))
+    j = i + 1
+    while j < n and (low[j - 1 : j + 1] in NEXT_TO or ord(low[j]) - ord(low[j - 1]) == 1):
+        j += 1
+    for end in chain(range(i + 3, min(j, i + WALK_ENDS) + 1), range(max(i + WALK_ENDS + 1, j - WALK_ENDS), j + 1)):
+        yield end, "walk", math.log10(47 * 4) + math.log10(end - i)
+    if (m := DATE.match(value, i)) is not None:
+        yield m.end(), "date", YEAR_COST if m.end() - i == 4 else DATE_COST
+
+
+def segment(value: str, rank: Mapping[str, int] = RANK) -> tuple[float, list[tuple[str, str]]]:
     """Least log10 guesses, and the (kind, part) sequence that has it; equal costs keep fewer, earlier parts.
 
-    Brute-force characters beside each other form one span.
+    Brute-force characters beside each other form one span. A value beyond ``MOST_LOG10_GUESSES`` has no sequence.
     """
     n = len(value)
     if not n:
         return 0.0, []
     per_char = math.log10(_class_size(value))
-    low, plain = value.lower(), value.lower().translate(LEET)
-    parts: list[list[tuple[int, str, float]]] = [[] for _ in range(n)]  # by start: end, kind, cost
-    for i, unit, times in repeats(value):
-        for k in range(max(2, times - LONGEST_WORD // unit), times + 1):  # the last ones may belong to a word
-            if unit * k >= 3:
-                parts[i].append((i + unit * k, "repeat", min(unit * per_char, 12.0) + math.log10(k)))
-    for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            if (rank := RANK.get(low[i:j]) or RANK.get(plain[i:j])) is not None:
-                changed = (low[i:j] not in RANK) + (not value[i:j].islower())
-                parts[i].append((j, "word", math.log10(rank + 1) + changed * math.log10(2 * (j - i))))
-        j = i + 1
-        while j < n and (low[j - 1 : j + 1] in NEXT_TO or ord(low[j]) - ord(low[j - 1]) == 1):
-            j += 1
-        for end in chain(range(i + 3, min(j, i + WALK_ENDS) + 1), range(max(i + WALK_ENDS + 1, j - WALK_ENDS), j + 1)):
-            parts[i].append((end, "walk", math.log10(47 * 4) + math.log10(end - i)))
-        if (m := DATE.match(value, i)) is not None:
-            parts[i].append((m.end(), "date", YEAR_COST if m.end() - i == 4 else DATE_COST))
-    # State: position, whether a brute-force span is open, number of parts.
-    most = min(n, 8)
-    best: dict[tuple[int, bool, int], tuple[float, tuple | None]] = {(0, False, 0): (0.0, None)}
-    for i in range(n):
-        for is_open in (False, True):
-            for k in range(most + 1):
-                if (state := best.get((i, is_open, k))) is None:
+    low = value.lower() if len(value.lower()) == n else value  # a few letters change their number in lower case
+    plain = low.translate(LEET)
+    runs = Repeats(value, int(MOST_LOG10_GUESSES / per_char))
+    # State: position, number of parts, whether a brute-force span is open; positions are taken in order, as every part moves on.
+    best: dict[int, dict[tuple[int, bool], tuple[float, tuple | None]]] = {0: {(0, False): (0.0, None)}}
+    queue = [0]
+    while queue:
+        i = heapq.heappop(queue)
+        if i == n:
+            break
+        parts = list(parts_at(value, low, plain, runs, i, per_char, rank))
+        for (k, is_open), (cost, _) in sorted(best[i].items()):
+            steps = [(i + 1, "brute", per_char, True, k if is_open else k + 1)]
+            steps += [(end, kind, more, False, k + 1) for end, kind, more in parts]
+            for end, kind, more, still, count in steps:
+                total = cost + more
+                if total + LOG10_FACTORIAL[count] >= MOST_LOG10_GUESSES:
                     continue
-                steps = [(i + 1, "brute", per_char, True, k if is_open else k + 1)]
-                steps += [(end, kind, cost, False, k + 1) for end, kind, cost in parts[i]]
-                for end, kind, cost, still, count in steps:
-                    if count > most:
-                        continue
-                    key, total = (end, still, count), state[0] + cost
-                    if key not in best or total < best[key][0] - 1e-12:
-                        best[key] = (total, ((i, is_open, k), kind))
-    ends = [(best[n, o, k][0] + math.log10(math.factorial(k)), k, o) for o in (False, True) for k in range(1, most + 1) if (n, o, k) in best]
-    total, k, o = min(ends)
-    found, key = [], (n, o, k)
-    while (back := best[key][1]) is not None:
-        start, kind = back[0][0], back[1]
+                if end not in best:
+                    best[end] = {}
+                    heapq.heappush(queue, end)
+                there = best[end]
+                if (count, still) not in there or total < there[count, still][0] - 1e-12:
+                    there[count, still] = (total, (i, k, is_open, kind))
+    if n not in best:
+        return MOST_LOG10_GUESSES, []
+    total, k, is_open = min((cost + LOG10_FACTORIAL[k], k, o) for (k, o), (cost, _) in best[n].items())
+    found, at = [], n
+    while (back := best[at][k, is_open][1]) is not None:
+        start, k, is_open, kind = back
         if kind == "brute" and found and found[-1][0] == "brute":
-            found[-1] = ("brute", value[start : key[0]] + found[-1][1])
+            found[-1] = ("brute", value[start:at] + found[-1][1])
         else:
-            found.append((kind, value[start : key[0]]))
-        key = back[0]
+            found.append((kind, value[start:at]))
+        at = start
     return total, found[::-1]
 
 
-def find(text: str | None) -> list[tuple[int, int, str, float]]:
+def find(text: str | None, rank: Mapping[str, int] = RANK) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, log10 guesses or 0) of all spans of a text, by start, then kind."""
     if not text:
         return []
@@ -152,18 +179,9 @@ def find(text: str | None) -> list[tuple[int, int, str, float]]:
     low = text.lower()
     if any(h in low for h in _HINTS):
         spans += [(m.start(), m.end(), 0, 0.0) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_CHARS]
-        base: list[list[int]] = []  # without overlaps
-        for s, e, _, _ in sorted(spans):
-            if base and s <= base[-1][1]:
-                base[-1][1] = max(e, base[-1][1])
-            else:
-                base.append([s, e])
         for m in CONTEXT.finditer(text):
             start, end = m.span(m.lastindex)
-            at = bisect_right(base, start, key=lambda x: x[0]) - 1
-            if at >= 0 and base[at][1] >= end:  # a value that base spans cover whole
-                continue
-            cost = guess_cost(text[start:end])
+            cost = guess_cost(text[start:end], rank)
             if cost >= MIN_LOG10_GUESSES:
                 spans.append((start, end, 3, cost))
     return [(s, e, KINDS[k], c) for s, e, k, c in sorted(spans, key=lambda x: (x[0], x[2]))]
@@ -173,14 +191,28 @@ def listed(spans) -> str:
     return ",".join(f"{kind}:{s}:{e}" for s, e, kind, *_ in spans)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, n_guess, base (list as text), spans, max_log10_guesses."""
+def dictionary(docs: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
+    """Ranks of the fixed words and of the ``size`` words that most documents hold; a bounded number of rows comes to the driver."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{3,{LONGEST_WORD}}}"), F.lit(0)))
+    counted = docs.where("text is not null").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    rank = dict(RANK)
+    for r in counted.orderBy(F.desc("n"), "word").limit(size).collect():
+        rank.setdefault(r.word, len(rank) + 1)
+    return rank
+
+
+def scan(docs: DataFrame, rank: Mapping[str, int] | None = None) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, n_guess, base (list as text), spans, max_log10_guesses.
+
+    ``rank`` are ranks of words; those of the corpus and the fixed ones unless it is given.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(dictionary(docs) if rank is None else rank)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for text in b["text"]:
-                found = find(text)
+                found = find(text, sent.value)
                 kinds = [x[2] for x in found]
                 base = [x for x in found if x[2] != "guess"]
                 rows.append((*(kinds.count(k) for k in KINDS), listed(base), listed(found), max((x[3] for x in found if x[3]), default=None)))
@@ -192,13 +224,9 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base string, spans string, max_log10_guesses double")
 
 
-def digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()
-
-
-def redact_text(text: str | None) -> str | None:
+def redact_text(text: str | None, rank: Mapping[str, int] = RANK) -> str | None:
     """The text with every secret replaced by a mark of its kind; spans that overlap share one mark."""
-    spans = find(text)
+    spans = find(text, rank)
     if not spans:
         return text
     out, at = [], 0
@@ -209,12 +237,13 @@ def redact_text(text: str | None) -> str | None:
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, rank: Mapping[str, int] | None = None) -> DataFrame:
     """The documents with secrets replaced in ``text``; ``n_chars``, if there, follows. All rows stay."""
+    sent = docs.sparkSession.sparkContext.broadcast(dictionary(docs) if rank is None else rank)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(redact_text)
+        return texts.map(lambda t: redact_text(t, sent.value))
 
     out = docs.withColumn("text", clean(F.col("text")))
     if "n_chars" in docs.columns:

@@ -139,10 +139,73 @@ def test_secret_values_of_any_length_and_name():
     for _ in range(300):
         v = "".join(r.choice("ab") for _ in range(r.randint(1, 30)))
         plain = {(i, u) for i in range(len(v)) for u in range(1, len(v)) if v[i : i + u] == v[i + u : i + 2 * u] and not any(u % d == 0 and v[i : i + d] * (u // d) == v[i : i + u] for d in range(1, u))}
-        got = list(secret_scan.repeats(v))
+        runs = secret_scan.Repeats(v, len(v))
+        got = [(i, u, n) for i in range(len(v)) for u, n in runs.at(i)]
         assert {(i, u) for i, u, _ in got} == plain and all(v.startswith(v[i : i + u] * n, i) and not v.startswith(v[i : i + u] * (n + 1), i) for i, u, n in got)
 
 
+def brute_cost(value):
+    """Least cost over all segmentations, with any number of parts, without pruning."""
+    low = value.lower()
+    per_char, runs = np.log10(secret_scan._class_size(value)), secret_scan.Repeats(value, len(value))
+    steps = {i: [(i + 1, "brute", per_char)] + list(secret_scan.parts_at(value, low, low.translate(secret_scan.LEET), runs, i, per_char, secret_scan.RANK)) for i in range(len(value))}
+    best = np.inf
+
+    def walk(i, cost, parts, is_open):
+        nonlocal best
+        if i == len(value):
+            best = min(best, cost + secret_scan.LOG10_FACTORIAL[parts])
+            return
+        for end, kind, more in steps[i]:
+            walk(end, cost + more, parts + (not (kind == "brute" and is_open)), kind == "brute")
+
+    walk(0, 0.0, 0, False)
+    return best
+
+
+def test_guess_cost_equals_brute_force():
+    r = random.Random(8)
+    for _ in range(150):
+        v = "".join(r.choice(["pass", "key", "12", "aa", "2019", "qwe", "x", "$", "K"]) for _ in range(r.randint(1, 4)))[:11]
+        assert secret_scan.guess_cost(v) == pytest.approx(min(brute_cost(v), secret_scan.MOST_LOG10_GUESSES)), v
+
+
+def test_secret_base_patterns_equal_plain_ones(spark, docs):
+    """All documents of a table and random texts against the patterns as given."""
+    kinds = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16))
+    r = random.Random(2)
+    made = ["".join(r.choice(["token", "=", ": ", '"', "AKIA", "ABCD1234", "abc0123", "Secret", "api_key", " ", "\n", "é", "0123456789abcdef"]) for _ in range(r.randint(1, 40))) for _ in range(2000)]
+    table = docs.select("doc_id", "text").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"))
+    table = table.union(spark.createDataFrame(list(enumerate(made, 10_000)), "doc_id long, text string")).where("doc_id is not null").dropDuplicates(["doc_id"])
+    got = {r.doc_id: r for r in secret_scan.scan(table).collect()}
+    rows = table.collect()
+    assert len(got) == len(rows)
+    for row in rows:
+        spans = [(m.start(), n, k, m.end()) for n, (k, pattern, group, least) in enumerate(kinds) for m in pattern.finditer(row.text or "") if len(m[group]) >= least]
+        want = ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(spans))
+        assert got[row.doc_id].base == want
+        assert [x for x in got[row.doc_id].spans.split(",") if x and not x.startswith("guess")] == [x for x in want.split(",") if x]
+
+
+def test_secrets_in_long_texts_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    n = 100_000
+    assert len(secret_scan.find("pwd: changeme\n" * n)) == 0
+    assert len(secret_scan.find('token = "x9$Kq2!mZp7w" 0123456789abcdef0\n' * 10_000)) == 20_000
+    for value in ("x" * 1_000_000, "ab1" * 300_000, "".join(random.Random(1).choices("abcdefghijk$%123XYZ", k=1_000_000))):
+        secret_scan.find(f"pwd={value}")
+    assert time.perf_counter() - began < 60
+
+
+def test_words_of_the_corpus_are_cheap(spark):
+    table = spark.createDataFrame([(i, "correct horse battery staple") for i in range(3)] + [(9, None)], "doc_id long, text string")
+    rank = secret_scan.dictionary(table)
+    assert rank["battery"] == len(secret_scan.RANK) + 1 and secret_scan.dictionary(table, 2).get("horse") is None
+    assert secret_scan.guess_cost("correcthorsebatterystaple", rank) < 13 < secret_scan.guess_cost("correcthorsebatterystaple")
+
+
 def test_pii(spark, docs):
     text = "call +1 (499) 555-6503 or mail bob.smith@mail.example.com now 10.0.0.1 300.1.1.1 and 4111 1111 1111 1111 a@@b.c d@e-.f.g"
     spans = [f"{pii.KINDS[k]}:{text[s:e]}" for s, e, k in pii.base_spans(text)]
