@@ -10,7 +10,7 @@ Exact copies form a class before and are compared once.
 
 Defined cases: vectors that are null, empty or zero, that hold a null or non-finite component, or have no label
 or vec_id, link with nothing; vectors of different lengths do not link; rows that share vec_id,
-label and vector are one vector and are returned each; an empty table gives an empty table; other
+label and vector are one vector and are returned each; other rows that share a vec_id are vectors of their own; an empty table gives an empty table; other
 columns are not read.
 """
 
@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.common import cut
+from almanac.llm.common import checked_join, cut
 from almanac.llm.components import connected_components
 
 TREES, LEVELS, LEAF = 8, 24, 256
@@ -34,6 +34,8 @@ SPILL, SPILL_SHARE = 0.0125, 0.25
 #: With 1, groups of a mean cosine just below the wanted one lost a tenth of their links in a model; with 2, none of those tried did.
 TIGHT = 2.0
 BLOCK = 1024
+#: Leaves that are looked up together.
+TILE = 256
 SEED = 7
 
 
@@ -69,11 +71,12 @@ def leaves(vectors: DataFrame, similarity: float) -> DataFrame:
     for level in range(LEVELS + 1):
         at = state.withColumn("x", F.col("p")[level].cast("double") if level < LEVELS else F.lit(0.0))
         stats = at.groupBy(*key).agg(F.count("*").alias("members"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("spread"))
+        stats = cut(stats, "nodes")
         split = (F.col("members") > LEAF) & (F.col("spread") > TIGHT * F.sqrt(F.lit(max(1.0 - similarity, 0.0)) / F.col("dim")))
         spill = F.least(F.lit(SPILL), SPILL_SHARE * F.col("spread"))
         left, right = F.col("x") <= F.col("mean") + spill, F.col("x") >= F.col("mean") - spill
         child = F.when(split, F.array_compact(F.array(F.when(left, F.col("node") * 2), F.when(right, F.col("node") * 2 + 1)))).otherwise(F.array(-F.col("node")))
-        state = cut(at.join(stats, key).select("id", "label", "dim", "tree", F.explode(child).alias("node"), "p", "members"), "trees")
+        state = cut(checked_join(at, stats, key, "inner").select("id", "label", "dim", "tree", F.explode(child).alias("node"), "p", "members"), "trees")
         found.append(state.where("node < 0").select("id", F.xxhash64(*key).alias("leaf"), "members"))
         state = state.where("node > 0").drop("members")
         if not state.limit(1).count():
@@ -98,6 +101,24 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _first_meeting(lists: pd.Series, leaf: int, rows: np.ndarray, cols: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether pairs (i, j) out of ``rows`` and ``cols`` share no leaf before ``leaf``: a 0/1 product of members and leaves, by tiles of leaves."""
+    sizes = lists.map(len).to_numpy()
+    member, other = np.repeat(np.arange(len(lists)), sizes), np.concatenate(lists.to_numpy())
+    before = other < leaf
+    member, other = member[before], other[before]
+    _, place, n = np.unique(other, return_inverse=True, return_counts=True)
+    member, place = member[n[place] > 1], place[n[place] > 1]  # leaves of one member alone are shared by no pair
+    _, place = np.unique(place, return_inverse=True)
+    shared = np.zeros((len(rows), len(cols)), np.float32)
+    for at in range(0, int(place.max(initial=-1)) + 1, TILE):
+        tile = np.zeros((len(lists), TILE), np.float32)
+        here = (place >= at) & (place < at + TILE)
+        tile[member[here], place[here] - at] = 1
+        shared += tile[rows] @ tile[cols].T
+    return shared[np.searchsorted(rows, i), np.searchsorted(cols, j)] == 0
+
+
 def compare(similarity: float):
     """Links of one block pair of a leaf: (id, other, links); a null other carries link counts, else an edge."""
 
@@ -112,23 +133,7 @@ def compare(similarity: float):
         i, j = rows[i], cols[j]
         if b["block_i"].iloc[0] == b["block_j"].iloc[0]:
             i, j = i[i < j], j[i < j]
-        keep = np.ones(len(i), bool)
-        width = b["all"].map(len).max()
-        listed = np.full((len(b), width), np.iinfo(np.int64).max)
-        for k, x in enumerate(b["all"]):
-            listed[k, : len(x)] = x
-        # Counted only where the pair meets first.
-        earlier, place = np.unique(np.where(listed < leaf, listed, leaf), return_inverse=True)
-        few = len(earlier) <= 256  # members of a group of near copies share their leaves
-        if few:
-            is_in = np.zeros((len(b), len(earlier)), np.float32)
-            is_in[np.arange(len(b))[:, None], place.reshape(listed.shape)] = 1
-            is_in = is_in[:, earlier < leaf]
-            keep = (is_in[rows] @ is_in[cols].T == 0)[np.searchsorted(rows, i), np.searchsorted(cols, j)]
-        for at in () if few else range(0, len(i), 20_000):
-            p, q = listed[i[at : at + 20_000]], listed[j[at : at + 20_000]]
-            both = (p[:, :, None] == q[:, None, :]).any(axis=2)
-            keep[at : at + 20_000] = np.where(both, p, np.iinfo(np.int64).max).min(axis=1) == leaf
+        keep = _first_meeting(b["all"], leaf, rows, cols, i, j)
         i, j = i[keep], j[keep]
         if not len(i):
             return pd.DataFrame({"id": [], "other": [], "links": []})
@@ -151,21 +156,31 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.98) -> DataFrame:
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     good = F.coalesce(good & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     base = cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding", good.alias("good")), "vectors")
-    classes = base.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies"))
-    classes = cut(classes, "classes")
+    # A class is found again by its label and a digest of 128 bits; those of one vector under its own id need not be.
+    digest = F.struct(F.xxhash64("label", "embedding"), F.xxhash64("embedding", "label", F.lit(1)))
+    classes = base.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count_distinct("vec_id").alias("copies"))
+    classes = cut(classes.withColumn("class", digest).withColumn("id", F.col("low")), "classes")
+    repeated = cut(classes.groupBy("low").count().where("count > 1").select("low", F.lit(True).alias("again")), "repeated")
+    several_under_one_id = bool(repeated.limit(1).count())
+    if several_under_one_id:  # each gets an id beyond the usual ones
+        own = F.shiftrightunsigned(F.xxhash64("low", "class"), 2).bitwiseOR(F.lit(1 << 62))
+        classes = cut(checked_join(classes, repeated, "low", "left").withColumn("id", F.when(F.col("again"), own).otherwise(F.col("low"))), "classes")
     lists = leaves(classes, similarity).groupBy("id").agg(F.collect_list(F.struct("leaf", "members")).alias("in"))  # at most a few per tree
-    rows = classes.drop("label").join(lists, "id").select("id", "copies", "embedding", F.col("in.leaf").alias("all"), F.explode("in").alias("at"))
+    rows = classes.join(lists, "id").select("id", "label", F.size("embedding").alias("dim"), "copies", "embedding", F.col("in.leaf").alias("all"), F.explode("in").alias("at"))
     blocks = F.ceil(F.col("at.members") / BLOCK).cast("int")
     rows = rows.withColumn("leaf", F.col("at.leaf")).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("block_i", F.least("own", "with")).withColumn("block_j", F.greatest("own", "with")).drop("at", "with", "blocks")
-    found = cut(rows.groupBy("leaf", "block_i", "block_j").applyInPandas(compare(similarity), "id long, other long, links long"), "links")
+    found = cut(rows.groupBy("label", "dim", "leaf", "block_i", "block_j").applyInPandas(compare(similarity), "id long, other long, links long"), "links")
     links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    per_class = cut(links.join(components, "id", "full"), "found")
-    several = classes.where("copies > 1").select(F.col("label").alias("c_label"), F.col("embedding").alias("c_embedding"), "id", "copies")
-    out = base.join(several, F.col("good") & (F.col("label") == F.col("c_label")) & (F.col("embedding") == F.col("c_embedding")), "left")
-    out = out.select("vec_id", F.coalesce("id", "vec_id").alias("id"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    out = out.join(per_class, "id", "left")
-    component = F.coalesce("component", "id")
+    if several_under_one_id:
+        real = checked_join(components, cut(classes.where("id <> low").select("id", "low"), "real"), "id", "left")
+        components = real.withColumn("component", F.min(F.coalesce("low", "id")).over(Window.partitionBy("component"))).drop("low")
+    per_class = cut(links.join(components, "id", "full"), "found")  # only of vectors with links
+    several = cut(classes.where("copies > 1 or id <> low").select("class", "id", "low", "copies"), "several")
+    out = checked_join(base.select("vec_id", F.when(F.col("good"), digest).alias("class")), several, "class", "left")
+    out = out.select("vec_id", F.coalesce("id", "vec_id").alias("id"), F.coalesce("low", "vec_id").alias("low"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    out = checked_join(out, per_class, "id", "left")
+    component = F.coalesce("component", "low")
     return out.select("vec_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -351,3 +351,13 @@ def test_differing_finds_every_link_of_a_crowd(spark):
         return root
 
     assert linked and components(found & linked) == components(linked)
+
+
+def test_forest_with_repeated_ids_and_clashing_columns(spark):
+    """One vec_id with several vectors: each links by itself, and components carry the smallest vec_id."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(3, a, 1), (5, a, 1), (5, b, 1), (7, b, 1), (9, c, 1), (9, c, 1), (2, c, 2), (2, a, 2)]
+    table = spark.createDataFrame([(*r, "x", "y", 1, 2, 3, 4) for r in rows], "vec_id long, embedding array<float>, label int, id string, class string, low int, node int, leaf int, component int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(table).collect())
+    assert got == sorted([(3, 1, 3, True), (5, 1, 3, False), (5, 1, 5, True), (7, 1, 5, False), (9, 0, 9, True), (9, 0, 9, True), (2, 0, 2, True), (2, 0, 2, True)])
+    assert embeddings.near_duplicates(table.drop("label").withColumn("label", F.lit(None).cast("int"))).where("n_links > 0").count() == 0
