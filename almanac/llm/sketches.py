@@ -15,7 +15,7 @@ bucket's other components. So no link between components is lost, and links insi
 
 Defined cases: a null or wordless text has no shingle and links with nothing; a text of fewer words than a shingle
 is one shingle; a null doc_id links with nothing and has no component; rows that share a doc_id are one
-node and are returned each; an empty table gives an empty table; other columns are not read.
+node with all links of their texts and are returned each, ids being below 2**62; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ MATE_TURNS = 2
 SMALL_BUCKET = 64
 #: How far below the best log likelihood that of the wanted similarity may lie.
 LIKELIHOOD_GAP = 14.0
-CACHE_WORDS = 500_000
+#: Words that a worker remembers, and their bytes at most.
+CACHE_WORDS, CACHE_BYTES = 500_000, 64
 GROUP_CHARS = 4_000_000
 
 _rng = np.random.default_rng(20260101)
@@ -54,7 +55,9 @@ _PARITY = np.left_shift(np.uint64(1), np.arange(60, dtype=np.uint64))
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHE_BYTES:
+            self[word] = value
         return value
 
 
@@ -247,14 +250,57 @@ def differing(members: DataFrame, docs: DataFrame, words: int, similarity: int)
     return sure.union(x.join(y, meet & enough).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))).distinct()
 
 
+def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None, bool]:
+    """The documents with a column ``dedup_node`` that each text of a doc_id has to itself.
+
+    It is the doc_id, but for further texts of one doc_id a number beyond the usual ids. Also (dedup_node, owner) of
+    those further texts, None without any, and whether a node has several rows.
+    """
+    text_hash = F.xxhash64("text")
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(text_hash).alias("dedup_text"), F.max(text_hash).alias("most"))
+    again = cut(ids.where("n > 1").withColumn("several", F.col("dedup_text") < F.col("most")).drop("n", "most"), "repeated")
+    flags = again.agg(F.count("*"), F.count(F.when(F.col("several"), 1))).first()
+    key = F.col("doc_id").cast("long")
+    if not flags[1]:
+        return docs.withColumn("dedup_node", key), None, flags[0] > 0
+    keyed = checked_join(docs, again.where("several").select("doc_id", "dedup_text"), "doc_id", "left")
+    other = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))
+    keyed = keyed.withColumn("dedup_node", F.when(text_hash != F.col("dedup_text"), other).otherwise(key)).drop("dedup_text")
+    further = keyed.where("dedup_node <> doc_id").select("dedup_node", key.alias("owner")).distinct()
+    return keyed, cut(further, "further"), True
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``; ``similarity`` in hundredths."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed, further, several = nodes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    out, found = _groups_of_nodes(keyed.select(F.col("dedup_node").alias("doc_id"), "text"), words, similarity, several)
+    if further is None:
+        out = checked_join(out, found, "id", "left")
+    else:
+        # Texts of one doc_id belong together, and components go by doc_id.
+        ends = further.select(F.col("owner").alias("a"), F.col("dedup_node").alias("b"))
+        copies = out.where("id <> doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+        found = cut(merged_components(found, cut(ends.union(copies).distinct(), "owners")), "components")
+        out = checked_join(out.drop("id").withColumn("id", F.col("doc_id")), found, "id", "left")
+        out = checked_join(out.withColumnRenamed("doc_id", "dedup_node"), further, "dedup_node", "left").select(F.coalesce("owner", "dedup_node").alias("doc_id"), "id", "n_shingles", "component")
+    component = F.coalesce("component", "id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def _groups_of_nodes(docs: DataFrame, words: int, similarity: int, several: bool) -> tuple[DataFrame, DataFrame]:
+    """Each row's (doc_id, id of its class, n_shingles), and (id, component) of the classes that have links.
+
+    Rows of one doc_id must have one text; ``several``: whether there may be such rows.
+    """
     sk = cut(sketch(docs, words), "sketch")
     linkable = sk.where("n_shingles > 0 and doc_id is not null")
+    if several:
+        linkable = cut(linkable.dropDuplicates(["doc_id"]), "nodes")
+        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     # Documents of equal sets: the smallest stands for all.
     classes = linkable.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep < most").drop("most")
-    copies = cut(linkable.select("doc_id", "key1", "key2").join(classes, ["key1", "key2"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
+    copies = checked_join(linkable.select("doc_id", "key1", "key2"), cut(classes, "classes"), ["key1", "key2"], "inner")
+    copies = cut(copies.where("doc_id <> rep").select("doc_id", "rep"), "copies")
     reps = checked_join(linkable, copies.select("doc_id"), "doc_id", "left_anti")
     reps = cut(reps.drop("key1", "key2"), "reps") if copies.limit(1).count() else reps
     # Buckets that more than one class shares.
@@ -304,9 +350,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
         pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & near & once).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         pairs = pairs.distinct() if turn < MATE_TURNS else pairs.union(differing(crowd, docs, words, similarity)).distinct()
         grown(estimated(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), reps, similarity))
-    out = checked_join(sk.select("doc_id", "n_shingles"), copies, "doc_id", "left").withColumn("id", F.coalesce("rep", "doc_id"))
-    out = checked_join(out, found, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return checked_join(sk.select("doc_id", "n_shingles"), copies, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("id"), "n_shingles"), found
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
@@ -315,20 +359,11 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame
     Rows that repeat doc_id and text count as copies; another text under the same doc_id is a document of its own,
     and rows without doc_id all stay.
     """
-    text_hash = F.xxhash64("text")
-    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text_hash).alias("dedup_text"), F.max(text_hash).alias("most"))
-    several = cut(ids.where("dedup_text < most").drop("most"), "several")
-    key = F.col("doc_id").cast("long")
-    keyed = docs
-    if several.limit(1).count():
-        keyed = checked_join(docs, several, "doc_id", "left")
-        other = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).bitwiseOR(F.lit(1 << 62))  # beyond the usual ids
-        key = F.when(text_hash != F.col("dedup_text"), other).otherwise(key)
-    keyed = keyed.withColumn("dedup_key", key)
-    result = cut(near_duplicates(keyed.select(F.col("dedup_key").alias("doc_id"), "text"), words, similarity), "near")
-    gone = result.where("not kept and doc_id is not null").select(F.col("doc_id").alias("dedup_key")).distinct()
-    out = checked_join(keyed, cut(gone, "gone"), "dedup_key", "left_anti")
-    repeated = result.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        out = out.where("dedup_key is not null").dropDuplicates(["dedup_key"]).union(out.where("dedup_key is null"))
+    keyed, _, several = nodes(docs)
+    rows, found = _groups_of_nodes(keyed.select(F.col("dedup_node").alias("doc_id"), "text"), words, similarity, several)
+    groups = checked_join(rows, found, "id", "left")
+    gone = groups.where("doc_id is not null and doc_id <> coalesce(component, id)").select(F.col("doc_id").alias("dedup_node")).distinct()
+    out = checked_join(keyed, cut(gone, "gone"), "dedup_node", "left_anti")
+    if several:
+        out = out.where("dedup_node is not null").dropDuplicates(["dedup_node"]).union(out.where("dedup_node is null"))
     return out.select(*docs.columns)

@@ -361,3 +361,12 @@ def test_forest_with_repeated_ids_and_clashing_columns(spark):
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(table).collect())
     assert got == sorted([(3, 1, 3, True), (5, 1, 3, False), (5, 1, 5, True), (7, 1, 5, False), (9, 0, 9, True), (9, 0, 9, True), (2, 0, 2, True), (2, 0, 2, True)])
     assert embeddings.near_duplicates(table.drop("label").withColumn("label", F.lit(None).cast("int"))).where("n_links > 0").count() == 0
+
+
+def test_repeated_doc_ids_link_all_of_their_texts(spark):
+    """(3, A), (5, A), (5, B), (7, B + a word): one group; ids that repeat with equal, empty and null texts, and null ids."""
+    a, b = words(60, 31), words(60, 32)
+    rows = [(3, a), (5, a), (5, b), (7, b + " more"), (9, b + " more"), (9, None), (11, ""), (11, None), (12, words(9, 33)), (12, words(9, 33)), (None, a), (None, None), (20, words(70, 34)), (21, words(70, 35))]
+    got = [(r.doc_id, r.component_id, r.kept) for r in sketches.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()]
+    low = {3: 3, 5: 3, 7: 3, 9: 3, 11: 11, 12: 12, 20: 20, 21: 21, None: None}
+    assert sorted(got, key=str) == sorted([(i, low[i], i is not None and low[i] == i) for i, _ in rows], key=str)
