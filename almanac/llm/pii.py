@@ -1,15 +1,19 @@
-"""PII: base patterns, and information-theoretic sanitisation of the terms around them.
+"""PII: base patterns, and information-theoretic sanitisation of the terms that reveal them.
 
-Emails, addresses, card and phone numbers are protected entities. A term that stands within ``WINDOW`` characters
-of an entity may reveal it: from corpus counts, how much of an entity's information a term
-discloses is the pointwise mutual information of both over the entity's own information content. A term that
-discloses at least ``DISCLOSURE`` of it, in at least ``SUPPORT`` documents, is a span of kind ``term``
-where it stands near that entity, and ``sanitise`` generalises it. Document frequencies are counted over all
-documents; counts are rows.
+Emails, addresses, card and phone numbers are protected entities. A term, a word outside the base spans, may reveal an entity
+that stands anywhere in the same document: from corpus counts, how much of an entity's information a term
+discloses is the pointwise mutual information of both over the entity's own information content,
+``log2(N n_both / (n_entity n_term)) / log2(N / n_entity)``, with rows counted over all documents and whole texts. A term that
+discloses at least ``DISCLOSURE`` of an entity, in at least ``SUPPORT`` documents with it, is a span of kind ``term`` wherever
+it stands, and ``sanitise`` generalises it.
+
+As n_both is at most n_entity, only terms of at most ``n_entity ** d * N ** (1 - d)`` documents can disclose d of it; other
+pairs are not formed. Entities, and terms, that occur in the same documents share one group, and groups are paired
+instead of their members, so copies of a long list of entities don't become all pairs.
 
 Defined cases: null and empty texts have no spans; rows of equal text have equal spans; spans of one start follow the
-order of ``KINDS``; an entity of every document discloses nothing; an empty table gives an empty table; other
-columns are not read by ``scan`` and are kept by ``sanitise``.
+order of ``KINDS``; an entity of every document discloses nothing; repeated rows count each; an empty table gives an
+empty table; other columns are not read by ``scan`` and are kept by ``sanitise``.
 """
 
 from __future__ import annotations
@@ -22,20 +26,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.common import checked_join, cut
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, DISCLOSURE, SUPPORT = 60, 0.8, 2
-#: Slots of the map of wanted terms that each task holds; terms that share a slot are told apart by a join afterwards.
+DISCLOSURE, SUPPORT = 0.8, 2
+#: Slots of the map of wanted terms that each task holds, half a megabyte; terms that share a slot are told apart by a join afterwards.
 SLOTS = 1 << 22
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: Numbers joined by single dots, and digits joined by single separators: whole chains, so that searching takes linear time.
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+_DIGITS = re.compile(r"[0-9]+(?:[\x20-][0-9]+)*")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
@@ -62,17 +67,27 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, last))
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping runs of four numbers joined by dots, each at most 255: every four of a chain in turn."""
+    for m in _DOTTED.finditer(text):
+        parts = m[0].split(".")
+        at = m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            size = sum(map(len, four)) + 3
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in four)):
+                yield at, at + size
+            at += size + 1
+
+
 def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of the base patterns, by start, then kind."""
     if not text:
         return []
     out = [(s, e, 0) for s, e in emails(text)]
     if _DIGIT.search(text):
-        for m in _IP.finditer(text):
-            parts = [p.lstrip("0") for p in m[0].split(".")]
-            if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
-                out.append((m.start(), m.end(), 1))
-        for m in _CARD.finditer(text):
+        out += [(s, e, 1) for s, e in addresses(text)]
+        for m in _DIGITS.finditer(text):
             if m.end() - m.start() >= 12:
                 digits = m[0].replace(" ", "").replace("-", "")
                 if 12 <= len(digits) <= 19 and luhn(digits):
@@ -84,148 +99,187 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
-def entity_key(kind: int, value: str) -> int:
-    """A signed 64-bit name of an entity: letters in lower case, numbers without separators."""
+def entity_key(kind: int, value: str) -> str:
+    """A 128-bit name of an entity: letters in lower case, numbers without separators."""
     value = value.lower() if kind == 0 else value if kind == 1 else re.sub("[^0-9]", "", value)
-    return xxhash.xxh3_64_intdigest(f"{KINDS[kind]}:{value}") - (1 << 63)
+    return xxhash.xxh3_128_hexdigest(f"{KINDS[kind]}:{value}")
+
 
+def terms_of(text: str, spans) -> Iterator[re.Match]:
+    """Words outside the spans."""
+    at = 0
+    for s, e, _ in spans:
+        if s > at:
+            yield from _TERM.finditer(text, at, s)
+        at = max(at, e)
+    yield from _TERM.finditer(text, at)
 
-def terms_near(text: str, start: int, end: int, spans) -> Iterator[tuple[str, int, int]]:
-    """Whole words within ``WINDOW`` characters of a span that touch no span."""
-    lo, hi = max(0, start - WINDOW), min(len(text), end + WINDOW)
-    for m in _TERM.finditer(text, lo, hi):
-        s, e = m.span()
-        if (s == lo and s and text[s - 1].isalpha()) or (e == hi and e < len(text) and text[e].isalpha()):
-            continue
-        if not any(a < e and s < b for a, b, _ in spans):
-            yield m[0].lower(), s, e
 
+def distinct_terms(text: str, spans) -> set[str]:
+    return set(map(str.lower, set(_TERM.findall(text)))) if not spans else {m[0].lower() for m in terms_of(text, spans)}
 
-def text_key():
-    return F.xxhash64(F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit(""))))
 
+def text_key() -> Column:
+    """128 bits of a text; null is empty."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
-def mentions(docs: DataFrame) -> DataFrame:
-    """(text_key, entity, term, start, end, first) for each term near an entity; ``first``: not seen before in the row with that entity."""
+
+def read_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, spans, entities, terms): base spans of each row; entities and terms, each once, where it has entities."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for key, text in zip(b["key"], b["text"], strict=True):
-                spans = base_spans(text)
-                seen = set()
-                for s, e, kind in spans:
-                    entity = entity_key(kind, text[s:e])
-                    if entity not in seen:
-                        rows.append((key, entity, None, 0, 0, True))
-                        seen.add(entity)
-                    for term, a, z in terms_near(text, s, e, spans):
-                        rows.append((key, entity, term, a, z, (entity, term) not in seen))
-                        seen.add((entity, term))
-            if rows:
-                yield pd.DataFrame(rows, columns=["key", "entity", "term", "start", "end", "first"]).astype({"term": object})
-
-    keyed = docs.select(text_key().alias("key"), "text").where("text is not null")
-    return keyed.mapInPandas(run, "key long, entity long, term string, start int, end int, first boolean")
+            spans, entities, terms = [], [], []
+            for text in b["text"]:
+                found = base_spans(text)
+                spans.append([{"start": s, "kind": k, "end": e} for s, e, k in found])
+                entities.append(sorted({entity_key(k, text[s:e]) for s, e, k in found}) if found else None)
+                terms.append(sorted(distinct_terms(text, found)) if found else None)
+            yield pd.DataFrame({"doc_id": b["doc_id"].array, "key": b["key"].array, "spans": spans, "entities": entities, "terms": terms})
+
+    schema = "doc_id long, key binary, spans array<struct<start: long, kind: int, end: long>>, entities array<string>, terms array<string>"
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInPandas(run, schema)
+
+
+class Wanted:
+    """The slots of a table of terms as bits, gathered by Spark in words of 64, and a cache of looked-up terms."""
+
+    def __init__(self, terms: DataFrame):
+        slot = F.pmod(F.crc32("term"), F.lit(SLOTS))
+        words = terms.select((slot / 64).cast("long").alias("word"), F.expr("shiftleft(1L, cast(pmod(crc32(term), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        self.bits = np.zeros(SLOTS // 64, np.int64)
+        rows = words.toPandas()  # at most SLOTS / 64
+        self.bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+        self.known: dict[str, bool] = {}
+
+    def __contains__(self, term: str) -> bool:
+        hit = self.known.get(term)
+        if hit is None:
+            slot = zlib.crc32(term.encode()) % SLOTS
+            hit = bool(int(self.bits[slot >> 6]) >> (slot & 63) & 1)
+            if len(term) <= 64:
+                if len(self.known) > 200_000:
+                    self.known.clear()
+                self.known[term] = hit
+        return hit
 
 
 def document_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, n) documents that hold each wanted term, counted over all documents."""
-    slots = wanted.select(F.pmod(F.crc32("term"), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"]  # at most SLOTS numbers
-    bits = np.zeros(SLOTS, np.uint8)
-    bits[slots.to_numpy(np.int64)] = 1
-    sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    """(term, n) rows whose text holds each wanted term outside base spans, counted over all documents."""
+    sent = docs.sparkSession.sparkContext.broadcast(Wanted(wanted))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        there, known = sent.value, {}
+        there = sent.value
         for b in batches:
             counts: Counter[str] = Counter()
             for text in b["text"]:
-                for term in set(_TERM.findall(text.lower())) if text else ():
-                    hit = known.get(term)
-                    if hit is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        hit = known[term] = there[zlib.crc32(term.encode()) % SLOTS]
-                    if hit:
-                        counts[term] += 1
+                if text:
+                    counts.update(t for t in distinct_terms(text, base_spans(text)) if t in there)
             if counts:
                 yield pd.DataFrame({"term": list(counts.keys()), "n": list(counts.values())})
 
     counted = docs.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return counted.join(wanted, "term", "left_semi")
-
-
-def disclosing_terms(docs: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosed) of the terms that disclose at least the given share of an entity's information."""
-    total = docs.count()
-    together = near.where("term is not null and first").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    together = cut(together, "together")
-    alone = near.where("term is null").groupBy("entity").agg(F.count("*").alias("n_entity"))
-    frequency = document_frequency(docs, cut(together.select("term").distinct(), "terms"))
-    joined = together.join(alone, "entity").join(frequency, "term").where(F.col("n_entity") < total)
-    share = F.log2(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col("n_entity") * F.col("n"))) / F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    return joined.withColumn("disclosed", share).where(F.col("disclosed") >= disclosure).select("entity", "term", "disclosed")
-
+    return checked_join(counted, wanted, "term", "left_semi")
 
-def term_spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(key, terms: array of (start, end)) of texts that hold disclosing terms, by text key."""
-    near = cut(mentions(docs), "mentions")
-    found = disclosing_terms(docs, near, disclosure, support)
-    spans = near.where("term is not null").join(found, ["entity", "term"]).select("key", "start", "end").distinct()
-    return cut(spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms")), "term-spans")  # a text's own words
 
+def _documents_of(name: str) -> list[Column]:
+    """What tells the set of documents of a group: its number of rows, and 128 bits of its texts."""
+    return [F.sum("copies").alias(f"n_{name}"), F.bit_xor(F.xxhash64("key")).alias(f"{name}_1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias(f"{name}_2")]
 
-def _spanned(docs: DataFrame, spans: DataFrame, fn, schema: str, *columns: str) -> DataFrame:
-    keyed = docs.select(*columns, text_key().alias("key"))
-    return checked_join(keyed, spans, "key", "left", limit=100_000).mapInPandas(fn, schema)
 
-
-def _all_spans(text, terms) -> list[tuple[int, int, int]]:
-    found = base_spans(text)
-    if terms is not None and len(terms):
-        found = sorted(found + [(t["start"], t["end"], 4) for t in terms], key=lambda x: (x[0], x[2]))
-    return found
-
-
-def listed(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
-
-
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, n_term, base, spans) of whole texts."""
+def disclosing_terms(docs: DataFrame, read: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(term, disclosed): the terms that disclose at least the given share of some entity's information, and the greatest share."""
+    total = docs.count()
+    texts = cut(read.where("entities is not null").groupBy("key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "entity-texts")
+    held = texts.select("key", "copies", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(*_documents_of("entity")).where(f"n_entity >= {support} and n_entity < {total}")
+    held = checked_join(held, cut(entities, "entities"), "entity", "inner").drop("entity").distinct()
+    held = cut(held, "entity-groups")
+    most = held.agg(F.max("n_entity")).first()[0] or 0
+    within = checked_join(texts, cut(held.select("key").distinct(), "keys"), "key", "left_semi").select("key", "copies", F.explode("terms").alias("term"))
+    terms = cut(within.groupBy("term").agg(*_documents_of("inside")).where(f"n_inside >= {support}"), "terms")
+    reach = F.pow(F.col("n_entity").cast("double"), F.lit(disclosure)) * float(max(total, 1)) ** (1 - disclosure)
+    few = float(most) ** disclosure * float(max(total, 1)) ** (1 - disclosure)
+    frequency = document_frequency(docs, terms.where(F.col("n_inside") <= few).select("term")).where(F.col("n") <= few * (1 + 1e-9))
+    terms = cut(terms.join(frequency, "term"), "rare-terms")
+    group = ["inside_1", "inside_2", "n_inside", "n"]
+    named = checked_join(within, terms, "term", "inner").select("key", *group).distinct()
+    pairs = held.join(named, "key").where(F.col("n") <= reach * (1 + 1e-9))
+    both = pairs.groupBy("entity_1", "entity_2", "n_entity", *group).agg(F.sum("copies").alias("n_both")).where(f"n_both >= {support}")
+    rows = F.lit(float(max(total, 1)))
+    share = F.log2(rows * F.col("n_both") / (F.col("n_entity") * F.col("n"))) / F.log2(rows / F.col("n_entity"))
+    found = cut(both.withColumn("disclosed", share).where(F.col("disclosed") >= disclosure).groupBy(*group).agg(F.max("disclosed").alias("disclosed")), "disclosing")
+    return cut(checked_join(terms, found, group, "inner").select("term", "disclosed"), "disclosing-terms")
+
+
+def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, terms: array of (start, end)) of the texts that hold terms of ``found``, every occurrence outside base spans."""
+    sent = docs.sparkSession.sparkContext.broadcast(Wanted(found))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        there = sent.value
         for b in batches:
             rows = []
-            for text, terms in zip(b["text"], b["terms"], strict=True):
-                found = _all_spans(text, terms)
-                kinds = [x[2] for x in found]
-                rows.append((*(kinds.count(k) for k in range(5)), listed(x for x in found if x[2] < 4), listed(found)))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base", "spans"])
-            out.insert(0, "doc_id", b["doc_id"].array)
-            yield out
+            for key, text in zip(b["key"], b["text"], strict=True):
+                places: dict[str, list[dict[str, int]]] = {}
+                for m in terms_of(text, base_spans(text)) if text else ():
+                    if (term := m[0].lower()) in there:
+                        places.setdefault(term, []).append({"start": m.start(), "end": m.end()})
+                rows += [(key, term, at) for term, at in places.items()]
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "term", "at"])
 
-    docs = docs.select("doc_id", "text")
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string"
-    return _spanned(docs, term_spans(docs), run, schema, "doc_id", "text")
+    seen = docs.select(text_key().alias("key"), "text").where("text is not null").mapInPandas(run, "key binary, term string, at array<struct<start: long, end: long>>")
+    exact = checked_join(seen, found.select("term"), "term", "left_semi")
+    each = exact.groupBy("key", "term").agg(F.first("at").alias("at"))  # copies of a text have the same places
+    return cut(each.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("terms")), "term-spans")  # a text's own words
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, n_term, base, spans) of whole texts."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    read = cut(read_texts(docs), "base-spans")
+    terms = term_spans(docs, disclosing_terms(docs, read, disclosure, support))
+    names = F.array(*map(F.lit, KINDS))
+
+    def of_kind(k: int) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["kind"]], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    out = checked_join(read.select("doc_id", "key", "spans"), terms, "key", "left", limit=100_000)
+    more = F.transform(F.coalesce("terms", F.array().cast("array<struct<start: bigint, end: bigint>>")), lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("kind"), x["end"].alias("end")))
+    everything = F.array_sort(F.concat("spans", more))
+    return out.select(
+        "doc_id",
+        *(of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])),
+        F.size(more).cast("long").alias("n_term"),
+        listed(F.col("spans")).alias("base"),
+        listed(everything).alias("spans"),
+    )
+
+
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """The documents with entities and disclosing terms replaced by the name of their kind, all columns kept."""
-    columns = docs.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = []
-            for text, terms in zip(b["text"], b["terms"], strict=True):
-                out, at = [], 0
-                for s, e, k in _all_spans(text, terms):
-                    if s >= at:
-                        out += [text[at:s], f"[{KINDS[k].upper()}]"]
-                    at = max(at, e)
-                texts.append("".join(out) + text[at:] if out else text)
-            b["text"] = texts
-            yield b[columns]
-
-    return _spanned(docs, term_spans(docs.select("doc_id", "text")), run, docs.schema, *columns)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    terms = term_spans(narrow, disclosing_terms(narrow, cut(read_texts(narrow), "base-spans"), disclosure, support))
+    terms = terms.select(F.col("key").alias("_pii_key"), F.col("terms.start").alias("_pii_start"), F.col("terms.end").alias("_pii_end"))
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        done = []
+        for text, first, last in zip(texts, starts, ends, strict=True):
+            spans = base_spans(text)
+            if first is not None:
+                spans = sorted(spans + [(int(s), int(e), 4) for s, e in zip(first, last, strict=True)], key=lambda x: (x[0], x[2]))
+            out, at = [], 0
+            for s, e, k in spans:
+                if s >= at:
+                    out += [text[at:s], f"[{KINDS[k].upper()}]"]
+                at = max(at, e)
+            done.append("".join(out) + text[at:] if out else text)
+        return pd.Series(done, dtype=object)
+
+    keyed = checked_join(docs.withColumn("_pii_key", text_key()), terms, "_pii_key", "left", limit=100_000)
+    return keyed.withColumn("text", clean("text", "_pii_start", "_pii_end")).select(*docs.columns)

@@ -214,12 +214,72 @@ def test_pii(spark, docs):
     for _ in range(3000):
         s = "".join(r.choice("ab@.-+ 1") for _ in range(30))
         assert list(pii.emails(s)) == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", s)], s
+    plain = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+    def fits(kind, x):
+        digits = re.sub("[^0-9]", "", x)
+        return kind == "email" or kind == "ip" and all(int(p) <= 255 for p in x.split(".")) or kind == "card" and 12 <= len(digits) <= 19 and pii.luhn(digits) or kind == "phone" and 9 <= len(digits) <= 15
+
+    def by_patterns(s):
+        return [f"{kind}:{a}:{b}" for a, _, kind, b in sorted((m.start(), n, kind, m.end()) for n, (kind, p) in enumerate(plain) for m in re.finditer(p, s) if fits(kind, m[0]))]
+
+    for alphabet in ("ab@.-+ 1", "0123456789 -", "12.0", "+1 ()-.4", "4 1-"):
+        for _ in range(2000):
+            s = "".join(r.choice(alphabet) for _ in range(r.choice((10, 30, 60))))
+            assert [f"{pii.KINDS[k]}:{a}:{b}" for a, b, k in pii.base_spans(s)] == by_patterns(s), s
+    table = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id") + 1000, "text"))
+    found = {r.doc_id: r for r in pii.scan(table).collect()}
+    for row in table.collect():
+        want = by_patterns(row.text or "")
+        assert found[row.doc_id].base == ",".join(want) and [x for x in found[row.doc_id].spans.split(",") if x and not x.startswith("term")] == want
     got = {r.doc_id: r for r in pii.scan(docs).collect()}
     assert got[13].n_email == 1 and got[13].n_term > 0 and got[5].spans == ""
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert "bob" not in clean[13] and "[TERM]" in clean[13] and clean[5] == docs.where("doc_id = 5").first().text
 
 
+def test_long_texts_of_digits_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for text in ("1" * 1_000_000, "1." * 500_000, "12 " * 300_000, "+1-" * 300_000, "1@" * 500_000, "a@b" * 300_000, "+" * 1_000_000):
+        pii.base_spans(text)
+    assert len(pii.base_spans("10.0.0.1 " * 100_000)) == 100_000
+    assert time.perf_counter() - began < 60
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    """Co-occurrence over whole texts, copies, and terms of letters that change their number in lower case."""
+    r = random.Random(6)
+    pool = [f"w{c}{d}x" for c in "abcdefg" for d in "hijk"] + ["İstanbul", "ÉCLAIR"]
+    people = [f"p{i}@mail.org" for i in range(6)]
+    texts = []
+    for i in range(160):
+        words = r.sample(pool, r.randint(1, 6))
+        if i % 3 == 0:
+            k = r.randrange(6)
+            words += [people[k], *[f"friend{'abcdef'[k]}"] * r.randint(0, 1), "far " * 40 + f"Boss{'abcdef'[k]}"]
+        texts.append(" ".join(words))
+    texts += [texts[0]] * 5 + [None, "", "frienda alone"]
+    table = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(texts)], "doc_id long, text string, key string, terms int")
+    held = [({pii.entity_key(k, t[s:e]) for s, e, k in pii.base_spans(t)}, {m[0].lower() for m in pii.terms_of(t, pii.base_spans(t))}) if t else (set(), set()) for t in texts]
+    n, want = len(texts), set()
+    for entity in {x for e, _ in held for x in e}:
+        n_e = sum(entity in e for e, _ in held)
+        for term in {x for _, t in held for x in t}:
+            n_t, both = sum(term in t for _, t in held), sum(entity in e and term in t for e, t in held)
+            if 2 <= n_e < n and both >= 2 and np.log2(n * both / (n_e * n_t)) / np.log2(n / n_e) >= 0.8:
+                want.add(term)
+    found = {x.term for x in pii.disclosing_terms(table, pii.read_texts(table)).collect()}
+    assert found == want and any(t.startswith("boss") for t in want)
+    got = {x.doc_id: x for x in pii.scan(table).collect()}
+    for i, t in enumerate(texts):
+        spans = pii.base_spans(t) + [(m.start(), m.end(), 4) for m in pii.terms_of(t, pii.base_spans(t)) if m[0].lower() in want] if t else []
+        assert got[i].spans == ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2])))
+    clean = {x.doc_id: x for x in pii.sanitise(table).collect()}
+    assert len(clean) == n and not any(w in (x.text or "").lower() for x in clean.values() for w in want) and clean[3].key == "c"
+
+
 def test_bpe(spark, docs):
     import public_tokenizers
     import tiktoken
