@@ -1,20 +1,21 @@
 """Language identification with interpolated Kneser-Ney character trigram models.
 
-Training counts trigrams of letters per language in Spark and keeps, per language, discounted
-trigram probabilities interpolated with continuation probabilities of bigrams and of single
-characters. Characters are lower-cased letters folded to 8 bits, anything else is one space, so a model
-has at most 2**24 trigrams whatever the corpus. The arrays of trigram hashes are sorted, and a text is
-scored by binary search for all its trigrams at once. The language with the lowest cross-entropy per
-character wins.
-
-Rejection is calibrated on the training texts: a text is rejected if its best cross-entropy lies more than
+Training counts trigrams of lower-case letters per language in Spark, anything else being one space. From the counts come
+the discounted trigram probabilities, the weight that each context leaves to bigrams, and in the same way those of bigrams
+and single characters by continuation counts; below them every symbol is as likely as an unseen one. Symbols are whole code
+points, three of which fill one 63-bit key, so no letters share a symbol. The arrays of keys are sorted, and a text is
+scored by binary search for all its trigrams at once: a trigram that no language has takes each language's weight of its
+own context and the bigram below. The language with the lowest cross-entropy per character wins. The arrays grow with the
+distinct trigrams of the corpus, which the driver gathers and sends to every task; they are counts, not documents.
+
+Rejection is calibrated on all training texts: a text is rejected if its best cross-entropy lies more than
 ``REJECT_SIGMAS`` standard deviations above the mean of training texts of that language, with the deviation
-widened for short texts, or if it has no letter.
+widened for short texts, or if it has no letter. The score is the share of the best language's likelihood.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0 and rejected; rows without
 ``lang`` or ``doc_id`` are not learned from; repeated rows count as often as they appear; equal
-scores go to the language that sorts first; without any training row every text is ``und``; an empty table
-gives an empty table.
+scores go to the language that sorts first; without any training row every text is ``und``; texts are read whole at any
+length; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,25 +36,28 @@ REJECT_SIGMAS = 8.0
 GROUP_CHARS = 2_000_000
 SPACE = 32
 
+#: Bits of a code point.
+BITS = 21
+_LAST, _LOW_TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
+
 _fold: np.ndarray | None = None
 
 
 def fold_table() -> np.ndarray:
-    """For each code point the 8-bit symbol of its lower-case letter, or a space."""
+    """For each code point the symbol of its lower-case letter, or a space."""
     global _fold
     if _fold is None:
-        out = np.full(0x110000, SPACE, np.uint8)
+        out = np.full(0x110000, SPACE, np.int32)
         for c in range(0x110000):
             s = chr(c)
             if s.isalpha():
-                low = ord(s.lower()[0]) & 255
-                out[c] = low if low != SPACE else 33
+                out[c] = ord(s.lower()[0])
         _fold = out
     return _fold
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Folded trigrams of all texts, and how many each text has; a text is framed by spaces, and spaces don't repeat."""
+    """Trigram keys of all texts, and how many each text has; a text is framed by spaces, and spaces don't repeat."""
     joined = "".join(f" {t} " for t in texts)
     symbols = fold_table()[np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)]
     sizes = np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts))
@@ -61,8 +65,8 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     blank = symbols == SPACE
     keep = np.ones(len(symbols), bool)
     keep[1:] = ~(blank[1:] & blank[:-1]) | (owner[1:] != owner[:-1])
-    symbols, owner = symbols[keep].astype(np.int32), owner[keep]
-    keys = symbols[:-2] << 16 | symbols[1:-1] << 8 | symbols[2:]
+    symbols, owner = symbols[keep].astype(np.int64), owner[keep]
+    keys = symbols[:-2] << 2 * BITS | symbols[1:-1] << BITS | symbols[2:]
     inside = owner[:-2] == owner[2:]
     return keys[inside], np.bincount(owner[:-2][inside], minlength=len(texts))
 
@@ -91,80 +95,124 @@ def count_trigrams(texts: DataFrame) -> DataFrame:
                     values, n = np.unique(keys, return_counts=True)
                     yield pd.DataFrame({"lang": lang, "trigram": values, "n": n})
 
-    counted = texts.where("text is not null and lang is not null").select("text", "lang").mapInPandas(run, "lang string, trigram int, n long")
+    counted = texts.where("text is not null and lang is not null").select("text", "lang").mapInPandas(run, "lang string, trigram long, n long")
     return counted.groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Table:
+    """Sorted keys with one column per language; a key that is not there has a default."""
+
+    keys: np.ndarray
+    values: np.ndarray
+    default: np.ndarray
+
+    def __getitem__(self, wanted: np.ndarray) -> np.ndarray:
+        out, found = self.find(wanted)
+        out[~found] = self.default
+        return out
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return self.values[at], self.keys[at] == wanted
+
+
 @dataclass
 class Model:
-    """Sorted trigram and bigram hashes with one column of log probabilities per language."""
+    """Log probabilities of trigrams, and what unseen ones need: weights that contexts leave, bigrams, middles and characters."""
 
     langs: list[str]
-    keys: np.ndarray
-    scores: np.ndarray
-    pair_keys: np.ndarray
-    pair_scores: np.ndarray
-    floor: np.ndarray
+    trigrams: Table
+    contexts: Table
+    pairs: Table
+    middles: Table
+    singles: Table
     mean: np.ndarray | None = None
     deviation: np.ndarray | None = None
 
-    def logs(self, trigram: np.ndarray) -> np.ndarray:
-        """Log probabilities, one row per trigram; unseen ones back off to bigrams, then to the floor."""
-        at = np.minimum(np.searchsorted(self.keys, trigram), len(self.keys) - 1)
-        out = self.scores[at]
-        miss = np.flatnonzero(self.keys[at] != trigram)
+    def logs(self, keys: np.ndarray) -> np.ndarray:
+        """Log probabilities, one row per trigram."""
+        out, found = self.trigrams.find(keys)
+        miss = np.flatnonzero(~found)
         if len(miss):
-            pair = trigram[miss] & 0xFFFF
-            at = np.minimum(np.searchsorted(self.pair_keys, pair), len(self.pair_keys) - 1)
-            out[miss] = np.where((self.pair_keys[at] == pair)[:, None], self.pair_scores[at], self.floor)
+            key = keys[miss]
+            pair = key & _LOW_TWO
+            lower, known = self.pairs.find(pair)
+            new = pair[~known]
+            lower[~known] = self.middles[new >> BITS] * self.singles[new & _LAST]
+            out[miss] = np.log(self.contexts[key >> BITS] * lower)
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character of each text under each language, and the number of characters."""
         keys, n = trigrams(texts)
-        total = np.zeros((len(texts) + 1, len(self.langs)))
+        total = np.zeros((len(texts), len(self.langs)))
+        has = n > 0
         if len(keys):
             starts = np.cumsum(n) - n
-            has = n > 0
-            total[:-1][has] = np.add.reduceat(self.logs(keys), starts[has], axis=0)
-        return -total[:-1] / np.maximum(n, 1)[:, None], n
+            total[has] = np.add.reduceat(self.logs(keys), starts[has], axis=0)
+        return -total / np.maximum(n, 1)[:, None], n
+
+
+def _summed(keys: np.ndarray, amounts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of their amounts, or how many there are."""
+    values, place = np.unique(keys, return_inverse=True)
+    return values, np.bincount(place, amounts, len(values)).astype(float)
 
 
 def build(counts: pd.DataFrame) -> Model:
-    """Kneser-Ney models of a table (lang, trigram, n) of at most 2**24 trigrams a language."""
+    """Interpolated Kneser-Ney models of a table (lang, trigram, n)."""
     langs = sorted(counts["lang"].unique())
     keys = np.unique(counts["trigram"].to_numpy(np.int64))
-    pair_keys = np.unique(keys & 0xFFFF)
-    scores, pair_scores, floors = [], [], []
+    pair_keys, single_keys = np.unique(keys & _LOW_TWO), np.unique(keys & _LAST)
+    context_keys, middle_keys = np.unique(keys >> BITS), np.unique(pair_keys >> BITS)
+    symbols = len(np.unique(np.concatenate((keys & _LAST, keys >> BITS & _LAST, keys >> 2 * BITS)))) + 1  # and one for all unseen ones
+    columns: dict[str, list[np.ndarray]] = {name: [] for name in ("trigrams", "contexts", "pairs", "middles", "singles", "other")}
+
+    def spread(wanted: np.ndarray, own: np.ndarray, values: np.ndarray, default: float) -> np.ndarray:
+        out = np.full(len(wanted), default)
+        out[np.searchsorted(wanted, own)] = values
+        return out
+
     for lang in langs:
         own = counts[counts["lang"] == lang]
         tri, n = own["trigram"].to_numpy(np.int64), own["n"].to_numpy(float)
-        first, middle, last = tri >> 8, tri & 0xFFFF, tri & 0xFF
-        context_total = np.bincount(first, n, 1 << 16)
-        context_types = np.bincount(first, minlength=1 << 16)
-        pair_cont = np.bincount(middle, minlength=1 << 16).astype(float)  # distinct left neighbours
-        pairs = np.flatnonzero(pair_cont)
-        middle_total = np.bincount(pairs >> 8, pair_cont[pairs], 256)
-        middle_types = np.bincount(pairs >> 8, minlength=256)
-        single = np.bincount(pairs & 0xFF, minlength=256).astype(float)
-        p1 = 0.99 * single / max(single.sum(), 1) + 0.01 / 256
-
-        def p2(pair: np.ndarray) -> np.ndarray:
-            total = middle_total[pair >> 8]
-            known = np.maximum(pair_cont[pair] - DISCOUNT, 0) / np.maximum(total, 1)
-            rest = np.where(total > 0, DISCOUNT * middle_types[pair >> 8] / np.maximum(total, 1), 1.0)
-            return known + rest * p1[pair & 0xFF]
-
-        own_n = np.zeros(len(keys))
-        own_n[np.searchsorted(keys, tri)] = n
-        total = context_total[keys >> 8]
-        known = np.maximum(own_n - DISCOUNT, 0) / np.maximum(total, 1)
-        rest = np.where(total > 0, DISCOUNT * context_types[keys >> 8] / np.maximum(total, 1), 1.0)
-        scores.append(np.log(known + rest * p2(keys & 0xFFFF)))
-        away = DISCOUNT * len(tri) / max(n.sum(), 1)
-        pair_scores.append(np.log(max(away, 1e-6) * p2(pair_keys)))
-        floors.append(np.log(max(away, 1e-6) * 0.01 / 256))
-    return Model(langs, keys.astype(np.int32), np.array(scores).T.copy(), pair_keys.astype(np.int32), np.array(pair_scores).T.copy(), np.array(floors))
+        pairs, before = _summed(tri & _LOW_TWO)  # distinct left neighbours
+        singles, ends = _summed(pairs & _LAST)
+        # Characters by continuation, interpolated with the uniform distribution.
+        rest = DISCOUNT * len(singles) / ends.sum()
+        p1 = spread(single_keys, singles, np.maximum(ends - DISCOUNT, 0) / ends.sum(), 0.0) + rest / symbols
+        columns["singles"].append(p1)
+        columns["other"].append(rest / symbols)
+        # Bigrams by continuation.
+        middles, total = _summed(pairs >> BITS, before)
+        _, types = _summed(pairs >> BITS)
+        left = spread(middle_keys, middles, DISCOUNT * types / total, 1.0)
+        columns["middles"].append(left)
+        totals = spread(middle_keys, middles, total, 1.0)
+        middle = np.searchsorted(middle_keys, pair_keys >> BITS)
+        known = np.maximum(spread(pair_keys, pairs, before, 0.0) - DISCOUNT, 0)
+        p2 = known / totals[middle] + left[middle] * p1[np.searchsorted(single_keys, pair_keys & _LAST)]
+        columns["pairs"].append(p2)
+        # Trigrams by counts.
+        contexts, total = _summed(tri >> BITS, n)
+        _, types = _summed(tri >> BITS)
+        left = spread(context_keys, contexts, DISCOUNT * types / total, 1.0)
+        columns["contexts"].append(left)
+        totals = spread(context_keys, contexts, total, 1.0)
+        context = np.searchsorted(context_keys, keys >> BITS)
+        known = np.maximum(spread(keys, tri, n, 0.0) - DISCOUNT, 0)
+        columns["trigrams"].append(np.log(known / totals[context] + left[context] * p2[np.searchsorted(pair_keys, keys & _LOW_TWO)]))
+    there = {name: np.array(c).T.copy() for name, c in columns.items() if name != "other"}
+    one = np.ones(len(langs))
+    return Model(
+        langs,
+        Table(keys, there["trigrams"], one),
+        Table(context_keys, there["contexts"], one),
+        Table(pair_keys, there["pairs"], one),
+        Table(middle_keys, there["middles"], one),
+        Table(single_keys, there["singles"], np.array(columns["other"])),
+    )
 
 
 def fit(docs: DataFrame, learn: Column) -> Model | None:
@@ -183,7 +231,7 @@ def fit(docs: DataFrame, learn: Column) -> Model | None:
             for rows in grouped(zip(b["text"], b["lang"], strict=True), lambda r: len(r[0])):
                 h, n = m.entropies([t for t, _ in rows])
                 own = h[np.arange(len(rows)), [m.langs.index(x) for _, x in rows]]
-                out = pd.DataFrame({"lang": [x for _, x in rows], "w": n * (n > 20), "h": own * n * (n > 20), "hh": own * own * n * (n > 20)})
+                out = pd.DataFrame({"lang": [x for _, x in rows], "w": n, "h": own * n, "hh": own * own * n})
                 yield out.groupby("lang", as_index=False).sum()
 
     sums = training.mapInPandas(run, "lang string, w double, h double, hh double").groupBy("lang").agg(F.sum("w").alias("w"), F.sum("h").alias("h"), F.sum("hh").alias("hh"))
@@ -211,7 +259,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 h, n = m.entropies(texts)
                 best = h.argmin(axis=1)
                 low = h[np.arange(len(rows)), best]
-                weight = np.exp(-(h - low[:, None]) * np.minimum(n, 200)[:, None])
+                weight = np.exp(-(h - low[:, None]) * n[:, None])
                 letters = n > 0
                 spread = m.deviation[best] + 2.0 / np.sqrt(np.maximum(n, 1))
                 yield pd.DataFrame(

@@ -341,6 +341,65 @@ def test_language_id(spark, docs):
     assert langid.keep_identified(docs).columns == docs.columns
 
 
+def kneser_ney(texts, symbols):
+    """Interpolated Kneser-Ney by its definition: the probability of z after xy."""
+    rows = []
+    for t in texts:
+        t = re.sub(" +", " ", " " + "".join(c.lower() if c.isalpha() else " " for c in t) + " ")
+        rows += [t[i : i + 3] for i in range(len(t) - 2)]
+    pairs = {(g[1], g[2]) for g in set(rows)}
+    left = {p: len({g[0] for g in set(rows) if (g[1], g[2]) == p}) for p in pairs}
+    d = langid.DISCOUNT
+
+    def one(z):
+        ends = {c: len({p[0] for p in pairs if p[1] == c}) for c in {p[1] for p in pairs}}
+        return max(ends.get(z, 0) - d, 0) / len(pairs) + d * len(ends) / len(pairs) / symbols
+
+    def two(y, z):
+        total = sum(n for p, n in left.items() if p[0] == y)
+        return one(z) if not total else max(left.get((y, z), 0) - d, 0) / total + d * len({p for p in pairs if p[0] == y}) / total * one(z)
+
+    def three(x, y, z):
+        total = sum(g[:2] == x + y for g in rows)
+        return two(y, z) if not total else max(rows.count(x + y + z) - d, 0) / total + d * len({g for g in rows if g[:2] == x + y}) / total * two(y, z)
+
+    return three
+
+
+def test_language_models_equal_kneser_ney_by_definition(spark):
+    """Seen and unseen trigrams, contexts and letters, in scripts that share the low bits of their code points."""
+    train = {"aa": ["abc abd cab", "bad cab"], "bb": ["абв габ вад", "баб"], "cc": ["日本語 本日", "\U00020001\U00020002日"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in train.items() for t in ts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.build(langid.count_trigrams(table).toPandas())
+    letters = {c for ts in train.values() for t in ts for c in t.lower()}
+    known = [kneser_ney(train[lang], len(letters) + 1) for lang in model.langs]
+    samples = sorted(letters) + ["q", "ж", "語"]
+    r = random.Random(0)
+    for _ in range(400):
+        x, y, z = (r.choice(samples) for _ in range(3))
+        if x == y == " " or y == z == " ":
+            continue
+        key = np.array([ord(x) << 2 * langid.BITS | ord(y) << langid.BITS | ord(z)])
+        assert np.exp(model.logs(key)[0]) == pytest.approx([k(x, y, z) for k in known]), (x, y, z)
+    for k in known:  # probabilities of what may follow sum to 1
+        assert sum(k("a", "b", z) for z in sorted(letters)) + k("a", "b", "~") == pytest.approx(1)
+
+
+def test_language_id_in_odd_cases(spark):
+    """Long texts, clashing columns, repeated rows, ties, and no training rows."""
+    rows = [(i, ("abca bcab " if i % 2 else "xyzx zyxz ") * 20, "ab" if i % 2 else "xy", "c", 1.0) for i in range(60)]
+    rows += [rows[0], (700, "xyzx " * 200_000, None, "c", 1.0), (701, "", None, "c", 1.0), (702, "?!", "xy", "c", 1.0), (703, "日本語文字 " * 30, None, "c", 1.0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    got = {r.doc_id: r for r in langid.identify(table).collect()}
+    assert langid.identify(table).count() == len(rows) and got[700].lang_pred == "xy" and got[701].lang_pred == got[702].lang_pred == "und"
+    assert got[703].rejected and got[703].lang_pred in ("ab", "xy") and not got[700].rejected
+    none = langid.identify(table.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {(r.lang_pred, r.score, r.rejected) for r in none} == {("und", 0.0, True)}
+    kept = langid.keep_identified(table)
+    assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {701, 702, 703}
+
+
 def test_quality(spark, docs):
     rows = [(i, words(50, i) if i % 2 else words(50, i).replace(" ", " *** "), i % 2) for i in range(400)]
     table = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, "")], "doc_id long, text string")
