@@ -1,14 +1,17 @@
 """Licence scans: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
-A notice is a sentence of a file that holds a cue word. Every notice and template is a sparse vector of
-term counts times inverse template frequency, and a file has the licence of the template with the
-greatest cosine of at least ``MIN_COSINE``. A file without one inherits from the nearest directory above that
-has a licence file (``LICENSE``, ``LICENCE``, ``COPYING`` or ``NOTICE``, with or without an ending) with a known licence.
-DataFrame functions only; directories, not files, are joined with their ancestors.
-
-Defined cases: a null or empty text has no notice; equal cosines go to the licence that sorts first, and so do
-licence files of one directory that disagree; a null path has no directory and inherits nothing; repeated
-rows are scanned each; an empty table gives an empty table; other columns are not read.
+A notice is a unit of a file that holds a cue word: a line or a sentence of it, a sentence whose wrapped lines are joined, or,
+in a file named as a licence file, its whole text. Every notice and template is a sparse vector of term counts times inverse
+template frequency. Whole texts come first: where one reaches ``WHOLE_COSINE`` with a template, the greatest such cosine decides;
+otherwise the greatest cosine of the other units, at least ``MIN_COSINE``. Equal cosines go to the template of more
+weight, as more of it was seen, then to the licence that sorts first. A file without a licence inherits from
+the nearest directory above that has a licence file (``LICENSE``, ``LICENCE``, ``COPYING`` or ``NOTICE``, with or without an ending)
+with a known licence, of several the surest. DataFrame functions only; texts are known by 128 bits of them, so
+copies are one, and directories, not files, are joined with their ancestors.
+
+Defined cases: a null or empty text has no notice; rows without doc_id are scanned as any other; a null path has no
+directory and inherits nothing; repeated rows, and several texts under one doc_id, are scanned each; an empty table gives
+an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,31 +21,104 @@ from pyspark.sql import functions as F
 
 from almanac.llm.common import checked_join, cut
 
-MIN_COSINE = 0.5
-CUE = r"(?i)licen[sc]|copyright|spdx|permission is hereby|redistribution and use"
-SENTENCE = r"\n|\.\s+"
+MIN_COSINE, WHOLE_COSINE = 0.5, 0.75
+#: Every template holds one of these, and a unit without any is no notice.
+CUE = r"(?i)licen[sc]|copyright|spdx|permission (is hereby|to use)|redistribution|redistribute|general public|public domain"
+SENTENCE, BLANK = r"\n|\.\s+", r"\n[^\p{L}\p{N}\n]*\n|\.\s+"
 TERM = r"[a-z0-9]+"
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
-
-#: The usual notices of public licences.
-TEMPLATES = (
+#: Rows of templates' terms that may be broadcast.
+MOST_TERMS = 50_000
+
+#: Identifiers of public licences as source files name them.
+IDENTIFIERS = {
+    "AGPL-3.0": ("AGPL-3.0-only", "AGPL-3.0-or-later", "AGPL-3.0"),
+    "Apache-2.0": ("Apache-2.0",),
+    "BSD-2-Clause": ("BSD-2-Clause",),
+    "BSD-3-Clause": ("BSD-3-Clause",),
+    "CC-BY-4.0": ("CC-BY-4.0",),
+    "CC-BY-NC-4.0": ("CC-BY-NC-4.0",),
+    "CC-BY-SA-4.0": ("CC-BY-SA-4.0",),
+    "CC0-1.0": ("CC0-1.0",),
+    "GPL-2.0": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0"),
+    "GPL-3.0": ("GPL-3.0-only", "GPL-3.0-or-later", "GPL-3.0"),
+    "ISC": ("ISC",),
+    "LGPL-2.1": ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-2.1"),
+    "LGPL-3.0": ("LGPL-3.0-only", "LGPL-3.0-or-later", "LGPL-3.0"),
+    "MIT": ("MIT",),
+    "MPL-2.0": ("MPL-2.0",),
+    "Unlicense": ("Unlicense",),
+}
+
+#: The usual short notices of public licences.
+NOTICES = (
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("BSD-3-Clause", "licensed under the BSD 3-Clause License"),
+    ("BSD-2-Clause", "licensed under the BSD 2-Clause License"),
     ("CC-BY-4.0", "licensed under the Creative Commons Attribution 4.0 International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC0-1.0", "dedicated to the public domain under CC0 1.0 Universal"),
     ("GPL-2.0", "licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISC", "licensed under the ISC License"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "licensed under the GNU Lesser General Public License, version 2.1"),
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY "
+    "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+    "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY "
+    "OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+)
+#: Whole texts of public licences short enough to be given so; longer ones are known by their heads above.
+TEXTS = (
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    ("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_END),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without "
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+        "the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "
+        "notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER "
+        "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+    ),
+)
+TEMPLATES = NOTICES + TEXTS + tuple((k, f"SPDX-License-Identifier: {name}") for k, names in IDENTIFIERS.items() for name in names)
+
 
 def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TEMPLATES)], "template int, license string, notice string")
@@ -53,29 +129,38 @@ def terms(notice: Column) -> Column:
 
 
 def template_vectors(known: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(license, template, term, weight, norm) and (term, idf) of a bounded table of templates, and their number."""
+    """(license, template, term, weight, norm) and (term, idf) of a table of templates, and their number; both are written."""
     n = known.count()
-    counted = known.select("template", "license", F.explode(terms(F.col("notice"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
-    idf = counted.groupBy("term").agg((F.log((1 + n) / (1 + F.count("*"))) + 1).alias("idf"))
+    counted = cut(known.select("template", "license", F.explode(terms(F.col("notice"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf")), "template-terms")
+    idf = cut(counted.groupBy("term").agg((F.log((1 + n) / (1 + F.count("*"))) + 1).alias("idf")), "idf")
     weighed = counted.join(idf, "term").withColumn("weight", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return weighed.join(norms, "template").select("license", "template", "term", "weight", "norm"), idf, n
+    return cut(weighed.join(norms, "template").select("license", "template", "term", "weight", "norm"), "template-vectors"), idf, n
+
+
+def notices(text: Column, is_licence: Column) -> Column:
+    """The units of a text that hold a cue word, each once; the whole text, of a licence file, is the first."""
+    lines = F.filter(F.split(text, SENTENCE), lambda s: s.rlike(CUE))
+    joined = F.filter(F.transform(F.split(text, BLANK), lambda s: F.trim(F.regexp_replace(s, r"\s*\n[^\p{L}\p{N}\n]*", " "))), lambda s: s.rlike(CUE))
+    return F.concat(F.array(F.when(is_licence, text)), F.array_distinct(F.concat(lines, joined)))
 
 
-def detect(files: DataFrame, key: str, known: DataFrame, least: float = MIN_COSINE) -> DataFrame:
-    """(key, license, cosine) of the files whose best notice reaches ``least``; ``files`` has (key, text)."""
+def detect(files: DataFrame, known: DataFrame, least: float = MIN_COSINE, whole: float = WHOLE_COSINE) -> DataFrame:
+    """(key, is_licence, license, cosine) of the texts with a notice that is near enough to a template; ``files`` has (key, is_licence, text)."""
     vectors, idf, n = template_vectors(known)
-    sentences = F.filter(F.split("text", SENTENCE), lambda s: s.rlike(CUE))
-    notices = files.where(F.col("text").rlike(CUE)).select(F.col(key), F.posexplode(sentences).alias("place", "notice"))
-    counted = notices.select(key, "place", F.explode(terms(F.col("notice"))).alias("term")).groupBy(key, "place", "term").agg(F.count("*").alias("tf"))
-    # The templates' terms are a bounded table: 15 notices unless the caller has others.
-    weight = F.col("tf") * F.coalesce("idf", F.log(F.lit(1.0 + n)) + 1)
-    weighed = counted.join(F.broadcast(idf), "term", "left").withColumn("own", weight)
-    norms = weighed.groupBy(key, "place").agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("own_norm"))
-    dots = weighed.where("idf is not null").join(F.broadcast(vectors), "term").groupBy(key, "place", "license", "template", "norm").agg(F.sum(F.col("own") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, [key, "place"]).withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("own_norm")), 9)).where(F.col("cosine") >= least)
-    best = scored.groupBy(key).agg(F.min(F.struct((-F.col("cosine")).alias("order"), "license")).alias("best"))
-    return best.select(key, "best.license", (-F.col("best.order")).alias("cosine"))
+    key = ["key", "is_licence"]
+    units = files.where(F.col("text").rlike(CUE)).select(*key, F.posexplode(notices(F.col("text"), F.col("is_licence"))).alias("place", "notice")).where("notice is not null")
+    # Copies of a text add to all counts of a unit alike, which leaves its cosines as they are.
+    counted = units.select(*key, "place", F.explode(terms(F.col("notice"))).alias("term")).groupBy(*key, "place", "term").agg(F.count("*").alias("tf"))
+    own = F.col("tf") * F.coalesce("idf", F.log(F.lit(1.0 + n)) + 1)
+    weighed = cut(checked_join(counted, idf, "term", "left", limit=MOST_TERMS).withColumn("own", own), "notice-terms")
+    norms = weighed.groupBy(*key, "place").agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("own_norm"))
+    shared = checked_join(weighed.where("idf is not null"), vectors, "term", "inner", limit=MOST_TERMS)
+    dots = shared.groupBy(*key, "place", "license", "template", "norm").agg(F.sum(F.col("own") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, [*key, "place"]).withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("own_norm")), 9))
+    scored = scored.where(F.col("cosine") >= F.when(F.col("place") == 0, F.greatest(F.lit(whole), F.lit(least))).otherwise(F.lit(least)))
+    order = F.struct((F.col("place") > 0).alias("part"), (-F.col("cosine")).alias("least"), F.round(-F.col("norm"), 9).alias("norm"), "license")
+    return scored.groupBy(*key).agg(F.min(order).alias("best")).select(*key, "best.license", (-F.col("best.least")).alias("cosine"))
 
 
 def directory(path: Column) -> Column:
@@ -91,15 +176,16 @@ def ancestors(folder: Column) -> Column:
 
 def scan(files: DataFrame, known: DataFrame | None = None, least: float = MIN_COSINE) -> DataFrame:
     """(doc_id, path, license, cosine, origin, licensed_by) of files (doc_id, path, text); origin is own, inherited or none."""
-    files = files.select("doc_id", "path", "text")
-    found = cut(detect(files.where("doc_id is not null"), "doc_id", templates(files.sparkSession) if known is None else known, least), "licenses")
-    narrow = files.select("doc_id", "path", directory(F.col("path")).alias("folder"))
-    own = checked_join(narrow, found, "doc_id", "left")
-    is_licence = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE)
-    granted = cut(own.where(is_licence & F.col("license").isNotNull() & F.col("folder").isNotNull()).groupBy("folder").agg(F.min("license").alias("granted")), "granted")
-    folders = narrow.where("folder is not null").select("folder").distinct()
+    is_licence = F.coalesce(F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE), F.lit(False))
+    files = files.select("doc_id", "path", "text", F.unhex(F.md5("text")).alias("key"), is_licence.alias("is_licence"))
+    found = cut(detect(files, templates(files.sparkSession) if known is None else known, least), "licenses")
+    narrow = files.select("doc_id", "path", "key", "is_licence", directory(F.col("path")).alias("folder"))
+    own = cut(checked_join(narrow, found, ["key", "is_licence"], "left").drop("key"), "own")
+    licensed = own.where(F.col("is_licence") & F.col("license").isNotNull() & F.col("folder").isNotNull())
+    granted = licensed.groupBy("folder").agg(F.min(F.struct((-F.col("cosine")).alias("least"), "license"))["license"].alias("granted"))
+    folders = own.where("folder is not null").select("folder").distinct()
     above = folders.select(F.col("folder").alias("of"), F.posexplode(ancestors(F.col("folder"))).alias("up", "folder"))
-    nearest = checked_join(above, granted, "folder", "inner").groupBy("of").agg(F.min(F.struct("up", "granted", "folder")).alias("near"))
+    nearest = checked_join(above, cut(granted, "granted"), "folder", "inner").groupBy("of").agg(F.min(F.struct("up", "granted", "folder")).alias("near"))
     nearest = cut(nearest.select(F.col("of").alias("folder"), "near.granted", F.col("near.folder").alias("licensed_by")), "nearest")
     out = checked_join(own, nearest, "folder", "left")
     has = F.col("license").isNotNull()
