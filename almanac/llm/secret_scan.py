@@ -8,8 +8,8 @@ that takes at least ``MIN_LOG10_GUESSES`` to guess is a secret and a span of kin
 Costs are exact below ``MOST_LOG10_GUESSES`` and reported as that beyond it, so states that cost more are not followed and
 the work on a value grows with its length alone.
 
-Words are ranked: first the usual ones of passwords, then the ``DICTIONARY`` words of the corpus that most documents
-hold, counted over all documents, ties by code point. A word beyond that bound costs what its characters cost.
+Words are ranked: first the usual ones of passwords, then those of the corpus that most documents
+hold, ``DICTIONARY`` at most, counted over all documents, ties by code point. A word beyond that bound costs what its characters cost.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned each by itself; spans of one
 start follow the order of ``KINDS``; texts and values are scanned whole at any length; an empty table gives an
@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from almanac.llm.common import cut
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
 MIN_LOG10_GUESSES = 8.0
@@ -192,11 +194,21 @@ def listed(spans) -> str:
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
-    """Ranks of the fixed words and of the ``size`` words that most documents hold; a bounded number of rows comes to the driver."""
+    """Ranks of the fixed words and of the corpus words that most documents hold, ``size`` at most.
+
+    Document frequencies are taken in steps of a hundredth, and words of one step are in or out together; so a histogram of
+    the steps gives the least frequency, and no more than ``size`` words come to the driver.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{3,{LONGEST_WORD}}}"), F.lit(0)))
     counted = docs.where("text is not null").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = cut(counted.withColumn("step", F.floor(F.log("n") * 100).cast("int")), "words")
+    least, left = None, size
+    for r in sorted(counted.groupBy("step").count().collect(), reverse=True):  # some thousand steps at most
+        if r["count"] > left:
+            break
+        least, left = r.step, left - r["count"]
     rank = dict(RANK)
-    for r in counted.orderBy(F.desc("n"), "word").limit(size).collect():
+    for r in counted.where(F.lit(False) if least is None else F.col("step") >= least).orderBy(F.desc("n"), "word").collect():
         rank.setdefault(r.word, len(rank) + 1)
     return rank
 
