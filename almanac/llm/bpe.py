@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -25,8 +26,8 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-#: Pre-tokens whose ids a worker remembers; past this many it starts anew.
-CACHE_ENTRIES = 500_000
+#: Pre-tokens whose ids a worker remembers, past which it starts anew, and their characters at most.
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
 #: Characters whose pre-tokens are looked up together.
 GROUP_CHARS = 6_000_000
 #: Bytes of the longest pre-token that is merged together with others.
@@ -260,20 +261,23 @@ class Vocabulary:
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
         new = set(chain.from_iterable(tokens)).difference(cache)
-        short = []
+        short, long = [], {}
         for piece in new:
             raw = piece.encode()
             whole = self.ranks.get(raw)
             if whole is not None:
                 cache[piece] = (whole,)
+            elif len(piece) > CACHE_CHARS:
+                long[piece] = self.merge(raw)
             elif len(raw) > SHORT:
                 cache[piece] = self.merge(raw)
             else:
                 short.append((piece, raw))
         if short:
             cache.update(zip([p for p, _ in short], self.merge_many([r for _, r in short]), strict=True))
+        ids = (ChainMap(long, cache) if long else cache).__getitem__
         for t in tokens:
-            yield list(chain.from_iterable(map(cache.__getitem__, t)))
+            yield list(chain.from_iterable(map(ids, t)))
 
     def encode(self, text: str) -> list[int]:
         return next(self._encode_group([text]))

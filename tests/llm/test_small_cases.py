@@ -416,6 +416,32 @@ def test_licenses(spark):
     assert got == {1: ("MIT", "own", None), 2: ("MIT", "inherited", "/a"), 3: (None, "none", None), 4: ("Apache-2.0", "own", None), 5: (None, "none", None), 6: ("MIT", "inherited", "/a"), 7: ("MIT", "inherited", "/a")}
 
 
+def test_quality_equals_its_tables_and_odd_cases(spark):
+    """Scores by summing tables one text at a time; long texts, clashing columns, repeated ids, labels of one kind and none."""
+    rows = [(i, words(30, i) if i % 2 else words(30, i).upper(), "c", 0.5) for i in range(300)]
+    rows += [rows[1], (1, "another text of an id", "c", 0.5), (700, "word " * 400_000, "c", 0.5), (701, None, "c", 0.5), (None, "no id", "c", 0.5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, x string, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    model = quality.train(table, labels)
+    got = quality.classify(table, labels).collect()
+    text = {r[0]: r[1] for r in rows if r[0] not in (1, None)}
+
+    def by_hand(x):
+        total = model.base
+        for f, (edges, t) in enumerate(zip(model.edges, model.tables, strict=True)):
+            total += t[sum(e <= x[f] for e in edges)] if len(t) else 0
+        for i, j, a, b, t in model.pairs:
+            total += t[sum(e <= x[i] for e in a), sum(e <= x[j] for e in b)]
+        return 1 / (1 + np.exp(-total))
+
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id in text:
+            assert r.score == pytest.approx(by_hand(quality.features(text[r.doc_id]))) and r.predicted == int(r.score >= 0.3)
+    for some, want in ((labels.where("quality = 1"), 0.999), (labels.limit(0), 0.5)):
+        assert {round(r.score, 6) for r in quality.classify(table, some).collect()} == {want}
+
+
 HEADS = {
     "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n",
     "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n",
