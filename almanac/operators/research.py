@@ -29,6 +29,12 @@ def regime_return_summary(regimes: DataFrame, forward: DataFrame) -> DataFrame:
     return rows.groupBy("regime", "asset", "horizon").agg(F.count("*").alias("n"), F.avg(r).alias("mean"), F.median(r).alias("median"), F.stddev_samp(r).alias("std"), F.avg((r > 0).cast("double")).alias("positive_rate"))
 
 
+def regime_research(regimes: DataFrame, prices: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> tuple[DataFrame, DataFrame]:
+    """Forward returns of the assets, and their summary by the regime of the month that they start in."""
+    forward = forward_returns(prices, horizons)
+    return forward, regime_return_summary(regimes, forward)
+
+
 def cross_section(forward: DataFrame) -> DataFrame:
     """(month_end, horizon, y): mean over assets."""
     return forward.groupBy("month_end", "horizon").agg(F.avg("fwd_return").alias("y"))
@@ -75,11 +81,12 @@ def ic_stability(paired: DataFrame, window: int = 12, least: int = 24) -> DataFr
 
 
 def hit_rate(paired: DataFrame) -> DataFrame:
-    """Share of pairs whose signal lies above its median exactly when the target is positive."""
+    """Share of pairs whose signal lies above its median exactly when the target is positive; null where the IC is undefined."""
     full = paired.where("signal is not null and y is not null")
     middle = full.groupBy("horizon").agg(F.median("signal").alias("middle"))
     hit = ((F.col("signal") > F.col("middle")) == (F.col("y") > 0)).cast("double")
-    return full.join(F.broadcast(middle), "horizon").groupBy("horizon").agg(F.avg(hit).alias("hit_rate"), F.count("*").alias("n"))
+    ic, n = _guarded("signal", "y")
+    return full.join(F.broadcast(middle), "horizon").groupBy("horizon").agg(F.when(ic.isNotNull() & (n >= 2), F.avg(hit)).alias("hit_rate"), n.alias("n"))
 
 
 def quantile_returns(paired: DataFrame, buckets: int = 5) -> DataFrame:
@@ -101,10 +108,73 @@ def idea_verdict(ics: DataFrame) -> DataFrame:
     return ics.where("ic is not null").agg(F.max_by("horizon", F.abs("ic")).alias("best_horizon"), F.max_by("ic", F.abs("ic")).alias("best_ic"))
 
 
+def percent_rank(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """Average rank over the number of non-null values within keys, as ``pct_<column>``; the greatest is 1."""
+    n = F.count(column).over(Window.partitionBy(*keys))
+    return ranked(df, column, keys).withColumn(f"pct_{column}", F.col(f"rank_{column}") / n)
+
+
+def signal_guard(signal: DataFrame) -> DataFrame:
+    """(problem, month_end): why a signal (month_end, signal) can't be tested: no rows, or a month that repeats."""
+    twice = signal.groupBy("month_end").count().where("count > 1").select(F.lit("duplicate_month").alias("problem"), "month_end")
+    empty = signal.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("empty_signal").alias("problem"), F.lit(None).cast("date").alias("month_end"))
+    return twice.unionByName(empty)
+
+
+def strength(ic: str = "ic"):
+    """Band of an absolute IC. 0.02, 0.05 and 0.10."""
+    size = F.abs(F.col(ic))
+    return F.when(size < 0.02, "negligible").when(size < 0.05, "weak").when(size < 0.10, "moderate").when(size.isNotNull(), "strong")
+
+
+def diagnostics(paired: DataFrame) -> DataFrame:
+    """(horizon, ic, n, rank_ic, ic_ir, hit_rate, strength, direction), one row per horizon."""
+    out = information_coefficient(paired)
+    for more in (rank_ic(paired).drop("n"), ic_stability(paired).drop("windows"), hit_rate(paired).drop("n")):
+        out = out.join(more, "horizon", "left")
+    return out.withColumn("strength", strength()).withColumn("direction", F.when(F.col("ic") > 0, "positive").when(F.col("ic").isNotNull(), "negative"))
+
+
+def signal_verdict(found: DataFrame, few: int = 60, spread: float = 3.0) -> DataFrame:
+    """One row from ``diagnostics``: the best horizon with its figures, and warnings on few pairs, no IC at all, and ICs that vary by more than ``spread``."""
+    usable = (F.col("n") >= few) & F.col("ic").isNotNull()
+    size = F.when(usable, F.abs("ic"))
+    order = F.when(F.col("ic").isNotNull(), F.struct(F.abs("ic").alias("size"), (-F.col("horizon")).alias("sooner")))
+    row = found.agg(
+        F.max_by(F.struct("horizon", "ic", "ic_ir", "n", "strength", "direction"), order).alias("best"),
+        F.max("n").alias("most"),
+        F.count("ic").alias("defined"),
+        F.count(size).alias("usable"),
+        (F.max(size) / F.greatest(F.min(size), F.lit(1e-9))).alias("ratio"),
+    )
+    warnings = F.array_compact(
+        F.array(
+            F.when(F.col("most") < few, F.lit("few_observations")),
+            F.when(F.col("defined") == 0, F.lit("nothing_to_measure")),
+            F.when((F.col("usable") > 1) & (F.col("ratio") > spread), F.lit("unstable_across_horizons")),
+        )
+    )
+    return row.select("best.*", warnings.alias("warnings"))
+
+
 def evaluate_idea(signal: Callable[[DataFrame], DataFrame], panel: DataFrame, columns: list[str], target: DataFrame) -> DataFrame:
-    """Run a user's signal on the columns it may see, then its IC per horizon."""
+    """Run a user's signal on the columns it may see, then its diagnostics per horizon.
+
+    The signal is put on the panel's months, so one for another date does not count; a signal without rows or with a month twice is an error.
+    """
+    from almanac.operators.contracts import require
+
     made = signal(panel.select("month_end", *columns)).select("month_end", "signal")
-    return information_coefficient(pairs(panel.select("month_end").join(made, "month_end", "left"), target))
+    require(signal_guard(made))
+    return diagnostics(pairs(panel.select("month_end").join(made, "month_end", "left"), target))
+
+
+def idea_on_prices(signal: Callable[[DataFrame], DataFrame], panel: DataFrame, columns: list[str], prices: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """The same against asset prices (asset, month_end, price); assets with a price that is not positive are refused."""
+    from almanac.operators.contracts import require
+
+    require(prices.where("price <= 0").select("asset").distinct())
+    return evaluate_idea(signal, panel, columns, cross_section(forward_returns(prices, horizons)))
 
 
 def evaluate_ideas_in_pandas(panel: DataFrame, key: str, fn: Callable, schema: str) -> DataFrame:

@@ -2,32 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.operators import asof, contracts, factors, harvest, ledger, portfolio, research, valuation
 from almanac.plans import views as v
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-CUTOFF = "1997-06-30"
-
-
-def query(sql: str | None = None, places: int = 6):
-    """Register a function (spark, sf_dir); its doubles are rounded to ``places``."""
-
-    def add(fn):
-        def run(spark, sf_dir) -> DataFrame:
-            df = fn(spark, sf_dir)
-            return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-        QUERIES[fn.__name__] = run
-        if sql:
-            ORACLES[fn.__name__] = v.sql(sql)
-        return fn
-
-    return add
-
+from almanac.plans.base import CUTOFF, ORACLES, QUERIES, query  # noqa: F401
 
 @query("select series_id, observation_date, value, case when nullif(b, '') is not null then b when available_date is null then 'unknown' else 'unverified' end as availability_basis from (select *, case when series_id < '3' then '' else availability_basis end as b from v_obs)")
 def normalize_obs(s, d):
@@ -50,11 +29,72 @@ def resolve_dates(s, d):
     return contracts.resolve_dates(v.observations(s, d)).select("series_id", "observation_date", "available_date", "availability_basis")
 
 
-@query("select 'basis_without_date' as rule, series_id, observation_date from v_obs where series_id > '5' union all select 'look_ahead', series_id, observation_date from v_obs where series_id < '2'")
+# Observations that break every rule of the contract somewhere, by series and month.
+BROKEN = """broken as (select series_id, case when m = 11 then null else observation_date end as observation_date, observation_date as od, case when m = 1 then null else value end as value,
+    case when m = 2 then 'odd' when m = 3 then 'fixed_lag' when m = 4 then 'unknown' when series_id < '3' and m = 5 then 'official_release' else availability_basis end as basis,
+    case when m = 3 then null when m = 4 then coalesce(available_date, observation_date + 3) when m = 6 then observation_date - 45 when m = 7 then observation_date - 20 else available_date end as available_date,
+    case when m = 7 then strftime(observation_date, '%Y-%m') when m = 6 then 'no period' end as period,
+    case when m = 8 then '' when m = 9 then 'ftp://example.org' else 'https://example.org/v' end as value_url,
+    case when m = 5 then null when m = 10 then 'example' else 'http://example.org/e' end as evidence_url
+  from (select *, month(observation_date) as m from v_obs))"""
+
+
+def _broken(s, d):
+    m, obs = F.month("observation_date"), v.observations(s, d)
+    base, end = F.col("availability_basis"), F.col("observation_date")
+    basis = F.when(m == 2, "odd").when(m == 3, "fixed_lag").when(m == 4, "unknown").when((F.col("series_id") < "3") & (m == 5), "official_release").otherwise(base)
+    date = F.when(m == 3, None).when(m == 4, F.coalesce("available_date", F.date_add(end, 3))).when(m == 6, F.date_sub(end, 45)).when(m == 7, F.date_sub(end, 20)).otherwise(F.col("available_date"))
+    return obs.select(
+        "series_id",
+        F.when(m != 11, end.cast("string")).otherwise(F.lit("not a date")).alias("observation_date"),
+        F.when(m != 1, F.col("value")).alias("value"),
+        basis.alias("availability_basis"),
+        date.alias("available_date"),
+        F.when(m == 7, F.date_format(end, "yyyy-MM")).when(m == 6, "no period").alias("observation_period"),
+        F.when(m == 8, "").when(m == 9, "ftp://example.org").otherwise("https://example.org/v").alias("source_value_url"),
+        F.when(m == 5, None).when(m == 10, "example").otherwise("http://example.org/e").alias("availability_evidence_url"),
+    )
+
+
+VIOLATIONS = f"""with {BROKEN}, marked as (select *, basis in ('official_release', 'official_schedule') as evidenced from broken),
+  ruled as (select 'bad_date' as rule, series_id, observation_date from marked where observation_date is null
+  union all select 'missing_value', series_id, observation_date from marked where value is null
+  union all select 'bad_basis', series_id, observation_date from marked where basis = 'odd'
+  union all select 'basis_without_date', series_id, observation_date from marked where basis <> 'unknown' and available_date is null
+  union all select 'unknown_with_date', series_id, observation_date from marked where basis = 'unknown' and available_date is not null
+  union all select 'look_ahead', series_id, observation_date from marked where available_date < case when period is not null and period <> 'no period' then date_trunc('month', od) else observation_date end
+  union all select 'source_url_missing', series_id, observation_date from marked where value_url = ''
+  union all select 'source_url_not_http', series_id, observation_date from marked where value_url like 'ftp%'
+  union all select 'evidence_missing', series_id, observation_date from marked where evidenced and evidence_url is null
+  union all select 'evidence_not_http', series_id, observation_date from marked where evidenced and evidence_url = 'example'
+  union all select 'no_available_date', series_id, null from marked group by series_id having count(available_date) = 0)"""
+
+
+@query(f"{VIOLATIONS} select rule, series_id, observation_date from ruled union all select 'duplicate_date', series_id, observation_date from v_obs where month(observation_date) = 12")
 def contract_violations(s, d):
-    obs = v.observations(s, d)
-    early = F.when(F.col("series_id") < "2", F.date_sub("observation_date", 1)).otherwise(F.col("available_date"))
-    return contracts.violations(obs.withColumn("available_date", early).withColumn("availability_basis", F.when(F.col("series_id") > "5", "fixed_lag").otherwise(F.col("availability_basis"))))
+    rows = _broken(s, d)
+    return contracts.violations(rows.unionByName(rows.where("observation_date like '%-12-31'")), require_available_date=True).where("rule <> 'never'")
+
+
+@query(f"""{VIOLATIONS} select series_id, count(*) as n_rows, count(available_date) as n_dated, count(*) filter (available_date is not null and basis in ('fixed_lag', 'unverified', 'unknown')) as n_unevidenced,
+  (select count(*) from ruled r where r.series_id = m.series_id) as n_errors, (select count(*) from ruled r where r.series_id = m.series_id) = 0 as ok from marked m group by series_id""")
+def contract_report(s, d):
+    return contracts.contract_report(_broken(s, d), require_available_date=True)
+
+
+@query("""select o.series_id, count(*) as n_rows, min(observation_date) as first_date, max(observation_date) as last_date, count(*) filter (availability_basis = 'official_release') as n_official_release,
+  count(*) filter (availability_basis = 'official_schedule') as n_official_schedule, count(*) filter (availability_basis = 'fixed_lag') as n_fixed_lag, count(*) filter (availability_basis = 'unverified') as n_unverified,
+  count(*) filter (availability_basis = 'unknown') as n_unknown, count(*) filter (availability_basis = 'fixed_lag' and month(observation_date) = 3) as n_errors, count(*) filter (availability_basis = 'fixed_lag' and month(observation_date) = 3) = 0 as ok from v_obs o group by 1""")
+def snapshot_validation(s, d):
+    """The release dates of March are a day off the lag that the sidecar states."""
+    obs = v.observations(s, d).withColumn("availability_evidence_url", F.lit("https://example.org/e"))
+    moved = obs.withColumn("available_date", F.when(F.month("observation_date") == 3, F.date_add("available_date", 1)).otherwise(F.col("available_date")))
+    return contracts.validate_snapshots(moved, obs.select("series_id", F.col("lag_days").alias("availability_lag_days")).distinct())
+
+
+@query("select series_id, count(*) as n from v_obs where series_id < '3' group by 1")
+def unproven_claims(s, d):
+    return contracts.unproven_claims(v.observations(s, d).withColumn("available_date", F.lit(None).cast("date")))
 
 
 @query("select s.series_id, b.availability_basis, count(o.value) as n from (select distinct series_id from v_obs) s cross join (select unnest(['official_release', 'official_schedule', 'fixed_lag', 'unverified', 'unknown']) as availability_basis) b left join v_obs o on o.series_id = s.series_id and o.availability_basis = b.availability_basis group by all")
@@ -62,19 +102,25 @@ def basis_counts(s, d):
     return contracts.basis_counts(v.observations(s, d))
 
 
-@query("select series_id, observation_date, array_to_string(list_filter([case when series_id < '3' then 'official_evidence' end, case when available_date is null then 'release_date_unknown' end, case when available_date - observation_date > 45 then 'late_release' end], lambda x: x is not null), ',') as flags from v_obs")
+@query("""select series_id, observation_date, array_to_string(list_filter([case when series_id < '2' and m <> 1 then 'release_date_has_official_evidence' else 'release_date_unknown' end, case when m % 2 = 0 then 'multi_month_period' end, case when m = 2 then 'joint_period_release' end,
+  case when series_id = '3-MEDIUM' then 'cumulative_ytd_yoy_as_reported' end, case when m = 3 then 'methodology_change_review' end, case when m = 4 then 'seeded_from_frozen_pr13_snapshot' end], lambda x: x is not null), ',') as flags from (select *, month(observation_date) as m from v_obs)""")
 def quality_flags(s, d):
-    return contracts.quality_flags(v.observations(s, d)).select("series_id", "observation_date", F.array_join("quality_flags", ",").alias("flags"))
+    m, year = F.month("observation_date"), F.date_format("observation_date", "yyyy")
+    rows = v.observations(s, d).withColumn("availability_evidence_url", F.when(m != 1, "https://example.org/e"))
+    rows = rows.withColumn("observation_period", F.when(m % 2 == 0, F.concat(year, F.lit("-01/"), F.date_format("observation_date", "yyyy-MM"))).otherwise(F.date_format("observation_date", "yyyy-MM")))
+    rows = rows.withColumn("source_title", F.when(m == 3, "数据修订说明").otherwise("数据")).withColumn("seeded", m == 4).withColumn("own", F.col("series_id"))
+    renamed = rows.withColumn("series_id", F.when(F.col("series_id") == "3-MEDIUM", "cn_retail_sales_ytd").otherwise(F.col("series_id")))
+    return contracts.quality_flags(renamed).select(F.col("own").alias("series_id"), "observation_date", F.array_join("quality_flags", ",").alias("flags"))
 
 
 @query("select * from v_panel")
 def asof_month_end(s, d):
-    return asof.asof_month_end(v.observations(s, d), v.START, v.END)
+    return asof.asof_month_end(v.observations(s, d))
 
 
 @query("""select month_end, max(value) filter (series_id = '1-URGENT') as urgent, max(value) filter (series_id = '2-HIGH') as high from v_panel group by 1""")
 def panel_wide(s, d):
-    return asof.panel_wide(asof.asof_month_end(v.observations(s, d), v.START, v.END), ["1-URGENT", "2-HIGH"]).toDF("month_end", "urgent", "high")
+    return asof.panel_wide(asof.asof_month_end(v.observations(s, d)), ["1-URGENT", "2-HIGH"]).toDF("month_end", "urgent", "high")
 
 
 @query(f"select series_id, observation_date, arg_max(value, vintage) as value, max(vintage) as vintage from v_ledger where vintage <= date '{CUTOFF}' group by all")
@@ -82,9 +128,9 @@ def latest_version(s, d):
     return asof.visible_versions(v.ledger(s, d), CUTOFF).select("series_id", "observation_date", "value", "vintage")
 
 
-@query("select l.series_id, c.month_end, max(observation_date) as observation_date, arg_max(value, (observation_date, vintage)) as value from v_ledger l join v_cal c on vintage <= month_end group by all")
+@query("select l.series_id, c.month_end, max(observation_date) as observation_date, arg_max(value, (observation_date, vintage)) as value from v_ledger l join v_cal_l c on vintage <= month_end group by all")
 def vintage_panel(s, d):
-    return asof.vintage_panel(v.ledger(s, d), v.START, v.END)
+    return asof.vintage_panel(v.ledger(s, d))
 
 
 @query(f"select series_id, vintage, observation_date, value from v_ledger join (select series_id, max(vintage) as vintage from v_ledger where vintage <= date '{CUTOFF}' group by 1) using (series_id, vintage)")
@@ -109,7 +155,7 @@ def fundamentals_asof_dates(s, d):
 
 
 def _transformed(s, d):
-    return factors.transforms(asof.asof_month_end(v.observations(s, d), v.START, v.END), v.config(s))
+    return factors.transforms(asof.asof_month_end(v.observations(s, d)), v.config(s))
 
 
 def _factors(s, d):
@@ -118,7 +164,7 @@ def _factors(s, d):
 
 @query("select factor, component, series_id, month_end, round(x, 6) + 0.0 as x from v_tr")
 def transforms(s, d):
-    return _transformed(s, d).drop("weight")
+    return _transformed(s, d).drop("weight", "min_components")
 
 
 @query("select factor, component, month_end, round(z, 6) as z from v_z")
@@ -138,12 +184,12 @@ def regime(s, d):
 
 @query("select month_end, round(growth, 6) as growth, round(inflation, 6) as inflation, regime from v_regime")
 def country_baseline(s, d):
-    return factors.country_baseline(v.observations(s, d), v.config(s), v.START, v.END)
+    return factors.country_baseline(v.observations(s, d), v.config(s))
 
 
-@query("select factor, component, month_end, round(z * weight / sum(weight) over (partition by factor), 6) as contribution from v_z where z is not null and month_end = (select max(month_end) from v_z)")
+@query("select factor, component, month_end, round(z * weight / sum(weight) over (partition by factor), 6) as contribution from v_z where z is not null and month_end = (select max(month_end) from v_z) and factor in (select factor from v_z where month_end = (select max(month_end) from v_z) group by factor having count(z) >= max(case factor when 'liquidity' then 2 else 2 end))")
 def factor_contributions(s, d):
-    return factors.contributions(factors.expanding_zscore(_transformed(s, d)))
+    return factors.contributions(factors.expanding_zscore(_transformed(s, d)), v.config(s))
 
 
 @query("select factor, month_end, round(score, 6) as score, round(p, 6) as previous, round(score - p, 6) as change from (select *, lag(score) over (partition by factor order by month_end) as p from v_factor where score is not null) qualify row_number() over (partition by factor order by month_end desc) = 1")
@@ -172,7 +218,7 @@ def regime_return_summary(s, d):
 
 
 def _paired(s, d):
-    signal = asof.asof_month_end(v.observations(s, d), v.START, v.END).where("series_id = '1-URGENT'").select("month_end", F.col("value").alias("signal"))
+    signal = asof.asof_month_end(v.observations(s, d)).where("series_id = '1-URGENT'").select("month_end", F.col("value").alias("signal"))
     return research.pairs(signal, research.cross_section(research.forward_returns(v.monthly_prices(s, d))))
 
 
@@ -225,46 +271,56 @@ def price_gaps(s, d):
     return portfolio.price_gaps(v.daily_prices(s, d))
 
 
-FILLS = """select strategy_id, pos + 1 as pos from (select *, row_number() over (order by date) - 1 as pos, lead(date) over (order by date) as nxt from (select distinct date from v_price_w))
-  cross join (values ('even', 'month'), ('half', 'quarter'), ('pair', 'year')) s(strategy_id, u) where pos = 0 or date_trunc(u, date) <> date_trunc(u, nxt)"""
-
-
-@query(f"select strategy_id, cast(pos - 1 as int) as signal_pos from ({FILLS})")
+@query("select strategy_id, cast(pos - 1 as int) as signal_pos from v_sess where fill union select strategy_id, max(pos)::int from v_sess group by 1 having false")
 def rebalance_instructions(s, d):
-    return portfolio.rebalance_instructions(v.strategies(s), portfolio.sessions(v.weekly_prices(s, d)))
+    calendar = portfolio.sessions(v.weekly_prices(s, d), v.strategies(s))
+    last = calendar.groupBy("strategy_id").agg(F.max("pos").alias("end"))
+    return portfolio.rebalance_instructions(v.strategies(s), calendar).join(last, "strategy_id").where("signal_pos < end").select("strategy_id", "signal_pos")
 
 
-@query(f"select strategy_id, cast(pos as int) as pos, date from ({FILLS}) join (select date, row_number() over (order by date) - 1 as pos from (select distinct date from v_price_w)) using (pos)")
+@query("select strategy_id, cast(pos as int) as pos, date from v_sess where fill")
 def fills(s, d):
-    calendar = portfolio.sessions(v.weekly_prices(s, d))
+    calendar = portfolio.sessions(v.weekly_prices(s, d), v.strategies(s))
     return portfolio.fills(portfolio.rebalance_instructions(v.strategies(s), calendar), calendar).select("strategy_id", "pos", "date")
 
 
 def _daily(s, d):
-    return portfolio.backtest_daily(v.weekly_prices(s, d), v.strategies(s))
+    return portfolio.backtest_daily(v.weekly_prices(s, d), v.strategies(s), guard=False)  # the smallest tables have gaps
 
 
-@query()
+@query("select strategy_id, date, round(gross_return, 6) + 0.0 as gross_return, round(net_return, 6) + 0.0 as net_return, round(turnover, 6) as turnover, round(ln(equity), 6) + 0.0 as log_equity, round(drawdown, 6) + 0.0 as drawdown from v_day")
 def backtest_daily(s, d):
-    return _daily(s, d)
+    return _daily(s, d).withColumn("equity", F.log("equity")).withColumnRenamed("equity", "log_equity")
+
 
+METRICS = """select strategy_id, count(*) as n, arg_max(equity, pos) as ending, product(1 + gross_return) - 1 as gross_total_return, stddev_samp(net_return) * sqrt(52) as volatility,
+  avg(net_return) * sqrt(52) / nullif(stddev_samp(net_return), 0) as sharpe, min(drawdown) as max_drawdown, sum(turnover) as turnover, arg_max(equity, pos) - 1 as total_return,
+  power(arg_max(equity, pos), 52.0 / (count(*) - 1)) - 1 as cagr, count(*) - 1 as observations from v_day group by 1"""
 
-@query()
+
+@query(f"""select strategy_id, n, round(ln(ending), 6) as log_ending, round(ln(1 + gross_total_return), 6) as log_gross, round(volatility, 6) as volatility, round(sharpe, 6) as sharpe, round(max_drawdown, 6) as max_drawdown, round(turnover, 6) as turnover,
+  round(ln(1 + total_return), 6) as log_total, round(cagr, 6) as cagr, round(case when max_drawdown < 0 then cagr / -max_drawdown end, 6) as calmar, observations from ({METRICS})""")
 def backtest_metrics(s, d):
-    return portfolio.backtest_metrics(_daily(s, d), 52.0)
+    found = portfolio.backtest_metrics(_daily(s, d), 52.0)
+    logs = [F.log("ending").alias("log_ending"), F.log(1 + F.col("gross_total_return")).alias("log_gross"), F.log(1 + F.col("total_return")).alias("log_total")]
+    return found.select("*", *logs).drop("ending", "gross_total_return", "total_return")
 
 
-@query()
+@query("select strategy_id, cast(date_trunc('month', date) as date) as period, round(product(1 + net_return) - 1, 6) + 0.0 as ret from v_day group by all")
 def monthly_returns(s, d):
     return portfolio.period_returns(_daily(s, d), "month")
 
 
-@query()
+@query("select strategy_id, cast(date_trunc('year', date) as date) as period, round(product(1 + net_return) - 1, 6) + 0.0 as ret from v_day group by all")
 def annual_returns(s, d):
     return portfolio.period_returns(_daily(s, d), "year")
 
 
-@query()
+@query("""with worst as (select strategy_id, min(drawdown) as depth, arg_min(date, (drawdown, date)) as trough from v_day group by 1 having min(drawdown) < 0),
+  tops as (select w.*, greatest(max(equity), 1.0) as top, min(date) as start from worst w join v_day v on v.strategy_id = w.strategy_id and v.date <= w.trough group by all)
+  select t.strategy_id, round(depth, 6) as depth, trough, coalesce(min(date) filter (date <= trough and equity = top), any_value(start)) as peak, min(date) filter (date > trough and equity >= top) as recovery,
+    cast(trough - coalesce(min(date) filter (date <= trough and equity = top), any_value(start)) as int) as days_to_trough, min(date) filter (date > trough and equity >= top) is not null as recovered
+  from tops t join v_day v on v.strategy_id = t.strategy_id group by t.strategy_id, depth, trough""")
 def drawdown_episode(s, d):
     return portfolio.drawdown_episode(_daily(s, d))
 
@@ -298,11 +354,21 @@ def take_profit_triggers(s, d):
     return portfolio.take_profit_triggers(portfolio.unit_nav(_units(s, d), _deposits(s, d)), (0.02, 0.1, 5.0))
 
 
-@query()
+# Bisection by rounds over each account's flows.
+XIRR = """flows as (select account, date, sum(amount) as amount from (select o_custkey as account, cast(o_orderdate as date) as date, -o_totalprice as amount from orders
+    union all select o_custkey, date '2001-12-31', sum(o_totalprice) * (case o_custkey % 3 when 0 then 1.1 when 1 then 0.4 else 60 end) from orders group by 1) group by all),
+  dated as (select account, list(struct_pack(t := (date - start) / 365.25, a := amount)) as f from (select *, min(date) over (partition by account) as start from flows) group by 1),
+  rounds as (select account, f, 0 as k, -0.9999::double as lo, 1e5::double as hi from dated
+    union all select account, f, k + 1, case when worth > 0 then mid else lo end, case when worth > 0 then hi else mid end
+      from (select *, (lo + hi) / 2 as mid, list_sum(list_transform(f, lambda x: x.a * power(1 + (lo + hi) / 2, -x.t))) as worth from rounds where k < 120))"""
+
+
+@query(f"with recursive {XIRR} select account, round(case when (select count(*) from flows l where l.account = r.account) > 1 then (lo + hi) / 2 end, 6) as xirr from rounds r where k = 120")
 def xirr(s, d):
-    """Per customer: orders paid in, and 1.1 times their sum paid out at the end of 2001."""
+    """Per customer: orders paid in, and 1.1, 0.4 or 60 times their sum paid out at the end of 2001."""
     orders = v.table(s, d, "orders").select(F.col("o_custkey").alias("account"), F.col("o_orderdate").cast("date").alias("date"), (-F.col("o_totalprice")).alias("amount"))
-    out = orders.groupBy("account").agg((F.sum("amount") * -1.1).alias("amount")).select("account", F.to_date(F.lit("2001-12-31")).alias("date"), "amount")
+    times = F.when(F.col("account") % 3 == 0, 1.1).when(F.col("account") % 3 == 1, 0.4).otherwise(60.0)
+    out = orders.groupBy("account").agg((F.sum("amount") * -1).alias("amount")).select("account", F.to_date(F.lit("2001-12-31")).alias("date"), (F.col("amount") * times).alias("amount"))
     return portfolio.xirr(orders.unionByName(out))
 
 
@@ -461,3 +527,6 @@ def ohlc_checks(s, d):
 @query("select symbol, count(*) as n, min(date) as first_date, max(date) as last_date, round(min(price), 6) as least, round(max(price), 6) as most from v_price_d group by 1")
 def price_status(s, d):
     return harvest.price_status(v.daily_prices(s, d))
+
+
+from almanac.plans import extended  # noqa: E402, F401

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-START, END = "1993-01-31", "2000-12-31"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,13 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series_id"), F.last_day("o_orderdate").alias("observation_date")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
     digit = F.substring("series_id", 1, 1).cast("int")
-    basis = F.element_at(F.array(*map(F.lit, ("official_release", "official_schedule", "fixed_lag", "unverified", "unknown"))), digit)
+    basis = F.get(F.array(*map(F.lit, ("official_release", "official_schedule", "fixed_lag", "unverified", "unknown"))), digit - 1)
     return by.withColumn("lag_days", digit * 7).withColumn("availability_basis", basis).withColumn("available_date", F.when(digit < 5, F.date_add("observation_date", digit * 7)))
 
 
 def config(spark: SparkSession) -> DataFrame:
-    rows = [("growth", "urgent", "1-URGENT", "yoy", 12, 0.6, 1), ("growth", "high", "2-HIGH", "diff", 3, 0.4, 1), ("inflation", "medium", "3-MEDIUM", "level", 1, 0.5, 1), ("inflation", "unspecified", "4-NOT SPECIFIED", "pct_change", 1, 0.5, -1)]
-    return spark.createDataFrame(rows, "factor string, component string, source string, transform string, periods int, weight double, sign int")
+    rows = [
+        ("growth", "urgent", "1-URGENT", "yoy", None, 0.6, 1, False, None, None),
+        ("growth", "high", "2-HIGH", "diff", 3, 0.4, 1, False, None, None),
+        ("inflation", "medium", "3-MEDIUM", "level", 1, 0.5, 1, False, None, None),
+        ("inflation", "unspecified", "4-NOT SPECIFIED", "pct_change", 1, 0.5, -1, False, None, None),
+        ("liquidity", "half_year", "1-URGENT", "yoy", 6, 0.5, 1, False, None, 2),
+        ("liquidity", "balance", "2-HIGH", "distance_from_50", None, 0.3, 1, False, None, 2),
+        ("liquidity", "real", "3-MEDIUM", "real_rate_proxy", None, 0.2, -1, False, "4-NOT SPECIFIED", 2),
+        ("liquidity", "absent", "6-ABSENT", "level", None, 0.2, 1, True, None, 2),
+    ]
+    return spark.createDataFrame(rows, "factor string, component string, source string, transform string, periods int, weight double, sign int, optional boolean, inflation_source string, min_components int")
 
 
 def _shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +100,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strategies(spark: SparkSession) -> DataFrame:
-    rows = [("even", "monthly", 0.001, {"ECONOMY": 0.25, "LARGE": 0.25, "MEDIUM": 0.25, "SMALL": 0.25}), ("half", "quarterly", 0.0005, {"PROMO": 0.3, "STANDARD": 0.2}), ("pair", "yearly", 0.0, {"ECONOMY": 0.5, "PROMO": 0.5})]
+    rows = [("even", "monthly", 0.001, {"ECONOMY": 0.25, "LARGE": 0.25, "MEDIUM": 0.25, "SMALL": 0.25}), ("half", "quarterly", 0.0005, {"PROMO": 0.3, "STANDARD": 0.2}), ("pair", "annual", 0.0, {"ECONOMY": 0.5, "PROMO": 0.5})]
     return spark.createDataFrame(rows, "strategy_id string, frequency string, cost double, weights map<string, double>")
 
 
@@ -99,16 +108,19 @@ SQL = {
     "v_obs": """select series_id, observation_date, value, d * 7 as lag_days, ['official_release', 'official_schedule', 'fixed_lag', 'unverified', 'unknown'][d] as availability_basis,
         case when d < 5 then observation_date + d * 7 end as available_date
       from (select o_orderpriority as series_id, cast(last_day(o_orderdate) as date) as observation_date, round(sum(o_totalprice), 2) as value, cast(substr(o_orderpriority, 1, 1) as int) as d from orders group by all)""",
-    "v_cal": f"select cast(last_day(m) as date) as month_end from (select unnest(generate_series(date_trunc('month', date '{START}'), date '{END}', interval 1 month)) as m) where last_day(m) between date '{START}' and date '{END}'",
+    "v_cal": "select cast(last_day(m) as date) as month_end from (select a, b, unnest(generate_series(date_trunc('month', a), b, interval 1 month)) as m from (select min(available_date) as a, max(available_date) as b from v_obs)) where last_day(m) between a and b",
+    "v_cal_l": "select cast(last_day(m) as date) as month_end from (select a, b, unnest(generate_series(date_trunc('month', a), last_day(b), interval 1 month)) as m from (select min(vintage) as a, max(vintage) as b from v_ledger)) where last_day(m) between a and last_day(b)",
     "v_panel": """select s.series_id, c.month_end, (select arg_max(value, (available_date, observation_date)) from v_obs o where o.series_id = s.series_id and o.available_date <= c.month_end) as value
       from (select distinct series_id from v_obs) s cross join v_cal c""",
-    "v_cfg": """select * from (values ('growth', 'urgent', '1-URGENT', 'yoy', 12, 0.6::double, 1), ('growth', 'high', '2-HIGH', 'diff', 3, 0.4::double, 1), ('inflation', 'medium', '3-MEDIUM', 'level', 1, 0.5::double, 1),
-      ('inflation', 'unspecified', '4-NOT SPECIFIED', 'pct_change', 1, 0.5::double, -1)) t(factor, component, source, transform, periods, weight, sign)""",
-    "v_tr": """select factor, component, series_id, month_end, weight, sign * case transform when 'level' then value when 'diff' then value - lag(value, 3) over w when 'yoy' then value / nullif(lag(value, 12) over w, 0) - 1 else value / nullif(lag(value, 1) over w, 0) - 1 end as x
-      from v_panel join v_cfg on series_id = source window w as (partition by factor, component order by month_end)""",
+    "v_cfg": """select * from (values ('growth', 'urgent', '1-URGENT', 'yoy', 12, 0.6::double, 1, null, null), ('growth', 'high', '2-HIGH', 'diff', 3, 0.4::double, 1, null, null), ('inflation', 'medium', '3-MEDIUM', 'level', 1, 0.5::double, 1, null, null),
+      ('inflation', 'unspecified', '4-NOT SPECIFIED', 'pct_change', 1, 0.5::double, -1, null, null), ('liquidity', 'half_year', '1-URGENT', 'yoy', 6, 0.5, 1, null, 2), ('liquidity', 'balance', '2-HIGH', 'distance_from_50', 1, 0.3, 1, null, 2),
+      ('liquidity', 'real', '3-MEDIUM', 'real_rate_proxy', 1, 0.2, -1, '4-NOT SPECIFIED', 2), ('liquidity', 'absent', '6-ABSENT', 'level', 1, 0.2, 1, null, 2)) t(factor, component, source, transform, periods, weight, sign, second, least)""",
+    "v_num": "select *, row_number() over (partition by series_id order by month_end) as rn from v_panel",
+    "v_tr": """select factor, component, n.series_id, n.month_end, weight, least, sign * case transform when 'level' then n.value when 'diff' then n.value - b.value when 'distance_from_50' then n.value - 50 when 'real_rate_proxy' then n.value - o.value else n.value / nullif(b.value, 0) - 1 end as x
+      from v_num n join v_cfg on n.series_id = source left join v_num b on b.series_id = n.series_id and b.rn = n.rn - periods left join v_num o on o.series_id = second and o.rn = n.rn""",
     "v_z": """select *, case when count(x) over w >= 36 then (x - avg(x) over w) / nullif(stddev_samp(x) over w, 0) end as z from v_tr
       window w as (partition by factor, component order by month_end rows between unbounded preceding and 1 preceding)""",
-    "v_factor": """select factor, month_end, case when count(z) = 2 then sum(z * weight) / sum(case when z is not null then weight end) end as score from v_z group by all""",
+    "v_factor": """select factor, month_end, case when count(z) >= max(coalesce(least, components)) then sum(z * weight) / sum(case when z is not null then weight end) end as score from v_z join (select factor, count(distinct component) as components from v_tr group by 1) using (factor) group by all""",
     "v_regime": """select month_end, growth, inflation, case when growth is null or inflation is null then null when growth > 0 and inflation <= 0 then 'goldilocks' when growth > 0 then 'reflation' when inflation > 0 then 'stagflation' else 'recession' end as regime
       from (select month_end, max(score) filter (factor = 'growth') as growth, max(score) filter (factor = 'inflation') as inflation from v_factor group by 1)""",
     "v_ship": "select * from lineitem join orders on l_orderkey = o_orderkey where l_shipdate >= o_orderdate",
@@ -131,6 +143,27 @@ SQL = {
     "v_flow": """select s_nationkey as src, c_nationkey as dst, sum(l_extendedprice * (1 - l_discount)) as amount from lineitem join supplier on l_suppkey = s_suppkey join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by all""",
     "v_sig": """select entity, component, score, cast(length(component) as double) as weight, n / sum(n) over (partition by entity) as confidence from
       (select c_nationkey as entity, c_mktsegment as component, avg(c_acctbal) / 1000 as score, count(*) as n from customer group by all)""",
+    "v_strat": """select * from (values ('even', 'month', 0.001::double, ['ECONOMY', 'LARGE', 'MEDIUM', 'SMALL'], [0.25::double, 0.25, 0.25, 0.25]), ('half', 'quarter', 0.0005, ['PROMO', 'STANDARD'], [0.3, 0.2]), ('pair', 'year', 0.0, ['ECONOMY', 'PROMO'], [0.5, 0.5])) t(strategy_id, u, cost, symbols, ws)""",
+    "v_span": "select strategy_id, max(a) as a, min(b) as b from (select strategy_id, symbol, min(date) as a, max(date) as b from v_price_d join (select strategy_id, unnest(symbols) as symbol from v_strat) using (symbol) group by all) group by 1",
+    "v_price_m_w": "select asset as symbol, month_end as date from v_price_m",
+    # Prices of each strategy's sessions as lists in the order of its symbols.
+    "v_sess": """select strategy_id, cost, ws, date, p, pos, pos = 1 or date_trunc(u, d1) <> date_trunc(u, date) and pos > 1 as fill from
+      (select *, row_number() over (partition by strategy_id order by date) - 1 as pos, lag(date) over (partition by strategy_id order by date) as d1 from
+        (select strategy_id, any_value(u) as u, any_value(cost) as cost, any_value(ws) as ws, date, list(price order by symbol) as p from v_price_w join (select *, unnest(symbols) as symbol from v_strat) using (symbol) group by strategy_id, date having count(*) = len(any_value(symbols))))""",
+    # A loop over days: mark to the close, then trade to the target and pay the fee.
+    "v_loop": """select strategy_id, date, pos, ws, 1.0::double as equity, 1.0::double as opening, 1.0::double as marked, 0.0::double as turnover, 1.0::double as cash, list_transform(ws, lambda w: 0.0::double) as units, list_transform(ws, lambda w: 0.0::double) as held, list_transform(ws, lambda w: 0.0::double) as before from v_sess where pos = 0
+      union all
+      select s.strategy_id, s.date, s.pos, s.ws, m.after, l.equity, m.marked, m.turnover, case when s.fill then m.after * (1 - list_sum(s.ws)) else l.cash end,
+        case when s.fill then list_transform(range(1, len(s.ws) + 1), lambda i: s.ws[i] * m.after / s.p[i]) else l.units end,
+        case when s.fill then s.ws else list_transform(range(1, len(s.ws) + 1), lambda i: l.units[i] * s.p[i] / m.marked) end, l.held
+      from v_loop l join v_sess s on s.strategy_id = l.strategy_id and s.pos = l.pos + 1,
+        lateral (select l.cash + list_sum(list_transform(range(1, len(s.ws) + 1), lambda i: l.units[i] * s.p[i])) as marked) v,
+        lateral (select v.marked as marked, case when s.fill then list_sum(list_transform(range(1, len(s.ws) + 1), lambda i: abs(s.ws[i] - l.units[i] * s.p[i] / v.marked))) else 0.0 end as turnover) t,
+        lateral (select t.marked as marked, t.turnover as turnover, t.marked * (1 - t.turnover * s.cost) as after) m""",
+    "v_day": """select strategy_id, date, pos, marked / opening - 1 as gross_return, equity / opening - 1 as net_return, turnover, equity,
+      equity / greatest(max(equity) over (partition by strategy_id order by pos), 1.0) - 1 as drawdown from v_loop""",
+    "v_weight": """select strategy_id, date, pos, symbol, effective, ending from (select strategy_id, date, pos, unnest(symbols) as symbol, unnest(before) as effective, unnest(held) as ending from v_loop join (select strategy_id, symbols from v_strat) using (strategy_id))
+      union all select strategy_id, date, pos, 'CASH', greatest(1 - list_sum(before), 0), greatest(1 - list_sum(held), 0) from v_loop""",
     "v_dep": """select date, 100.0 as amount from (select max(date) as date from (select distinct date from v_session) group by date_trunc('week', date + 2))""",
     "v_units": """select symbol, date, price, sum(coalesce(amount, 0) * 0.2 / price) over (partition by symbol order by date rows unbounded preceding) as units from v_session left join v_dep using (date)""",
     "v_nav": """select date, equity, flow, nav from (select *, exp(sum(ln(g)) over (order by date rows unbounded preceding)) as nav from
@@ -143,11 +176,15 @@ def sql(final: str) -> str:
     """A statement with all views that it names, directly or through others, defined before it."""
     needed: list[str] = []
 
-    def want(text: str) -> None:
+    def want(text: str, own: str = "") -> None:
         for name, body in SQL.items():
-            if name in text.replace("(", " ").replace(")", " ").replace(",", " ").split() and name not in needed:
-                want(body)
+            if name != own and name in re.findall(r"\w+", text) and name not in needed:
+                want(body, name)
                 needed.append(name)
 
     want(final)
-    return ("with " + ",\n".join(f"{n} as ({SQL[n]})" for n in needed) + "\n" if needed else "") + final
+    own = re.match(r"\s*with(?:\s+recursive)?\s", final)
+    parts = [f"{n} as ({SQL[n]})" for n in needed]
+    if own:  # the statement's own views follow
+        return "with recursive " + ",\n".join(parts + [final[own.end() :]])
+    return ("with recursive " + ",\n".join(parts) + "\n" if parts else "") + final

@@ -55,7 +55,7 @@ def test_restatement_is_seen_only_later(spark):
 
 def test_contract_violations(spark):
     rows = [("s", D(2024, 11, 30), D(2024, 11, 1), "official_release", 1.0), ("s", D(2024, 12, 31), None, "fixed_lag", None), ("s", D(2024, 12, 31), D(2025, 1, 2), "unknown", 1.0), ("s", D(2025, 1, 31), D(2025, 2, 2), "odd", 1.0)]
-    df = spark.createDataFrame(rows, "series_id string, observation_date date, available_date date, availability_basis string, value double")
+    df = spark.createDataFrame(rows, "series_id string, observation_date date, available_date date, availability_basis string, value double").withColumn("availability_evidence_url", F.lit("https://example.org/e"))
     assert sorted(r.rule for r in contracts.violations(df).collect()) == ["bad_basis", "basis_without_date", "duplicate_date", "look_ahead", "missing_value", "unknown_with_date"]
     with pytest.raises(ValueError):
         contracts.require(contracts.violations(df))
@@ -63,7 +63,7 @@ def test_contract_violations(spark):
 
 def looped(days, prices, strategy, lag=1):
     """Equity by session: holdings drift, fills trade at the close and pay a fee."""
-    unit = {"monthly": lambda x: (x.year, x.month), "quarterly": lambda x: (x.year, (x.month - 1) // 3), "yearly": lambda x: x.year}[strategy.frequency]
+    unit = {"monthly": lambda x: (x.year, x.month), "quarterly": lambda x: (x.year, (x.month - 1) // 3), "annual": lambda x: x.year}[strategy.frequency]
     signals = {0} | {i - 1 for i in range(1, len(days)) if unit(days[i]) != unit(days[i - 1])}
     cash, held, out = 1.0, {}, []
     for i, day in enumerate(days):
@@ -91,9 +91,10 @@ def test_backtest_equals_a_loop_over_days(spark):
 
 
 def test_xirr(spark):
-    rows = [("a", D(2020, 1, 1), -100.0), ("a", D(2024, 1, 1), 146.41), ("b", D(2020, 1, 1), 5.0)]
+    rows = [("a", D(2020, 1, 1), -100.0), ("a", D(2024, 1, 1), 146.41), ("b", D(2020, 1, 1), 5.0), ("up", D(2020, 1, 1), -1.0), ("up", D(2021, 1, 1), 50.0), ("loan", D(2020, 1, 1), 100.0), ("loan", D(2021, 1, 1), -110.0)]
     got = {r.account: r.xirr for r in portfolio.xirr(spark.createDataFrame(rows, "account string, date date, amount double")).collect()}
     assert got["a"] == pytest.approx(0.10, abs=1e-3) and got["b"] is None
+    assert got["up"] == pytest.approx(50 ** (365.25 / 366) - 1, rel=1e-6) and got["loan"] == pytest.approx(0.10, abs=1e-3)
 
 
 def test_reverse_dcf_inverts_dcf(spark):
