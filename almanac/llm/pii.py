@@ -35,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE, SUPPORT = 0.8, 2
 #: Slots of the map of wanted terms that each task holds, half a megabyte; terms that share a slot are told apart by a join afterwards.
 SLOTS = 1 << 22
+#: Rows of terms, or of texts with their terms, that a join may broadcast.
+MOST_TERMS = 100_000
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -142,7 +144,7 @@ def read_texts(docs: DataFrame) -> DataFrame:
 
 
 class Wanted:
-    """The slots of a table of terms as bits, gathered by Spark in words of 64, and a cache of looked-up terms."""
+    """The slots of a table of terms as bits, gathered by Spark in words of 64, and a memory of looked-up terms."""
 
     def __init__(self, terms: DataFrame):
         slot = F.pmod(F.crc32("term"), F.lit(SLOTS))
@@ -150,18 +152,24 @@ class Wanted:
         self.bits = np.zeros(SLOTS // 64, np.int64)
         rows = words.toPandas()  # at most SLOTS / 64
         self.bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-        self.known: dict[str, bool] = {}
-
-    def __contains__(self, term: str) -> bool:
-        hit = self.known.get(term)
-        if hit is None:
+        self.yes: set[str] = set()
+        self.no: set[str] = set()
+
+    def of(self, terms: set[str]) -> set[str]:
+        """Those of the terms whose slot is wanted; answers for short terms are kept."""
+        left = terms - self.no
+        found = left & self.yes
+        for term in left - found:
             slot = zlib.crc32(term.encode()) % SLOTS
             hit = bool(int(self.bits[slot >> 6]) >> (slot & 63) & 1)
+            if hit:
+                found.add(term)
             if len(term) <= 64:
-                if len(self.known) > 200_000:
-                    self.known.clear()
-                self.known[term] = hit
-        return hit
+                kept = self.yes if hit else self.no
+                if len(kept) > 200_000:
+                    kept.clear()
+                kept.add(term)
+        return found
 
 
 def document_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -174,12 +182,12 @@ def document_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             counts: Counter[str] = Counter()
             for text in b["text"]:
                 if text:
-                    counts.update(t for t in distinct_terms(text, base_spans(text)) if t in there)
+                    counts.update(there.of(distinct_terms(text, base_spans(text))))
             if counts:
                 yield pd.DataFrame({"term": list(counts.keys()), "n": list(counts.values())})
 
     counted = docs.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return checked_join(counted, wanted, "term", "left_semi")
+    return checked_join(counted, wanted, "term", "left_semi", limit=MOST_TERMS)
 
 
 def _documents_of(name: str) -> list[Column]:
@@ -203,7 +211,7 @@ def disclosing_terms(docs: DataFrame, read: DataFrame, disclosure: float = DISCL
     frequency = document_frequency(docs, terms.where(F.col("n_inside") <= few).select("term")).where(F.col("n") <= few * (1 + 1e-9))
     terms = cut(terms.join(frequency, "term"), "rare-terms")
     group = ["inside_1", "inside_2", "n_inside", "n"]
-    named = checked_join(within, terms, "term", "inner").select("key", *group).distinct()
+    named = checked_join(within, terms, "term", "inner", limit=MOST_TERMS).select("key", *group).distinct()
     pairs = held.join(named, "key").where(F.col("n") <= reach * (1 + 1e-9))
     both = pairs.groupBy("entity_1", "entity_2", "n_entity", *group).agg(F.sum("copies").alias("n_both")).where(f"n_both >= {support}")
     rows = F.lit(float(max(total, 1)))
@@ -221,16 +229,19 @@ def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for key, text in zip(b["key"], b["text"], strict=True):
-                places: dict[str, list[dict[str, int]]] = {}
-                for m in terms_of(text, base_spans(text)) if text else ():
-                    if (term := m[0].lower()) in there:
-                        places.setdefault(term, []).append({"start": m.start(), "end": m.end()})
+                spans = base_spans(text)
+                if not (wanted := there.of(distinct_terms(text, spans))):
+                    continue
+                places: dict[str, list[dict[str, int]]] = {term: [] for term in wanted}
+                for m in terms_of(text, spans):
+                    if (term := m[0].lower()) in wanted:
+                        places[term].append({"start": m.start(), "end": m.end()})
                 rows += [(key, term, at) for term, at in places.items()]
             if rows:
                 yield pd.DataFrame(rows, columns=["key", "term", "at"])
 
     seen = docs.select(text_key().alias("key"), "text").where("text is not null").mapInPandas(run, "key binary, term string, at array<struct<start: long, end: long>>")
-    exact = checked_join(seen, found.select("term"), "term", "left_semi")
+    exact = checked_join(seen, found.select("term"), "term", "left_semi", limit=MOST_TERMS)
     each = exact.groupBy("key", "term").agg(F.first("at").alias("at"))  # copies of a text have the same places
     return cut(each.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("terms")), "term-spans")  # a text's own words
 
@@ -248,7 +259,7 @@ def scan(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["kind"]], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    out = checked_join(read.select("doc_id", "key", "spans"), terms, "key", "left", limit=100_000)
+    out = checked_join(read.select("doc_id", "key", "spans"), terms, "key", "left", limit=MOST_TERMS)
     more = F.transform(F.coalesce("terms", F.array().cast("array<struct<start: bigint, end: bigint>>")), lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("kind"), x["end"].alias("end")))
     everything = F.array_sort(F.concat("spans", more))
     return out.select(
@@ -281,5 +292,5 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
             done.append("".join(out) + text[at:] if out else text)
         return pd.Series(done, dtype=object)
 
-    keyed = checked_join(docs.withColumn("_pii_key", text_key()), terms, "_pii_key", "left", limit=100_000)
+    keyed = checked_join(docs.withColumn("_pii_key", text_key()), terms, "_pii_key", "left", limit=MOST_TERMS)
     return keyed.withColumn("text", clean("text", "_pii_start", "_pii_end")).select(*docs.columns)
