@@ -427,10 +427,17 @@ def _suppliers(s, d):
     return v.table(s, d, "supplier").withColumn("n", F.col("s_suppkey"))
 
 
-@query("select company_id, round(tax_rate, 6) as tax_rate, round(ebit * (1 - tax_rate), 6) as nopat, round(ebit * (1 - tax_rate) + 10 - 5, 6) as fcff, case when company_id % 7 = 0 then 'missing_metric' when company_id % 5 = 0 then 'no_pretax_income' end as reason from (select s_suppkey as company_id, s_acctbal as ebit, case when s_suppkey % 7 <> 0 and s_suppkey % 5 <> 0 then 20.0::double / (s_suppkey % 5 * 100) end as tax_rate from supplier)")
+@query("""select company_id, round(tax_rate, 6) as tax_rate, round(ebit * (1 - tax_rate), 6) as nopat, round(ebit * (1 - tax_rate) + 10 - 5 - company_id % 3, 6) as fcff, case when company_id % 7 = 0 then 'missing_metric' when company_id % 11 = 0 then 'available_before_period_end' when company_id % 5 = 0 then 'no_pretax_income' end as reason
+  from (select s_suppkey as company_id, s_acctbal as ebit, case when s_suppkey % 7 <> 0 and s_suppkey % 11 <> 0 and s_suppkey % 5 <> 0 then 20.0::double / (s_suppkey % 5 * 100) end as tax_rate from supplier)""")
 def fcff(s, d):
-    wide = _suppliers(s, d).select(F.col("n").alias("company_id"), F.when(F.expr("n % 7 <> 0"), F.col("s_acctbal")).alias("ebit"), (F.expr("n % 5") * 100.0).alias("pretax_income"), F.lit(20.0).alias("tax_expense"), F.lit(10.0).alias("depreciation"), F.lit(5.0).alias("capex"))
-    return valuation.fcff(wide).select("company_id", "tax_rate", "nopat", "fcff", "reason")
+    n = F.col("n")
+    values = F.create_map(
+        F.lit("operating_income"), F.when(n % 7 != 0, F.col("s_acctbal").cast("double")), F.lit("pretax_income"), n % 5 * 100.0, F.lit("income_tax"), F.lit(20.0), F.lit("depreciation_amortization"), F.lit(10.0),
+        F.lit("capex"), F.lit(5.0), F.lit("accounts_receivable_change"), (n % 3).cast("double"),
+    )
+    day = F.to_date(F.lit("2020-12-31"))
+    facts = _suppliers(s, d).select(n.alias("company_id"), day.alias("period_end"), F.when(n % 11 == 0, F.date_sub(day, 1)).otherwise(F.date_add(day, 60)).alias("available_date"), F.explode(values).alias("metric", "value"))
+    return valuation.fcff(valuation.fcff_parts(facts.where("value is not null"))).select("company_id", "tax_rate", "nopat", "fcff", "reason")
 
 
 def _dcf_rows(s, d):
@@ -440,40 +447,97 @@ def _dcf_rows(s, d):
 DCF = "(list_sum([100 * power(1 + g, y) / power(1.1, y) for y in [1, 2, 3, 4, 5]]) + 100 * power(1 + g, 5) * 1.03 / 0.07 / power(1.1, 5) - 50)"
 
 
-@query(f"select company_id, case when k > 0 then round({DCF} / k, 6) end as value_per_share from (select s_suppkey as company_id, (s_suppkey % 9) / 100.0::double as g, s_suppkey % 11 as k from supplier)")
+@query(f"select company_id, case when k > 0 then round({DCF} / k, 6) end as value_per_share, case when k = 0 then 'shares_not_positive' end as reason from (select s_suppkey as company_id, (s_suppkey % 9) / 100.0::double as g, s_suppkey % 11 as k from supplier)")
 def dcf(s, d):
-    return valuation.dcf(_dcf_rows(s, d)).select("company_id", "value_per_share")
+    return valuation.dcf(_dcf_rows(s, d)).select("company_id", "value_per_share", "reason")
 
 
-@query("select s_suppkey as company_id, case when s_suppkey % 11 > 0 then round((s_suppkey % 9) / 100.0::double, 6) end as implied_growth from supplier")
+@query("""select s_suppkey as company_id, case when s_suppkey % 11 > 0 and s_suppkey % 13 <> 0 and s_suppkey % 17 <> 0 then round((s_suppkey % 9) / 100.0::double, 6) end as implied_growth,
+  case when s_suppkey % 11 = 0 then 'shares_not_positive' when s_suppkey % 17 = 0 then 'bad_price' when s_suppkey % 13 = 0 then 'price_out_of_range' end as reason from supplier""")
 def reverse_dcf(s, d):
-    return valuation.reverse_dcf(valuation.dcf(_dcf_rows(s, d)).where("shares > 0").withColumnRenamed("value_per_share", "price")).select("company_id", "implied_growth").unionByName(_dcf_rows(s, d).where("shares = 0").select("company_id", F.lit(None).cast("double").alias("implied_growth")))
+    n = F.col("company_id")
+    price = F.when(n % 17 == 0, -1.0).when(n % 13 == 0, 1e9).otherwise(F.col("value_per_share"))
+    return valuation.reverse_dcf(valuation.dcf(_dcf_rows(s, d)).withColumn("price", price)).select("company_id", "implied_growth", "reason")
 
 
-@query("select s_suppkey as company_id, s_acctbal >= 0 and s_acctbal <= 5000 as valid, round(5000 / (100.0::double + s_suppkey) - 1, 6) as margin from supplier")
+@query("select s_suppkey as company_id, s_acctbal >= 0 and s_acctbal <= 5000 and s_suppkey % 4 <> 0 as valid, round(5000 / (100.0::double + s_suppkey) - 1, 6) as margin from supplier")
 def valuation_band(s, d):
-    band = _suppliers(s, d).select(F.col("n").alias("company_id"), F.col("s_acctbal").alias("low"), F.lit(5000.0).alias("base"), F.lit(9000.0).alias("high"), (F.col("n") + 100.0).alias("price"))
+    band = _suppliers(s, d).select(F.col("n").alias("company_id"), F.col("s_acctbal").alias("low"), F.lit(5000.0).alias("base"), F.lit(9000.0).alias("high"), (F.col("n") + 100.0).alias("price"), F.when(F.col("n") % 4 == 0, 1.5).otherwise(0.9).alias("confidence"))
     return valuation.valuation_band(band).select("company_id", "valid", "margin")
 
 
-@query("select company_id, array_to_string(list_sort(list_filter(['ebit', 'pretax_income', 'tax_expense', 'depreciation', 'capex'], lambda m: not list_contains(have, m))), ',') as missing from (select l_suppkey as company_id, list(distinct case l_returnflag when 'A' then 'ebit' when 'N' then 'capex' else 'depreciation' end) as have from lineitem group by 1)")
+@query("""with kinds as (select n_nationkey as company_id, ['general', 'high_growth', 'bank', 'insurance', 'reit', 'commodity', 'other'][n_nationkey % 7 + 1] as kind from nation),
+  never as (select * from (values ('bank', ['operating_income', 'depreciation_amortization', 'capex']), ('insurance', ['operating_income', 'depreciation_amortization', 'capex']), ('reit', ['depreciation_amortization'])) t(kind, gone))
+  select company_id, array_to_string(list_sort(list_filter(['operating_income', 'pretax_income', 'income_tax', 'depreciation_amortization', 'capex'], lambda m: list_contains(coalesce(gone, []), m) or m = 'income_tax' and company_id % 2 = 0)), ',') as missing from kinds left join never using (kind)""")
 def fcff_support(s, d):
-    metric = F.when(F.col("l_returnflag") == "A", "ebit").when(F.col("l_returnflag") == "N", "capex").otherwise("depreciation")
-    facts = v.table(s, d, "lineitem").select(F.col("l_suppkey").alias("company_id"), metric.alias("metric"))
-    return valuation.fcff_support(facts).select("company_id", F.array_join("missing", ",").alias("missing"))
+    companies = _kinds(s, d)
+    facts = companies.select("company_id", F.explode(F.array(*map(F.lit, valuation.REQUIRED))).alias("metric")).where("metric <> 'income_tax' or company_id % 2 = 1")
+    return valuation.fcff_support(facts, companies).select("company_id", F.array_join("missing", ",").alias("missing"))
 
 
-@query("select company_id, cast(generate_subscripts(m, 1) - 1 as int) as place, unnest(m) as method from (select s_suppkey as company_id, case s_suppkey % 3 when 0 then ['fcff_dcf', 'reverse_dcf'] when 1 then ['residual_income'] else ['affo', 'nav'] end as m from supplier)")
+def _kinds(s, d):
+    kinds = F.array(*map(F.lit, ("general", "high_growth", "bank", "insurance", "reit", "commodity", "other")))
+    return v.table(s, d, "nation").select(F.col("n_nationkey").alias("company_id"), F.get(kinds, (F.col("n_nationkey") % 7).cast("int")).alias("business_type"))
+
+
+@query("""select company_id, cast(generate_subscripts(m, 1) - 1 as int) as place, unnest(m) as method from (select n_nationkey as company_id, case n_nationkey % 7 when 0 then ['dcf', 'reverse_dcf'] when 1 then ['reverse_dcf', 'dcf'] when 2 then ['residual_income'] when 3 then ['embedded_value'] when 4 then ['affo_nav'] when 5 then ['normalized_cycle'] end as m from nation)
+  where m is not null union all select n_nationkey, null, null from nation where n_nationkey % 7 = 6""")
 def method_routing(s, d):
-    kind = F.element_at(F.array(F.lit("operating"), F.lit("bank"), F.lit("property")), (F.expr("n % 3") + 1).cast("int"))
-    return valuation.method_routing(_suppliers(s, d).select(F.col("n").alias("company_id"), kind.alias("business_type")))
+    return valuation.method_routing(_kinds(s, d))
+
+
+# Filings by tag: the seven tags of the balance sheet and those of cash flow, dealt over suppliers by line and quarter.
+FILED = """filed as (select l_suppkey as company_id, ['CashAndCashEquivalentsAtCarryingValue', 'ShortTermInvestments', 'MarketableSecuritiesCurrent', 'AvailableForSaleSecurities', 'LongTermInvestments', 'LongTermDebtNoncurrent', 'LongTermDebtCurrent', 'OperatingIncomeLoss',
+    'IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItemsNoncontrollingInterest', 'IncomeTaxExpenseBenefit', 'DepreciationAmortizationAndAccretionNet', 'PaymentsToAcquirePropertyPlantAndEquipment', 'IncreaseDecreaseInInventories', 'Assets'][l_partkey % 14 + 1] as metric,
+    cast(last_day(date_trunc('year', l_shipdate) + interval 11 month) as date) as period_end, cast(last_day(date_trunc('year', l_shipdate) + interval 11 month) as date) + 60 + cast(l_linenumber as int) * 20 as available_date, round(sum(l_extendedprice), 2) as value
+  from lineitem group by all)"""
+
+
+def _filed(s, d):
+    tags = [*valuation.LIQUID_TAGS.values(), *valuation.DEBT_TAGS.values(), *(valuation.TAGS[c] for c in (*valuation.REQUIRED, "inventory_change")), "Assets"]
+    end = F.last_day(F.add_months(F.date_trunc("year", "l_shipdate").cast("date"), 11))
+    rows = v.table(s, d, "lineitem").select(F.col("l_suppkey").alias("company_id"), F.get(F.array(*map(F.lit, tags)), (F.col("l_partkey") % 14).cast("int")).alias("metric"), end.alias("period_end"), F.date_add(end, 60 + F.col("l_linenumber").cast("int") * 20).alias("available_date"), "l_extendedprice")
+    return rows.groupBy("company_id", "metric", "period_end", "available_date").agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
+
+
+BALANCE = "bal as (select *, metric like '%Debt%' as debt from filed where metric in ('CashAndCashEquivalentsAtCarryingValue', 'ShortTermInvestments', 'MarketableSecuritiesCurrent', 'AvailableForSaleSecurities', 'LongTermInvestments', 'LongTermDebtNoncurrent', 'LongTermDebtCurrent'))"
 
 
-@query("select company_id, round(sum(case when metric = 'debt' then x else -x end), 2) as net_debt from (select company_id, case when metric like 'A%' then 'debt' else 'cash' end as metric, arg_max(value, (period_end, available_date, value)) as x from v_fund where metric like 'A%' or metric like 'R%' group by 1, 2) group by 1", 2)
+@query(f"""with {FILED}, {BALANCE}, now as (select company_id, metric, any_value(debt) as debt, arg_max(value, available_date) as value from bal where (company_id, period_end) in (select company_id, max(period_end) from bal group by 1) group by all)
+  select company_id, round(coalesce(sum(value) filter (debt), 0), 2) as debt, round(coalesce(sum(value) filter (not debt), 0), 2) as liquid, round(coalesce(sum(value) filter (debt), 0) - coalesce(sum(value) filter (not debt), 0), 2) as net_debt, cast(7 - count(*) as int) as missing from now group by 1""", 2)
 def net_debt(s, d):
-    facts = v.fundamentals(s, d).where("metric like 'A%' or metric like 'R%'").withColumn("metric", F.when(F.col("metric").like("A%"), "debt").otherwise("cash"))
-    one = facts.groupBy("company_id", "metric", "period_end", "available_date").agg(F.max("value").alias("value"))
-    return valuation.net_debt(one)
+    return valuation.net_debt(_filed(s, d)).withColumn("missing", F.size("missing"))
+
+
+VALUED = f"""{FILED}, {BALANCE}, kinds as (select s_suppkey as company_id, ['general', 'bank', 'commodity', 'reit', 'general', 'general'][s_suppkey % 6 + 1] as kind, 1000.0::double + s_suppkey % 5 as shares, 200.0::double + s_suppkey % 90 as price from supplier),
+  known as (select company_id, metric, period_end, max(available_date) as available_date, arg_max(value, available_date) as value from filed where available_date <= date '{CUTOFF}' group by all),
+  parts as (select company_id, period_end, max(value) filter (metric = 'OperatingIncomeLoss') as ebit, max(value) filter (metric like 'IncomeLoss%') as pretax, max(value) filter (metric = 'IncomeTaxExpenseBenefit') as tax, max(value) filter (metric like 'Depreciation%') as da,
+    max(value) filter (metric like 'Payments%') as capex, coalesce(max(value) filter (metric like '%Inventories'), 0) as wc from known join kinds using (company_id) where kind in ('general', 'commodity') group by all),
+  cash as (select company_id, max(period_end) as period_end, arg_max(ebit * (1 - tax / pretax) + da - capex - wc, period_end) as fcff from parts where ebit is not null and pretax is not null and tax is not null and da is not null and capex is not null group by 1),
+  debt as (select company_id, sum(case when debt then value else -value end) as net_debt from (select company_id, metric, any_value(metric like '%Debt%') as debt, arg_max(value, available_date) as value from known where (company_id, period_end) in
+    (select company_id, max(period_end) from known where metric in (select metric from bal) group by 1) and metric in (select metric from bal) group by all) group by 1),
+  sup as (select company_id, array_to_string(list_sort(list_filter(['operating_income', 'pretax_income', 'income_tax', 'depreciation_amortization', 'capex'], lambda c: not list_contains(coalesce(have, []), c))), ',') as missing from kinds left join
+    (select company_id, list(distinct case when metric = 'OperatingIncomeLoss' and kind <> 'bank' then 'operating_income' when metric like 'IncomeLoss%' then 'pretax_income' when metric = 'IncomeTaxExpenseBenefit' then 'income_tax' when metric like 'Depreciation%' and kind in ('general', 'commodity') then 'depreciation_amortization'
+      when metric like 'Payments%' and kind <> 'bank' then 'capex' end) as have from known join kinds using (company_id) group by 1) using (company_id)),
+  val as (select k.company_id, period_end, fcff, coalesce(net_debt, 0) as net_debt, shares, price, missing,
+      list_transform([0.02::double, 0.03, 0.04], lambda g: (list_sum([fcff * power(1 + g, y) / power(1.1, y) for y in [1, 2, 3, 4, 5]]) + fcff * power(1 + g, 5) * 1.02 / 0.08 / power(1.1, 5) - coalesce(net_debt, 0)) / shares) as b
+    from kinds k left join cash using (company_id) left join debt using (company_id) left join sup using (company_id))"""
+
+
+@query(f"""with recursive {VALUED}, rounds as (select company_id, fcff, net_debt, shares, price, 0 as k, -0.5::double as lo, 1.0::double as hi from val where fcff is not null
+    union all select company_id, fcff, net_debt, shares, price, k + 1, case when p < price then mid else lo end, case when p < price then hi else mid end from (select *, (lo + hi) / 2 as mid,
+      (list_sum([fcff * power(1 + (lo + hi) / 2, y) / power(1.1, y) for y in [1, 2, 3, 4, 5]]) + fcff * power(1 + (lo + hi) / 2, 5) * 1.02 / 0.08 / power(1.1, 5) - net_debt) / shares as p from rounds where k < 60)),
+  edge as (select company_id, (list_sum([fcff * power(0.5, y) / power(1.1, y) for y in [1, 2, 3, 4, 5]]) + fcff * power(0.5, 5) * 1.02 / 0.08 / power(1.1, 5) - net_debt) / shares <= price and (list_sum([fcff * power(2, y) / power(1.1, y) for y in [1, 2, 3, 4, 5]]) + fcff * power(2, 5) * 1.02 / 0.08 / power(1.1, 5) - net_debt) / shares >= price as inside from val where fcff is not null)
+  select company_id, period_end, round(fcff, 4) as fcff, round(net_debt, 4) as net_debt, round(b[1], 4) as low, round(b[2], 4) as base, round(b[3], 4) as high, b[1] >= 0 and b[1] <= b[2] and b[2] <= b[3] as valid, round(b[2] / price - 1, 4) as margin,
+    round(case when inside then (lo + hi) / 2 end, 4) as implied_growth, case when missing <> '' then 'unsupported: ' || missing when fcff is null then 'no_full_period' end as reason
+  from val left join edge using (company_id) left join (select company_id, lo, hi from rounds where k = 60) using (company_id)""", 4)
+def company_values(s, d):
+    """Facts to bands: filings as known at a date, cash flow, net debt, value, implied growth."""
+    filings = _filed(s, d).withColumnRenamed("available_date", "filed").withColumn("unit", F.lit("USD")).withColumn("ordinal", F.lit(0))
+    kinds = F.array(*map(F.lit, ("general", "bank", "commodity", "reit", "general", "general")))
+    n = F.col("s_suppkey")
+    companies = v.table(s, d, "supplier").select(n.alias("company_id"), F.get(kinds, (n % 6).cast("int")).alias("business_type"), (1000.0 + n % 5).alias("shares"), (200.0 + n % 90).alias("price"))
+    return valuation.value_companies(filings, companies, CUTOFF)
 
 
 @query("select holder, date, round(f, 6) as flow from (select *, stock - lag(stock) over (partition by holder order by date) - stock * 0.01 - 1 as f from v_stock) where f is not null")

@@ -1,4 +1,4 @@
-"""The ledger as a stream: validated micro-batches appended once, whatever is retried."""
+"""The ledger as a stream: validated micro-batches appended once, whatever is retried, and an as-of view kept up to date."""
 
 from __future__ import annotations
 
@@ -6,28 +6,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from almanac.operators.ledger import append_changes
+from almanac.operators.asof import asof_month_end
+from almanac.operators.ledger import KEY, append_changes
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that a ledger accepts, and the rest for quarantine."""
+    """Rows that a ledger accepts, and the rest for quarantine: key and value there, official rows proven, unknown ones undated, addresses http(s)."""
+    has = set(df.columns)
     ok = F.col("series_id").isNotNull() & F.col("observation_date").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value")
+    if "availability_basis" in has:
+        dated, basis = F.col("available_date").isNotNull(), F.col("availability_basis")
+        evidence = F.coalesce("availability_evidence_url", F.lit("")).rlike("^https?://") if "availability_evidence_url" in has else F.lit(True)
+        ok = ok & F.when(basis == "official_release", dated & evidence).when(basis == "unknown", ~dated).otherwise(dated)
+    if "source_value_url" in has:
+        ok = ok & F.coalesce("source_value_url", F.lit("")).rlike("^https?://")
     ok = F.coalesce(ok, F.lit(False))
     return df.where(ok), df.where(~ok)
 
 
-def stream_ledger(spark: SparkSession, source: str, schema: str, ledger: str, quarantine: str, checkpoint: str) -> StreamingQuery:
+def stored_versions(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """The stored rows of the batch's keys alone; the series of the batch prune the folders of a ledger that is partitioned by series."""
+    key = ["series_id", "observation_period"] if "observation_period" in batch.columns else KEY
+    return stored.join(batch.select(*key).distinct(), key, "left_semi")
+
+
+def stream_ledger(spark: SparkSession, source: str, schema: str, ledger: str, quarantine: str, checkpoint: str, processed: str | None = None) -> StreamingQuery:
     """Append new and changed rows of landed files to the ledger. Late rows are kept; they show from their vintage on.
 
-    A repeated batch finds its rows stored and appends nothing.
+    A row is compared with the stored rows of its key and with the rows of its key before it in the batch, so one that comes twice is
+    appended once, and a repeated batch finds its rows stored and appends nothing. The ledger is partitioned by series.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         good, bad = split_valid(batch)
-        stored = spark.read.schema(schema).parquet(ledger)
-        append_changes(good, stored).write.mode("append").parquet(ledger)
+        stored = stored_versions(spark.read.schema(schema).parquet(ledger), good)
+        append_changes(good, stored, processed).write.mode("append").partitionBy("series_id").parquet(ledger)
         bad.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(quarantine)
+        batch.unpersist()
 
-    spark.createDataFrame([], schema).write.mode("append").parquet(ledger)
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("series_id").parquet(ledger)
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_asof(spark: SparkSession, source: str, schema: str, observations: str, view: str, checkpoint: str, end: str) -> StreamingQuery:
+    """The month-end as-of panel as a view: each batch of observations is stored, and the panels of its series are built anew from the first month it touches.
+
+    Months before a batch's first release date can't change, so they are read from the view; other series are not read at all.
+    """
+
+    def refresh(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy("series_id").parquet(f"{observations}/batch={batch_id}")
+        touched = batch.where("available_date is not null").groupBy("series_id").agg(F.min("available_date").alias("since"))
+        every = spark.read.option("basePath", observations).schema(schema).parquet(observations)
+        series = every.join(F.broadcast(touched.select("series_id")), "series_id", "left_semi") if touched.limit(100_001).count() <= 100_000 else every.join(touched.select("series_id"), "series_id", "left_semi")
+        panel = asof_month_end(series, end=end)
+        fresh = panel.join(touched, "series_id").where("month_end >= since").select("series_id", "month_end", "value").withColumn("batch_id", F.lit(batch_id))
+        fresh.write.mode("append").parquet(view)
+
+    stream = spark.readStream.schema(schema).parquet(source)
+    return stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_asof_view(spark: SparkSession, view: str) -> DataFrame:
+    """(series_id, month_end, value): of each month what the last batch that touched it found."""
+    rows = spark.read.schema("series_id string, month_end date, value double, batch_id long").parquet(view)
+    return rows.groupBy("series_id", "month_end").agg(F.max_by("value", "batch_id").alias("value"))
