@@ -1,12 +1,27 @@
-"""Release pages to fields and values; price and bar checks."""
+"""Release pages to classified, dated and valued rows; price and bar checks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DATE = "(20[0-9]{2})[-/.年]([0-9]{1,2})[-/.月]([0-9]{1,2})"
-RISE, FALL, FLAT = "上涨|增长|上升", "下降|下跌", "持平"
+DATE = r"(?<!\d)(20\d{2})\s*[-/.年]\s*(\d{1,2})\s*[-/.月]\s*(\d{1,2})"
+#: Words of movement before a percentage.
+RISE, FALL, FLAT = ("增长", "上涨", "上升"), ("下降", "下跌", "减少", "回落"), ("持平",)
+PERCENT = r"\s*([+-]?[\d,]+(?:\.\d+)?)\s*%"
+#: What titles of releases hold, in order of precedence, what they must not hold, and the phrase that a value follows.
+RELEASES = (
+    ("pmi_new_orders", "中国采购经理指数运行情况", None, None),
+    ("industrial_production", "规模以上工业增加值", "利润", "规模以上工业增加值"),
+    ("retail_sales", "社会消费品零售总额", None, "社会消费品零售总额"),
+    ("fixed_asset_investment", "固定资产投资", "房地产", "固定资产投资"),
+    ("cpi", "居民消费价格", None, "居民消费价格"),
+    ("ppi", "工业生产者出厂价格", None, "工业生产者出厂价格"),
+    ("tsf_stock", "社会融资规模存量统计数据报告", None, "社会融资规模存量"),
+    ("money", "金融统计数据报告", None, None),
+)
+#: Characters after a phrase within which its value stands.
+WINDOW, CORE_WINDOW, MONEY_WINDOW, STOCK_WINDOW, DECEMBER_WINDOW, DECEMBER_VALUE_WINDOW = 280, 180, 420, 300, 300, 180
 
 
 def first_date(text: Column) -> Column:
@@ -15,19 +30,58 @@ def first_date(text: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", part[0], F.lpad(part[1], 2, "0"), F.lpad(part[2], 2, "0")), "yyyy-MM-dd")
 
 
+def decoded(text: Column) -> Column:
+    """Text with the usual character references replaced."""
+    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
+
+
+def squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D\u00a0\u3000]+", " "))
+
+
+def visible_text(html: Column) -> Column:
+    """The text of a page without scripts, styles and tags."""
+    bare = F.regexp_replace(html, r"(?s)<(script|style)\b[^>]*>.*?</(script|style)>", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, "<[^>]*>", " "), r"[\x20\x09-\x0D]+", " "))
+
+
 def page_fields(pages: DataFrame) -> DataFrame:
     """(page_id, title, heading, n_links, text_chars)."""
-    bare = F.regexp_replace("html", r"(?s)<(script|style)\b[^>]*>.*?</(script|style)>", "")
-    text = F.trim(F.regexp_replace(F.regexp_replace(bare, "<[^>]*>", " "), r"[\x20\x09-\x0D]+", " "))
     return pages.select(
         "page_id",
         F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"),
         F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1).alias("heading"),
         F.regexp_count("html", F.lit('<a href="')).alias("n_links"),
-        F.length(text).alias("text_chars"),
+        F.length(visible_text(F.col("html"))).alias("text_chars"),
     )
 
 
+def _meta(name: str) -> Column:
+    tag = F.regexp_extract("html", rf"(?is)<meta\b[^>]*\bname\s*=\s*[\"']?{name}[\"']?[^>]*>", 0)
+    return F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*[\"']([^\"']*)[\"']", 1)
+
+
+def _block(opening: str) -> Column:
+    """The content of the first division whose tag fits, up to the next division's end after it; inner divisions are flattened before."""
+    return F.regexp_extract("html", rf"(?is)<div\b[^>]*{opening}[^>]*>(.*?)(?:</div>\s*(?:<div\b(?![^>]*{opening})|</body|</html|<script|<footer|$)|$)", 1)
+
+
+def release_pages(pages: DataFrame) -> DataFrame:
+    """(url, title, published, body, text, page_count) of pages (url, html).
+
+    The title is the article's meta title, or else the first heading; the date the meta publication date, or else that of the title block; the
+    body the article block.
+    """
+    heading = visible_text(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))
+    title = squeezed(decoded(F.coalesce(F.nullif(F.trim(_meta("articletitle")), F.lit("")), heading)))
+    published = F.coalesce(first_date(_meta("pubdate")), first_date(visible_text(_block(r"class\s*=\s*[\"'][^\"']*detail-title-des"))))
+    body = squeezed(decoded(visible_text(_block(r"(?:id\s*=\s*[\"']?zoom|class\s*=\s*[\"'][^\"']*trs_editor)"))))
+    count = F.regexp_extract(F.regexp_extract("html", r"(?is)<input\b[^>]*article_paging_list_hidden[^>]*>", 0), r"(?i)totalpages?\s*=\s*[\"']?(\d+)", 1)
+    return pages.select("url", title.alias("title"), published.alias("published"), body.alias("body"), squeezed(decoded(visible_text(F.col("html")))).alias("text"), count.try_cast("int").alias("page_count"))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, href, title): one row per address of a page, the longest title wins."""
     found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)">([^<]*)</a>'), F.lit(0))
@@ -36,26 +90,155 @@ def page_links(pages: DataFrame) -> DataFrame:
     return parts.groupBy("page_id", "href").agg(F.max(F.struct(F.length("title").alias("n"), "title")).alias("t")).select("page_id", "href", F.col("t.title").alias("title"))
 
 
+def resolved(base: Column, href: Column) -> Column:
+    """An address in full: of the page's host if it starts with a slash, of the page's folder otherwise; dot segments are taken away."""
+    root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(?:/.*/|/)?)", 1)
+    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
+    joined = F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), F.regexp_replace(href, r"^(?:\./)+", ""))
+    up = joined
+    for _ in range(4):  # as deep as listings refer upwards
+        up = F.regexp_replace(up, r"(?<!:/)(?<!:)/[^/]+/\.\./", "/")
+    return F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(root, href)).otherwise(up)
+
+
+def candidate_links(links: DataFrame, prefix: str, first_year: int | None = None, last_year: int | None = None) -> DataFrame:
+    """(url, title) of links (base, href, title) whose full address has a path under ``prefix`` and, if years are given, whose title names one of them; the longest title of an address wins."""
+    rows = links.where(F.trim("title") != "").withColumn("url", resolved(F.col("base"), F.col("href")))
+    rows = rows.where(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1).startswith(prefix), F.lit(False)))
+    if first_year is not None:
+        rows = rows.where(F.regexp_extract("title", r"(?<!\d)(20\d{2})年", 1).try_cast("int").between(first_year, last_year))
+    return rows.groupBy("url").agg(F.max(F.struct(F.length(F.trim("title")).alias("n"), F.trim("title").alias("title"))).alias("t")).select("url", F.col("t.title").alias("title"))
+
+
+def release_class(title: Column) -> Column:
+    """The series that a release's title announces; null for another title."""
+    out = F.lit(None).cast("string")
+    for name, words, never, _ in reversed(RELEASES):
+        fits = title.contains(words) & (~title.contains(never) if never else F.lit(True))
+        out = F.when(fits, name).otherwise(out)
+    return out
+
+
+def _year(title: Column) -> Column:
+    return F.nullif(F.regexp_extract(title, r"(?<!\d)(20\d{2})年", 1), F.lit(""))
+
+
+def period_months(title: Column) -> tuple[Column, Column, Column]:
+    """(year, first month, last month) as text that a title names; null where it names none.
+
+    Months 1 to n jointly, the first three quarters, a first quarter, a first half, a month, or December for an annual money report.
+    """
+    year = _year(title)
+    rest = F.regexp_extract(title, r"(?<!\d)20\d{2}年(.*)$", 1)
+    joint = r"(\d{1,2})\s*[—–－-]\s*(\d{1,2})月"
+    begins, ends = F.regexp_extract(rest, joint, 1).try_cast("int"), F.regexp_extract(rest, joint, 2).try_cast("int")
+    is_joint = (begins == 1) & ends.between(1, 12)
+    named = F.when(rest.rlike("前三季度|前三季"), 9).when(rest.contains("一季度"), 3).when(rest.contains("上半年"), 6)
+    month = F.regexp_extract(rest, r"(\d{1,2})月", 1).try_cast("int")
+    single = F.coalesce(named, month, F.when(rest.contains("金融统计数据报告"), 12))
+    last = F.when(F.coalesce(is_joint, F.lit(False)), ends).otherwise(F.when(single.between(1, 12), single))
+    return year, F.when(F.coalesce(is_joint, F.lit(False)), F.lit(1)).otherwise(last), last
+
+
+def _month_end(year: Column, month: Column) -> Column:
+    return F.last_day(F.try_to_date(F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lit("01")), "yyyy-MM-dd"))
+
+
 def release_period(title: Column) -> Column:
-    """Last day of the period that a title names: a month, months 1 to n, a half or quarters."""
-    year = F.regexp_extract(title, "(20[0-9]{2})年", 1)
-    joint, month = F.regexp_extract(title, "年1[—－-]([0-9]{1,2})月", 1), F.regexp_extract(title, "年([0-9]{1,2})月", 1)
-    named = F.when(joint != "", joint).when(title.contains("前三季度"), "9").when(title.contains("上半年"), "6").when(title.contains("一季度"), "3").when(month != "", month).when(title.contains("年"), "12")
-    return F.when(year != "", F.last_day(F.try_to_date(F.concat_ws("-", year, F.lpad(named, 2, "0"), F.lit("01")), "yyyy-MM-dd")))
+    """Last day of the period that a title names; an annual report on the stock of social financing is December's."""
+    year, _, last = period_months(title)
+    annual = F.when(title.rlike("20\\d{2}年社会融资规模存量统计数据报告"), 12)
+    month = F.coalesce(last, annual)
+    return F.when(year.isNotNull() & month.isNotNull(), _month_end(year, month))
 
 
-def signed_percent(text: Column, phrase: str) -> Column:
-    """The percentage after a phrase, negative after a word for a fall, 0 for unchanged."""
-    pattern = f"{phrase}[^。]*?({RISE}|{FALL}|{FLAT})([0-9.,]*)%?"
-    word, number = F.regexp_extract(text, pattern, 1), F.regexp_replace(F.regexp_extract(text, pattern, 2), ",", "")
-    return F.when(word.rlike(FLAT), 0.0).when(word != "", number.try_cast("double") * F.when(word.rlike(FALL), -1).otherwise(1))
+def signed_percent(text: Column, phrase: str | None = None, window: int = WINDOW, also: tuple[str, ...] = ()) -> Column:
+    """The first percentage after a word of movement, within ``window`` characters of a phrase's end if one is given: negative after a fall, 0 for unchanged."""
+    tail = text if phrase is None else F.regexp_extract(text, rf"(?s){phrase}(.{{0,{window}}})", 1)
+    pattern = f"({'|'.join((*RISE, *also, *FALL, *FLAT))}){PERCENT}"
+    word, number = F.regexp_extract(tail, pattern, 1), F.regexp_replace(F.regexp_extract(tail, pattern, 2), ",", "").try_cast("double")
+    return F.when(word.isin(*FLAT), 0.0).when(word.isin(*FALL), -F.abs(number)).when(word != "", number)
+
+
+def release_values(pages: DataFrame) -> DataFrame:
+    """(url, series, title, published, observation_date, observation_period, value) of release pages (url, title, published, body); value is null where none is found.
+
+    A page on consumer prices has a row for core prices if it states them, one on money a row for M1 and M2. Retail sales of joint or
+    cumulative periods are a series of their own; an annual retail release counts for December, with December's value.
+    """
+    title, body = F.col("title"), F.col("body")
+    kind = release_class(title)
+    year, first, last = period_months(title)
+    december = F.when(kind == "fixed_asset_investment", 12).when((kind == "retail_sales") & body.rlike(r"12\s*月份"), 12).when((kind == "tsf_stock") & title.rlike("20\\d{2}年社会融资规模存量统计数据报告"), 12)
+    rows = pages.withColumn("kind", kind).withColumn("year", year).withColumn("annual", last.isNull() & december.isNotNull())
+    rows = rows.withColumn("last", F.coalesce(last, december)).withColumn("first", F.coalesce(first, december)).where("kind is not null and year is not null and last is not null")
+    joint = F.col("first") < F.col("last")
+    series = F.when((F.col("kind") == "retail_sales") & joint, "retail_sales_ytd").otherwise(F.col("kind"))
+    month = F.concat_ws("-", "year", F.lpad(F.col("last").cast("string"), 2, "0"))
+    period = F.when(joint, F.concat(F.col("year"), F.lit("-01/"), month)).otherwise(month)
+    value = F.lit(None).cast("double")
+    for name, _, _, phrase in RELEASES:
+        if phrase and name != "tsf_stock":
+            value = F.when(F.col("kind") == name, F.coalesce(signed_percent(body, phrase), signed_percent(title, phrase, 1000))).otherwise(value)
+    value = F.when(F.col("kind") == "tsf_stock", signed_percent(body, "社会融资规模存量", STOCK_WINDOW)).otherwise(value)
+    orders = F.regexp_extract(body, r"新订单指数\s*(?:为|是|：|:)?\s*(\d+(?:\.\d+)?)\s*%?", 1).try_cast("double")
+    value = F.when(F.col("kind") == "pmi_new_orders", orders).otherwise(value)
+    in_december = F.regexp_extract(body, rf"(?s)12\s*月份(.{{0,{DECEMBER_WINDOW}}})", 1)
+    value = F.when(F.col("annual") & (F.col("kind") == "retail_sales"), signed_percent(in_december, "社会消费品零售总额", DECEMBER_VALUE_WINDOW)).otherwise(value)
+    cells = [F.struct(series.alias("series"), value.alias("value"))]
+    core = signed_percent(body, r"核心\s*(?i:CPI)(?:指数)?", CORE_WINDOW)
+    cpi = F.array(*cells, F.struct(F.lit("core_cpi").alias("series"), core.alias("value")))
+    aggregate = [F.struct(F.lit(f"m{n}").alias("series"), signed_percent(F.regexp_extract(body, rf"(?s)[Mm]\s*[_{{（(]?\s*{n}\s*[}}）)]?(.{{0,{MONEY_WINDOW}}})", 1), also=("增加",)).alias("value")) for n in (1, 2)]
+    found = F.when(F.col("kind") == "money", F.array(*aggregate)).when((F.col("kind") == "cpi") & core.isNotNull(), cpi).otherwise(F.array(*cells))
+    out = rows.withColumn("period", period).withColumn("end", _month_end(F.col("year"), F.col("last"))).select("url", "title", "published", F.col("end").alias("observation_date"), F.col("period").alias("observation_period"), F.explode(found).alias("c"))
+    return out.select("url", "c.series", "title", "published", "observation_date", "observation_period", "c.value")
+
+
+def snapshot_rows(values: DataFrame) -> DataFrame:
+    """Observations of valued releases: official where the page is dated, with the page as evidence, of unknown date otherwise."""
+    dated = F.col("published").isNotNull()
+    return values.where("value is not null").select(
+        F.col("series").alias("series_id"),
+        "observation_date",
+        "observation_period",
+        F.col("published").alias("available_date"),
+        F.when(dated, "official_release").otherwise("unknown").alias("availability_basis"),
+        F.when(dated, F.col("url")).otherwise("").alias("availability_evidence_url"),
+        F.col("url").alias("source_value_url"),
+        "value",
+        F.col("title").alias("source_title"),
+    )
+
+
+def harvest(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages (url, html) to snapshot rows, the releases whose value was not found, and coverage by series."""
+    read = release_pages(pages)
+    values = release_values(read.withColumn("body", F.coalesce(F.nullif("body", F.lit("")), "text")))
+    rows = snapshot_rows(values)
+    return rows, values.where("value is null").select("series", "title", "url"), harvest_coverage(rows)
+
+
+def harvest_coverage(rows: DataFrame) -> DataFrame:
+    """Per series: distinct observations, first and last, and rows with and without a release date."""
+    return rows.groupBy("series_id").agg(
+        F.count_distinct("observation_date").alias("observations"),
+        F.min("observation_date").alias("first_date"),
+        F.max("observation_date").alias("last_date"),
+        F.count("available_date").alias("dated"),
+        F.count(F.when(F.col("available_date").isNull(), 1)).alias("undated"),
+    )
 
 
 def completed_month_close(bars: DataFrame) -> DataFrame:
     """(symbol, date, close): last close of each month but the newest, which may be unfinished."""
     by = bars.groupBy("symbol", F.date_trunc("month", "date").cast("date").alias("month")).agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"))
-    newest = by.groupBy("symbol").agg(F.max("month").alias("newest"))
-    return by.join(F.broadcast(newest), "symbol").where("month < newest").select("symbol", "date", "close")
+    return by.withColumn("newest", F.max("month").over(Window.partitionBy("symbol"))).where("month < newest").select("symbol", "date", "close")
+
+
+def estimated_closes(closes: DataFrame) -> DataFrame:
+    """Closes as observations that are taken to be known a day later."""
+    return closes.select(F.col("symbol").alias("series_id"), F.col("date").alias("observation_date"), F.col("close").alias("value"), F.date_add("date", 1).alias("available_date"), F.lit("fixed_lag").alias("availability_basis"))
 
 
 def ohlc_checks(bars: DataFrame) -> DataFrame:
@@ -65,6 +248,55 @@ def ohlc_checks(bars: DataFrame) -> DataFrame:
     return by.withColumn("duplicates", F.col("n") - F.col("dates")).drop("dates")
 
 
+#: The columns of a bar file.
+BAR_COLUMNS = ("DATE", "OPEN", "HIGH", "LOW", "CLOSE")
+
+
+def bar_date(text: Column) -> Column:
+    """A date written M/D/Y or as ISO text; null otherwise."""
+    return F.coalesce(F.try_to_date(text, "M/d/yyyy"), F.try_to_date(text, "yyyy-MM-dd"))
+
+
+def validate_ohlc(raw: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Typed bars of text columns DATE, OPEN, HIGH, LOW, CLOSE, and (rule, at) of what is wrong with them.
+
+    Rules: another header, a date of neither format or twice, a price that is no positive number, a high below its low, fewer than ``least`` rows.
+    """
+    if tuple(raw.columns) != BAR_COLUMNS:
+        raise ValueError(f"bars have the columns {raw.columns}, not {list(BAR_COLUMNS)}")
+    price = "decimal(18,6)"
+    bars = raw.select(F.col("DATE").alias("at"), bar_date(F.trim("DATE")).alias("date"), *[F.trim(c).try_cast(price).alias(c.lower()) for c in BAR_COLUMNS[1:]])
+    prices = [F.col(c.lower()) for c in BAR_COLUMNS[1:]]
+    rules = {"bad_date": F.col("date").isNull(), "bad_price": ~F.coalesce(F.least(*prices) > 0, F.lit(False)) | F.greatest(*[p.isNull() for p in prices]), "high_below_low": F.col("high") < F.col("low")}
+    rows = bars.select(F.explode(F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in rules.items()]))).alias("rule"), "at")
+    twice = bars.where("date is not null").groupBy("date").count().where("count > 1").select(F.lit("duplicate_date").alias("rule"), F.col("date").cast("string").alias("at"))
+    short = bars.agg(F.count("*").alias("n")).where(F.col("n") < least).select(F.lit("too_few_rows").alias("rule"), F.col("n").cast("string").alias("at"))
+    return bars.drop("at"), rows.unionByName(twice).unionByName(short)
+
+
+def select_close(bars: DataFrame, field: str = "Close") -> DataFrame:
+    """(symbol, date, price) of a vendor's long table (field, ticker, time, value): one field, dates without their zone. A table without it is an error to the caller: it is empty."""
+    return bars.where(F.col("field") == field).where("value is not null").select(F.col("ticker").alias("symbol"), F.col("time").cast("date").alias("date"), F.col("value").cast("double").alias("price"))
+
+
 def price_status(prices: DataFrame) -> DataFrame:
     """(symbol, n, first_date, last_date, least, most)."""
     return prices.groupBy("symbol").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.min("price").alias("least"), F.max("price").alias("most"))
+
+
+def price_report(prices: DataFrame, configured: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+    """Every configured or present symbol: start, end, observations, a quality class, and the hash of its file where an inventory (symbol, sha256) is given.
+
+    Quality: missing without prices, invalid with a price that is not positive or a date twice, present_not_configured, or ok.
+    """
+    by = prices.groupBy("symbol").agg(
+        F.count("*").alias("n"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        (F.count("*") - F.count_distinct("date") + F.count(F.when(~F.coalesce(F.col("price") > 0, F.lit(False)), 1))).alias("faults"),
+    )
+    wanted = configured.select(F.upper(F.trim("symbol")).alias("symbol"), F.lit(True).alias("configured")).distinct()
+    out = wanted.join(by, "symbol", "full")
+    quality = F.when(F.col("n").isNull(), "missing").when(F.col("faults") > 0, "invalid").when(F.col("configured").isNull(), "present_not_configured").otherwise("ok")
+    out = out.select("symbol", "first_date", "last_date", F.coalesce("n", F.lit(0)).alias("n"), quality.alias("quality"))
+    return out if inventory is None else out.join(inventory.select("symbol", "sha256"), "symbol", "left")

@@ -78,7 +78,7 @@ def ledger_changes(batch: DataFrame, ledger: DataFrame, processed: str | None =
     order = ["vintage", *[c for c in ("retrieved_at",) if c in ledger.columns]]
     arrival = F.col("arrival") if "arrival" in batch.columns else F.lit(0)
     stored = latest(ledger, key, *order).withColumn("_tag", F.lit(0)).withColumn("_at", F.lit(None).cast("long"))
-    rows = batch.drop("arrival").withColumn("_tag", F.lit(1)).withColumn("_at", arrival.cast("long"))
+    rows = batch.withColumn("_tag", F.lit(1)).withColumn("_at", arrival.cast("long")).drop("arrival")
     both = rows.unionByName(stored, allowMissingColumns=True)
     w = Window.partitionBy(*key).orderBy("_tag", F.col("_at").asc_nulls_first(), "value", *compared)
     before = F.lag(F.struct(F.lit(True).alias("there"), "value", *compared)).over(w)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from almanac.operators import asof, factors, portfolio, research
+from almanac.operators import asof, factors, ledger, portfolio, research
 from almanac.plans import views as v
 from almanac.plans.base import CUTOFF, query
 
@@ -298,3 +298,122 @@ def panel_hash(s, d):
     lines = v.table(s, d, "lineitem").join(v.table(s, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     counts = lines.groupBy(F.col("p_type").alias("symbol"), F.col("l_shipdate").cast("date").alias("date")).agg(F.count("*").cast("double").alias("price"))
     return portfolio.panel_hash(counts, v.strategies(s))
+
+
+AS_OF = "1998-06-30"
+VERSIONS = f"ver as (select * from v_watch where available_date <= date '{AS_OF}' and vintage <= date '{AS_OF}' qualify row_number() over (partition by series_id, observation_period order by vintage desc, landed desc) = 1)"
+
+
+@query("""select 'official_unproven' as rule, series_id, observation_period from v_watch where availability_basis = 'official_release' and m = 3 union all select 'unknown_with_date', series_id, observation_period from v_watch where availability_basis = 'unknown' and m = 4
+  union all select 'value', series_id, observation_period from v_watch where m = 5 union all select 'source_url', series_id, observation_period from v_watch where m = 6 union all select 'unit_missing', series_id, observation_period from v_watch where m = 7 union all select 'date_missing', series_id, observation_period from v_watch where m = 9""")
+def record_violations(s, d):
+    m, rows = F.month("observation_date"), v.watch(s, d)
+    rows = rows.withColumn("availability_evidence_url", F.when(m == 3, None).otherwise(F.col("availability_evidence_url"))).withColumn("value", F.when(m != 5, F.col("value")))
+    rows = rows.withColumn("source_value_url", F.when(m == 6, "ftp://x").otherwise(F.col("source_value_url"))).withColumn("unit", F.when(m == 7, " ").otherwise(F.col("unit")))
+    rows = rows.withColumn("available_date", F.when(m == 4, F.coalesce("available_date", "observation_date")).when(m == 9, None).otherwise(F.col("available_date"))).withColumn("availability_basis", F.when(m == 9, "fixed_lag").otherwise(F.col("availability_basis")))
+    return ledger.record_violations(rows)
+
+
+@query(f"""with {VERSIONS}, months as (select distinct series_id, unnest(generate_series(strptime(substr(observation_period, 1, 7) || '-01', '%Y-%m-%d'), strptime(right(observation_period, 7) || '-01', '%Y-%m-%d'), interval 1 month)) as month from ver where month(observation_date) % 5 <> 0),
+  gone as (select series_id, month from (select series_id, unnest(generate_series(min(month), max(month), interval 1 month)) as month from months group by 1) except select series_id, month from months)
+  select series_id, array_to_string(list(strftime(month, '%Y-%m') order by month)[1:10], ',') as months, count(*) > 10 as truncated, cast(count(*) as int) as n from gone group by 1""")
+def missing_months(s, d):
+    rows = ledger.current_versions(v.watch(s, d), AS_OF).where("month(observation_date) % 5 <> 0")
+    return ledger.missing_months(rows, 10).withColumn("months", F.array_join("months", ","))
+
+
+@query("""with have as (select distinct series_id, observation_date as month_end, observation_period from v_watch where m % 5 <> 0),
+  gone as (select series_id, cast(last_day(m) as date) as month_end from (select series_id, unnest(generate_series(date_trunc('month', min(month_end)), max(month_end), interval 1 month)) as m from have group by 1) except select series_id, month_end from have)
+  select series_id, month_end, case when exists (select 1 from have h where h.series_id = g.series_id and h.month_end = last_day(g.month_end + interval 1 day) and h.observation_period like '%/%') then 'structural' else 'unresolved' end as gap from gone g""")
+def classified_gaps(s, d):
+    return ledger.classified_gaps(v.watch(s, d).where("month(observation_date) % 5 <> 0"))
+
+
+@query(f"""with {VERSIONS}, old as (select *, lag(value) over w as p, row_number() over (partition by series_id order by available_date desc, observation_period desc) as k from ver window w as (partition by series_id order by available_date, observation_period)), fin as (select * from old where k = 1)
+  select 'stale_series' as finding, series_id, observation_period, cast(date '{AS_OF}' - available_date as double) as amount from fin where date '{AS_OF}' - available_date > 75
+  union all select 'unusual_publication_lag', series_id, observation_period, cast(available_date - observation_date as double) from fin where available_date - observation_date > 45
+  union all select 'large_change', series_id, observation_period, round(value - p, 6) from fin where abs(value - p) >= case series_id when 'A' then 1e12 else 10 end
+  union all select 'missing_periods', series_id, string_agg(strftime(month, '%Y-%m'), ',' order by month), count(*) from (select series_id, month from (select series_id, unnest(generate_series(min(a), max(b), interval 1 month)) as month from per group by 1) except select series_id, unnest(generate_series(a, b, interval 1 month)) from per) group by 2
+  union all select 'methodology_change_review', series_id, observation_period, null from v_watch where m = 7
+  union all select 'large_revision', series_id, strftime(observation_date, '%Y-%m'), round(value - p, 6) from ev where p is not null and abs(value - p) >= case series_id when 'A' then 1e12 else 10 end
+  union all select case when p is null then 'new_release' else 'historical_revision' end, null, null, count(*) from ev group by all
+  union all select 'unknown_release_dates', null, null, count(*) filter (availability_basis = 'unknown') from v_watch""".replace("fin as (select * from old where k = 1)", "fin as (select * from old where k = 1), per as (select series_id, strptime(substr(observation_period, 1, 7) || '-01', '%Y-%m-%d') as a, strptime(right(observation_period, 7) || '-01', '%Y-%m-%d') as b from ver), ev as (select series_id, observation_date, value, lag(value) over (partition by series_id, observation_date order by vintage) as p from v_ledger where month(observation_date) = 3)"))
+def quality_audit(s, d):
+    """Findings at a date, with the revisions of March as the events."""
+    from pyspark.sql import Window
+
+    march = v.ledger(s, d).where("month(observation_date) = 3").withColumn("old_value", F.lag("value").over(Window.partitionBy("series_id", "observation_date").orderBy("vintage")))
+    events = march.select(F.when(F.col("old_value").isNull(), "new_release").otherwise("historical_revision").alias("event"), "series_id", F.date_format("observation_date", "yyyy-MM").alias("observation_period"), "old_value", F.col("value").alias("new_value"))
+    return ledger.quality_audit(v.watch(s, d), events, AS_OF, {"A": 1e12})
+
+
+STATUS = f"""sset as (select unnest(['A', 'N', 'R', 'X']) as series_id), elig as (select *, greatest(available_date, vintage) as eff from v_watch where availability_basis = 'official_release' and greatest(available_date, vintage) <= date '{AS_OF}'),
+  cur as (select * from elig qualify row_number() over (partition by series_id, observation_period order by vintage desc, landed desc) = 1)"""
+
+
+@query(f"""with {STATUS}, seq as (select *, lag(value) over (partition by series_id order by observation_date, eff) as p, row_number() over (partition by series_id order by observation_date desc, eff desc) as k from cur where series_id <> 'A'),
+  und as (select * from v_watch where availability_basis = 'unknown' and landed <= date '{AS_OF}' qualify row_number() over (partition by series_id order by landed desc, observation_date desc) = 1), un2 as (select 'A' as series_id, observation_period, value from und)
+  select s.series_id, case when q.series_id is not null then 'available' when u.series_id is not null then 'unknown_release_date' else 'not_collected' end as status, coalesce(q.observation_period, u.observation_period) as observation_period, coalesce(q.value, u.value) as value, q.p as previous, round(q.value - q.p, 6) as change
+  from sset s left join (select * from seq where k = 1) q using (series_id) left join un2 u using (series_id)""")
+def metric_status(s, d):
+    """Series A has only the undated rows of R, X has none."""
+    rows = v.watch(s, d).where("series_id <> 'A'")
+    rows = rows.where("series_id <> 'R' or availability_basis <> 'unknown'").unionByName(rows.where("series_id = 'R' and availability_basis = 'unknown'").withColumn("series_id", F.lit("A")))
+    return ledger.metric_status(rows, s.createDataFrame([("A",), ("N",), ("R",), ("X",)], "series_id string"), AS_OF)
+
+
+@query(f"""with {STATUS} select 4::bigint as configured, (select count(distinct series_id) from cur) as with_official, (select string_agg(series_id, ',' order by series_id) from sset where series_id not in (select series_id from cur)) as without_official,
+  (select count(*) from cur) as official_rows, round((select avg((evidence_url like 'http%')::int) from cur), 6) as evidence_rate, (select count(*) from v_watch where availability_basis = 'unknown') as unknown_rows, (select max(landed) from v_watch) as updated""")
+def report_coverage(s, d):
+    found = ledger.report_coverage(v.watch(s, d), s.createDataFrame([("A",), ("N",), ("R",), ("X",)], "series_id string"), AS_OF)
+    return found.withColumn("without_official", F.array_join("without_official", ",")).withColumn("updated", F.col("updated_at").cast("date")).drop("updated_at")
+
+
+@query("select series_id, count(*) as n_rows, min(observation_date) as first_date, max(observation_date) as last_date, count(*) filter (availability_basis = 'official_release') as official, count(*) filter (availability_basis = 'unknown') as unknown, count(nullif(evidence_url, '')) as with_evidence, median(available_date - observation_date) as median_lag from v_watch group by 1")
+def snapshot_profile(s, d):
+    return ledger.snapshot_profile(v.watch(s, d))
+
+
+MACRO = [("growth", "accepted", "A", "yoy", 12, 1.0, 1, None), ("inflation", "noted", "N", "diff", 1, 0.5, 1, 1), ("inflation", "returned", "R", "level", None, 0.5, -1, 1)]
+
+
+@query(f"""with {STATUS}, cal as (select cast(last_day(m) as date) as month_end from (select unnest(generate_series(date_trunc('month', min(vintage)), date '{AS_OF}', interval 1 month)) as m from elig)),
+  pan as (select series_id, month_end, arg_max(value, (observation_date, vintage)) as value from elig join cal on vintage <= month_end group by all), num as (select *, row_number() over (partition by series_id order by month_end) as rn from pan),
+  tr as (select 'growth' as factor, 'accepted' as component, a.month_end, 1.0::double as weight, a.value / nullif(b.value, 0) - 1 as x from num a left join num b on b.series_id = a.series_id and b.rn = a.rn - 12 where a.series_id = 'A'
+    union all select 'inflation', 'noted', a.month_end, 0.5, a.value - b.value from num a left join num b on b.series_id = a.series_id and b.rn = a.rn - 1 where a.series_id = 'N' union all select 'inflation', 'returned', month_end, 0.5, -value from num where series_id = 'R'),
+  z as (select *, case when count(x) over w >= 12 then (x - avg(x) over w) / nullif(stddev_samp(x) over w, 0) end as z from tr window w as (partition by component order by month_end rows between unbounded preceding and 1 preceding)),
+  fac as (select factor, month_end, case when count(z) >= 1 then sum(z * weight) / sum(case when z is not null then weight end) end as score from z group by all),
+  reg as (select month_end, case when g > 0 and i <= 0 then 'goldilocks' when g > 0 then 'reflation' when i > 0 then 'stagflation' else 'recession' end as regime from (select month_end, max(score) filter (factor = 'growth') as g, max(score) filter (factor = 'inflation') as i from fac group by 1) where g is not null and i is not null)
+  select 'factors' as section, factor as name, 'available' as status, round(score, 6) as value, round(p, 6) as previous, round(score - p, 6) as change, case when score > 0 then 'above_expanding_mean' else 'below_expanding_mean' end as note
+    from (select *, lag(score) over (partition by factor order by month_end) as p from fac where score is not null) qualify row_number() over (partition by factor order by month_end desc) = 1
+  union all select 'contributions', factor || '/' || component, null, round(z * weight / sum(weight) over (partition by factor), 6), null, null, null from z where z is not null and month_end = (select max(month_end) from z)
+  union all select 'regime', regime, 'available', null, null, null, p from (select *, lag(regime) over (order by month_end) as p from reg) qualify row_number() over (order by month_end desc) = 1
+  union all select 'metrics', series_id, case when v is null then 'not_collected' else 'available' end, v, p, round(v - p, 6), per from sset left join (select series_id, value as v, lag(value) over (partition by series_id order by observation_date, eff) as p, observation_period as per, row_number() over (partition by series_id order by observation_date desc, eff desc) as k from cur qualify k = 1) using (series_id)
+  union all select 'coverage', unnest(['configured', 'with_official', 'official_rows', 'evidence_rate', 'unknown_rows']), null, unnest([4, (select count(distinct series_id) from cur), (select count(*) from cur), (select round(avg((evidence_url like 'http%')::int), 6) from cur), (select count(*) from v_watch where availability_basis = 'unknown')]), null, null, null""")
+def macro_report(s, d):
+    """All sections but quality, which ``quality_audit`` covers."""
+    config = s.createDataFrame(MACRO, "factor string, component string, source string, transform string, periods int, weight double, sign int, min_components int")
+    events = s.createDataFrame([], "event string, series_id string, observation_period string, old_value double, new_value double")
+    series = s.createDataFrame([("A",), ("N",), ("R",), ("X",)], "series_id string")
+    return ledger.macro_report(v.watch(s, d), events, config, series, AS_OF, 12).where("section <> 'quality'")
+
+
+@query(f"""with rows_ as (select series_id, observation_period, value, evidence_url, available_date, vintage, m from v_watch where landed <= date '{CUTOFF}' qualify row_number() over (partition by series_id, observation_period order by vintage desc nulls last, landed desc) = 1)
+  select series_id, observation_period, value, 'new' as kind from rows_ union all select series_id, observation_period, value + 1, 'revised' from rows_ where m = 6""")
+def ledger_stream(s, d):
+    """Rows landed in three batches, one of them twice and with repeats inside a batch, streamed into a ledger; what it then holds."""
+    import tempfile
+    import uuid
+
+    from almanac.streaming.ledger import stream_ledger
+
+    shared = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
+    root = f"{shared.rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    rows = asof.latest(v.watch(s, d).where(F.col("retrieved_at").cast("date") <= CUTOFF), ["series_id", "observation_period"], "vintage", "retrieved_at")
+    revised = rows.where("month(observation_date) = 6").withColumn("value", F.col("value") + 1)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    for batch in (rows.unionByName(rows), rows, revised):
+        batch.write.mode("append").parquet(f"{root}/in")
+        stream_ledger(s, f"{root}/in", schema, f"{root}/ledger", f"{root}/bad", f"{root}/checkpoint", "2002-01-01").awaitTermination(600)
+    held = s.read.schema(rows.schema).parquet(f"{root}/ledger")
+    return held.select("series_id", "observation_period", "value", F.when(F.array_contains("quality_flags", "historical_revision"), "revised").otherwise("new").alias("kind"))

@@ -378,12 +378,26 @@ def paired_effects(s, d):
     return portfolio.paired_effects(runs.withColumn("closed", F.col("l_linestatus") == "F"), "closed", ["l_returnflag", "month"], "m")
 
 
-@query(f"""select n.series_id, n.observation_date, n.value, case when o.value is null then 'new_release' when abs(n.value - o.value) > 1e-12 then 'historical_revision' else 'unchanged' end as event
-  from (select series_id, observation_date, arg_max(value, vintage) as value from v_ledger group by all) n left join (select series_id, observation_date, arg_max(value, vintage) as value from v_ledger where vintage <= date '{CUTOFF}' group by all) o using (series_id, observation_date)""")
+# Newest versions against those stored at the cutoff; then the same rows again, with another address in April and another value in June.
+CHANGES = f"""batch as (select series_id, observation_period, value, available_date, evidence_url, availability_basis, 1 as arrival, m from v_watch qualify row_number() over (partition by series_id, observation_period order by vintage desc nulls last, landed desc) = 1),
+  rows_ as (select series_id, observation_period, value, available_date, evidence_url, availability_basis, arrival from batch union all select series_id, observation_period, case when m = 6 then value + 1 else value end, available_date, case when m = 4 then 'https://example.org/new' else evidence_url end, availability_basis, 2 from batch
+    union all select series_id, observation_period, value, available_date, evidence_url, null, 0 from (select * from v_watch where landed <= date '{CUTOFF}' qualify row_number() over (partition by series_id, observation_period order by vintage desc nulls last, landed desc) = 1)),
+  seq as (select *, lag(value) over w as old_value, lag(available_date) over w as old_date, lag(evidence_url) over w as old_url, lag(arrival) over w as earlier from rows_ window w as (partition by series_id, observation_period order by arrival)),
+  events as (select *, case when earlier is null then 'new_release' when abs(value - old_value) > 1e-12 then 'historical_revision' when available_date is distinct from old_date or evidence_url is distinct from old_url then 'provenance_update' else 'unchanged' end as event from seq where arrival > 0)"""
+
+
+def _batch(s, d):
+    newest = asof.latest(v.watch(s, d), ["series_id", "observation_period"], "vintage", "retrieved_at").withColumn("arrival", F.lit(1))
+    m = F.month("observation_date")
+    again = newest.withColumn("value", F.when(m == 6, F.col("value") + 1).otherwise(F.col("value"))).withColumn("arrival", F.lit(2))
+    again = again.withColumn("availability_evidence_url", F.when(m == 4, "https://example.org/new").otherwise(F.col("availability_evidence_url")))
+    return newest.unionByName(again), v.watch(s, d).where(F.col("retrieved_at").cast("date") <= CUTOFF)
+
+
+@query(f"with {CHANGES} select series_id, observation_period, value, event, old_value, case when event = 'new_release' and availability_basis = 'official_release' then available_date when event in ('historical_revision', 'provenance_update') then date '2002-01-01' end as vintage from events where event <> 'unchanged'")
 def ledger_changes(s, d):
-    rows = v.ledger(s, d)
-    newest = asof.latest(rows, ledger.KEY, "vintage")
-    return ledger.ledger_changes(newest, rows.where(F.col("vintage") <= CUTOFF)).select("series_id", "observation_date", "value", "event")
+    found = ledger.ledger_changes(*_batch(s, d), processed="2002-01-01").where("event <> 'unchanged'")
+    return found.select("series_id", "observation_period", "value", "event", "old_value", "vintage")
 
 
 @query("""select series_id, cast(last_day(m) as date) as month_end from (select series_id, unnest(generate_series(date_trunc('month', min(observation_date)), max(observation_date), interval 1 month)) as m from v_obs where month(observation_date) % 5 <> 0 group by 1)

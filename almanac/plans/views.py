@@ -45,6 +45,28 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("series_id", "observation_date", "vintage", F.col("vintage").alias("available_date"), F.round(F.sum("amount").over(w), 2).alias("value"), F.lit("https://example.org/a").alias("source_url"))
 
 
+def watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with all columns: February's row is joint with January, which has none; releases of R in even months are undated."""
+    base, m = ledger(spark, sf_dir).where("month(observation_date) <> 1"), F.month("observation_date")
+    unknown = (F.col("series_id") == "R") & (m % 2 == 0)
+    year = F.date_format("observation_date", "yyyy")
+    return base.select(
+        "series_id",
+        F.when(m == 2, F.concat(year, F.lit("-01/"), year, F.lit("-02"))).otherwise(F.date_format("observation_date", "yyyy-MM")).alias("observation_period"),
+        "observation_date",
+        F.when(~unknown, F.col("available_date")).alias("available_date"),
+        F.when(unknown, "unknown").otherwise("official_release").alias("availability_basis"),
+        F.to_timestamp(F.concat(F.date_format("vintage", "yyyy-MM-dd"), F.lit(" 12:00:00"))).alias("retrieved_at"),
+        "value",
+        F.lit("percent").alias("unit"),
+        F.lit("https://example.org/v").alias("source_value_url"),
+        F.when(unknown, "").otherwise("https://example.org/e").alias("availability_evidence_url"),
+        F.when(~unknown, F.col("vintage")).alias("vintage"),
+        F.when(m == 7, F.array(F.lit("methodology_change_review"))).otherwise(F.array().cast("array<string>")).alias("quality_flags"),
+        F.lit("title").alias("source_title"),
+    )
+
+
 def _priced(spark: SparkSession, sf_dir: str, symbol: str, day) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice", "l_quantity", "l_shipdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
@@ -126,6 +148,9 @@ SQL = {
     "v_ship": "select * from lineitem join orders on l_orderkey = o_orderkey where l_shipdate >= o_orderdate",
     "v_ledger": """select series_id, observation_date, vintage, vintage as available_date, round(sum(amount) over (partition by series_id, observation_date order by vintage rows unbounded preceding), 2) as value
       from (select l_returnflag as series_id, cast(last_day(o_orderdate) as date) as observation_date, cast(last_day(l_shipdate) as date) as vintage, sum(l_extendedprice) as amount from v_ship group by all)""",
+    "v_watch": """select series_id, case when m = 2 then y || '-01/' || y || '-02' else strftime(observation_date, '%Y-%m') end as observation_period, observation_date, case when not u then available_date end as available_date,
+        case when u then 'unknown' else 'official_release' end as availability_basis, vintage as landed, value, case when u then '' else 'https://example.org/e' end as evidence_url, case when not u then vintage end as vintage, m
+      from (select *, month(observation_date) as m, strftime(observation_date, '%Y') as y, series_id = 'R' and month(observation_date) % 2 = 0 as u from v_ledger) where m <> 1""",
     "v_price_m": "select p_type as asset, cast(last_day(l_shipdate) as date) as month_end, sum(l_extendedprice) / sum(l_quantity) as price from lineitem join part on l_partkey = p_partkey group by all",
     "v_price_w": "select p_type as symbol, cast(date_trunc('week', l_shipdate) as date) as date, sum(l_extendedprice) / sum(l_quantity) as price from lineitem join part on l_partkey = p_partkey group by all",
     "v_price_d": "select p_type as symbol, cast(l_shipdate as date) as date, sum(l_extendedprice) / sum(l_quantity) as price from lineitem join part on l_partkey = p_partkey group by all",

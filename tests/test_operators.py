@@ -109,10 +109,67 @@ def test_flows(spark):
 
 
 def test_release_text(spark):
-    df = spark.createDataFrame([("2020年11月份增长7.0%", "居民消费价格同比下降0.7%。核心CPI同比上涨0.3%"), ("2020年1—2月份", "无"), ("2024年统计数据报告", "持平")], "title string, body string")
+    df = spark.createDataFrame([("2020年11月份增长7.0%", "居民消费价格同比下降0.7%。核心CPI同比上涨0.3%"), ("2020年1—2月份", "无"), ("2024年社会融资规模存量统计数据报告", "持平"), ("2024年工业企业利润", "减少1,234.5%"), ("2024年前三季度", "回落 0.2 %"), ("2024年1 — 2月份", "同比持平0.0%")], "title string, body string")
     got = df.select(harvest.release_period(F.col("title")).alias("p"), harvest.signed_percent(F.col("body"), "居民消费价格同比").alias("v"), harvest.first_date(F.lit("发布 2020-12-15 10:00")).alias("d")).collect()
-    assert [r.p for r in got] == [D(2020, 11, 30), D(2020, 2, 29), D(2024, 12, 31)]
-    assert [r.v for r in got] == [-0.7, None, None] and got[0].d == D(2020, 12, 15)
+    assert [r.p for r in got] == [D(2020, 11, 30), D(2020, 2, 29), D(2024, 12, 31), None, D(2024, 9, 30), D(2024, 2, 29)]
+    assert [r.v for r in got] == [-0.7, None, None, None, None, None] and got[0].d == D(2020, 12, 15)
+    assert [r.v for r in df.select(harvest.signed_percent(F.col("body")).alias("v")).collect()] == [-0.7, None, None, -1234.5, -0.2, 0.0]
+
+
+PAGE = """<html><head><meta name="ArticleTitle" content="{title}"><meta name="PubDate" content="{date}"><title>x</title></head><body><h1>other</h1><div class="nav">menu</div><div id="zoom"><p>{body}</p></div><div class="foot">2019-01-01</div></body></html>"""
+
+
+def test_harvest_of_release_pages(spark):
+    """Literal pages: dated and undated, joint periods, core prices, money, an annual retail release, one without its value, and one that is no release."""
+    pages = [
+        ("a", "2020年11月份规模以上工业增加值增长7.0%", "2020-12-15 10:00", "11月份，规模以上工业增加值同比实际增长7.0%。"),
+        ("b", "2024年3月份居民消费价格同比下降0.7%", "2024/04/11", "居民消费价格同比下降0.7%，核心CPI同比上涨0.3%。"),
+        ("c", "2024年1—2月份社会消费品零售总额增长5.5%", "", "社会消费品零售总额81307亿元，同比增长5.5%。"),
+        ("d", "2024年2月金融统计数据报告", "2024-03-15", "广义货币(M2)余额299.56万亿元，同比增长8.7%。狭义货币(M1)余额66.59万亿元，同比下降1.2%。"),
+        ("e", "2023年社会融资规模存量统计数据报告", "2024-01-12", "2023年末社会融资规模存量为378.09万亿元，同比增长9.5%。"),
+        ("f", "2023年社会消费品零售总额增长7.2%", "2024-01-17", "全年增长7.2%。12 月份，社会消费品零售总额43550亿元，同比增长7.4%。"),
+        ("g", "2024年5月中国采购经理指数运行情况", "2024-05-31", "新订单指数为49.6%，比上月回落。"),
+        ("h", "2024年6月份工业生产者出厂价格", "2024-07-10", "没有数字。"),
+        ("i", "2024年工业企业利润", "2024-01-01", "利润增长3%。"),
+        ("j", "2024年4月份固定资产投资增长&nbsp;4.2%", "2024-02-30", "1—4月份，全国固定资产投资143401亿元，同比增长4.2%。"),
+    ]
+    df = spark.createDataFrame([(u, PAGE.format(title=t, date=d, body=b)) for u, t, d, b in pages], "url string, html string")
+    rows, unparsed, coverage = harvest.harvest(df)
+    got = {(r.source_value_url, r.series_id): (r.observation_date, r.observation_period, r.available_date, r.availability_basis, r.value) for r in rows.collect()}
+    official, unknown = "official_release", "unknown"
+    assert got == {
+        ("a", "industrial_production"): (D(2020, 11, 30), "2020-11", D(2020, 12, 15), official, 7.0),
+        ("b", "cpi"): (D(2024, 3, 31), "2024-03", D(2024, 4, 11), official, -0.7),
+        ("b", "core_cpi"): (D(2024, 3, 31), "2024-03", D(2024, 4, 11), official, 0.3),
+        ("c", "retail_sales_ytd"): (D(2024, 2, 29), "2024-01/2024-02", None, unknown, 5.5),
+        ("d", "m2"): (D(2024, 2, 29), "2024-02", D(2024, 3, 15), official, 8.7),
+        ("d", "m1"): (D(2024, 2, 29), "2024-02", D(2024, 3, 15), official, -1.2),
+        ("e", "tsf_stock"): (D(2023, 12, 31), "2023-12", D(2024, 1, 12), official, 9.5),
+        ("f", "retail_sales"): (D(2023, 12, 31), "2023-12", D(2024, 1, 17), official, 7.4),
+        ("g", "pmi_new_orders"): (D(2024, 5, 31), "2024-05", D(2024, 5, 31), official, 49.6),
+        ("j", "fixed_asset_investment"): (D(2024, 4, 30), "2024-04", None, unknown, 4.2),
+    }
+    assert [(r.series, r.url) for r in unparsed.collect()] == [("ppi", "h")]
+    assert {r.series_id: (r.observations, r.dated, r.undated) for r in coverage.collect()}["retail_sales_ytd"] == (1, 0, 1)
+    assert not {r.rule for r in contracts.violations(rows).collect()} - {"source_url_not_http", "evidence_not_http"}
+
+
+def test_links_are_resolved_and_filtered(spark):
+    links = [("https://h.cn/sj/zxfb/index.html", "./2024/t1.html", "2024年3月份"), ("https://h.cn/sj/zxfb/index.html", "/sj/zxfb/2024/t1.html", "2024年3月份更长"), ("https://h.cn/sj/zxfb/", "../other/t2.html", "2024年"), ("https://h.cn/sj/zxfb/", "https://x.cn/sj/zxfb/t3.html", "2019年"), ("https://h.cn/sj/zxfb/", "//y.cn/sj/zxfb/t4.html", "2023年1月"), ("https://h.cn/sj/zxfb/", "t5.html", " ")]
+    df = spark.createDataFrame(links, "base string, href string, title string")
+    got = {r.url: r.title for r in harvest.candidate_links(df, "/sj/zxfb", 2023, 2024).collect()}
+    assert got == {"https://h.cn/sj/zxfb/2024/t1.html": "2024年3月份更长", "https://y.cn/sj/zxfb/t4.html": "2023年1月"}
+    assert {r.url for r in harvest.candidate_links(df, "/sj").collect()} == {*got, "https://h.cn/sj/other/t2.html", "https://x.cn/sj/zxfb/t3.html"}
+
+
+def test_bars(spark):
+    rows = [("02/26/2026", "20", "21", "19", "20.5"), ("2026-02-27", "20", "21", "19", "19.5"), ("3/2/2026", "18", "17", "18", "18.5"), ("02/27/2026", "1", "1", "1", "1"), ("13/45/2026", "x", "1", "1", "-1")]
+    bars, wrong = harvest.validate_ohlc(spark.createDataFrame(rows, "DATE string, OPEN string, HIGH string, LOW string, CLOSE string"), 6)
+    assert sorted((r.rule, r.at) for r in wrong.collect()) == [("bad_date", "13/45/2026"), ("bad_price", "13/45/2026"), ("duplicate_date", "2026-02-27"), ("high_below_low", "3/2/2026"), ("too_few_rows", "5")]
+    closes = harvest.completed_month_close(bars.where("close > 10").withColumn("symbol", F.lit("v")))
+    assert [(r.observation_date, float(r.value), r.available_date) for r in harvest.estimated_closes(closes).collect()] == [(D(2026, 2, 27), 19.5, D(2026, 2, 28))]
+    with pytest.raises(ValueError):
+        harvest.validate_ohlc(spark.createDataFrame([("a",)], "DATE string"))
 
 
 SCHEMA = "series_id string, observation_date date, vintage date, available_date date, value double, source_url string"
