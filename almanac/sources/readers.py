@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OBSERVATION = "observation_date string, observation_period string, available_date string, availability_basis string, availability_evidence_url string, source_value_url string, value string"
@@ -15,13 +15,45 @@ PERIODIC = ("10-K", "10-Q", "20-F", "40-F")
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshot CSVs, one per series; the file name is the series. Dates that don't parse are null and kept for the contract."""
-    raw = spark.read.schema(OBSERVATION).option("enforceSchema", "false").csv(path, header=True)
-    out = raw.withColumn("series_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1))
+def read_snapshots(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Snapshot CSVs, one per series; the file name is the series. Dates that don't parse are null and kept for the contract.
+
+    Columns are taken by name, and files may lack all but observation_date and value. A file without the basis column gets
+    ``unverified`` where it has a date and ``unknown`` elsewhere; a basis that is there is kept as given, blank or not. ``start`` and ``end`` bound
+    the observation dates, inclusive.
+    """
+    names = [f.split()[0] for f in OBSERVATION.split(", ")]
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    # A file's header is the line that names the required columns; there is one small row per file.
+    heads = lines.select("file", F.split(F.trim("line"), ",").alias("names")).where(F.array_contains("names", "observation_date") & F.array_contains("names", "value")).distinct()
+    parsed = lines.join(heads, "file").where(F.trim("line") != F.array_join("names", ",")).where(F.trim("line") != "")
+    cells = F.from_csv("line", ", ".join(f"_c{i} string" for i in range(12)), {"mode": "PERMISSIVE"})
+    row = parsed.select(F.regexp_extract("file", r"([^/]+)\.csv$", 1).alias("series_id"), "names", F.array(*[cells[f"_c{i}"] for i in range(12)]).alias("cells"))
+    found = {c: F.nullif(F.trim(F.try_element_at("cells", F.array_position("names", c).cast("int"))), F.lit("")) for c in names}
+    out = row.select("series_id", F.array_contains("names", "availability_basis").alias("labelled"), *[F.when(F.array_contains("names", c), x).alias(c) for c, x in found.items()])
     for c in ("observation_date", "available_date"):
         out = out.withColumn(c, F.try_to_date(c, "yyyy-MM-dd"))
-    return out.withColumn("value", F.col("value").try_cast("double"))
+    basis = F.when(F.col("labelled"), F.col("availability_basis")).when(F.col("available_date").isNotNull(), "unverified").otherwise("unknown")
+    out = out.withColumn("value", F.col("value").try_cast("double")).withColumn("availability_basis", basis).drop("labelled")
+    if start is not None:
+        out = out.where(F.col("observation_date") >= F.lit(start).cast("date"))
+    return out if end is None else out.where(F.col("observation_date") <= F.lit(end).cast("date"))
+
+
+#: What the sidecar of a snapshot must say.
+SIDECAR = ("series_key", "source_name", "source_url", "frequency", "unit", "downloaded_at", "reported_as", "revision_policy")
+
+
+def attach_sidecar(obs: DataFrame, sidecar: DataFrame) -> DataFrame:
+    """Observations with what the sidecar (series_key, ...) says of their series; one without a sidecar has nulls. The table is one row per series."""
+    return obs.join(sidecar.withColumnRenamed("series_key", "series_id"), "series_id", "left")
+
+
+def sidecar_violations(obs: DataFrame, sidecar: DataFrame) -> DataFrame:
+    """(rule, series_id): series without a sidecar, and required keys that a sidecar lacks or leaves blank."""
+    bare = obs.select("series_id").distinct().join(sidecar.select(F.col("series_key").alias("series_id")), "series_id", "left_anti").select(F.lit("no_sidecar").alias("rule"), "series_id")
+    lacks = [F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(f"{c}_missing")) if c in sidecar.columns else F.lit(f"{c}_missing") for c in SIDECAR]
+    return sidecar.select(F.explode(F.array_compact(F.array(*lacks))).alias("rule"), F.col("series_key").alias("series_id")).unionByName(bare)
 
 
 def read_two_column_series(spark: SparkSession, path: str) -> DataFrame:
@@ -49,6 +81,22 @@ def plan_vintages(spark: SparkSession, symbols: DataFrame, start: str, end: str,
     return symbols.select("series_id").join(F.broadcast(dates), F.lit(True)).join(existing, ["series_id", "vintage"], "left_anti")
 
 
+def capture_vintages(spark: SparkSession, fetched: DataFrame, root: str) -> DataFrame:
+    """Write fetched rows (series_id, vintage, observation_date, value) of vintages that the archive lacks; rows without a value go.
+
+    Returns (series_id, captured, skipped): vintages written and found there.
+    """
+    schema = "observation_date date, value double, series_id string, vintage date"
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("series_id", "vintage").parquet(root)
+    there = spark.read.schema(schema).parquet(root).select("series_id", "vintage", F.lit(True).alias("there")).distinct()
+    marked = fetched.select("series_id", "vintage").distinct().join(there, ["series_id", "vintage"], "left")
+    counts = marked.groupBy("series_id").agg(F.count(F.when(F.col("there").isNull(), 1)).alias("captured"), F.count("there").alias("skipped"))
+    done = spark.createDataFrame(counts.collect(), counts.schema)  # a row per series, counted before the archive changes
+    new = fetched.where("value is not null").join(there, ["series_id", "vintage"], "left_anti").select("observation_date", "value", "series_id", "vintage")
+    new.write.mode("append").partitionBy("series_id", "vintage").parquet(root)
+    return done
+
+
 def read_company_facts(spark: SparkSession, path: str) -> DataFrame:
     """(company_id, metric, unit, period_end, value, filed, source, ordinal) of periodic reports."""
     raw = spark.read.schema(FACTS).option("multiLine", "true").json(path)
@@ -57,13 +105,45 @@ def read_company_facts(spark: SparkSession, path: str) -> DataFrame:
     return facts.where(F.col("f.form").isin(*PERIODIC)).select("company_id", "metric", "unit", F.col("f.end").alias("period_end"), F.col("f.val").alias("value"), F.col("f.filed").alias("filed"), F.concat_ws("/", F.lit("SEC"), "f.form", "f.accn").alias("source"), "ordinal")
 
 
-def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """(symbol, date, price) of price CSVs under the first known date and price column names."""
-    raw = spark.read.option("mergeSchema", "true").csv(path, header=True)
-    names = {c.lower().replace(" ", "_"): c for c in raw.columns}
-    date = next(names[c] for c in ("date", "timestamp", "datetime", "time", "trade_date") if c in names)
-    price = next(names[c] for c in ("adj_close", "adjusted_close", "close", "price", "value") if c in names)
-    return raw.select(F.upper(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1)).alias("symbol"), F.try_to_date(F.substring(F.col(date), 1, 10), "yyyy-MM-dd").alias("date"), F.col(price).try_cast("double").alias("price"))
+def resolve_entities(df: DataFrame, tickers: DataFrame, column: str = "ticker") -> DataFrame:
+    """Rows with the ``company_id`` of their ticker, whatever its case and blanks; null for a ticker that the table (cik_str, ticker) lacks."""
+    known = tickers.select(F.upper(F.trim("ticker")).alias("_ticker"), F.format_string("US:%010d", F.col("cik_str").cast("bigint")).alias("company_id")).dropDuplicates(["_ticker"])
+    return df.withColumn("_ticker", F.upper(F.trim(column))).join(known, "_ticker", "left").drop("_ticker")
+
+
+#: Names of the date and price columns of price files, the preferred first.
+DATE_NAMES = ("date", "timestamp", "datetime", "time", "trade_date")
+PRICE_NAMES = ("adj_close", "adjusted_close", "close", "price", "value")
+
+
+def read_prices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(symbol, date, price, basis) of the price CSVs of a folder, and (rule, symbol, date) of rows that can't be used.
+
+    Every file may name its columns in its own way: all columns are read as text by name, and the first known date and price column of a row counts.
+    ``basis`` says whether the price is adjusted. Rules: bad_date, bad_price (no positive finite number), duplicate_date; such rows are not returned.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    heads = lines.select("file", F.split(F.regexp_replace(F.lower(F.trim("line")), " ", "_"), ",").alias("names"))
+    heads = heads.where(F.arrays_overlap("names", F.array(*map(F.lit, DATE_NAMES))) & F.arrays_overlap("names", F.array(*map(F.lit, PRICE_NAMES)))).distinct()
+    cells = F.from_csv("line", ", ".join(f"_c{i} string" for i in range(12)), {"mode": "PERMISSIVE"})
+    rows = lines.join(heads, "file").where(F.regexp_replace(F.lower(F.trim("line")), " ", "_") != F.array_join("names", ",")).where(F.trim("line") != "")
+    rows = rows.select(F.upper(F.regexp_extract("file", r"([^/]+)\.csv$", 1)).alias("symbol"), "names", F.array(*[cells[f"_c{i}"] for i in range(12)]).alias("cells"))
+
+    def first(names: tuple[str, ...]):
+        return F.coalesce(*[F.when(F.array_contains("names", n), F.lit(n)) for n in names])
+
+    def cell(name):
+        return F.try_element_at("cells", F.array_position("names", name).cast("int"))
+
+    rows = rows.withColumn("d", first(DATE_NAMES)).withColumn("p", first(PRICE_NAMES))
+    price = F.trim(cell(F.col("p"))).try_cast("double")
+    instant = F.try_to_timestamp(F.trim(cell(F.col("d"))))
+    typed = rows.select("symbol", F.coalesce(instant.cast("date"), F.try_to_date(F.substring(F.trim(cell(F.col("d"))), 1, 10), "yyyy-MM-dd")).alias("date"), price.alias("price"), F.when(F.col("p").startswith("adj"), "adjusted").otherwise("as_supplied").alias("basis"))
+    good_price = F.coalesce((F.col("price") > 0) & ~F.isnan("price") & (F.col("price") < float("inf")), F.lit(False))
+    marked = typed.withColumn("n", F.count("*").over(Window.partitionBy("symbol", "date")))
+    rule = F.when(F.col("date").isNull(), "bad_date").when(~good_price, "bad_price").when(F.col("n") > 1, "duplicate_date")
+    marked = marked.withColumn("rule", rule)
+    return marked.where("rule is null").select("symbol", "date", "price", "basis"), marked.where("rule is not null").select("rule", "symbol", "date")
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -77,13 +157,40 @@ def history_guard(old: DataFrame, new: DataFrame) -> DataFrame:
     return ends[0].join(ends[1], F.lit(True)).select((F.col("n_new") < F.col("n_old")).alias("shorter"), (F.col("a_new") > F.col("a_old")).alias("starts_later"), (F.col("b_new") < F.col("b_old")).alias("ends_earlier"))
 
 
-def save_snapshots(df: DataFrame, path: str) -> DataFrame:
-    """Write one row per series and date, the dated one first, partitioned by series; returns the conflicts, which are not written."""
+def save_snapshots(df: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write one row per series and date, the dated one first, partitioned by series; rows whose values differ are not written.
+
+    Returns the conflicts (series_id, observation_date), and coverage (series_id, observations, first_date, last_date, undated, note) of what is written.
+    """
     key = ["series_id", "observation_date"]
     conflicts = df.groupBy(*key).agg(F.count_distinct("value").alias("n")).where("n > 1").select(*key)
-    rows = df.join(conflicts, key, "left_anti").groupBy(*key).agg(F.min_by(F.struct(*[c for c in df.columns if c not in key]), F.col("available_date").isNull()).alias("r")).select(*key, "r.*")
+    order = F.struct(F.col("available_date").isNull().alias("undated"), F.col("available_date"))
+    rows = df.join(conflicts, key, "left_anti").groupBy(*key).agg(F.min_by(F.struct(*[c for c in df.columns if c not in key]), order).alias("r")).select(*key, "r.*")
     rows.write.mode("overwrite").partitionBy("series_id").parquet(path)
-    return conflicts
+    by = rows.groupBy("series_id").agg(F.count("*").alias("observations"), F.min("observation_date").alias("first_date"), F.max("observation_date").alias("last_date"), F.count(F.when(F.col("available_date").isNull(), 1)).alias("undated"))
+    note = F.format_string("%d observations from %s to %s; release date unknown for %d", "observations", F.col("first_date").cast("string"), F.col("last_date").cast("string"), "undated")
+    return conflicts, by.withColumn("note", note)
+
+
+def save_baseline(path: str, panel: DataFrame, factors: DataFrame, regimes: DataFrame, about: dict[str, str]) -> None:
+    """The tables of a country baseline, and what the run was."""
+    for name, df in (("panel", panel), ("factors", factors), ("regimes", regimes)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    panel.sparkSession.createDataFrame([(k, str(x)) for k, x in sorted(about.items())], "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/run")
+
+
+def save_regime_research(path: str, regimes: DataFrame, prices: DataFrame, forward: DataFrame, summary: DataFrame) -> None:
+    """State, prices, forward returns and their summary."""
+    for name, df in (("regimes", regimes), ("prices", prices), ("forward_returns", forward), ("summary", summary)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def save_backtest(path: str, prices: DataFrame, daily: DataFrame, metrics: DataFrame, monthly: DataFrame) -> None:
+    """The artefacts of backtests, partitioned by strategy, with a JSON report per strategy."""
+    for name, df in (("daily", daily), ("monthly_returns", monthly)):
+        df.write.mode("overwrite").partitionBy("strategy_id").parquet(f"{path}/{name}")
+    prices.write.mode("overwrite").parquet(f"{path}/prices")
+    save_reports(metrics, f"{path}/report")
 
 
 def save_reports(df: DataFrame, path: str) -> None:
