@@ -50,5 +50,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: SQL can't express the stages; tests hold near_dedup against a brute-force version, and the others by their operators' cases.
+#: SQL can't express the stages; a test holds the rows of the whole against each stage in plain Python, one after the other.
 ORACLE_SQL = None
