@@ -313,6 +313,36 @@ def test_media(docs):
     assert len(shared) > 0.7 * len(list(media.chunks_of(a)))
 
 
+@pytest.mark.parametrize("most", [16 << 20, 0])
+def test_media_that_share_chunks(spark, monkeypatch, most):
+    """Borrowed chunks, broadcast or shuffled; the stored form and features recomputed from the texts; a damaged chunk is found."""
+    monkeypatch.setattr(media, "BROADCAST_BYTES", most)
+    common = words(2000, 41)
+    texts = [common + words(400, 50 + i) for i in range(4)] + [words(300, 60) + common, common, common, words(20, 61), words(20, 61), None, ""]
+    rows = [(i if i != 3 else None, t, "x", "y") for i, t in enumerate(texts)] + [(0, words(30, 62), "x", "y")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, digest string, bytes string")
+    got = media.chunked_media(table).collect()
+    assert len(got) == len(rows)
+    by_hash = {}
+    for _, t, _, _ in rows:
+        payload = media.payload_of(t)[0]
+        chunks = list(media.chunks_of(payload))
+        assert b"".join(c for _, c in chunks) == payload
+        form = media.stored_form([d for d, _ in chunks], [c for _, c in chunks])
+        counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
+        p = counts[counts > 0] / len(payload)
+        feature = f"chunks={len(chunks)};distinct={len(dict(chunks))};mean={float(counts @ np.arange(256)) / len(payload):.4f};entropy={float(-(p * np.log2(p)).sum()):.4f}"
+        by_hash[hashlib.sha256(payload).hexdigest()] = (len(form), hashlib.sha256(form).hexdigest(), feature)
+    assert all((r.media_bytes, r.media_sha256, r.feature) == by_hash[r.payload_sha256] for r in got)
+    docs = table.select("doc_id", "text")
+    stored = media.store(docs, media.decide(media.list_chunks(docs)))
+    n = stored.select(F.explode("chunks.digest").alias("d")).agg(F.count("*").alias("n"), F.count_distinct("d").alias("k")).first()
+    assert n.n == n.k and stored.where("not complete").count() >= 3
+    broken = stored.withColumn("chunks", F.transform("chunks", lambda c: c.withField("digest", F.unhex(F.sha2("text_key", 256)))))
+    with pytest.raises(Exception, match="damaged"):
+        media.read_back(broken).collect()
+
+
 def test_mixing(docs):
     got = mixing.mix(docs).collect()
     sizes = {}
@@ -501,6 +531,65 @@ def test_pipeline(spark):
     assert set(got.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} and 100 < got.select("doc_id").distinct().count() <= 200
 
 
+def test_pipeline_equals_brute_force(spark):
+    """Every stage by itself in plain Python or SQL, one after the other, against the rows of the whole."""
+    import duckdb
+    import pandas as pd
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline
+    from almanac.llm import queries
+
+    rows = [r.asDict() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    learn = [r for r in rows if r["lang"] and r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    keys = {}
+    for r in learn:
+        t = re.sub(" +", " ", " " + "".join(c.lower()[0] if c.isalpha() else " " for c in r["text"]) + " ")
+        for i in range(len(t) - 2):
+            k = (r["lang"], ord(t[i]) << 42 | ord(t[i + 1]) << 21 | ord(t[i + 2]))
+            keys[k] = keys.get(k, 0) + 1
+    model = langid.build(pd.DataFrame([(a, b, n) for (a, b), n in keys.items()], columns=["lang", "trigram", "n"]))
+    h, n = model.entropies([r["text"] for r in learn])
+    own = np.array([model.langs.index(r["lang"]) for r in learn])
+    mean = np.array([np.average(h[own == i, i], weights=n[own == i]) for i in range(len(model.langs))])
+    dev = np.array([max(np.average(h[own == i, i] ** 2, weights=n[own == i]) - mean[i] ** 2, 1e-4) ** 0.5 for i in range(len(model.langs))])
+    h, n = model.entropies([r["text"] or "" for r in rows])
+    best = h.argmin(axis=1)
+    bad = (n == 0) | (h.min(axis=1) > mean[best] + langid.REJECT_SIGMAS * (dev[best] + 2 / np.sqrt(np.maximum(n, 1))))
+    rows = [r for r, gone in zip(rows, bad, strict=True) if not gone]
+
+    sets = {r["doc_id"]: shingles(r["text"], 5) for r in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    low = brute_components(sets, linked)
+    rows = [r for r in rows if low[r["doc_id"]] == r["doc_id"]]
+
+    counts = {}
+    for r in rows:
+        for w in set(re.findall("[a-z]{3,24}", (r["text"] or "").lower())):
+            counts[w] = counts.get(w, 0) + 1
+    assert len(counts) <= secret_scan.DICTIONARY
+    rank = dict(secret_scan.RANK)
+    for w in sorted(counts, key=lambda w: (-counts[w], w)):
+        rank.setdefault(w, len(rank) + 1)
+    for r in rows:
+        r["text"] = secret_scan.redact_text(r["text"], rank)
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows))
+    sizes = con.sql(queries.ORACLES["op8_source_mixing"]).df()
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.vocabulary().ranks, special_tokens={})
+    text, want = {r["doc_id"]: r["text"] or "" for r in rows}, []
+    for r in sizes.itertuples():
+        ids = known.encode_ordinary(text[r.doc_id])
+        row = (r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text[r.doc_id].encode()).hexdigest())
+        if r.size:  # documents without a word are taken as their source's rule says, which their sizes don't show
+            want += [row] * int(r.taken // r.size)
+    got = [tuple(r) for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
+    empty = {r.doc_id for r in sizes.itertuples() if not r.size}
+    assert len(want) > 100 and sorted(r for r in got if r[0] not in empty) == sorted(want)
+
+
 def test_keep_one_drops_copies_alone(spark, docs):
     """Rows without an id beside a repeated id, and two texts under one id, one of them a copy of another document."""
     a, b, c = words(50, 21), words(50, 22), words(50, 23)
