@@ -32,6 +32,8 @@ UNIT, PAD, TAIL = 576, b"\xff", 32
 LEAST, MOST, CUT_BITS = 512, 16_384, 11
 #: The hash depends on this many bytes, as older ones are shifted out of 32 bits.
 WINDOW = 32
+#: Bytes of lent chunks up to which they are sent to every task instead of being shuffled to their borrowers.
+BROADCAST_BYTES = 16 << 20
 MAGIC = b"CDC1"
 
 _GEAR = np.random.default_rng(576).integers(0, 1 << 32, 256, np.uint32)
@@ -150,6 +152,9 @@ def read_back(stored: DataFrame) -> DataFrame:
     whole = stored.where("complete").select("text_key", "digests", "chunks", F.lit(None).cast("array<struct<digest: binary, bytes: binary>>").alias("borrowed"))
     parts = stored.where("not complete")
     lent = stored.select(F.explode("chunks").alias("c")).where("c.lent").groupBy("c.digest").agg(F.first("c.bytes").alias("bytes"))
+    lent = cut(lent, "lent")  # written, so that Spark may split a chunk that many media borrow
+    if (lent.agg(F.sum(F.length("bytes") + 100)).first()[0] or 0) <= BROADCAST_BYTES:
+        lent = F.broadcast(lent)
     own = F.transform("chunks", lambda c: c["digest"])
     wanted = parts.select("text_key", F.explode(F.array_except("digests", own)).alias("digest"))
     borrowed = wanted.join(lent, "digest").groupBy("text_key").agg(F.collect_list(F.struct("digest", "bytes")).alias("borrowed"))  # at most the medium's chunks
