@@ -331,7 +331,7 @@ def _groups_of_nodes(docs: DataFrame, words: int, similarity: int, several: bool
     for turn in range(MATE_TURNS + 1):
         there = checked_join(shared.select("id", "band"), found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         main = there.groupBy("band", "component").count().groupBy("band").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        there = cut(there.join(cut(main, "main"), "band").join(narrow, "id"), "buckets")
+        there = cut(checked_join(there, cut(main, "main"), "band", "inner").join(narrow, "id"), "buckets")
         if turn == MATE_TURNS:
             large = cut(there.groupBy("band").count().where(f"count > {SMALL_BUCKET}").select("band"), "large")
             crowd = cut(checked_join(there, large, "band", "left_semi").select("main", "id", "component").distinct(), "crowd")
@@ -339,7 +339,8 @@ def _groups_of_nodes(docs: DataFrame, words: int, similarity: int, several: bool
         x = there.where("component <> main").alias("x")
         if turn < MATE_TURNS:
             mate = F.min_by(side, F.xxhash64("id", "band", F.lit(turn))).alias("y")
-            y = there.where("component = main").groupBy("band").agg(mate).select("band", "y.*", F.lit(None).cast("long").alias("component")).alias("y")
+            y = cut(there.where("component = main").groupBy("band").agg(mate).select("band", "y.*", F.lit(None).cast("long").alias("component")), "mates")
+            y = (F.broadcast(y) if y.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else y).alias("y")  # written, so that Spark may split hot bands
             once = F.lit(True)
         else:
             y = there.alias("y")
