@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BASES = ("official_release", "official_schedule", "fixed_lag", "unverified", "unknown")
@@ -32,6 +32,17 @@ def regime(growth: Column, inflation: Column) -> Column:
     )
 
 
+def safe_name(text: Column) -> Column:
+    """A text as the name of a file: letters, digits, dots, dashes and underscores stay, anything else is an underscore."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}._-]", "_")
+
+
+def ordered(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows in a fixed order: by the keys, then by all other columns that can be ordered. For output; operators don't need it."""
+    rest = [c for c, t in df.dtypes if c not in keys and not t.startswith("map")]
+    return df.orderBy(*keys, *rest)
+
+
 def dcf_value(fcf: Column, rates: Column, discount: Column, terminal: Column) -> Column:
     """Present value of cash flows that grow by ``rates``, plus the discounted terminal value."""
     start = F.struct(fcf.cast("double").alias("fcf"), F.lit(0.0).alias("pv"), F.lit(0).alias("year"))

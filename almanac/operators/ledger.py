@@ -263,16 +263,33 @@ def snapshot_profile(obs: DataFrame) -> DataFrame:
     )
 
 
-#: What a unit is shown as.
-UNIT_LABELS = {"percent": "%", "index": "index points", "percent_yoy": "% yoy"}
+#: What a unit is shown as, what its changes are shown as where that differs, and names of regimes.
+UNIT_LABELS = {"percent_yoy": "%", "percent_ytd_yoy": "%", "yield_percent": "%", "percent": "%", "index_points": "点"}
+CHANGE_LABELS = {"percent_yoy": "个百分点", "percent_ytd_yoy": "个百分点"}
+REGIME_LABELS = {"goldilocks": "增长改善 / 通胀回落", "reflation": "增长改善 / 通胀上行", "stagflation": "增长走弱 / 通胀上行", "recession": "增长走弱 / 通胀回落"}
+
+
+def labelled(column: Column, labels: dict[str, str]) -> Column:
+    """The label of a value; a value without one stands for itself."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[column], column)
 
 
 def displayed(df: DataFrame) -> DataFrame:
-    """Rows with how their value is reported (growth of the year to date, or the unit) and the unit as shown."""
+    """Rows with how their value is reported (growth of the year to date, or the unit), and the units of value and change as shown."""
     from almanac.operators.contracts import CUMULATIVE
 
-    shown = F.coalesce(F.create_map(*[F.lit(x) for kv in UNIT_LABELS.items() for x in kv])[F.col("unit")], F.col("unit"))
-    return df.withColumn("reported_as", F.when(F.col("series_id").isin(*CUMULATIVE), "cumulative_ytd_yoy").otherwise(F.col("unit"))).withColumn("shown_unit", shown)
+    shown = labelled(F.col("unit"), UNIT_LABELS)
+    change = F.when(F.col("unit").isin(*CHANGE_LABELS), labelled(F.col("unit"), CHANGE_LABELS)).otherwise(shown)
+    reported = F.when(F.col("series_id").isin(*CUMULATIVE), "cumulative_ytd_yoy").otherwise(F.col("unit"))
+    return df.withColumn("reported_as", reported).withColumn("shown_unit", shown).withColumn("change_unit", change)
+
+
+def union_batches(*batches: DataFrame) -> DataFrame:
+    """Records of several sources under one another; columns that a source lacks are null."""
+    out = batches[0]
+    for more in batches[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
 
 
 def macro_report(ledger: DataFrame, events: DataFrame, config: DataFrame, series: DataFrame, as_of: str, least: int = 36, limits: dict[str, float] | None = None) -> DataFrame:

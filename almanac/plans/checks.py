@@ -161,11 +161,14 @@ def signal_guard(s, d):
     return research.signal_guard(rows.unionByName(rows.where("month(month_end) = 6")))
 
 
-@query("select series_id, observation_date, case when series_id = '3-MEDIUM' then 'cumulative_ytd_yoy' else 'percent' end as reported_as, '%' as shown_unit from v_obs")
+@query("""select series_id, observation_date, case when series_id = '3-MEDIUM' then 'cumulative_ytd_yoy' else u end as reported_as, case when u like '%percent%' then '%' when u = 'index_points' then '点' else u end as shown_unit,
+  case when u in ('percent_yoy', 'percent_ytd_yoy') then '个百分点' when u like '%percent%' then '%' when u = 'index_points' then '点' else u end as change_unit
+  from (select *, ['percent_yoy', 'percent_ytd_yoy', 'yield_percent', 'percent', 'index_points', 'tons'][month(observation_date) % 6 + 1] as u from v_obs)""")
 def displayed_units(s, d):
-    rows = v.observations(s, d).withColumn("unit", F.lit("percent")).withColumn("own", F.col("series_id"))
+    units = F.array(*map(F.lit, ("percent_yoy", "percent_ytd_yoy", "yield_percent", "percent", "index_points", "tons")))
+    rows = v.observations(s, d).withColumn("unit", F.get(units, F.month("observation_date") % 6)).withColumn("own", F.col("series_id"))
     rows = rows.withColumn("series_id", F.when(F.col("series_id") == "3-MEDIUM", "cn_fixed_asset_investment").otherwise(F.col("series_id")))
-    return ledger.displayed(rows).select(F.col("own").alias("series_id"), "observation_date", "reported_as", "shown_unit")
+    return ledger.displayed(rows).select(F.col("own").alias("series_id"), "observation_date", "reported_as", "shown_unit", "change_unit")
 
 
 @query("""select series_id, min(observation_date)::date as first_date, string_agg(strftime(m, '%Y-%m'), ',' order by m) as months from (select series_id, observation_date, unnest(generate_series(date_trunc('month', observation_date), date_trunc('month', observation_date) + interval 1 month, interval 1 month)) as m from v_obs where month(observation_date) = 1) group by 1""")

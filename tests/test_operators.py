@@ -185,3 +185,64 @@ def test_ledger_stream_appends_once(spark, tmp_path):
     assert spark.read.parquet(paths[1]).count() == 1
     changed = df.where("series_id is not null").withColumn("value", F.lit(1.0))
     assert ledger.ledger_changes(changed, spark.read.parquet(paths[1])).first().event == "historical_revision"
+
+
+def test_dates_of_records(spark):
+    rows = [("2024-01-05",), ("unknown",), (" NaT ",), ("",), (None,), ("2024-01-05T10:00:00+08:00",), ("2024-01-05 10:00:00",), ("odd",)]
+    got = spark.createDataFrame(rows, "t string").select("t", ledger.iso_date(F.col("t")).alias("d"), F.date_format(ledger.shanghai_timestamp(F.col("t")), "yyyy-MM-dd HH:mm").alias("at")).collect()
+    assert {r.t: r.d for r in got} == {"2024-01-05": D(2024, 1, 5), "unknown": None, " NaT ": None, "": None, None: None, "2024-01-05T10:00:00+08:00": D(2024, 1, 5), "2024-01-05 10:00:00": D(2024, 1, 5), "odd": None}
+    at = {r.t: r["at"] for r in got}
+    assert at["2024-01-05"] == "2024-01-04 16:00" and at["2024-01-05T10:00:00+08:00"] == at["2024-01-05 10:00:00"] == "2024-01-05 02:00" and at["odd"] is None
+
+
+def test_names_orders_and_unions(spark):
+    from almanac.functions.columns import ordered, safe_name
+
+    df = spark.createDataFrame([("^VIX/x 1", 2), ("é-_.9", 1)], "n string, k int")
+    assert [r.s for r in ordered(df.select("k", safe_name(F.col("n")).alias("s")), "k").collect()] == ["é-_.9", "_VIX_x_1"]
+    assert ledger.union_batches(df, df.select("n"), df.withColumn("more", F.lit(1))).columns == ["n", "k", "more"]
+
+
+def test_transforms_look_back_as_told_and_refuse_unknown_ones(spark):
+    months = spark.sql("select explode(sequence(date'2020-01-31', date'2022-12-31', interval 1 month)) as m").select(F.last_day("m").alias("month_end"))
+    panel = months.select(F.lit("s").alias("series_id"), "month_end", (F.months_between("month_end", F.lit("2019-12-31")) + 1).alias("value"))
+    schema = "factor string, component string, source string, transform string, periods int, weight double, sign int"
+    config = [("f", "a", "s", "yoy", 6, 1.0, 1), ("f", "b", "s", "yoy", None, 1.0, 1), ("f", "c", "s", "distance_from_50", None, 1.0, -1)]
+    got = {(r.component, r.month_end): r.x for r in factors.transforms(panel, spark.createDataFrame(config, schema)).collect()}
+    assert got["a", D(2020, 7, 31)] == pytest.approx(8 / 2 - 1) and got["b", D(2020, 12, 31)] is None and got["b", D(2021, 1, 31)] == pytest.approx(14 / 2 - 1)
+    assert got["c", D(2020, 1, 31)] == 48.0
+    with pytest.raises(Exception, match="unknown transform"):
+        factors.transforms(panel, spark.createDataFrame([("f", "a", "s", "odd", 1, 1.0, 1)], schema)).collect()
+
+
+def test_composite_minimum_and_weights(spark):
+    rows = [("f", c, D(2024, m, 28), w, 2, z) for c, w, zs in (("a", 1.0, (1.0, 1.0)), ("b", 1.0, (3.0, None)), ("c", 2.0, (5.0, 5.0))) for m, z in zip((1, 2), zs, strict=True)]
+    df = spark.createDataFrame(rows, "factor string, component string, month_end date, weight double, min_components int, z double")
+    assert {r.month_end.month: r.score for r in factors.composite(df).collect()} == pytest.approx({1: 3.5, 2: 11 / 3})
+    assert {r.month_end.month: r.score for r in factors.composite(df.withColumn("min_components", F.lit(None).cast("int"))).collect()} == {1: pytest.approx(3.5), 2: None}
+
+
+def test_contract_of_joint_periods(spark):
+    """A period released inside its month is no look-ahead, one before its month is; a required date that no row has is one violation."""
+    rows = [("s", D(2025, 1, 31), D(2025, 1, 27), "2025-01"), ("t", D(2025, 1, 31), D(2024, 12, 31), "2025-01"), ("u", D(2025, 2, 28), D(2025, 2, 1), "2025-01/2025-02")]
+    df = spark.createDataFrame(rows, "series_id string, observation_date date, available_date date, observation_period string").withColumn("value", F.lit(1.0)).withColumn("availability_basis", F.lit("unverified"))
+    assert [(r.rule, r.series_id) for r in contracts.violations(df).collect()] == [("look_ahead", "t")]
+    undated = df.withColumn("available_date", F.lit(None).cast("date")).withColumn("availability_basis", F.lit("unknown"))
+    assert {r.rule for r in contracts.violations(undated, require_available_date=True).collect()} == {"no_available_date"}
+    assert [tuple(r) for r in contracts.column_report(df.drop("value").withColumn("odd", F.lit(1))).collect()] == [("error", "value"), ("warning", "odd")]
+    with pytest.raises(ValueError):
+        contracts.normalize_observations(df, "official_release")
+
+
+def test_ledger_changes_chain_inside_a_batch(spark):
+    """The same row twice is new once; then a date, an address and a value change in turn."""
+    schema = "series_id string, observation_period string, observation_date date, available_date date, availability_basis string, value double, source_value_url string, vintage date, retrieved_at timestamp, arrival int"
+    base = ("s", "2024-01", D(2024, 1, 31), D(2024, 2, 8), "official_release", 0.8, "https://a", None, None)
+    rows = [(*base, 1), (*base, 2), (*base[:3], D(2024, 2, 9), *base[4:], 3), (*base[:3], D(2024, 2, 9), *base[4:6], "https://b", None, None, 4), (*base[:3], D(2024, 2, 9), base[4], 1.0, "https://b", None, None, 5)]
+    batch = spark.createDataFrame(rows, schema).withColumn("retrieved_at", F.expr("timestamp'2024-03-01' + make_interval(0, 0, 0, 0, arrival)"))
+    stored = batch.drop("arrival").limit(0)
+    got = ledger.ledger_changes(batch, stored, "2024-03-01").collect()
+    assert sorted((r.event, str(r.vintage)) for r in got) == [("historical_revision", "2024-03-01"), ("new_release", "2024-02-08"), ("provenance_update", "2024-03-01"), ("provenance_update", "2024-03-01"), ("unchanged", "None")]
+    kept = ledger.append_changes(batch, stored, "2024-03-01")
+    assert kept.count() == 4 and ledger.append_changes(batch.where("arrival = 5"), kept, "2024-03-02").count() == 0
+    assert ledger.change_events(ledger.ledger_changes(batch, stored, "2024-03-01")).where("event = 'historical_revision'").first().old_value == 0.8
