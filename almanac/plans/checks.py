@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from almanac.operators import contracts, harvest, ledger, research, valuation
+from almanac.operators import asof, contracts, harvest, ledger, research, valuation
 from almanac.plans import views as v
 from almanac.plans.base import query
 from almanac.sources import catalog, readers
@@ -155,9 +155,7 @@ def lag_violations(s, d):
 
 @query("select 'duplicate_month' as problem, month_end from v_panel where series_id = '1-URGENT' and month(month_end) = 6")
 def signal_guard(s, d):
-    from almanac.operators.asof import asof_month_end
-
-    rows = asof_month_end(v.observations(s, d)).where("series_id = '1-URGENT'").select("month_end", F.col("value").alias("signal"))
+    rows = asof.asof_month_end(v.observations(s, d)).where("series_id = '1-URGENT'").select("month_end", F.col("value").alias("signal"))
     return research.signal_guard(rows.unionByName(rows.where("month(month_end) = 6")))
 
 

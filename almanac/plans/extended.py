@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from almanac.operators import asof, factors, ledger, portfolio, research
 from almanac.plans import views as v
 from almanac.plans.base import CUTOFF, query
+from almanac.sources.shared import shared_folder
+from almanac.streaming.ledger import stream_ledger
 
 DECISIONS = "select unnest([date '1995-12-31', date '1996-12-31', date '1997-12-31']) as decision_date"
 
@@ -340,8 +343,6 @@ def classified_gaps(s, d):
   union all select 'unknown_release_dates', null, null, count(*) filter (availability_basis = 'unknown') from v_watch""".replace("fin as (select * from old where k = 1)", "fin as (select * from old where k = 1), per as (select series_id, strptime(substr(observation_period, 1, 7) || '-01', '%Y-%m-%d') as a, strptime(right(observation_period, 7) || '-01', '%Y-%m-%d') as b from ver), ev as (select series_id, observation_date, value, lag(value) over (partition by series_id, observation_date order by vintage) as p from v_ledger where month(observation_date) = 3)"))
 def quality_audit(s, d):
     """Findings at a date, with the revisions of March as the events."""
-    from pyspark.sql import Window
-
     march = v.ledger(s, d).where("month(observation_date) = 3").withColumn("old_value", F.lag("value").over(Window.partitionBy("series_id", "observation_date").orderBy("vintage")))
     events = march.select(F.when(F.col("old_value").isNull(), "new_release").otherwise("historical_revision").alias("event"), "series_id", F.date_format("observation_date", "yyyy-MM").alias("observation_period"), "old_value", F.col("value").alias("new_value"))
     return ledger.quality_audit(v.watch(s, d), events, AS_OF, {"A": 1e12})
@@ -402,13 +403,7 @@ def macro_report(s, d):
   select series_id, observation_period, value, 'new' as kind from rows_ union all select series_id, observation_period, value + 1, 'revised' from rows_ where m = 6""")
 def ledger_stream(s, d):
     """Rows landed in three batches, one of them twice and with repeats inside a batch, streamed into a ledger; what it then holds."""
-    import tempfile
-    import uuid
-
-    from almanac.streaming.ledger import stream_ledger
-
-    shared = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    root = f"{shared.rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    root = shared_folder(s, "ledger")
     rows = asof.latest(v.watch(s, d).where(F.col("retrieved_at").cast("date") <= CUTOFF), ["series_id", "observation_period"], "vintage", "retrieved_at")
     revised = rows.where("month(observation_date) = 6").withColumn("value", F.col("value") + 1)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
