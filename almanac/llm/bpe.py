@@ -26,10 +26,12 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
+from almanac.llm.common import in_small_batches
+
 #: Pre-tokens whose ids a worker remembers, past which it starts anew, and their characters at most.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
 #: Characters whose pre-tokens are looked up together.
-GROUP_CHARS = 6_000_000
+GROUP_CHARS = 1_500_000
 #: Bytes of the longest pre-token that is merged together with others.
 SHORT = 64
 
@@ -300,7 +302,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
             ids = list(v.encode_all(b["text"].fillna("").tolist()))
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": list(map(len, ids)), "ids": ids})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids array<int>")
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -311,7 +313,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "decoded": [v.decode(x) if x is not None else b"" for x in b["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, decoded binary")
+    return in_small_batches(encoded.select("doc_id", "ids")).mapInPandas(run, "doc_id long, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -329,4 +331,4 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
             out.insert(0, "doc_id", b["doc_id"].array)
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

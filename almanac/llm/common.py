@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that a side of a join may have to be broadcast; each caller keeps such rows to about 100 bytes.
 BROADCAST_ROWS = 400_000
+#: Rows of texts that are sent to a Python worker together.
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches of at most ``BATCH_ROWS`` rows: texts have no bound, and a worker holds a batch several times over."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and return the written table: it outlives lost executors."""
     spark = df.sparkSession

@@ -28,13 +28,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import crc_mod, cut
+from almanac.llm.common import crc_mod, cut, in_small_batches
 
 DISCOUNT = 0.75
 REJECT_SIGMAS = 8.0
 #: Characters scored or counted together.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 400_000
 SPACE = 32
+#: Distinct trigrams of a language that a task sums before it sends them on.
+MOST_HELD = 1_000_000
 
 #: Bits of a code point.
 BITS = 21
@@ -85,17 +87,25 @@ def grouped(rows: Iterator, size) -> Iterator[list]:
 
 
 def count_trigrams(texts: DataFrame) -> DataFrame:
-    """(lang, trigram, n) of a table of (text, lang), summed within batches before the shuffle."""
+    """(lang, trigram, n) of a table of (text, lang), summed within tasks before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             for lang, rows in b.groupby("lang", sort=False):
                 for group in grouped(rows["text"], len):
-                    keys, _ = trigrams(group)
-                    values, n = np.unique(keys, return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "trigram": values, "n": n})
-
-    counted = texts.where("text is not null and lang is not null").select("text", "lang").mapInPandas(run, "lang string, trigram long, n long")
+                    keys, n = _summed(trigrams(group)[0])
+                    if lang in held:
+                        keys, n = _summed(np.concatenate((held[lang][0], keys)), np.concatenate((held[lang][1], n)))
+                    held[lang] = keys, n
+                    if len(keys) > MOST_HELD:
+                        yield pd.DataFrame({"lang": lang, "trigram": keys, "n": n.astype(np.int64)})
+                        del held[lang]
+        for lang, (keys, n) in held.items():
+            yield pd.DataFrame({"lang": lang, "trigram": keys, "n": n.astype(np.int64)})
+
+    counted = texts.where("text is not null and lang is not null").select("text", "lang")
+    counted = in_small_batches(counted).mapInPandas(run, "lang string, trigram long, n long")
     return counted.groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
 
 
@@ -234,7 +244,7 @@ def fit(docs: DataFrame, learn: Column) -> Model | None:
                 out = pd.DataFrame({"lang": [x for _, x in rows], "w": n, "h": own * n, "hh": own * own * n})
                 yield out.groupby("lang", as_index=False).sum()
 
-    sums = training.mapInPandas(run, "lang string, w double, h double, hh double").groupBy("lang").agg(F.sum("w").alias("w"), F.sum("h").alias("h"), F.sum("hh").alias("hh"))
+    sums = in_small_batches(training).mapInPandas(run, "lang string, w double, h double, hh double").groupBy("lang").agg(F.sum("w").alias("w"), F.sum("h").alias("h"), F.sum("hh").alias("hh"))
     for r in sums.collect():  # a row per language
         if r.w:
             i = model.langs.index(r.lang)
@@ -272,7 +282,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     }
                 )
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def identify(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
@@ -301,4 +311,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
             out.append((n == 0) | (low > m.mean[best] + REJECT_SIGMAS * (m.deviation[best] + 2.0 / np.sqrt(np.maximum(n, 1)))))
         return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
 
-    return docs.where(~rejected(F.col("text")))
+    return in_small_batches(docs).where(~rejected(F.col("text")))

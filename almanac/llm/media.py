@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import checked_join, cut
+from almanac.llm.common import checked_join, cut, in_small_batches
 
 UNIT, PAD, TAIL = 576, b"\xff", 32
 LEAST, MOST, CUT_BITS = 512, 16_384, 11
@@ -85,7 +85,7 @@ def list_chunks(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].array)
             yield out
 
-    return docs.mapInPandas(run, "doc_id long, text_key binary, n_bytes long, payload_bytes long, digests array<binary>")
+    return in_small_batches(docs).mapInPandas(run, "doc_id long, text_key binary, n_bytes long, payload_bytes long, digests array<binary>")
 
 
 def decide(listed: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def store(docs: DataFrame, decisions: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["text_key", "digests", "complete", "chunks"])
 
     keyed = docs.select("doc_id", "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text_key"))
-    return checked_join(keyed, decisions, "text_key", "left").mapInPandas(run, "text_key binary, digests array<binary>, complete boolean, chunks array<struct<digest: binary, bytes: binary, lent: boolean>>")
+    return in_small_batches(checked_join(keyed, decisions, "text_key", "left")).mapInPandas(run, "text_key binary, digests array<binary>, complete boolean, chunks array<struct<digest: binary, bytes: binary, lent: boolean>>")
 
 
 def stored_form(digests: list[bytes], parts: list[bytes]) -> bytes:
@@ -160,7 +160,7 @@ def read_back(stored: DataFrame) -> DataFrame:
     borrowed = wanted.join(lent, "digest").groupBy("text_key").agg(F.collect_list(F.struct("digest", "bytes")).alias("borrowed"))  # at most the medium's chunks
     parts = parts.select("text_key", "digests", "chunks").join(borrowed, "text_key", "left")
     schema = "text_key binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return whole.mapInPandas(_read, schema).union(parts.mapInPandas(_read, schema))
+    return in_small_batches(whole).mapInPandas(_read, schema).union(parts.mapInPandas(_read, schema))
 
 
 def chunked_media(docs: DataFrame) -> DataFrame:

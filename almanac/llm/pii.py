@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import checked_join, cut
+from almanac.llm.common import checked_join, cut, in_small_batches
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE, SUPPORT = 0.8, 2
@@ -140,7 +140,7 @@ def read_texts(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"].array, "key": b["key"].array, "spans": spans, "entities": entities, "terms": terms})
 
     schema = "doc_id long, key binary, spans array<struct<start: long, kind: int, end: long>>, entities array<string>, terms array<string>"
-    return docs.select("doc_id", text_key().alias("key"), "text").mapInPandas(run, schema)
+    return in_small_batches(docs.select("doc_id", text_key().alias("key"), "text")).mapInPandas(run, schema)
 
 
 class Wanted:
@@ -186,7 +186,7 @@ def document_frequency(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if counts:
                 yield pd.DataFrame({"term": list(counts.keys()), "n": list(counts.values())})
 
-    counted = docs.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = in_small_batches(docs.select("text")).mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return checked_join(counted, wanted, "term", "left_semi", limit=MOST_TERMS)
 
 
@@ -240,7 +240,7 @@ def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["key", "term", "at"])
 
-    seen = docs.select(text_key().alias("key"), "text").where("text is not null").mapInPandas(run, "key binary, term string, at array<struct<start: long, end: long>>")
+    seen = in_small_batches(docs).select(text_key().alias("key"), "text").where("text is not null").mapInPandas(run, "key binary, term string, at array<struct<start: long, end: long>>")
     exact = checked_join(seen, found.select("term"), "term", "left_semi", limit=MOST_TERMS)
     each = exact.groupBy("key", "term").agg(F.first("at").alias("at"))  # copies of a text have the same places
     return cut(each.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("terms")), "term-spans")  # a text's own words
@@ -292,5 +292,5 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
             done.append("".join(out) + text[at:] if out else text)
         return pd.Series(done, dtype=object)
 
-    keyed = checked_join(docs.withColumn("_pii_key", text_key()), terms, "_pii_key", "left", limit=MOST_TERMS)
+    keyed = checked_join(in_small_batches(docs).withColumn("_pii_key", text_key()), terms, "_pii_key", "left", limit=MOST_TERMS)
     return keyed.withColumn("text", clean("text", "_pii_start", "_pii_end")).select(*docs.columns)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import crc_mod, cut
+from almanac.llm.common import crc_mod, cut, in_small_batches
 
 SAMPLE_ROWS = 40_000
 THRESHOLD = 0.3
@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, row
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     # One row of a doc_id that repeats, whatever its rows: the sample bounds what comes to the driver.
-    each = joined.mapInPandas(run, "doc_id long, quality double, x array<double>").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("x").alias("x"))
+    each = in_small_batches(joined).mapInPandas(run, "doc_id long, quality double, x array<double>").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("x").alias("x"))
     data = each.toPandas().sort_values("doc_id", kind="stable")
     x = np.array(data["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, data["quality"].to_numpy(float))
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": sent.value.scores(feature_matrix(b["text"]))})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import cut
+from almanac.llm.common import cut, in_small_batches
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
@@ -233,7 +233,7 @@ def scan(docs: DataFrame, rank: Mapping[str, int] | None = None) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].array)
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base string, spans string, max_log10_guesses double")
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base string, spans string, max_log10_guesses double")
 
 
 def redact_text(text: str | None, rank: Mapping[str, int] = RANK) -> str | None:
@@ -257,7 +257,7 @@ def redact(docs: DataFrame, rank: Mapping[str, int] | None = None) -> DataFrame:
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: redact_text(t, sent.value))
 
-    out = docs.withColumn("text", clean(F.col("text")))
+    out = in_small_batches(docs).withColumn("text", clean(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from almanac.llm.common import BROADCAST_ROWS, checked_join, cut
+from almanac.llm.common import BROADCAST_ROWS, checked_join, cut, in_small_batches
 from almanac.llm.components import connected_components, merged_components
 
 REGISTERS, BANDS = 120, 24
@@ -43,8 +43,8 @@ SMALL_BUCKET = 64
 #: How far below the best log likelihood that of the wanted similarity may lie.
 LIKELIHOOD_GAP = 14.0
 #: Words that a worker remembers, and their bytes at most.
-CACHE_WORDS, CACHE_BYTES = 500_000, 64
-GROUP_CHARS = 4_000_000
+CACHE_WORDS, CACHE_BYTES = 150_000, 64
+GROUP_CHARS = 1_000_000
 
 _rng = np.random.default_rng(20260101)
 _MULTIPLY = _rng.integers(1, 1 << 32, REGISTERS, np.uint32) | np.uint32(1)
@@ -140,7 +140,7 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
                     }
                 )
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, key1 long, key2 long, registers binary, bands array<long>, p1 long, p2 long")
+    return in_small_batches(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, n_shingles long, key1 long, key2 long, registers binary, bands array<long>, p1 long, p2 long")
 
 
 def _groups(texts: list) -> Iterator[tuple[int, list]]:
@@ -189,7 +189,7 @@ def estimated(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFra
             keep = wanted >= ll.max(axis=1) - LIKELIHOOD_GAP
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "j": j})[keep]
 
-    return full.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInPandas(run, "a long, b long, j double")
+    return in_small_batches(full.select("a", "b", "n_a", "n_b", "r_a", "r_b")).mapInPandas(run, "a long, b long, j double")
 
 
 def shingle_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -200,7 +200,7 @@ def shingle_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             for at, texts in _groups(b["text"].tolist()):
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at : at + len(texts)].array, "s": [s.view(np.int64) for s in shingle_sets(texts, words)]})
 
-    return cut(checked_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi").mapInPandas(run, "doc_id long, s array<long>"), "sets")
+    return cut(in_small_batches(checked_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi")).mapInPandas(run, "doc_id long, s array<long>"), "sets")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
