@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, embeddings, langid, licenses, media, mixing, pii, quality, secret_scan, sketches
+from almanac.llm import bpe, collocations, embeddings, langid, licenses, media, mixing, passages, pii, quality, runs, secret_scan, sketches
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs.withColumn("path", path.otherwise(F.concat(F.concat_ws("/", group, folder, F.col("doc_id")), F.lit(".txt")))))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_docs(spark, sf_dir, "text", "lang"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.runs(_docs(spark, sf_dir, "doc_id", "text"), runs.planted))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digests(passages.remove_repeats(_docs(spark, sf_dir, "doc_id", "text")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +85,9 @@ QUERIES = {
         op8_source_mixing,
         op9_language_id,
         op10_license_scan,
+        op11_collocations,
+        op12_periodic_runs,
+        op13_suffix_dedup,
     )
 }
 
@@ -105,4 +120,46 @@ select doc_id, size, source_size, target,
        cast(size * (whole + case when whole < 3 and (words <= target - whole * source_size
          or words - tied <= target - whole * source_size and tied < 2 * (target - whole * source_size - (words - tied))) then 1 else 0 end) as bigint) as taken
 from upto""",
+    "op11_collocations": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+         regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w
+  from documents),
+grams as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from pieces, (values (1), (2), (3), (4)) o(k))),
+f as (select lang, k, phrase, count(*) as f from grams group by all),
+words as (select lang, sum(len(w)) as n from pieces group by lang),
+frequent as (select * from f where k >= 2 and f >= 30),
+split as (select *, string_split(phrase, ' ') as w from frequent),
+inside as (
+  select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, f
+  from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from split))),
+longer as (select lang, phrase, max(f) as most from inside group by all),
+cuts as (
+  select s.lang, s.phrase, s.f as a, c, l.f as l, r.f as r, cast(2000000 as hugeint) * s.f // (cast(l.f as hugeint) + r.f) as score
+  from (select *, unnest(range(1, k)) as c from split) s
+  join f l on l.lang = s.lang and l.phrase = array_to_string(w[1:c], ' ')
+  join f r on r.lang = s.lang and r.phrase = array_to_string(w[c + 1:], ' ')
+  left join longer g on g.lang = s.lang and g.phrase = s.phrase
+  where g.most is null or 100 * g.most < 80 * s.f),
+lowest as (select lang, phrase, a, l, r, score from cuts qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest)
+select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
+from ranked join words using (lang) where rank <= 2000""",
+    "op13_suffix_dedup": r"""
+with b as (select row_number() over () as rn, doc_id, encode(coalesce(text, '')) as t from documents),
+part as (select rn, doc_id, octet_length(t) as n, hex(t) as h, unnest(range(0, octet_length(t), 256)) as base from b),
+piece as (select rn, doc_id, n, base, substr(h, 2 * base + 1, 612) as h from part),
+place as (select rn, doc_id, n, h, base, unnest(range(least(256, n - base))) as j from piece),
+string as (select rn, doc_id, base + j as i, substr(h, 2 * j + 1, 2) as byte, case when base + j + 50 <= n then substr(h, 2 * j + 1, 100) end as s from place),
+earliest as (select *, case when s is not null and min(doc_id) over (partition by s) < doc_id then i end as hit from string),
+marked as (select *, coalesce(i - max(hit) over (partition by rn order by i) < 50, false) as gone from earliest),
+turned as (select *, gone and not coalesce(lag(gone) over (partition by rn order by i), false) as begins from marked),
+summed as (
+  select rn, count(*) filter (gone) as n_removed, count(*) filter (begins) as n_spans, string_agg(byte, '' order by i) filter (not gone) as kept
+  from turned group by rn)
+select doc_id, cast(octet_length(t) as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+       cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from b left join summed using (rn)""",
 }
