@@ -238,7 +238,10 @@ def fit(docs: DataFrame, learn: Column) -> Model | None:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for b in batches:
-            for rows in grouped(zip(b["text"], b["lang"], strict=True), lambda r: len(r[0])):
+            known = [(t, x) for t, x in zip(b["text"], b["lang"], strict=True) if x in m.langs]  # a language whose texts hold no letter has no model
+            for rows in grouped(known, lambda r: len(r[0])):
+                if not rows:
+                    continue
                 h, n = m.entropies([t for t, _ in rows])
                 own = h[np.arange(len(rows)), [m.langs.index(x) for _, x in rows]]
                 out = pd.DataFrame({"lang": [x for _, x in rows], "w": n, "h": own * n, "hh": own * own * n})

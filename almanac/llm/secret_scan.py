@@ -8,8 +8,10 @@ that takes at least ``MIN_LOG10_GUESSES`` to guess is a secret and a span of kin
 Costs are exact below ``MOST_LOG10_GUESSES`` and reported as that beyond it, so states that cost more are not followed and
 the work on a value grows with its length alone.
 
-Words are ranked: first the usual ones of passwords, then those of the corpus that most documents
-hold, ``DICTIONARY`` at most, counted over all documents, ties by code point. A word beyond that bound costs what its characters cost.
+Words are ranked: first the usual ones of passwords, then those of the corpus that most texts hold, ``DICTIONARY`` at most, ties by
+code point. Texts are counted without credential values and runs of hex digits, copies of a text once, and a word must stand
+in ``LEAST_TEXTS`` of them and a share of ``LEAST_SHARE``, so no secret becomes a word by being in the corpus, however often. A word
+beyond these bounds costs what its characters cost.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned each by itself; spans of one
 start follow the order of ``KINDS``; texts and values are scanned whole at any length; an empty table gives an
@@ -26,10 +28,10 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.common import cut, in_small_batches
+from almanac.llm.common import checked_join, cut, in_small_batches
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
@@ -38,6 +40,8 @@ MIN_LOG10_GUESSES = 8.0
 MOST_LOG10_GUESSES = 32.0
 #: Words taken from the corpus, and their letters at most.
 DICTIONARY, LONGEST_WORD = 20_000, 24
+#: Texts, and share of all different texts, that hold a word of the corpus at least.
+LEAST_TEXTS, LEAST_SHARE = 3, 1e-4
 #: Of a walk longer than twice this, only ends this near to its start or end are tried: no cheaper sequence leaves it in between.
 WALK_ENDS = 64
 
@@ -193,15 +197,38 @@ def listed(spans) -> str:
     return ",".join(f"{kind}:{s}:{e}" for s, e, kind, *_ in spans)
 
 
-def dictionary(docs: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
-    """Ranks of the fixed words and of the corpus words that most documents hold, ``size`` at most.
+#: What is taken out of a text before its words are counted.
+UNCOUNTED = f"(?i:{CONTEXT.pattern})|(?i:{ASSIGN.pattern})"
 
-    Document frequencies are taken in steps of a hundredth, and words of one step are in or out together; so a histogram of
+
+def prose(text: Column) -> Column:
+    """A text without credential values and runs of hex digits."""
+    low = F.lower(text)
+    hinted = F.greatest(*[F.contains(low, F.lit(h)) for h in _HINTS])
+    return F.regexp_replace(F.when(hinted, F.regexp_replace(text, UNCOUNTED, " ")).otherwise(text), HEX.pattern, " ")
+
+
+def different_texts(docs: DataFrame) -> DataFrame:
+    """The texts of (doc_id, text), of equal ones that of the least doc_id. Digests of copies alone are joined, behind a count."""
+    rows = docs.where("text is not null").select("doc_id", "text", F.unhex(F.md5("text")).alias("digest"))
+    copied = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").select("digest", "first")
+    rows = checked_join(rows, cut(copied, "copied"), "digest", "left")
+    return rows.where("first is null or doc_id = first").select("text")
+
+
+def dictionary(docs: DataFrame, size: int = DICTIONARY, least_texts: int = LEAST_TEXTS, least_share: float = LEAST_SHARE) -> dict[str, int]:
+    """Ranks of the fixed words and of the corpus words that most different texts hold, ``size`` at most.
+
+    Frequencies are taken in steps of a hundredth, and words of one step are in or out together; so a histogram of
     the steps gives the least frequency, and no more than ``size`` words come to the driver.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{3,{LONGEST_WORD}}}"), F.lit(0)))
-    counted = docs.where("text is not null").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    texts = different_texts(docs)
+    words = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower(prose(F.col("text"))), F.lit(f"[a-z]{{3,{LONGEST_WORD}}}"), F.lit(0))))
+    counted = texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))  # the empty word counts the texts
     counted = cut(counted.withColumn("step", F.floor(F.log("n") * 100).cast("int")), "words")
+    total = counted.where("word = ''").first()
+    enough = max(least_texts, math.ceil(least_share * (total.n if total else 0)))
+    counted = counted.where((F.col("word") != "") & (F.col("n") >= enough))
     least, left = None, size
     for r in sorted(counted.groupBy("step").count().collect(), reverse=True):  # some thousand steps at most
         if r["count"] > left:

@@ -200,7 +200,7 @@ def test_secrets_in_long_texts_take_linear_time():
 
 
 def test_words_of_the_corpus_are_cheap(spark):
-    table = spark.createDataFrame([(i, "correct horse battery staple") for i in range(3)] + [(9, None)], "doc_id long, text string")
+    table = spark.createDataFrame([(i, f"correct horse battery staple {i}") for i in range(3)] + [(9, None)], "doc_id long, text string")
     rank = secret_scan.dictionary(table)
     assert rank["battery"] == len(secret_scan.RANK) + 1 and secret_scan.dictionary(table, 2).get("horse") is None
     assert secret_scan.guess_cost("correcthorsebatterystaple", rank) < 13 < secret_scan.guess_cost("correcthorsebatterystaple")
@@ -430,6 +430,34 @@ def test_language_id_in_odd_cases(spark):
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {701, 702, 703}
 
 
+@pytest.mark.parametrize("copies", [1, 100])
+def test_secrets_of_letters_keep_their_cost_in_the_corpus(spark, copies):
+    """The values are part of the corpus that the ranks come from, alone, in copies and in near copies."""
+    prose = "plain words of a corpus that many texts share with each other"
+    rows = [(i, f"{prose} {i}") for i in range(50)]
+    rows += [(100 + i, f'{prose} pwd = "zqxjvkwplmtr" and auth: "hxqvkzwbnmpl" end') for i in range(copies)]
+    rows += [(300 + i, f'{prose} {i} token: qvxzjkwplmtb, 0123456789abcdefabcdef') for i in range(copies)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    rank = secret_scan.dictionary(table)
+    assert "corpus" in rank and not {"zqxjvkwplmtr", "hxqvkzwbnmpl", "qvxzjkwplmtb", "abcdefabcdef"} & set(rank)
+    got = {r.doc_id: r for r in secret_scan.scan(table).collect()}
+    assert got[100].n_guess == 2 and got[300].n_guess == 1 and got[0].n_guess == 0 and got[100].max_log10_guesses > 16
+    clean = {r.doc_id: r.text for r in secret_scan.redact(table).collect()}
+    assert not any(v in t for t in clean.values() for v in ("zqxjvkwplmtr", "hxqvkzwbnmpl", "qvxzjkwplmtb")) and clean[0] == rows[0][1]
+
+
+def test_stages_on_empty_tables_and_languages_without_letters(spark, empty):
+    assert [f(empty).count() for f in (langid.keep_identified, sketches.keep_one, secret_scan.redact, mixing.take, pii.sanitise)] == [0] * 5
+    assert all(f(empty).columns == empty.columns for f in (langid.keep_identified, sketches.keep_one, secret_scan.redact, mixing.take))
+    rows = [(i, words(60, i), "aa") for i in range(30)] + [(100 + i, "12 34 -- !?", "xx") for i in range(30)] + [(200, "", "yy"), (201, None, "zz")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(table).collect()}
+    assert len(got) == 62 and all(got[i].lang_pred == "und" for i in (*range(100, 130), 200, 201)) and got[0].lang_pred == "aa"
+    assert {r.doc_id for r in langid.keep_identified(table).collect()} <= set(range(30))
+    none = table.where("doc_id >= 100")
+    assert {r.lang_pred for r in langid.identify(none).collect()} == {"und"} and langid.keep_identified(none).count() == 0
+
+
 def test_quality(spark, docs):
     rows = [(i, words(50, i) if i % 2 else words(50, i).replace(" ", " *** "), i % 2) for i in range(400)]
     table = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, "")], "doc_id long, text string")
@@ -564,14 +592,16 @@ def test_pipeline_equals_brute_force(spark):
     low = brute_components(sets, linked)
     rows = [r for r in rows if low[r["doc_id"]] == r["doc_id"]]
 
-    counts = {}
-    for r in rows:
-        for w in set(re.findall("[a-z]{3,24}", (r["text"] or "").lower())):
+    counts, texts = {}, {r["text"] for r in rows if r["text"] is not None}
+    for t in texts:
+        plain = secret_scan.CONTEXT.sub(" ", t)
+        for w in set(re.findall("[a-z]{3,24}", secret_scan.HEX.sub(" ", secret_scan.ASSIGN.sub(" ", plain)).lower())):
             counts[w] = counts.get(w, 0) + 1
-    assert len(counts) <= secret_scan.DICTIONARY
+    assert len(counts) <= secret_scan.DICTIONARY and len(texts) < 10_000
     rank = dict(secret_scan.RANK)
     for w in sorted(counts, key=lambda w: (-counts[w], w)):
-        rank.setdefault(w, len(rank) + 1)
+        if counts[w] >= secret_scan.LEAST_TEXTS:
+            rank.setdefault(w, len(rank) + 1)
     for r in rows:
         r["text"] = secret_scan.redact_text(r["text"], rank)
 
