@@ -2,9 +2,12 @@
 
 A notice is a unit of a file that holds a cue word: a line or a sentence of it, a sentence whose wrapped lines are joined, or,
 in a file named as a licence file, its whole text. Every notice and template is a sparse vector of term counts times inverse
-template frequency. Whole texts come first: where one reaches ``WHOLE_COSINE`` with a template, the greatest such cosine decides;
-otherwise the greatest cosine of the other units, at least ``MIN_COSINE``. Equal cosines go to the template of more
-weight, as more of it was seen, then to the licence that sorts first. A file without a licence inherits from
+template frequency. A template is compared only with units that hold its deciding terms (the names of licences and their versions, ``DECIDING``)
+and, but for whole texts, no deciding term that is foreign to its licence: a near text with another name is another licence.
+Whole texts come first: where one reaches ``WHOLE_COSINE`` with a template, the greatest such cosine decides;
+otherwise the greatest cosine of the other units, at least ``MIN_COSINE``; below ``SURE_COSINE`` a unit must be nearer by ``MARGIN``
+than to any other licence, or it names none. Equal cosines go to the template of more weight, as more of it was seen, then to
+the licence that sorts first. A file without a licence inherits from
 the nearest directory above that has a licence file (``LICENSE``, ``LICENCE``, ``COPYING`` or ``NOTICE``, with or without an ending)
 with a known licence, of several the surest. DataFrame functions only; texts are known by 128 bits of them, so
 copies are one, and directories, not files, are joined with their ancestors.
@@ -22,9 +25,17 @@ from pyspark.sql import functions as F
 from almanac.llm.common import checked_join, cut
 
 MIN_COSINE, WHOLE_COSINE = 0.5, 0.75
+#: What the best licence of a unit must be ahead of the next one, unless its cosine is this sure.
+MARGIN, SURE_COSINE = 0.03, 0.9
+#: Names of licences and their versions; a unit is a notice of the licence that it names, however near another text is.
+DECIDING = (
+    "0bsd affero agpl apache artistic attribution blueoak boost bsd bsl by cc cc0 cddl commercial eclipse epl eupl gpl isc lesser lgpl library "
+    "microsoft mit mozilla mpl nc nd noderivatives noderivs noncommercial openssl proprietary python sa sharealike "
+    "unencumbered unlicense wtfpl zlib v1 v2 v3 v4 1 2 3 4"
+).split()
 #: Every template holds one of these, and a unit without any is no notice.
-CUE = r"(?i)licen[sc]|copyright|spdx|permission (is hereby|to use)|redistribution|redistribute|general public|public domain"
-SENTENCE, BLANK = r"\n|\.\s+", r"\n[^\p{L}\p{N}\n]*\n|\.\s+"
+CUE = r"(?i)licen[sc]|creative commons|\bcc(0|[ -]by)\b|copyright|spdx|permission (is hereby|to use)|redistribution|redistribute|general public|public domain"
+SENTENCE, BLANK = r"\n|(?<!\b[Vv])\.\s+", r"\n[^\p{L}\p{N}\n]*\n|(?<!\b[Vv])\.\s+"  # not within "v. 2.0"
 TERM = r"[a-z0-9]+"
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
 #: Rows of templates' terms that may be broadcast.
@@ -37,7 +48,18 @@ IDENTIFIERS = {
     "BSD-2-Clause": ("BSD-2-Clause",),
     "BSD-3-Clause": ("BSD-3-Clause",),
     "CC-BY-4.0": ("CC-BY-4.0",),
+    "0BSD": ("0BSD",),
+    "Artistic-2.0": ("Artistic-2.0",),
+    "BSL-1.0": ("BSL-1.0",),
     "CC-BY-NC-4.0": ("CC-BY-NC-4.0",),
+    "CC-BY-NC-ND-4.0": ("CC-BY-NC-ND-4.0",),
+    "CC-BY-NC-SA-4.0": ("CC-BY-NC-SA-4.0",),
+    "CC-BY-ND-4.0": ("CC-BY-ND-4.0",),
+    "EPL-1.0": ("EPL-1.0",),
+    "EPL-2.0": ("EPL-2.0",),
+    "LGPL-2.0": ("LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.0"),
+    "WTFPL": ("WTFPL",),
+    "Zlib": ("Zlib",),
     "CC-BY-SA-4.0": ("CC-BY-SA-4.0",),
     "CC0-1.0": ("CC0-1.0",),
     "GPL-2.0": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0"),
@@ -62,6 +84,28 @@ NOTICES = (
     ("BSD-3-Clause", "licensed under the BSD 3-Clause License"),
     ("BSD-2-Clause", "licensed under the BSD 2-Clause License"),
     ("CC-BY-4.0", "licensed under the Creative Commons Attribution 4.0 International License"),
+    ("Artistic-2.0", "licensed under the Artistic License 2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0"),
+    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International Public License"),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International Public License"),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-1.0", "licensed under the Eclipse Public License, version 1.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-2.0", "licensed under the Eclipse Public License, version 2.0"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.0", "licensed under the GNU Library General Public License, version 2"),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"),
+    ("Zlib", "licensed under the zlib License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "dedicated to the public domain under CC0 1.0 Universal"),
@@ -116,6 +160,21 @@ TEXTS = (
         "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER "
         "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
     ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission "
+        "is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The "
+        "origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product "
+        "documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This "
+        "notice may not be removed or altered from any source distribution",
+    ),
+    (
+        "0BSD",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL "
+        "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+        "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+    ),
 )
 TEMPLATES = NOTICES + TEXTS + tuple((k, f"SPDX-License-Identifier: {name}") for k, names in IDENTIFIERS.items() for name in names)
 
@@ -128,14 +187,25 @@ def terms(notice: Column) -> Column:
     return F.regexp_extract_all(F.lower(notice), F.lit(TERM), F.lit(0))
 
 
+def deciding(found: Column) -> Column:
+    """The deciding terms among an array of terms."""
+    return F.array_intersect(found, F.array(*map(F.lit, DECIDING)))
+
+
 def template_vectors(known: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(license, template, term, weight, norm) and (term, idf) of a table of templates, and their number; both are written."""
+    """(license, template, needs, allows, term, weight, norm) and (term, idf) of a table of templates, and their number; both are written.
+
+    ``needs`` are the deciding terms of the template, ``allows`` those of all templates of its licence.
+    """
     n = known.count()
     counted = cut(known.select("template", "license", F.explode(terms(F.col("notice"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf")), "template-terms")
     idf = cut(counted.groupBy("term").agg((F.log((1 + n) / (1 + F.count("*"))) + 1).alias("idf")), "idf")
     weighed = counted.join(idf, "term").withColumn("weight", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return cut(weighed.join(norms, "template").select("license", "template", "term", "weight", "norm"), "template-vectors"), idf, n
+    needs = known.select("template", "license", deciding(terms(F.col("notice"))).alias("needs"))
+    allows = needs.groupBy("license").agg(F.array_distinct(F.flatten(F.collect_list("needs"))).alias("allows"))  # of a licence, fixed values
+    rules = needs.join(allows, "license").drop("license")
+    return cut(weighed.join(norms, "template").join(rules, "template").select("license", "template", "needs", "allows", "term", "weight", "norm"), "template-vectors"), idf, n
 
 
 def notices(text: Column, is_licence: Column) -> Column:
@@ -154,13 +224,21 @@ def detect(files: DataFrame, known: DataFrame, least: float = MIN_COSINE, whole:
     counted = units.select(*key, "place", F.explode(terms(F.col("notice"))).alias("term")).groupBy(*key, "place", "term").agg(F.count("*").alias("tf"))
     own = F.col("tf") * F.coalesce("idf", F.log(F.lit(1.0 + n)) + 1)
     weighed = cut(checked_join(counted, idf, "term", "left", limit=MOST_TERMS).withColumn("own", own), "notice-terms")
-    norms = weighed.groupBy(*key, "place").agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("own_norm"))
+    decides = F.collect_set(F.when(F.col("term").isin(DECIDING), F.col("term")))  # no more than there are deciding terms
+    norms = weighed.groupBy(*key, "place").agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("own_norm"), decides.alias("decides"))
     shared = checked_join(weighed.where("idf is not null"), vectors, "term", "inner", limit=MOST_TERMS)
-    dots = shared.groupBy(*key, "place", "license", "template", "norm").agg(F.sum(F.col("own") * F.col("weight")).alias("dot"))
+    dots = shared.groupBy(*key, "place", "license", "template", "norm", "needs", "allows").agg(F.sum(F.col("own") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, [*key, "place"]).withColumn("cosine", F.round(F.col("dot") / (F.col("norm") * F.col("own_norm")), 9))
+    foreign = F.size(F.array_except("decides", "allows")) > 0
+    scored = scored.where((F.size(F.array_except("needs", "decides")) == 0) & ((F.col("place") == 0) | ~foreign))
     scored = scored.where(F.col("cosine") >= F.when(F.col("place") == 0, F.greatest(F.lit(whole), F.lit(least))).otherwise(F.lit(least)))
-    order = F.struct((F.col("place") > 0).alias("part"), (-F.col("cosine")).alias("least"), F.round(-F.col("norm"), 9).alias("norm"), "license")
-    return scored.groupBy(*key).agg(F.min(order).alias("best")).select(*key, "best.license", (-F.col("best.least")).alias("cosine"))
+    per = scored.groupBy(*key, "place", "license").agg(F.max(F.struct("cosine", F.round("norm", 9).alias("norm"))).alias("m"))
+    ranked = per.groupBy(*key, "place").agg(F.sort_array(F.collect_list(F.struct("m.cosine", "m.norm", "license")), asc=False).alias("all"))  # one per licence
+    ahead = F.col("all")[0]["cosine"] - F.coalesce(F.try_element_at("all", F.lit(2))["cosine"], F.lit(0.0))
+    sure = (F.col("place") == 0) | (F.col("all")[0]["cosine"] >= SURE_COSINE) | (ahead >= MARGIN)
+    best = ranked.where(sure).select(*key, "place", F.explode(F.filter("all", lambda x: x["cosine"] == F.col("all")[0]["cosine"])).alias("x"))
+    order = F.struct((F.col("place") > 0).alias("part"), (-F.col("x.cosine")).alias("least"), (-F.col("x.norm")).alias("norm"), F.col("x.license").alias("license"))
+    return best.groupBy(*key).agg(F.min(order).alias("best")).select(*key, "best.license", (-F.col("best.least")).alias("cosine"))
 
 
 def directory(path: Column) -> Column:
