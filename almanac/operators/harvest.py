@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +18,7 @@ RELEASES = (
     ("pmi_new_orders", "中国采购经理指数运行情况", None, None),
     ("industrial_production", "规模以上工业增加值", "利润", "规模以上工业增加值"),
     ("retail_sales", "社会消费品零售总额", None, "社会消费品零售总额"),
-    ("fixed_asset_investment", "固定资产投资", "房地产", "固定资产投资"),
+    ("fixed_asset_investment", "固定资产投资", "房地产", r"(?:全国固定资产投资|固定资产投资（不含农户）|固定资产投资\(不含农户\))"),
     ("cpi", "居民消费价格", None, "居民消费价格"),
     ("ppi", "工业生产者出厂价格", None, "工业生产者出厂价格"),
     ("tsf_stock", "社会融资规模存量统计数据报告", None, "社会融资规模存量"),
@@ -24,27 +28,100 @@ RELEASES = (
 WINDOW, CORE_WINDOW, MONEY_WINDOW, STOCK_WINDOW, DECEMBER_WINDOW, DECEMBER_VALUE_WINDOW = 280, 180, 420, 300, 300, 180
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def first_date(text: Column) -> Column:
     """First date of a text; null if it is not a date of the calendar."""
     part = [F.nullif(F.regexp_extract(text, DATE, i), F.lit("")) for i in (1, 2, 3)]
     return F.try_to_date(F.concat_ws("-", part[0], F.lpad(part[1], 2, "0"), F.lpad(part[2], 2, "0")), "yyyy-MM-dd")
 
 
+#: A character reference: by number, or by name with a semicolon, or by one of the old names without it.
+REFERENCE = r"&#[xX][0-9a-fA-F]{1,8};?|&#[0-9]{1,9};?|&[A-Za-z][A-Za-z0-9]*;?"
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point; the replacement character for what is none."""
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
 def decoded(text: Column) -> Column:
-    """Text with the usual character references replaced."""
-    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
+    """Text with all character references replaced, numbers and the names of the standard; an unknown name stays as it is."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string, string>")  # folded into one constant
+
+    def parts(t: Column) -> Column:
+        return F.regexp_extract_all(t, F.lit(f"{REFERENCE}|[^&]+|&"), F.lit(0))
+
+    def one(part: Column) -> Column:
+        digits = F.regexp_replace(part, "^&#[xX]?|;$", "")
+        number = F.when(part.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        return F.when(part.rlike("^&#"), _character(number)).when(part.rlike("^&[A-Za-z]"), F.coalesce(F.try_element_at(names, F.substring(part, 2, 64)), part)).otherwise(part)
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(parts(t), one), "")).otherwise(t))
 
 
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D\u00a0\u3000]+", " "))
 
 
+#: What lies between the name of a tag and its end; a quoted value may hold the end's sign.
+ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+
+
+def bare_html(html: Column) -> Column:
+    """A page without comments, scripts and styles."""
+    return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", "")
+
+
 def visible_text(html: Column) -> Column:
-    """The text of a page without scripts, styles and tags."""
-    bare = F.regexp_replace(html, r"(?s)<(script|style)\b[^>]*>.*?</(script|style)>", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, "<[^>]*>", " "), r"[\x20\x09-\x0D]+", " "))
+    """The text of a page without comments, scripts, styles and tags."""
+    return F.trim(F.regexp_replace(F.regexp_replace(bare_html(html), f"</?[A-Za-z!]{ATTRIBUTES}>", " "), r"[\x20\x09-\x0D]+", " "))
+
+
+def with_class(*names: str) -> str:
+    """A pattern of attributes with one of some classes."""
+    name = "|".join(names)
+    return rf"\bclass\s*=\s*(?:\"(?:[^\"]*\s)?(?:{name})(?:\s[^\"]*)?\"|'(?:[^']*\s)?(?:{name})(?:\s[^']*)?'|(?:{name})(?=[\s>/]))"
+
+
+def with_id(name: str) -> str:
+    return rf"\bid\s*=\s*(?:\"{name}\"|'{name}'|{name}(?=[\s>/]))"
+
+
+def division(html: Column, attributes: str) -> Column:
+    """The content of all divisions whose opening tag has attributes of a pattern, each up to the end tag where its depth returns; null without one.
+
+    The page is cut before every tag of a division. A fold keeps depth and offset, and notes where a block begins and ends;
+    so inner divisions of any depth are part of it, and the work is linear in the page. A block that is never closed runs to the end.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("at"), F.lit(0).alias("begin"), F.array().cast("array<struct<a: int, b: int>>").alias("spans"))
+
+    def step(state: Column, token: Column) -> Column:
+        tag = F.regexp_extract(token, f"(?i)^<div\\b{ATTRIBUTES}>", 0)
+        opens, closes = (tag != "") & ~tag.endswith("/>"), token.rlike("(?i)^</div")
+        inside = state["depth"] > 0
+        begins = opens & ~inside & tag.rlike(f"(?is){attributes}")
+        ends = closes & (state["depth"] == 1)
+        depth = state["depth"] + F.when(begins | (opens & inside), 1).when(closes & inside, -1).otherwise(0)
+        return F.struct(
+            depth.alias("depth"),
+            (state["at"] + F.length(token)).alias("at"),
+            F.when(begins, state["at"] + F.length(tag)).otherwise(state["begin"]).alias("begin"),
+            F.when(ends, F.array_append(state["spans"], F.struct(state["begin"].alias("a"), state["at"].alias("b")))).otherwise(state["spans"]).alias("spans"),
+        )
+
+    def end(state: Column) -> Column:
+        return F.when(state["depth"] > 0, F.array_append(state["spans"], F.struct(state["begin"].alias("a"), state["at"].alias("b")))).otherwise(state["spans"])
+
+    def blocks(bare: Column) -> Column:
+        spans = F.aggregate(F.split(bare, r"(?i)(?=</?div\b)"), start, step, end)
+        return let(spans, lambda found: F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda s: F.substring(bare, s["a"], s["b"] - s["a"])), " ")))
+
+    return let(bare_html(html), blocks)
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
@@ -58,28 +135,43 @@ def page_fields(pages: DataFrame) -> DataFrame:
     )
 
 
-def _meta(name: str) -> Column:
-    tag = F.regexp_extract("html", rf"(?is)<meta\b[^>]*\bname\s*=\s*[\"']?{name}[\"']?[^>]*>", 0)
-    return F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*[\"']([^\"']*)[\"']", 1)
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or not; empty without it."""
+    pattern = rf"(?is)[\s\"']{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
 
 
-def _block(opening: str) -> Column:
-    """The content of the first division whose tag fits, up to the next division's end after it; inner divisions are flattened before."""
-    return F.regexp_extract("html", rf"(?is)<div\b[^>]*{opening}[^>]*>(.*?)(?:</div>\s*(?:<div\b(?![^>]*{opening})|</body|</html|<script|<footer|$)|$)", 1)
+def _named(html: Column, tag: str, name: str) -> Column:
+    """The first tag of a kind with this value of ``name``."""
+    return F.regexp_extract(html, rf"(?is)<{tag}\b(?=[^>]*[\s\"']name\s*=\s*[\"']?{name}[\"'\s>/]){ATTRIBUTES}>", 0)
 
 
 def release_pages(pages: DataFrame) -> DataFrame:
     """(url, title, published, body, text, page_count) of pages (url, html).
 
-    The title is the article's meta title, or else the first heading; the date the meta publication date, or else that of the title block; the
-    body the article block.
+    The title is the article's meta title, or else the first headings; the date the meta publication date, or else that of the title block; the
+    body the article blocks with all that is nested in them.
     """
-    heading = visible_text(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))
-    title = squeezed(decoded(F.coalesce(F.nullif(F.trim(_meta("articletitle")), F.lit("")), heading)))
-    published = F.coalesce(first_date(_meta("pubdate")), first_date(visible_text(_block(r"class\s*=\s*[\"'][^\"']*detail-title-des"))))
-    body = squeezed(decoded(visible_text(_block(r"(?:id\s*=\s*[\"']?zoom|class\s*=\s*[\"'][^\"']*trs_editor)"))))
-    count = F.regexp_extract(F.regexp_extract("html", r"(?is)<input\b[^>]*article_paging_list_hidden[^>]*>", 0), r"(?i)totalpages?\s*=\s*[\"']?(\d+)", 1)
-    return pages.select("url", title.alias("title"), published.alias("published"), body.alias("body"), squeezed(decoded(visible_text(F.col("html")))).alias("text"), count.try_cast("int").alias("page_count"))
+    html = F.col("html")
+    heading = visible_text(F.array_join(F.regexp_extract_all(bare_html(html), F.lit(f"(?is)<h1\\b{ATTRIBUTES}>(.*?)</h1>"), F.lit(1)), " "))
+    title = squeezed(decoded(F.coalesce(F.nullif(F.trim(_attribute(_named(html, "meta", "articletitle"), "content")), F.lit("")), heading)))
+    stated = F.coalesce(visible_text(division(html, with_class("detail-title-des"))), F.lit(""))
+    published = F.coalesce(first_date(decoded(_attribute(_named(html, "meta", "pubdate"), "content"))), first_date(decoded(stated)))
+    body = squeezed(decoded(visible_text(F.coalesce(division(html, f"(?:{with_id('zoom')}|{with_class('trs_editor', 'trs_editor_view')})"), F.lit("")))))
+    paging = _named(html, "input", "article_paging_list_hidden")
+    count = F.coalesce(F.nullif(_attribute(paging, "totalpage"), F.lit("")), _attribute(paging, "totalpages"))
+    return pages.select("url", title.alias("title"), published.alias("published"), body.alias("body"), squeezed(decoded(visible_text(html))).alias("text"), count.try_cast("int").alias("page_count"))
+
+
+def release_links(pages: DataFrame) -> DataFrame:
+    """(base, href, title) of all anchors of pages (url, html): the title is their text, or else the attribute of that name."""
+    found = F.regexp_extract_all(bare_html(F.col("html")), F.lit(f"(?is)<a\\b{ATTRIBUTES}>.*?</a\\s*>"), F.lit(0))
+    anchors = pages.select(F.col("url").alias("base"), F.explode(found).alias("a"))
+    tag = F.regexp_extract("a", f"(?i)^<a\\b{ATTRIBUTES}>", 0)
+    href = F.coalesce(F.nullif(_attribute(tag, "href"), F.lit("")), F.nullif(_attribute(tag, "tagname"), F.lit("")))
+    text = squeezed(decoded(visible_text(F.col("a"))))
+    rows = anchors.select("base", decoded(href).alias("href"), F.coalesce(F.nullif(text, F.lit("")), decoded(_attribute(tag, "title"))).alias("title"))
+    return rows.where("href is not null")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -90,16 +182,53 @@ def page_links(pages: DataFrame) -> DataFrame:
     return parts.groupBy("page_id", "href").agg(F.max(F.struct(F.length("title").alias("n"), "title")).alias("t")).select("page_id", "href", F.col("t.title").alias("title"))
 
 
+#: An address: scheme, authority, path, query and fragment, with the signs that begin or end them.
+ADDRESS = r"^([a-zA-Z][a-zA-Z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+#: Schemes whose addresses may be relative.
+RELATIVE = ("http:", "https:", "ftp:", "file:")
+
+
 def resolved(base: Column, href: Column) -> Column:
-    """An address in full: of the page's host if it starts with a slash, of the page's folder otherwise; dot segments are taken away."""
-    root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(?:/.*/|/)?)", 1)
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
-    joined = F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), F.regexp_replace(href, r"^(?:\./)+", ""))
-    up = joined
-    for _ in range(4):  # as deep as listings refer upwards
-        up = F.regexp_replace(up, r"(?<!:/)(?<!:)/[^/]+/\.\./", "/")
-    return F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(root, href)).otherwise(up)
+    """An address in full, seen from another one, by the rules of RFC 3986: a fold over the segments of both paths takes away dot segments of any depth.
+
+    An address with another scheme or with an authority stays as it is; empty segments inside a joined path are left out.
+    """
+    none = F.array().cast("array<string>")
+
+    def parsed(address: Column) -> Column:
+        part = [F.regexp_extract(address, ADDRESS, i) for i in range(1, 6)]
+        part[3:] = [F.regexp_replace(x, r"^[?#]$", "") for x in part[3:]]  # an empty query or fragment is none
+        return F.struct(*[part[i - 1].alias(name) for i, name in enumerate(("scheme", "host", "path", "query", "fragment"), 1)])
+
+    def flat(segments: Column) -> Column:
+        """Without empty segments, but for the first and last."""
+        n = F.size(segments)
+        middle = F.when(n > 2, F.filter(F.slice(segments, 2, F.greatest(n - 2, F.lit(0))), lambda s: s != "")).otherwise(none)
+        return F.concat(F.slice(segments, 1, 1), middle, F.when(n > 1, F.slice(segments, n, 1)).otherwise(none))
+
+    def step(stack: Column, s: Column) -> Column:
+        return F.when(s == "..", F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).when(s == ".", stack).otherwise(F.array_append(stack, s))
+
+    def folded(segments: Column) -> Column:
+        stack = F.aggregate(segments, none, step)
+        ended = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(stack, F.array(F.lit("")))).otherwise(stack)
+        return F.regexp_replace(F.array_join(ended, "/"), "^(?!/)", "/")
+
+    def joined(of: Column, to: Column) -> Column:
+        folder = let(F.split(of["path"], "/", -1), lambda parts: F.when(F.element_at(parts, -1) == "", parts).otherwise(F.slice(parts, 1, F.size(parts) - 1)))
+        own = F.split(to["path"], "/", -1)
+        return F.concat(let(F.when(to["path"].startswith("/"), own).otherwise(let(F.concat(folder, own), flat)), folded), to["query"])
+
+    def seen(pair: Column) -> Column:
+        of, to = pair["of"], pair["to"]
+        scheme = F.lower(of["scheme"])
+        foreign = (to["scheme"] != "") & (F.lower(to["scheme"]) != scheme) | ~scheme.isin(*RELATIVE)
+        same = F.concat(of["path"], F.when(to["query"] == "", of["query"]).otherwise(to["query"]))
+        rest = F.when(to["host"] != "", F.concat(to["host"], to["path"], to["query"])).otherwise(F.concat(of["host"], F.when(to["path"] == "", same).otherwise(joined(of, to))))
+        return F.when(pair["href"] == "", pair["base"]).when(foreign, pair["href"]).otherwise(F.concat(scheme, rest, to["fragment"]))
+
+    href = F.trim(href)
+    return let(F.struct(base.alias("base"), href.alias("href"), parsed(base).alias("of"), parsed(href).alias("to")), seen)
 
 
 def candidate_links(links: DataFrame, prefix: str, first_year: int | None = None, last_year: int | None = None) -> DataFrame:
@@ -157,8 +286,13 @@ def signed_percent(text: Column, phrase: str | None = None, window: int = WINDOW
     """The first percentage after a word of movement, within ``window`` characters of a phrase's end if one is given: negative after a fall, 0 for unchanged."""
     tail = text if phrase is None else F.regexp_extract(text, rf"(?s){phrase}(.{{0,{window}}})", 1)
     pattern = f"({'|'.join((*RISE, *also, *FALL, *FLAT))}){PERCENT}"
-    word, number = F.regexp_extract(tail, pattern, 1), F.regexp_replace(F.regexp_extract(tail, pattern, 2), ",", "").try_cast("double")
-    return F.when(word.isin(*FLAT), 0.0).when(word.isin(*FALL), -F.abs(number)).when(word != "", number)
+
+    def signed(found: Column) -> Column:
+        word, number = found["word"], found["number"]
+        return F.when(word.isin(*FLAT), 0.0).when(word.isin(*FALL), -F.abs(number)).when(word != "", number)
+
+    number = F.regexp_replace(F.regexp_extract(tail, pattern, 2), ",", "").try_cast("double")
+    return let(F.struct(F.regexp_extract(tail, pattern, 1).alias("word"), number.alias("number")), signed)
 
 
 def release_values(pages: DataFrame) -> DataFrame:
@@ -211,10 +345,14 @@ def snapshot_rows(values: DataFrame) -> DataFrame:
     )
 
 
+def page_values(pages: DataFrame) -> DataFrame:
+    """``release_values`` of pages (url, html); a page without an article block is read as a whole."""
+    return release_values(release_pages(pages).withColumn("body", F.coalesce(F.nullif("body", F.lit("")), "text")))
+
+
 def harvest(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages (url, html) to snapshot rows, the releases whose value was not found, and coverage by series."""
-    read = release_pages(pages)
-    values = release_values(read.withColumn("body", F.coalesce(F.nullif("body", F.lit("")), "text")))
+    values = page_values(pages)
     rows = snapshot_rows(values)
     return rows, values.where("value is null").select("series", "title", "url"), harvest_coverage(rows)
 

@@ -48,8 +48,8 @@ def covered_months(period: Column) -> Column:
     return F.when(first.isNotNull(), F.sequence(first, F.greatest(first, F.coalesce(last, first)), F.expr("interval 1 month")))
 
 
-def record_violations(df: DataFrame) -> DataFrame:
-    """(rule, series_id, observation_period) of ledger records that can't be stored."""
+def broken_rules() -> Column:
+    """The rules that a ledger record breaks, as an array."""
     basis, http = F.col("availability_basis"), "^https?://"
     dated, evidence = F.col("available_date").isNotNull(), F.coalesce("availability_evidence_url", F.lit(""))
     rules = {
@@ -62,51 +62,84 @@ def record_violations(df: DataFrame) -> DataFrame:
         "date_missing": ~basis.isin("official_release", "unknown") & ~dated,
         "value": F.col("value").try_cast("double").isNull() | F.isnan(F.col("value").try_cast("double")),
     }
-    broken = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(True)), F.lit(k)) for k, t in rules.items()]))
-    return df.select(F.explode(broken).alias("rule"), "series_id", "observation_period")
+    return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(True)), F.lit(k)) for k, t in rules.items()]))
+
+
+def record_violations(df: DataFrame) -> DataFrame:
+    """(rule, series_id, observation_period) of ledger records that can't be stored."""
+    return df.select(F.explode(broken_rules()).alias("rule"), "series_id", "observation_period")
 
 
 def ledger_changes(batch: DataFrame, ledger: DataFrame, processed: str | None = None, key: list[str] | None = None) -> DataFrame:
     """Each row of a batch with its ``event``: new_release, historical_revision (another value), provenance_update (another date or address) or unchanged.
 
-    A row is compared with the one before it: rows of a key follow the latest stored version in order of ``arrival``, if the batch has
-    it, so a key that comes twice is chained. With ``processed``, a date, new versions get their vintage: that date for a change, the
-    release date for an official new release, none otherwise.
+    A row is compared with the one before it: rows of a key follow the stored versions, the latest of them last, in order of ``arrival`` if the
+    batch has it, then of ``retrieved_at``, then of value, so a key that comes twice is chained by time. ``old_value`` and ``old_vintage`` are of
+    the version that it is compared with. With ``processed``, a date, new versions get their vintage: that date for a change, the
+    release date for an official new release, none otherwise. Stored and new rows are swept once, in one shuffle.
     """
     key = key or (["series_id", "observation_period"] if "observation_period" in batch.columns else KEY)
     compared = [c for c in COMPARED if c in batch.columns and c in ledger.columns]
-    order = ["vintage", *[c for c in ("retrieved_at",) if c in ledger.columns]]
+    timed = "retrieved_at" in batch.columns and "retrieved_at" in ledger.columns
     arrival = F.col("arrival") if "arrival" in batch.columns else F.lit(0)
-    stored = latest(ledger, key, *order).withColumn("_tag", F.lit(0)).withColumn("_at", F.lit(None).cast("long"))
+    stored = ledger.withColumn("_tag", F.lit(0)).withColumn("_at", F.lit(None).cast("long"))
     rows = batch.withColumn("_tag", F.lit(1)).withColumn("_at", arrival.cast("long")).drop("arrival")
     both = rows.unionByName(stored, allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy("_tag", F.col("_at").asc_nulls_first(), "value", *compared)
+    version = F.when(F.col("_tag") == 0, F.col("vintage")).asc_nulls_first()  # of stored rows; the vintage of a new row follows from its event
+    instant = [F.col("retrieved_at").asc_nulls_first()] if timed else []
+    w = Window.partitionBy(*key).orderBy("_tag", version, F.col("_at").asc_nulls_first(), *instant, "value", *compared)
     before = F.lag(F.struct(F.lit(True).alias("there"), "value", *compared)).over(w)
     both = both.withColumn("_was", before).withColumn("old_value", F.col("_was.value"))
     moved = F.lit(False)
     for c in compared:
         moved = moved | ~F.col(c).eqNullSafe(F.col(f"_was.{c}"))
-    kind = F.when(F.col("_was.there").isNull(), "new_release").when(F.abs(F.col("value") - F.col("old_value")) > 1e-12, "historical_revision").when(moved, "provenance_update").otherwise("unchanged")
-    out = both.withColumn("event", kind).where("_tag = 1").drop("_tag", "_at", "_was")
+    kind = F.when(F.col("_tag") == 0, "stored").when(F.col("_was.there").isNull(), "new_release").when(F.abs(F.col("value") - F.col("old_value")) > 1e-12, "historical_revision").when(moved, "provenance_update").otherwise("unchanged")
+    both = both.withColumn("event", kind)
     if processed is not None:
         official = F.when(F.col("availability_basis") == "official_release", F.col("available_date")) if "availability_basis" in batch.columns else F.lit(None).cast("date")
-        out = out.withColumn("vintage", F.when(F.col("event") == "new_release", official).when(F.col("event") != "unchanged", F.lit(processed).cast("date")).otherwise(F.col("vintage") if "vintage" in out.columns else F.lit(None).cast("date")))
-    return out
+        both = both.withColumn("vintage", F.when(F.col("event") == "new_release", official).when(F.col("event").isin("historical_revision", "provenance_update"), F.lit(processed).cast("date")).otherwise(F.col("vintage")))
+    kept = F.when(F.col("event") != "unchanged", F.struct("vintage"))
+    both = both.withColumn("old_vintage", F.last(kept, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))["vintage"])
+    return both.where("_tag = 1").drop("_tag", "_at", "_was")
 
 
-def append_changes(batch: DataFrame, ledger: DataFrame, processed: str | None = None) -> DataFrame:
-    """Only the rows that change the ledger, in its columns; appending them twice adds nothing. Flags of a row, if there, name its change."""
-    rows = ledger_changes(batch, ledger, processed).where("event <> 'unchanged'")
+def valid_records(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records that a ledger accepts, and the others with a ``rules`` array of what is wrong with them, as in ``record_violations``."""
+    marked = df.withColumn("rules", broken_rules())
+    return marked.where(F.size("rules") == 0).drop("rules"), marked.where(F.size("rules") > 0)
+
+
+def append_batch(batch: DataFrame, ledger: DataFrame, processed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A batch of records against a ledger: rows to append, events, and invalid records with the rules that they break.
+
+    Records are checked, flagged, chained by time, and get their vintage in one plan. A row's flags are made of its own fields, a change
+    adds its event. Appending the rows and running the batch again gives none.
+    """
+    from almanac.operators.contracts import quality_flags
+
+    good, bad = valid_records(batch)
+    changes = ledger_changes(quality_flags(good), ledger, processed)
+    return _changed(changes, ledger), change_events(changes), bad
+
+
+def _changed(changes: DataFrame, ledger: DataFrame) -> DataFrame:
+    rows = changes.where("event <> 'unchanged'")
     if "quality_flags" in ledger.columns:
-        flags = F.coalesce("quality_flags", F.array().cast("array<string>")) if "quality_flags" in batch.columns else F.array().cast("array<string>")
+        flags = F.coalesce("quality_flags", F.array().cast("array<string>")) if "quality_flags" in rows.columns else F.array().cast("array<string>")
         rows = rows.withColumn("quality_flags", F.when(F.col("event") == "new_release", flags).otherwise(F.array_append(flags, F.col("event"))))
     return rows.select(*[c for c in ledger.columns if c in rows.columns])
 
 
+def append_changes(batch: DataFrame, ledger: DataFrame, processed: str | None = None) -> DataFrame:
+    """Only the rows that change the ledger, in its columns; appending them twice adds nothing. Flags of a row, if there, name its change. ``append_batch`` checks and flags records too."""
+    return _changed(ledger_changes(batch, ledger, processed), ledger)
+
+
 def change_events(changes: DataFrame) -> DataFrame:
-    """(event, series_id, observation_period, old_value, new_value) of ``ledger_changes``, what is unchanged left out."""
+    """(event, series_id, observation_period, old_value, new_value, old_vintage, new_vintage) of ``ledger_changes``, what is unchanged left out."""
     period = F.col("observation_period") if "observation_period" in changes.columns else F.date_format("observation_date", "yyyy-MM")
-    return changes.where("event <> 'unchanged'").select("event", "series_id", period.alias("observation_period"), "old_value", F.col("value").alias("new_value"))
+    vintage = F.col("vintage") if "vintage" in changes.columns else F.lit(None).cast("date")
+    return changes.where("event <> 'unchanged'").select("event", "series_id", period.alias("observation_period"), "old_value", F.col("value").alias("new_value"), "old_vintage", vintage.alias("new_vintage"))
 
 
 def seed_ledger(snapshots: DataFrame, sidecar: DataFrame) -> DataFrame:

@@ -400,12 +400,18 @@ def macro_report(s, d):
 
 
 @query(f"""with rows_ as (select series_id, observation_period, value, evidence_url, available_date, vintage, m from v_watch where landed <= date '{CUTOFF}' qualify row_number() over (partition by series_id, observation_period order by vintage desc nulls last, landed desc) = 1)
-  select series_id, observation_period, value, 'new' as kind from rows_ union all select series_id, observation_period, value + 1, 'revised' from rows_ where m = 6""")
+  select series_id, observation_period, value, 'new' as kind from rows_ union all select series_id, observation_period, unnest([value + 3, value + 1]), 'revised' from rows_ where m = 6""")
 def ledger_stream(s, d):
-    """Rows landed in three batches, one of them twice and with repeats inside a batch, streamed into a ledger; what it then holds."""
+    """Rows landed in three batches, one of them twice and with repeats inside a batch, streamed into a ledger; what it then holds.
+
+    June's revision comes together with an older and a newer reading of a lower value, and is in time between them.
+    """
     root = shared_folder(s, "ledger")
     rows = asof.latest(v.watch(s, d).where(F.col("retrieved_at").cast("date") <= CUTOFF), ["series_id", "observation_period"], "vintage", "retrieved_at")
-    revised = rows.where("month(observation_date) = 6").withColumn("value", F.col("value") + 1)
+    june = rows.where("month(observation_date) = 6")
+    # Landed out of order: 09:00 reads one more, 01:00 three more, and 00:00 what is stored.
+    revised = june.withColumn("value", F.col("value") + 1).withColumn("retrieved_at", F.expr("retrieved_at + interval 9 hours"))
+    revised = revised.unionByName(june.withColumn("value", F.col("value") + 3).withColumn("retrieved_at", F.expr("retrieved_at + interval 1 hour"))).unionByName(june)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     for batch in (rows.unionByName(rows), rows, revised):
         batch.write.mode("append").parquet(f"{root}/in")

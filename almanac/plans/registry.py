@@ -607,4 +607,4 @@ def price_status(s, d):
     return harvest.price_status(v.daily_prices(s, d))
 
 
-from almanac.plans import checks, extended  # noqa: E402, F401
+from almanac.plans import checks, extended, landed  # noqa: E402, F401

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Callable
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OBSERVATION = "observation_date string, observation_period string, available_date string, availability_basis string, availability_evidence_url string, source_value_url string, value string"
@@ -15,29 +18,77 @@ PERIODIC = ("10-K", "10-Q", "20-F", "40-F")
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header) of every file: its first line that is not blank; null in a file without one. One row per file, and lines are not shuffled."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))  # contents are not read
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+    first = lines.where("at = 0 and trim(value) <> ''").groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    return files.join(first, "file", "left")
+
+
+def column_names(header: str | None) -> list[str]:
+    """The names of a header line, quoted or not; a byte order mark goes."""
+    return [name.strip() for name in next(csv.reader([(header or "").lstrip("\ufeff")]), [])]
+
+
+def read_by_header(spark: SparkSession, path: str, pick: Callable[[list[str]], dict[str, int] | None], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """CSV files of any layouts: (file, found, one text column per name of ``columns``), ``found`` being those that the file has, and (file, header) of files whose header ``pick`` refuses.
+
+    ``pick`` gets the names of a header and says where each wanted column stands. Files of one header are read together by Spark's own parser
+    and the groups united, so there is no bound on columns, quoted names and cells may hold commas and line ends, and the plan grows
+    with the number of layouts. Columns that a file lacks are null.
+    """
+    groups: dict[str, list[str]] = {}
+    bad = []
+    for file, header in file_headers(spark, path).collect():  # a row per file, as in Spark's own list of files
+        if header is not None and pick(column_names(header)) is not None:
+            groups.setdefault(header, []).append(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(file)))
+        else:
+            bad.append((file, header))
+    out = spark.createDataFrame([], ", ".join(["file string", "found array<string>", *[f"`{c}` string" for c in columns]]))
+    for header, files in sorted(groups.items()):
+        names = column_names(header)
+        places = pick(names)
+        schema = ", ".join(f"c{i} string" for i in range(len(names)))
+        rows = spark.read.schema(schema).csv(sorted(files), header=True, multiLine=True, escape='"')
+        cells = [(F.nullif(F.trim(f"c{places[c]}"), F.lit("")) if c in places else F.lit(None).cast("string")).alias(c) for c in columns]
+        found = F.array(*[F.lit(c) for c in columns if c in places]).cast("array<string>")
+        out = out.unionByName(rows.select(F.col("_metadata.file_path").alias("file"), found.alias("found"), *cells))
+    return out, spark.createDataFrame(bad, "file string, header string")
+
+
+def file_name(file: Column) -> Column:
+    """The name of a CSV file without its folder and ending."""
+    return F.regexp_extract(F.url_decode(file), r"([^/]+)\.csv$", 1)
+
+
+def _between(df: DataFrame, start: str | None, end: str | None, column: str = "observation_date") -> DataFrame:
+    if start is not None:
+        df = df.where(F.col(column) >= F.lit(start).cast("date"))
+    return df if end is None else df.where(F.col(column) <= F.lit(end).cast("date"))
+
+
 def read_snapshots(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Snapshot CSVs, one per series; the file name is the series. Dates that don't parse are null and kept for the contract.
 
-    Columns are taken by name, and files may lack all but observation_date and value. A file without the basis column gets
-    ``unverified`` where it has a date and ``unknown`` elsewhere; a basis that is there is kept as given, blank or not. ``start`` and ``end`` bound
-    the observation dates, inclusive.
+    Columns are taken by name, wherever they stand, and files may lack all but observation_date and value; one that lacks these is an error. A file
+    without the basis column gets ``unverified`` where it has a date and ``unknown`` elsewhere; a basis that is there is kept as given, blank or
+    not. ``start`` and ``end`` bound the observation dates, inclusive.
     """
     names = [f.split()[0] for f in OBSERVATION.split(", ")]
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
-    # A file's header is the line that names the required columns; there is one small row per file.
-    heads = lines.select("file", F.split(F.trim("line"), ",").alias("names")).where(F.array_contains("names", "observation_date") & F.array_contains("names", "value")).distinct()
-    parsed = lines.join(heads, "file").where(F.trim("line") != F.array_join("names", ",")).where(F.trim("line") != "")
-    cells = F.from_csv("line", ", ".join(f"_c{i} string" for i in range(12)), {"mode": "PERMISSIVE"})
-    row = parsed.select(F.regexp_extract("file", r"([^/]+)\.csv$", 1).alias("series_id"), "names", F.array(*[cells[f"_c{i}"] for i in range(12)]).alias("cells"))
-    found = {c: F.nullif(F.trim(F.try_element_at("cells", F.array_position("names", c).cast("int"))), F.lit("")) for c in names}
-    out = row.select("series_id", F.array_contains("names", "availability_basis").alias("labelled"), *[F.when(F.array_contains("names", c), x).alias(c) for c, x in found.items()])
+
+    def pick(header: list[str]) -> dict[str, int] | None:
+        return {c: header.index(c) for c in names if c in header} if {"observation_date", "value"} <= set(header) else None
+
+    rows, bad = read_by_header(spark, path, pick, names)
+    if wrong := bad.limit(5).collect():
+        raise ValueError(f"files without observation_date and value: {[r.file for r in wrong]}")
+    out = rows.withColumn("series_id", file_name(F.col("file")))
     for c in ("observation_date", "available_date"):
         out = out.withColumn(c, F.try_to_date(c, "yyyy-MM-dd"))
-    basis = F.when(F.col("labelled"), F.col("availability_basis")).when(F.col("available_date").isNotNull(), "unverified").otherwise("unknown")
-    out = out.withColumn("value", F.col("value").try_cast("double")).withColumn("availability_basis", basis).drop("labelled")
-    if start is not None:
-        out = out.where(F.col("observation_date") >= F.lit(start).cast("date"))
-    return out if end is None else out.where(F.col("observation_date") <= F.lit(end).cast("date"))
+    basis = F.when(F.array_contains("found", "availability_basis"), F.col("availability_basis")).when(F.col("available_date").isNotNull(), "unverified").otherwise("unknown")
+    out = out.withColumn("value", F.col("value").try_cast("double")).withColumn("availability_basis", basis)
+    return _between(out.select("series_id", *names), start, end)
 
 
 #: What the sidecar of a snapshot must say.
@@ -56,11 +107,16 @@ def sidecar_violations(obs: DataFrame, sidecar: DataFrame) -> DataFrame:
     return sidecar.select(F.explode(F.array_compact(F.array(*lacks))).alias("rule"), F.col("series_key").alias("series_id")).unionByName(bare)
 
 
-def read_two_column_series(spark: SparkSession, path: str) -> DataFrame:
-    """(series_id, observation_date, value) of two-column CSVs; rows without a number go."""
-    raw = spark.read.schema("observation_date string, value string").csv(path, header=True)
-    out = raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1).alias("series_id"), F.try_to_date("observation_date", "yyyy-MM-dd").alias("observation_date"), F.col("value").try_cast("double").alias("value"))
-    return out.where("value is not null and observation_date is not null")
+def read_two_column_series(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """(series_id, observation_date, value) of two-column CSVs, whatever the columns are called; rows without a number go. A file of another width is an error.
+
+    ``start`` and ``end`` bound the dates, inclusive.
+    """
+    rows, bad = read_by_header(spark, path, lambda names: {"observation_date": 0, "value": 1} if len(names) == 2 else None, ["observation_date", "value"])
+    if wrong := bad.limit(5).collect():
+        raise ValueError(f"files that don't have two columns: {[r.file for r in wrong]}")
+    out = rows.select(file_name(F.col("file")).alias("series_id"), F.try_to_date("observation_date", "yyyy-MM-dd").alias("observation_date"), F.col("value").try_cast("double").alias("value"))
+    return _between(out.where("value is not null and not isnan(value) and observation_date is not null"), start, end)
 
 
 def read_vintages(spark: SparkSession, root: str) -> DataFrame:
@@ -116,34 +172,41 @@ DATE_NAMES = ("date", "timestamp", "datetime", "time", "trade_date")
 PRICE_NAMES = ("adj_close", "adjusted_close", "close", "price", "value")
 
 
-def read_prices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(symbol, date, price, basis) of the price CSVs of a folder, and (rule, symbol, date) of rows that can't be used.
+def utc_date(text: Column) -> Column:
+    """The date of a text: in UTC where it names an offset, as written otherwise; null if it has none."""
+    clean = F.trim(text)
+    zoned = F.to_utc_timestamp(F.try_to_timestamp(clean), F.current_timezone()).cast("date")
+    written = F.try_to_date(F.substring(clean, 1, 10), "yyyy-MM-dd")
+    return F.coalesce(F.when(clean.rlike(r"\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$"), zoned), written, F.try_to_timestamp(clean).cast("date"))
+
 
-    Every file may name its columns in its own way: all columns are read as text by name, and the first known date and price column of a row counts.
-    ``basis`` says whether the price is adjusted. Rules: bad_date, bad_price (no positive finite number), duplicate_date; such rows are not returned.
+def read_prices(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(symbol, date, price, basis) of the price CSVs of a folder, and (rule, symbol, date) of what can't be used.
+
+    Every file may name its columns in its own way and have any number of them: the first known date and price column of its header counts.
+    ``basis`` says whether the price is adjusted. Rules: no_header (a file without such columns), bad_date, bad_price (no positive finite number),
+    duplicate_date; such rows are not returned. ``start`` and ``end`` bound the prices, inclusive.
     """
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
-    heads = lines.select("file", F.split(F.regexp_replace(F.lower(F.trim("line")), " ", "_"), ",").alias("names"))
-    heads = heads.where(F.arrays_overlap("names", F.array(*map(F.lit, DATE_NAMES))) & F.arrays_overlap("names", F.array(*map(F.lit, PRICE_NAMES)))).distinct()
-    cells = F.from_csv("line", ", ".join(f"_c{i} string" for i in range(12)), {"mode": "PERMISSIVE"})
-    rows = lines.join(heads, "file").where(F.regexp_replace(F.lower(F.trim("line")), " ", "_") != F.array_join("names", ",")).where(F.trim("line") != "")
-    rows = rows.select(F.upper(F.regexp_extract("file", r"([^/]+)\.csv$", 1)).alias("symbol"), "names", F.array(*[cells[f"_c{i}"] for i in range(12)]).alias("cells"))
-
-    def first(names: tuple[str, ...]):
-        return F.coalesce(*[F.when(F.array_contains("names", n), F.lit(n)) for n in names])
-
-    def cell(name):
-        return F.try_element_at("cells", F.array_position("names", name).cast("int"))
-
-    rows = rows.withColumn("d", first(DATE_NAMES)).withColumn("p", first(PRICE_NAMES))
-    price = F.trim(cell(F.col("p"))).try_cast("double")
-    instant = F.try_to_timestamp(F.trim(cell(F.col("d"))))
-    typed = rows.select("symbol", F.coalesce(instant.cast("date"), F.try_to_date(F.substring(F.trim(cell(F.col("d"))), 1, 10), "yyyy-MM-dd")).alias("date"), price.alias("price"), F.when(F.col("p").startswith("adj"), "adjusted").otherwise("as_supplied").alias("basis"))
+
+    def pick(names: list[str]) -> dict[str, int] | None:
+        plain = [n.lower().replace(" ", "_") for n in names]
+        date, price = next((n for n in DATE_NAMES if n in plain), None), next((n for n in PRICE_NAMES if n in plain), None)
+        if date is None or price is None:
+            return None
+        return {"date": plain.index(date), "price": plain.index(price)} | ({"adjusted": plain.index(price)} if price.startswith("adj") else {})
+
+    rows, unread = read_by_header(spark, path, pick, ["date", "price", "adjusted"])
+    symbol = F.upper(file_name(F.col("file"))).alias("symbol")
+    price = F.col("price").try_cast("double")
+    basis = F.when(F.array_contains("found", "adjusted"), "adjusted").otherwise("as_supplied")
+    typed = rows.select(symbol, utc_date(F.col("date")).alias("date"), price.alias("price"), basis.alias("basis"))
     good_price = F.coalesce((F.col("price") > 0) & ~F.isnan("price") & (F.col("price") < float("inf")), F.lit(False))
     marked = typed.withColumn("n", F.count("*").over(Window.partitionBy("symbol", "date")))
     rule = F.when(F.col("date").isNull(), "bad_date").when(~good_price, "bad_price").when(F.col("n") > 1, "duplicate_date")
     marked = marked.withColumn("rule", rule)
-    return marked.where("rule is null").select("symbol", "date", "price", "basis"), marked.where("rule is not null").select("rule", "symbol", "date")
+    wrong = marked.where("rule is not null").select("rule", "symbol", "date")
+    wrong = wrong.unionByName(unread.select(F.lit("no_header").alias("rule"), symbol, F.lit(None).cast("date").alias("date")))
+    return _between(marked.where("rule is null").select("symbol", "date", "price", "basis"), start, end, "date"), wrong
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Hand-calculated cases, look-ahead checks, and the portfolio against a loop over days."""
 
 import datetime as dt
+import html
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
@@ -246,3 +248,45 @@ def test_ledger_changes_chain_inside_a_batch(spark):
     kept = ledger.append_changes(batch, stored, "2024-03-01")
     assert kept.count() == 4 and ledger.append_changes(batch.where("arrival = 5"), kept, "2024-03-02").count() == 0
     assert ledger.change_events(ledger.ledger_changes(batch, stored, "2024-03-01")).where("event = 'historical_revision'").first().old_value == 0.8
+
+
+ADDRESSES = ["?p=2", "x.html", "./x", "../x", "../../../../../x.html", "/c/../d.html", "//k.cn/../y", "http://k.cn/a/../b", "#top", "", "..", ".", "../", "a/./b/../../c", "/", "/..", "mailto:a@b", "x?y=/../z", "javascript:void(0)", "/a//b", "a//b/c", "?#", "./../g/.", "ftp://f/x", "a;b/../c"]
+
+
+def test_addresses_are_joined_as_by_the_standard_library(spark):
+    bases = ["http://h.cn/a/b.html", "http://h.cn/a/b/", "http://h.cn", "https://h.cn/a//b/c?x=1#f", "http://h.cn/a/b/c/d", "mailto:x@y"]
+    df = spark.createDataFrame([(b, r) for b in bases for r in ADDRESSES], "b string, r string").repartition(2)
+    got = {(x.b, x.r): x.u for x in df.select("b", "r", harvest.resolved(F.col("b"), F.col("r")).alias("u")).collect()}
+    assert got == {(b, r): urljoin(b, r) for b, r in got}
+
+
+def test_character_references(spark):
+    texts = ["a&mdash;b", "&#8212;x &#x4e00; &amp;lt; &nbsp;|", "&unknown; & &&lt;", "&copy 2024 &#0; &#55296; &#99999999;", "plain", "&eacute;&NotEqualTilde;&hellip;", "", "R&D; AT&T"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").repartition(2)
+    got = {r.t: r.d for r in df.select("t", harvest.decoded(F.col("t")).alias("d")).collect()}
+    assert got == {t: html.unescape(t) for t in texts} | {None: None}
+
+
+NESTED = """<html><head><meta name='ArticleTitle' content="2024年1&mdash;2月份规模以上工业增加值增长7.0%"><meta name="PubDate" content="{meta}"></head><body><div class="nav"><div>x</div></div>
+<!-- <div id="zoom">no</div> --><div class="detail-title-des"><p>来源：x</p><div>发布时间：2024/03/18 10:00</div></div><div data-x="a>b" class="z TRS_Editor y"><div><div>规模以上工业增加值</div><div>同比增长6.5%</div></div><div/><p>后</p></div>
+<div>外 规模以上工业增加值同比增长9.9%</div><script>var a="<div>";</script><div ID=zoom>第二 <b>块</b>"""
+
+
+def test_pages_with_nested_blocks(spark):
+    """Blocks end where their depth returns; comments, scripts and signs in attributes don't count, and a block without an end runs to the end."""
+    rows = [("http://h/1", NESTED.format(meta="2024-03-17")), ("http://h/2", NESTED.format(meta="")), ("http://h/3", "<h1>2024年3月份居民消费价格</h1> 居民消费价格同比下降 0.3%"), ("http://h/4", ""), ("http://h/5", None)]
+    rows += [("http://h/6", "<div class='TRS_Editor'>" + "<div>" * 300 + "深" + "</div>" * 300 + "尾</div><div>外</div>"), ("http://h/7", "<div id='zoomed'>a</div><div class=xtrs_editor>b</div>")]
+    got = {r.url: r for r in harvest.release_pages(spark.createDataFrame(rows, "url string, html string").repartition(3)).collect()}
+    body = "规模以上工业增加值 同比增长6.5% 后 第二 块"
+    assert (got["http://h/1"].title, got["http://h/1"].published, got["http://h/1"].body) == ("2024年1—2月份规模以上工业增加值增长7.0%", D(2024, 3, 17), body)
+    assert got["http://h/2"].published == D(2024, 3, 18) and (got["http://h/6"].body, got["http://h/7"].body, got["http://h/4"].title) == ("深 尾", "", "")
+    values = {r.url: r for r in harvest.page_values(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert (values["http://h/1"].value, values["http://h/1"].observation_period, values["http://h/3"].value) == (6.5, "2024-01/2024-02", -0.3)
+    links = harvest.release_links(spark.createDataFrame([("http://h/a/b", "<a href='x.html' title=\"T\"><img src=q></a><A class=k HREF=../y>A <b>B</b>&amp;C</A><a name=z>no</a>")], "url string, html string"))
+    assert [tuple(r) for r in links.collect()] == [("http://h/a/b", "x.html", "T"), ("http://h/a/b", "../y", "A B &C")]
+
+
+def test_investment_of_one_kind_is_not_the_national_one(spark):
+    rows = [("u", "2024年1—3月份全国固定资产投资基本情况", "民间固定资产投资增长0.5%。全国固定资产投资（不含农户）同比增长4.5%"), ("v", "2024年1—3月份固定资产投资", "民间固定资产投资增长0.5%")]
+    df = spark.createDataFrame([(u, t, b, D(2024, 4, 1)) for u, t, b in rows], "url string, title string, body string, published date")
+    assert {r.url: r.value for r in harvest.release_values(df).collect()} == {"u": 4.5, "v": None}
