@@ -62,6 +62,15 @@ def _needed(scores: DataFrame) -> Column:
     return F.coalesce(given, F.count_distinct("component")).alias("needed")
 
 
+def config_violations(config: DataFrame) -> DataFrame:
+    """(rule, factor, component) of a factor configuration: a weight that is missing or negative, weights of a factor that sum to nothing (no component), a minimum above the number of components."""
+    bad = config.where(F.coalesce(F.col("weight") < 0, F.lit(True)) | F.isnan("weight")).select(F.lit("weight").alias("rule"), "factor", "component")
+    by = config.groupBy("factor").agg(F.sum("weight").alias("total"), F.count("*").alias("n"), (F.max("min_components") if "min_components" in config.columns else F.lit(None)).alias("least"))
+    none = F.lit(None).cast("string").alias("component")
+    empty = by.where(~F.coalesce(F.col("total") > 0, F.lit(False))).select(F.lit("no_weight").alias("rule"), "factor", none)
+    return bad.unionByName(empty).unionByName(by.where("least > n").select(F.lit("minimum").alias("rule"), "factor", none))
+
+
 def composite(scores: DataFrame) -> DataFrame:
     """(factor, month_end, score): weighted mean of the components that are there; null with fewer than the configured minimum, or else than the loaded ones.
 

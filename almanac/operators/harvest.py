@@ -154,13 +154,17 @@ def release_pages(pages: DataFrame) -> DataFrame:
     """
     html = F.col("html")
     heading = visible_text(F.array_join(F.regexp_extract_all(bare_html(html), F.lit(f"(?is)<h1\\b{ATTRIBUTES}>(.*?)</h1>"), F.lit(1)), " "))
-    title = squeezed(decoded(F.coalesce(F.nullif(F.trim(_attribute(_named(html, "meta", "articletitle"), "content")), F.lit("")), heading)))
     stated = F.coalesce(visible_text(division(html, with_class("detail-title-des"))), F.lit(""))
-    published = F.coalesce(first_date(decoded(_attribute(_named(html, "meta", "pubdate"), "content"))), first_date(decoded(stated)))
-    body = squeezed(decoded(visible_text(F.coalesce(division(html, f"(?:{with_id('zoom')}|{with_class('trs_editor', 'trs_editor_view')})"), F.lit("")))))
+    blocks = F.coalesce(division(html, f"(?:{with_id('zoom')}|{with_class('trs_editor', 'trs_editor_view')})"), F.lit(""))
     paging = _named(html, "input", "article_paging_list_hidden")
     count = F.coalesce(F.nullif(_attribute(paging, "totalpage"), F.lit("")), _attribute(paging, "totalpages"))
-    return pages.select("url", title.alias("title"), published.alias("published"), body.alias("body"), squeezed(decoded(visible_text(html))).alias("text"), count.try_cast("int").alias("page_count"))
+    meta = F.nullif(F.trim(_attribute(_named(html, "meta", "articletitle"), "content")), F.lit(""))
+    # All texts are decoded by one expression, so the plan holds the table of names once.
+    raw = F.array(F.coalesce(meta, heading), _attribute(_named(html, "meta", "pubdate"), "content"), stated, visible_text(blocks), visible_text(html))
+    read = pages.select("url", F.transform(raw, decoded).alias("t"), count.try_cast("int").alias("page_count"))
+    text = [F.col("t")[i] for i in range(5)]
+    published = F.coalesce(first_date(text[1]), first_date(text[2]))
+    return read.select("url", squeezed(text[0]).alias("title"), published.alias("published"), squeezed(text[3]).alias("body"), squeezed(text[4]).alias("text"), "page_count")
 
 
 def release_links(pages: DataFrame) -> DataFrame:

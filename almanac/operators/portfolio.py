@@ -491,3 +491,29 @@ def panel_hash(prices: DataFrame, strategies: DataFrame) -> DataFrame:
     day = rows.groupBy("strategy_id", "date").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ";"), 256).alias("h"))  # a strategy's own symbols
     text = F.transform(F.array_sort(F.collect_list(F.struct("date", "h"))), lambda x: F.concat_ws(":", x["date"].cast("string"), x["h"]))  # its own sessions
     return day.groupBy("strategy_id").agg(F.sha2(F.array_join(text, "\n"), 256).alias("sha256"))
+
+
+def strategy_reports(daily: DataFrame, weights: DataFrame, year: float = 252.0, rf: float = 0.0, most: int = 360) -> DataFrame:
+    """One nested document per strategy: ``summary``, ``monthly`` and ``annual`` returns, ``drawdown``, ``curve``, ``month_end_weights`` and ``average_weights``.
+
+    Lists are in order of date and bounded by a strategy's own months and symbols; the rows of accounts are reduced before they are gathered. A strategy
+    without a drawdown has null there. ``sources.readers.save_reports`` writes the documents as JSON, without numbers that are not finite.
+    """
+    metrics = finite_or_null(backtest_metrics(daily, year, rf))
+    summary = metrics.select("strategy_id", F.struct(*[c for c in metrics.columns if c != "strategy_id"]).alias("summary"))
+
+    def listed(df: DataFrame, name: str, *fields: str) -> DataFrame:
+        return df.groupBy("strategy_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+    episode = drawdown_episode(daily)
+    parts = [
+        listed(period_returns(daily, "month"), "monthly", "period", "ret"),
+        listed(period_returns(daily, "year"), "annual", "period", "ret"),
+        listed(sampled_curve(daily, most), "curve", "date", "place", "value"),
+        episode.select("strategy_id", F.struct(*[c for c in episode.columns if c != "strategy_id"]).alias("drawdown")),
+        listed(month_end_weights(weights), "month_end_weights", "date", "symbol", "weight"),
+        listed(average_weights(weights), "average_weights", "symbol", "weight"),
+    ]
+    for part in parts:
+        summary = summary.join(part, "strategy_id", "left")
+    return summary

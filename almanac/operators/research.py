@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,3 +181,24 @@ def idea_on_prices(signal: Callable[[DataFrame], DataFrame], panel: DataFrame, c
 def evaluate_ideas_in_pandas(panel: DataFrame, key: str, fn: Callable, schema: str) -> DataFrame:
     """A pandas signal function per universe, in parallel over ``key``."""
     return panel.groupBy(key).applyInPandas(fn, schema)
+
+
+def ideas_in_pandas(panel: DataFrame, key: str, columns: list[str], ideas: dict[str, Callable], target: DataFrame) -> DataFrame:
+    """(key, idea, horizon, n, ic) of many pandas signals over many universes at once.
+
+    ``ideas`` map a name to a function of a universe's frame (month_end, and the columns that it may see, in order of month) that gives a series of its length. All ideas of a
+    universe are taken from one frame, in one task per universe; months of one universe are few. ``target`` has (month_end, horizon, y). The correlation
+    is null with fewer than three complete pairs or a side that is constant.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("month_end", kind="stable").reset_index(drop=True)
+        seen = frame[["month_end", *columns]]
+        made = [pd.DataFrame({key: frame[key], "month_end": frame["month_end"], "idea": name, "signal": pd.Series(idea(seen.copy())).astype(float).to_numpy()}) for name, idea in ideas.items()]
+        return pd.concat(made, ignore_index=True)
+
+    kind = panel.schema[key].dataType.simpleString()
+    signals = evaluate_ideas_in_pandas(panel.select(key, "month_end", *columns), key, run, f"{key} {kind}, month_end date, idea string, signal double")
+    both = signals.where("signal is not null and not isnan(signal)").join(target.where("y is not null"), "month_end")
+    by = both.groupBy(key, "idea", "horizon").agg(F.count("*").alias("n"), F.corr("signal", "y").alias("ic"), F.stddev_samp("signal").alias("a"), F.stddev_samp("y").alias("b"))
+    return by.select(key, "idea", "horizon", "n", F.when((F.col("n") >= 3) & (F.col("a") > 0) & (F.col("b") > 0), F.col("ic")).alias("ic"))

@@ -58,20 +58,78 @@ def balance_tags(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "tag string, concept string, side int")
 
 
+def known_type(kind: Column) -> Column:
+    """A business type with tags of its own, or the general one."""
+    return F.when(kind.isin(*METHODS), kind).otherwise("general")
+
+
 def mapped_facts(facts: DataFrame, companies: DataFrame) -> DataFrame:
-    """Facts (company_id, metric: a tag, ...) under the concept that the tag stands for in the company's kind of business; other tags go."""
-    typed = facts.withColumnRenamed("metric", "tag").join(companies.select("company_id", "business_type"), "company_id")
+    """Facts (company_id, metric: a tag, ...) under the concept that the tag stands for in the company's kind of business; other tags go. A kind that is not known has the tags of a general one."""
+    typed = facts.withColumnRenamed("metric", "tag").join(companies.select("company_id", known_type(F.col("business_type")).alias("business_type")), "company_id")
     tags = F.broadcast(concept_tags(facts.sparkSession))  # a fixed table
     return typed.join(tags, ["business_type", "tag"]).withColumnRenamed("concept", "metric").drop("tag")
 
 
 def pit_facts(filings: DataFrame, cutoff: str) -> DataFrame:
-    """Per company, metric, unit and period the latest filing at the cutoff that is not before the period's end."""
+    """Per company, metric, unit and period (with its start, if filings have it) the latest filing at the cutoff that is not before the period's end."""
     known = filings.where((F.col("filed") <= F.lit(cutoff).cast("date")) & (F.col("filed") >= F.col("period_end")))
-    w = Window.partitionBy("company_id", "metric", "unit", "period_end").orderBy(F.col("filed").desc(), F.col("ordinal").asc())
+    start = ["period_start"] if "period_start" in filings.columns else []
+    w = Window.partitionBy("company_id", "metric", "unit", *start, "period_end").orderBy(F.col("filed").desc(), F.col("ordinal").asc())
     return known.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def fact_violations(facts: DataFrame) -> DataFrame:
+    """(rule, company_id, metric, period_end) of facts (company_id, metric, period_end, available_date): ids that are missing or have no namespace, and facts known before their period ends."""
+    rules = {
+        "company_id": ~F.coalesce(F.col("company_id").contains(":"), F.lit(False)),
+        "metric": F.coalesce(F.trim("metric"), F.lit("")) == "",
+        "date_missing": F.col("period_end").isNull() | F.col("available_date").isNull(),
+        "available_before_period_end": F.col("available_date") < F.col("period_end"),
+    }
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in rules.items()]))
+    return facts.select(F.explode(broken).alias("rule"), "company_id", "metric", "period_end")
+
+
+#: Days of a year and of a quarter, from first to last.
+YEAR_DAYS, QUARTER_DAYS = (350, 380), (75, 105)
+#: Days before the end of a trailing year's last quarter within which its other quarters end.
+TRAILING_DAYS = 290
+
+
+def in_one_unit(facts: DataFrame) -> DataFrame:
+    """Facts by concept (company_id, metric, unit, ...) in one unit per company: that with most required concepts, then most facts; dollars first among equals."""
+    required = F.size(F.collect_set(F.when(F.col("metric").isin(*REQUIRED), F.col("metric"))).over(Window.partitionBy("company_id", "unit")))  # of five concepts
+    rows = facts.withColumn("_n", required).withColumn("_m", F.count("*").over(Window.partitionBy("company_id", "unit")))
+    best = F.max(F.struct("_n", "_m", (F.col("unit") == "USD").alias("dollars"), "unit")).over(Window.partitionBy("company_id"))
+    return rows.withColumn("_best", best["unit"]).where(F.col("unit").eqNullSafe(F.col("_best"))).drop("_n", "_m", "_best")
+
+
+def full_years(facts: DataFrame) -> DataFrame:
+    """Facts (company_id, metric, unit, period_start, period_end, available_date, value) of whole years: as filed, or as the sum of four quarters.
+
+    Figures that add up from one start, as of six and nine months, give quarters by their differences; a quarter filed by itself comes first. Four
+    quarters within a range of days before a period's end make a trailing year, known when the last of them is. A fact without a start
+    is taken for what it says. Interim figures that make no year are left out.
+    """
+    key = ["company_id", "metric", "unit"]
+    days = F.datediff("period_end", "period_start") + 1
+    whole = facts.where(F.col("period_start").isNull() | days.between(*YEAR_DAYS)).withColumn("rank", F.lit(0))
+    dated = facts.where("period_start is not null")
+    w = Window.partitionBy(*key, "period_start").orderBy("period_end")
+    before = F.lag(F.struct("value", "period_end", "available_date")).over(w)
+    steps = dated.withColumn("_was", before)
+    length = F.datediff("period_end", F.coalesce("_was.period_end", F.date_sub("period_start", 1)))
+    quarters = steps.withColumn("own", F.col("_was").isNull()).where(length.between(*QUARTER_DAYS))
+    quarters = quarters.select(*key, "period_end", F.greatest("available_date", "_was.available_date").alias("available_date"), (F.col("value") - F.coalesce("_was.value", F.lit(0.0))).alias("value"), "own")
+    one = quarters.groupBy(*key, "period_end").agg(F.max_by(F.struct("value", "available_date"), F.struct("own", "available_date")).alias("q")).select(*key, "period_end", "q.value", "q.available_date")
+    year = Window.partitionBy(*key).orderBy(F.unix_date("period_end")).rangeBetween(-TRAILING_DAYS, 0)
+    sums = one.select(*key, "period_end", F.sum("value").over(year).alias("value"), F.max("available_date").over(year).alias("available_date"), F.count("*").over(year).alias("n"))
+    trailing = sums.where("n = 4").select(*key, F.lit(None).cast("date").alias("period_start"), "period_end", "available_date", "value", F.lit(1).alias("rank"))
+    both = whole.select(*trailing.columns).unionByName(trailing)
+    kept = both.groupBy(*key, "period_end").agg(F.min_by(F.struct("value", "available_date"), F.struct("rank", F.unix_date("available_date") * -1)).alias("f"))
+    return kept.select(*key, "period_end", "f.available_date", "f.value")
+
+
 def fcff_parts(facts: DataFrame) -> DataFrame:
     """A row per company and period from facts by concept (company_id, metric, period_end, available_date, value): a column per concept.
 
@@ -169,14 +227,21 @@ def net_debt(facts: DataFrame) -> DataFrame:
 def value_companies(filings: DataFrame, companies: DataFrame, cutoff: str, growth: float = 0.03, discount: float = 0.1, terminal: float = 0.02, years: int = 5, spread: float = 0.01) -> DataFrame:
     """One row per company at a date: free cash flow of its last full period, net debt, value per share with a band, implied growth, margin, and why there is none.
 
-    ``filings``: company_id, metric (a tag), unit, period_end, filed, value, ordinal; ``companies``: company_id, business_type, shares, price. The band
-    takes the growth ``spread`` lower and higher.
+    ``filings``: company_id, metric (a tag), unit, period_start (optional), period_end, filed, value, ordinal; ``companies``: company_id, business_type, shares,
+    price. Each company is valued in one unit, and cash flows are of whole years, filed or summed from quarters. The band takes the growth ``spread``
+    lower and higher.
     """
-    known = pit_facts(filings, cutoff).withColumnRenamed("filed", "available_date").select("company_id", "metric", "period_end", "available_date", "value")
-    parts = fcff(fcff_parts(mapped_facts(known, companies)))
+    rows = filings if "period_start" in filings.columns else filings.withColumn("period_start", F.lit(None).cast("date"))
+    rows = rows.repartition("company_id")  # all windows and groups below are by company, so this is the only shuffle of filings
+    known = pit_facts(rows, cutoff).withColumnRenamed("filed", "available_date").select("company_id", "metric", "unit", "period_start", "period_end", "available_date", "value")
+    # Concepts of cash flow, and tags of the balance sheet under their own names, in the unit of the company.
+    balance = F.broadcast(balance_tags(filings.sparkSession).select(F.col("tag").alias("metric")))  # a fixed table
+    facts = in_one_unit(mapped_facts(known, companies).drop("business_type").unionByName(known.join(balance, "metric", "left_semi")))
+    flows = facts.where(F.col("metric").isin(*REQUIRED, "accounts_receivable_change", "inventory_change"))
+    parts = fcff(fcff_parts(full_years(flows)))
     last = latest(parts.where("reason is null or reason <> 'missing_metric'"), ["company_id"], "period_end").select("company_id", "period_end", "fcff", F.col("reason").alias("cash_reason"))
-    support = fcff_support(mapped_facts(known, companies).select("company_id", "metric"), companies.select("company_id", "business_type"))
-    rows = companies.join(last, "company_id", "left").join(net_debt(known).select("company_id", "net_debt"), "company_id", "left").join(support, "company_id", "left")
+    support = fcff_support(flows.select("company_id", "metric"), companies.select("company_id", "business_type"))
+    rows = companies.join(last, "company_id", "left").join(net_debt(facts).select("company_id", "net_debt"), "company_id", "left").join(support, "company_id", "left")
     rows = rows.withColumn("net_debt", F.coalesce("net_debt", F.lit(0.0))).withColumn("fcf", F.col("fcff")).withColumn("discount", F.lit(discount)).withColumn("terminal", F.lit(terminal))
     fine = F.col("fcff").isNotNull() & F.col("cash_reason").isNull() & dcf_reason().isNull()
 

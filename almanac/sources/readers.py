@@ -11,19 +11,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OBSERVATION = "observation_date string, observation_period string, available_date string, availability_basis string, availability_evidence_url string, source_value_url string, value string"
-FACTS = "cik bigint, facts map<string, map<string, struct<label: string, units: map<string, array<struct<end: date, val: double, filed: date, form: string, accn: string>>>>>>"
+FACTS = "cik bigint, facts map<string, map<string, struct<label: string, units: map<string, array<struct<start: date, end: date, val: double, filed: date, form: string, accn: string>>>>>>"
 PERIODIC = ("10-K", "10-Q", "20-F", "40-F")
 
 #: Readers by name: (spark, path) to observations. Callers may add their own.
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def file_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, header) of every file: its first line that is not blank; null in a file without one. One row per file, and lines are not shuffled."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))  # contents are not read
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+def file_headers(spark: SparkSession, path: str) -> dict[str, str | None]:
+    """The first line that is not blank of every file by its address; None for a file without one.
+
+    Lines are not shuffled: one small row per file comes to the driver, which has the list of files anyway.
+    """
+    raw = spark.read.text(path)
+    lines = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
     first = lines.where("at = 0 and trim(value) <> ''").groupBy("file").agg(F.min_by("value", "n").alias("header"))
-    return files.join(first, "file", "left")
+    plain = {re.sub("^file:/+", "/", file): file for file in raw.inputFiles()}  # two ways to write an address
+    found = {re.sub("^file:/+", "/", r.file): r.header for r in first.collect()}
+    return {file: found.get(key) for key, file in plain.items()}
 
 
 def column_names(header: str | None) -> list[str]:
@@ -40,7 +45,7 @@ def read_by_header(spark: SparkSession, path: str, pick: Callable[[list[str]], d
     """
     groups: dict[str, list[str]] = {}
     bad = []
-    for file, header in file_headers(spark, path).collect():  # a row per file, as in Spark's own list of files
+    for file, header in sorted(file_headers(spark, path).items()):
         if header is not None and pick(column_names(header)) is not None:
             groups.setdefault(header, []).append(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(file)))
         else:
@@ -68,8 +73,8 @@ def _between(df: DataFrame, start: str | None, end: str | None, column: str = "o
     return df if end is None else df.where(F.col(column) <= F.lit(end).cast("date"))
 
 
-def read_snapshots(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Snapshot CSVs, one per series; the file name is the series. Dates that don't parse are null and kept for the contract.
+def read_snapshots(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, name: Callable[[Column], Column] = file_name) -> DataFrame:
+    """Snapshot CSVs, one per series; the file name, or what ``name`` makes of the file's address, is the series. Dates that don't parse are null and kept for the contract.
 
     Columns are taken by name, wherever they stand, and files may lack all but observation_date and value; one that lacks these is an error. A file
     without the basis column gets ``unverified`` where it has a date and ``unknown`` elsewhere; a basis that is there is kept as given, blank or
@@ -83,7 +88,7 @@ def read_snapshots(spark: SparkSession, path: str, start: str | None = None, end
     rows, bad = read_by_header(spark, path, pick, names)
     if wrong := bad.limit(5).collect():
         raise ValueError(f"files without observation_date and value: {[r.file for r in wrong]}")
-    out = rows.withColumn("series_id", file_name(F.col("file")))
+    out = rows.withColumn("series_id", name(F.col("file")))
     for c in ("observation_date", "available_date"):
         out = out.withColumn(c, F.try_to_date(c, "yyyy-MM-dd"))
     basis = F.when(F.array_contains("found", "availability_basis"), F.col("availability_basis")).when(F.col("available_date").isNotNull(), "unverified").otherwise("unknown")
@@ -107,7 +112,7 @@ def sidecar_violations(obs: DataFrame, sidecar: DataFrame) -> DataFrame:
     return sidecar.select(F.explode(F.array_compact(F.array(*lacks))).alias("rule"), F.col("series_key").alias("series_id")).unionByName(bare)
 
 
-def read_two_column_series(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+def read_two_column_series(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, name: Callable[[Column], Column] = file_name) -> DataFrame:
     """(series_id, observation_date, value) of two-column CSVs, whatever the columns are called; rows without a number go. A file of another width is an error.
 
     ``start`` and ``end`` bound the dates, inclusive.
@@ -115,15 +120,19 @@ def read_two_column_series(spark: SparkSession, path: str, start: str | None = N
     rows, bad = read_by_header(spark, path, lambda names: {"observation_date": 0, "value": 1} if len(names) == 2 else None, ["observation_date", "value"])
     if wrong := bad.limit(5).collect():
         raise ValueError(f"files that don't have two columns: {[r.file for r in wrong]}")
-    out = rows.select(file_name(F.col("file")).alias("series_id"), F.try_to_date("observation_date", "yyyy-MM-dd").alias("observation_date"), F.col("value").try_cast("double").alias("value"))
+    out = rows.select(name(F.col("file")).alias("series_id"), F.try_to_date("observation_date", "yyyy-MM-dd").alias("observation_date"), F.col("value").try_cast("double").alias("value"))
     return _between(out.where("value is not null and not isnan(value) and observation_date is not null"), start, end)
 
 
-def read_vintages(spark: SparkSession, root: str) -> DataFrame:
-    """An archive <symbol>/<vintage>.csv: (series_id, vintage, observation_date, value)."""
+#: An archive's address: folder of the symbol, file of the vintage.
+ARCHIVE = r"([^/]+)/([0-9-]{10})\.csv$"
+
+
+def read_vintages(spark: SparkSession, root: str, layout: str = ARCHIVE) -> DataFrame:
+    """An archive <symbol>/<vintage>.csv, or another ``layout`` whose groups are the two: (series_id, vintage, observation_date, value)."""
     raw = spark.read.schema("observation_date date, value double, vintage_date date").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(root, header=True)
-    file = F.col("_metadata.file_path")
-    return raw.select(F.regexp_extract(file, r"([^/]+)/[^/]+\.csv$", 1).alias("series_id"), F.to_date(F.regexp_extract(file, r"([0-9-]{10})\.csv$", 1)).alias("vintage"), "observation_date", "value")
+    file = F.url_decode("_metadata.file_path")
+    return raw.select(F.regexp_extract(file, layout, 1).alias("series_id"), F.to_date(F.regexp_extract(file, layout, 2)).alias("vintage"), "observation_date", "value")
 
 
 def with_vintage_availability(df: DataFrame, lag: int) -> DataFrame:
@@ -154,11 +163,11 @@ def capture_vintages(spark: SparkSession, fetched: DataFrame, root: str) -> Data
 
 
 def read_company_facts(spark: SparkSession, path: str) -> DataFrame:
-    """(company_id, metric, unit, period_end, value, filed, source, ordinal) of periodic reports."""
+    """(company_id, metric, unit, period_start, period_end, value, filed, source, ordinal) of periodic reports; a fact of a moment has no start."""
     raw = spark.read.schema(FACTS).option("multiLine", "true").json(path)
     tags = raw.select(F.format_string("US:%010d", "cik").alias("company_id"), F.explode("facts").alias("_", "tags")).select("company_id", F.explode("tags").alias("metric", "t"))
     facts = tags.select("company_id", "metric", F.explode("t.units").alias("unit", "list")).select("company_id", "metric", "unit", F.posexplode("list").alias("ordinal", "f"))
-    return facts.where(F.col("f.form").isin(*PERIODIC)).select("company_id", "metric", "unit", F.col("f.end").alias("period_end"), F.col("f.val").alias("value"), F.col("f.filed").alias("filed"), F.concat_ws("/", F.lit("SEC"), "f.form", "f.accn").alias("source"), "ordinal")
+    return facts.where(F.col("f.form").isin(*PERIODIC)).select("company_id", "metric", "unit", F.col("f.start").alias("period_start"), F.col("f.end").alias("period_end"), F.col("f.val").alias("value"), F.col("f.filed").alias("filed"), F.concat_ws("/", F.lit("SEC"), "f.form", "f.accn").alias("source"), "ordinal")
 
 
 def resolve_entities(df: DataFrame, tickers: DataFrame, column: str = "ticker") -> DataFrame:
@@ -180,7 +189,7 @@ def utc_date(text: Column) -> Column:
     return F.coalesce(F.when(clean.rlike(r"\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$"), zoned), written, F.try_to_timestamp(clean).cast("date"))
 
 
-def read_prices(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_prices(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, name: Callable[[Column], Column] = file_name) -> tuple[DataFrame, DataFrame]:
     """(symbol, date, price, basis) of the price CSVs of a folder, and (rule, symbol, date) of what can't be used.
 
     Every file may name its columns in its own way and have any number of them: the first known date and price column of its header counts.
@@ -196,7 +205,7 @@ def read_prices(spark: SparkSession, path: str, start: str | None = None, end: s
         return {"date": plain.index(date), "price": plain.index(price)} | ({"adjusted": plain.index(price)} if price.startswith("adj") else {})
 
     rows, unread = read_by_header(spark, path, pick, ["date", "price", "adjusted"])
-    symbol = F.upper(file_name(F.col("file"))).alias("symbol")
+    symbol = F.upper(name(F.col("file"))).alias("symbol")
     price = F.col("price").try_cast("double")
     basis = F.when(F.array_contains("found", "adjusted"), "adjusted").otherwise("as_supplied")
     typed = rows.select(symbol, utc_date(F.col("date")).alias("date"), price.alias("price"), basis.alias("basis"))

@@ -290,3 +290,76 @@ def test_investment_of_one_kind_is_not_the_national_one(spark):
     rows = [("u", "2024年1—3月份全国固定资产投资基本情况", "民间固定资产投资增长0.5%。全国固定资产投资（不含农户）同比增长4.5%"), ("v", "2024年1—3月份固定资产投资", "民间固定资产投资增长0.5%")]
     df = spark.createDataFrame([(u, t, b, D(2024, 4, 1)) for u, t, b in rows], "url string, title string, body string, published date")
     assert {r.url: r.value for r in harvest.release_values(df).collect()} == {"u": 4.5, "v": None}
+
+
+WATCHED = "series_id string, observation_period string, observation_date date, available_date date, availability_basis string, retrieved_at timestamp, value double, unit string, source_value_url string, availability_evidence_url string, vintage date, quality_flags array<string>, source_title string"
+
+
+def watched(value, at, period="2024-01", **other):
+    day = D(2024, int(period[-2:]), 28)
+    row = {"series_id": "cn_cpi", "observation_period": period, "observation_date": day, "available_date": day, "availability_basis": "official_release", "retrieved_at": dt.datetime.fromisoformat(f"2024-03-01T{at}"), "value": value, "unit": "percent", "source_value_url": "https://a", "availability_evidence_url": "https://e", "vintage": None, "quality_flags": None, "source_title": "t"} | other
+    return tuple(row[f.split()[0]] for f in WATCHED.split(", "))
+
+
+def test_batches_are_chained_by_time(spark):
+    """A later reading of a lower value is the current one; faulty records don't take part; events carry both vintages."""
+    rows = [watched(1.0, "09:00"), watched(1.2, "01:00"), watched(1.0, "10:00"), watched(9.9, "11:00", unit=" "), watched(3.0, "02:00", "2024-02", source_title="口径调整"), watched(3.0, "03:00", "2024-02", source_value_url="https://b")]
+    batch = spark.createDataFrame(rows, WATCHED)
+    kept, events, bad = ledger.append_batch(batch, batch.limit(0), "2024-03-02")
+    got = sorted((r.observation_period, r.retrieved_at.hour, r.value, str(r.vintage), r.quality_flags[-1]) for r in kept.collect())
+    assert got == [("2024-01", 1, 1.2, "2024-01-28", "release_date_has_official_evidence"), ("2024-01", 9, 1.0, "2024-03-02", "historical_revision"), ("2024-02", 2, 3.0, "2024-02-28", "methodology_change_review"), ("2024-02", 3, 3.0, "2024-03-02", "provenance_update")]
+    assert sorted((r.event, r.old_value, r.new_value, str(r.old_vintage), str(r.new_vintage)) for r in events.where("event <> 'new_release'").collect()) == [("historical_revision", 1.2, 1.0, "2024-01-28", "2024-03-02"), ("provenance_update", 3.0, 3.0, "2024-02-28", "2024-03-02")]
+    assert [(r.rules, r.value) for r in bad.collect()] == [(["unit_missing"], 9.9)]
+    stored = spark.createDataFrame(kept.collect(), WATCHED)
+    assert [x.count() for x in ledger.append_batch(batch.where("hour(retrieved_at) in (10, 3)"), stored, "2024-03-03")[:2]] == [0, 0]
+
+
+def test_stream_takes_rows_by_time_and_repeats_batches(spark, tmp_path):
+    """Readings out of order inside a batch; a batch repeated after its sinks were written leaves ledger and quarantine as they are."""
+    import os
+
+    paths = [str(tmp_path / p) for p in ("in", "ledger", "bad", "checkpoint")]
+    batches = [[watched(1.0, "09:00"), watched(1.2, "01:00"), watched(None, "01:00", "2024-02")], [watched(1.0, "10:00"), watched(1.1, "11:00"), watched(4.0, "01:00", "2024-03", series_id="cn ppi+x/y")]]
+    for rows in batches:
+        spark.createDataFrame(rows, WATCHED).coalesce(1).write.mode("append").parquet(paths[0])
+        stream_ledger(spark, paths[0], WATCHED, *paths[1:], "2024-03-02").awaitTermination(300)
+
+    def held():
+        return [sorted((r.series_id, r.observation_period, r.value, str(r.vintage), str(r.quality_flags)) for r in spark.read.schema(WATCHED).parquet(p).collect()) for p in paths[1:3]]
+
+    good, bad = held()
+    assert [(r[2], r[3]) for r in good if r[0] == "cn_cpi"] == [(1.0, "2024-03-02"), (1.1, "2024-03-02"), (1.2, "2024-01-28")] and len(good) == 4 and len(bad) == 1
+    commits = tmp_path / "checkpoint" / "commits"
+    last = max(int(x) for x in os.listdir(commits) if x.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (commits / name).unlink(missing_ok=True)
+    stream_ledger(spark, paths[0], WATCHED, *paths[1:], "2024-03-02").awaitTermination(300)
+    assert held() == [good, bad]
+    # A new checkpoint knows what the ledger holds: what was landed before is not the news.
+    stream_ledger(spark, paths[0], WATCHED, *paths[1:3], str(tmp_path / "another"), "2024-03-02").awaitTermination(300)
+    assert len([r for r in held()[0] if r[0] != "cn_cpi"]) == 1
+
+
+def test_company_with_quarters_years_and_two_units(spark):
+    """Quarters of 2020 and 2021's first, a year filed in two units, figures of the year to date: by hand."""
+    tag, ends = valuation.TAGS, [(D(2020, 1, 1), D(2020, 3, 31)), (D(2020, 4, 1), D(2020, 6, 30)), (D(2020, 7, 1), D(2020, 9, 30)), (D(2020, 10, 1), D(2020, 12, 31)), (D(2021, 1, 1), D(2021, 3, 31))]
+    rows = []
+    for name, quarter in (("operating_income", 25.0), ("pretax_income", 20.0), ("income_tax", 5.0), ("depreciation_amortization", 2.5), ("capex", 2.5)):
+        rows += [("q", tag[name], "USD", a, b, b + dt.timedelta(30), quarter + i) for i, (a, b) in enumerate(ends)]
+        rows += [("q", tag[name], "CNY", D(2020, 1, 1), D(2020, 12, 31), D(2021, 2, 1), 7 * 4 * quarter)]
+        rows += [("y", tag[name], "USD", D(2020, 1, 1), b, b + dt.timedelta(30), quarter * (i + 1)) for i, (_, b) in enumerate(ends[:4])]
+        rows += [("y", tag[name], "USD", *ends[4], D(2021, 5, 1), 3 * quarter)]
+        rows += [("one", tag[name], "EUR", *ends[0], D(2020, 5, 1), quarter)]
+    filings = spark.createDataFrame([(*r, 0) for r in rows], "company_id string, metric string, unit string, period_start date, period_end date, filed date, value double, ordinal int")
+    companies = spark.createDataFrame([("q", "shipping", 10.0, 50.0), ("y", "general", 10.0, 50.0), ("one", "general", 10.0, 50.0)], "company_id string, business_type string, shares double, price double")
+
+    def at(cutoff):
+        return {r.company_id: (r.period_end, r.fcff and round(r.fcff, 6), r.reason) for r in valuation.value_companies(filings, companies, cutoff).collect()}
+
+    year = lambda ebit, pretax, tax, da, capex: round(ebit * (1 - tax / pretax) + da - capex, 6)
+    late = at("2021-12-31")
+    # Sums of the last four quarters: 26 + 27 + 28 + 29 and so on; of the year to date, three quarters of 2020 and 75 for 2021's first.
+    assert late["q"] == (D(2021, 3, 31), year(110, 90, 30, 20, 20), None)
+    assert late["y"] == (D(2021, 3, 31), year(150, 120, 30, 15, 15), None) and late["one"] == (None, None, "no_full_period")
+    early = at("2021-02-15")
+    assert early["q"] == (D(2020, 12, 31), year(106, 86, 26, 16, 16), None) and early["y"] == (D(2020, 12, 31), year(100, 80, 20, 10, 10), None)

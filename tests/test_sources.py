@@ -51,6 +51,32 @@ def test_prices_of_differing_columns(spark, tmp_path):
     assert {len(r.sha256) for r in readers.file_inventory(spark, path).collect()} == {64}
 
 
+def test_files_by_header(spark, tmp_path):
+    """Fourteen columns, quoted names, cells with line ends, a byte order mark, odd file names; a file of no known header is named, not lost."""
+    many = ",".join(f"c{i}" for i in range(12))
+    files = {
+        "wide.csv": f"{many},Date,Close\n" + ",".join("x" * 12) + ",2024-01-02,5\n",
+        "quoted.csv": 'Date,"Adj Close","a ""note"", long"\n2024-01-02,7,"two\nlines, and ""more"""\n2024-01-03,8,\n',
+        "bom [1].csv": "\ufeffdate,price\n2024-01-02T01:00:00+09:00,3\n",
+        "none.csv": "when,price\n2024-01-02,1\n",
+        "empty.csv": "",
+        "heads.csv": "date,close\n",
+    }
+    good, bad = readers.read_prices(spark, write(tmp_path / "p", files))
+    assert sorted(tuple(r) for r in good.collect()) == [("BOM [1]", D(2024, 1, 1), 3.0, "as_supplied"), ("QUOTED", D(2024, 1, 2), 7.0, "adjusted"), ("QUOTED", D(2024, 1, 3), 8.0, "adjusted"), ("WIDE", D(2024, 1, 2), 5.0, "as_supplied")]
+    assert sorted(tuple(r) for r in bad.collect()) == [("no_header", "EMPTY", None), ("no_header", "NONE", None)]
+    assert readers.read_prices(spark, str(tmp_path / "p"), "2024-01-02", "2024-01-02")[0].count() == 2
+    text = '"observation_date","value","note"\n2024-01-31,1,"a\nb"\n2024-02-29,2,""\n'
+    path = write(tmp_path / "s", {"q.csv": text, "w.csv": f"{many},value,observation_date,available_date\n" + ",".join("x" * 12) + ",4,2024-01-31,2024-02-01\n"})
+    assert sorted((r.series_id, r.observation_date, r.value, r.availability_basis) for r in readers.read_snapshots(spark, path).collect()) == [("q", D(2024, 1, 31), 1.0, "unknown"), ("q", D(2024, 2, 29), 2.0, "unknown"), ("w", D(2024, 1, 31), 4.0, "unverified")]
+    with pytest.raises(ValueError, match="none.csv"):
+        readers.read_snapshots(spark, write(tmp_path / "bad", {"none.csv": "date,value\n1,2\n"}))
+    with pytest.raises(ValueError, match="three.csv"):
+        readers.read_two_column_series(spark, write(tmp_path / "three", {"three.csv": "a,b,c\n2024-01-01,2,3\n"}))
+    dated = write(tmp_path / "two", {"x.csv": "DATE,X\n2024-01-01,1\n2024-02-01,2\n2024-03-01,NaN\n"})
+    assert [r.value for r in readers.read_two_column_series(spark, dated, "2024-01-15", "2024-12-31").collect()] == [2.0]
+
+
 def test_two_columns_vintages_and_capture(spark, tmp_path):
     path = write(tmp_path / "t", {"x.csv": "DATE,X\n2024-01-01,1\n2024-02-01,.\n"})
     assert [tuple(r) for r in readers.read_two_column_series(spark, path).collect()] == [("x", D(2024, 1, 1), 1.0)]
