@@ -155,7 +155,11 @@ def source_coverage(config: DataFrame, catalog: DataFrame, present: DataFrame) -
 
 def country_factors(panel: DataFrame, config: DataFrame, least: int = 36) -> DataFrame:
     """(factor, month_end, score) of every configured factor; one without any loaded component is null in every month."""
-    made = composite(expanding_zscore(transforms(panel, config), least))
+    return all_factors(composite(expanding_zscore(transforms(panel, config), least)), panel, config)
+
+
+def all_factors(made: DataFrame, panel: DataFrame, config: DataFrame) -> DataFrame:
+    """Factors (factor, month_end, score) with a row for every configured factor and month of the panel."""
     grid = config.select("factor").distinct().join(panel.select("month_end").distinct(), F.lit(True))  # factors and months are few
     return grid.join(made, ["factor", "month_end"], "left")
 

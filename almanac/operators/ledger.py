@@ -328,15 +328,19 @@ def union_batches(*batches: DataFrame) -> DataFrame:
 def macro_report(ledger: DataFrame, events: DataFrame, config: DataFrame, series: DataFrame, as_of: str, least: int = 36, limits: dict[str, float] | None = None) -> DataFrame:
     """(section, name, status, value, previous, change, note) of a macro report at a date, from the ledger alone.
 
-    Sections: metrics, factors, contributions, regime, coverage and quality. Factors see each month only what was official and known then.
+    Sections: metrics, factors, contributions, regime, coverage and quality. Factors see each month only what was official and known then. The
+    ledger's columns that are needed, the scores and the factors are written once, as all sections derive from them.
     """
     from almanac.operators import factors as f
     from almanac.operators.asof import vintage_panel
+    from almanac.sources.shared import written
 
+    needed = ("series_id", "observation_period", "observation_date", "available_date", "availability_basis", "availability_evidence_url", "retrieved_at", "value", "vintage", "quality_flags")
+    ledger = written(ledger.select(*[c for c in needed if c in ledger.columns]), "report-ledger")
     rows = eligible_rows(ledger, as_of)
-    panel = vintage_panel(rows, end=as_of).select("series_id", "month_end", "value")
-    scores = f.expanding_zscore(f.transforms(panel, config), least)
-    composite = f.country_factors(panel, config, least)
+    panel = written(vintage_panel(rows, end=as_of).select("series_id", "month_end", "value"), "report-panel")
+    scores = written(f.expanding_zscore(f.transforms(panel, config), least), "report-scores")
+    composite = written(f.all_factors(f.composite(scores), panel, config), "report-factors")
 
     def part(df: DataFrame, section: str, name: Column, **columns: Column) -> DataFrame:
         kinds = {"status": "string", "value": "double", "previous": "double", "change": "double", "note": "string"}
