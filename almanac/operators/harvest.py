@@ -416,9 +416,12 @@ def validate_ohlc(raw: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]
     return bars.drop("at"), rows.unionByName(twice).unionByName(short)
 
 
-def select_close(bars: DataFrame, field: str = "Close") -> DataFrame:
-    """(symbol, date, price) of a vendor's long table (field, ticker, time, value): one field, dates without their zone. A table without it is an error to the caller: it is empty."""
-    return bars.where(F.col("field") == field).where("value is not null").select(F.col("ticker").alias("symbol"), F.col("time").cast("date").alias("date"), F.col("value").cast("double").alias("price"))
+def select_close(bars: DataFrame, field: str = "Close", strict: bool = False) -> DataFrame:
+    """(symbol, date, price) of a vendor's long table (field, ticker, time, value): one field, dates without their zone. ``strict``: a table without a price is an error; one row is read for it."""
+    out = bars.where(F.col("field") == field).where("value is not null").select(F.col("ticker").alias("symbol"), F.col("time").cast("date").alias("date"), F.col("value").cast("double").alias("price"))
+    if strict and out.isEmpty():
+        raise ValueError(f"no row has a value of {field}")
+    return out
 
 
 def price_status(prices: DataFrame) -> DataFrame:

@@ -231,12 +231,13 @@ def value_companies(filings: DataFrame, companies: DataFrame, cutoff: str, growt
     price. Each company is valued in one unit, and cash flows are of whole years, filed or summed from quarters. The band takes the growth ``spread``
     lower and higher.
     """
+    from almanac.sources.shared import written
+
     rows = filings if "period_start" in filings.columns else filings.withColumn("period_start", F.lit(None).cast("date"))
-    rows = rows.repartition("company_id")  # all windows and groups below are by company, so this is the only shuffle of filings
     known = pit_facts(rows, cutoff).withColumnRenamed("filed", "available_date").select("company_id", "metric", "unit", "period_start", "period_end", "available_date", "value")
-    # Concepts of cash flow, and tags of the balance sheet under their own names, in the unit of the company.
+    # Concepts of cash flow, and tags of the balance sheet under their own names, in the unit of the company; all that follows reads them from one table.
     balance = F.broadcast(balance_tags(filings.sparkSession).select(F.col("tag").alias("metric")))  # a fixed table
-    facts = in_one_unit(mapped_facts(known, companies).drop("business_type").unionByName(known.join(balance, "metric", "left_semi")))
+    facts = written(in_one_unit(mapped_facts(known, companies).drop("business_type").unionByName(known.join(balance, "metric", "left_semi"))), "facts")
     flows = facts.where(F.col("metric").isin(*REQUIRED, "accounts_receivable_change", "inventory_change"))
     parts = fcff(fcff_parts(full_years(flows)))
     last = latest(parts.where("reason is null or reason <> 'missing_metric'"), ["company_id"], "period_end").select("company_id", "period_end", "fcff", F.col("reason").alias("cash_reason"))

@@ -363,3 +363,16 @@ def test_company_with_quarters_years_and_two_units(spark):
     assert late["y"] == (D(2021, 3, 31), year(150, 120, 30, 15, 15), None) and late["one"] == (None, None, "no_full_period")
     early = at("2021-02-15")
     assert early["q"] == (D(2020, 12, 31), year(106, 86, 26, 16, 16), None) and early["y"] == (D(2020, 12, 31), year(100, 80, 20, 10, 10), None)
+
+
+def test_a_vendor_table_without_prices_is_an_error(spark):
+    bars = spark.createDataFrame([("Close", "A", "2024-01-02", None), ("Open", "A", "2024-01-02", 1.0)], "field string, ticker string, time string, value double")
+    assert harvest.select_close(bars).count() == 0 and harvest.select_close(bars, "Open", strict=True).count() == 1
+    with pytest.raises(ValueError, match="Close"):
+        harvest.select_close(bars, strict=True)
+
+
+def test_weights_of_a_configuration(spark):
+    rows = [("g", "a", 0.5, 2), ("g", "b", -0.1, 2), ("i", "c", 0.0, 2), ("l", "d", 1.0, 1)]
+    config = spark.createDataFrame(rows, "factor string, component string, weight double, min_components int")
+    assert sorted(tuple(r) for r in factors.config_violations(config).collect()) == [("minimum", "i", None), ("no_weight", "i", None), ("weight", "g", "b")]
