@@ -302,7 +302,9 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, limit: int =
     later = known.join(first, "digest").where("doc_id > least").select("doc_id", "digest").distinct()
     payload = F.concat(F.unhex(F.lpad(F.hex("doc_id"), 16, "0")), F.col("digest"))
     side = cut(later.select(chunk.alias("chunk"), F.lit(KIND_COPY).alias("kind"), payload.alias("payload")), "copies")
-    texts = in_small_batches(rows.withColumn("chunk", chunk)).groupBy("chunk")
+    # Rows without an id take no part and are dealt by their text.
+    dealt = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n)).cast("int")
+    texts = in_small_batches(rows.withColumn("chunk", dealt)).groupBy("chunk")
     hashed = texts.cogroup(side.groupBy("chunk")).applyInArrow(_hash_rows(n), HASHED)
     shared = hashed.groupBy("bucket").applyInArrow(_shared_rows, SIDE)
     side = side.union(shared)
