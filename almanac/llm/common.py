@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that a side of a join may have to be broadcast; each caller keeps such rows to about 100 bytes.
 BROADCAST_ROWS = 400_000
+#: Bytes that a side of a join may have to be broadcast, where its rows have no bound.
+BROADCAST_BYTES = 40_000_000
 #: Rows of texts that are sent to a Python worker together.
 BATCH_ROWS = 1_000
 
@@ -48,14 +50,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def checked_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str, limit: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
     """Join on named columns; ``small`` (already written, narrow) is broadcast only if it has at most ``limit`` rows.
 
-    With more rows Spark shuffles both sides, and adaptive execution splits skewed partitions.
+    Where rows hold lists or texts, ``size`` is the bytes of one, and their sum is bounded by ``BROADCAST_BYTES`` too.
+    With more Spark shuffles both sides, and adaptive execution splits skewed partitions.
     """
-    if small.limit(limit + 1).count() <= limit:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+    few = small.limit(limit + 1).count() <= limit
+    if few and size is not None:
+        few = (small.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+    return big.join(F.broadcast(small) if few else small, on, how)
 
 
 def crc_mod(column: str, n: int):

@@ -3,8 +3,9 @@
 Every tree splits the vectors of a label again and again at the mean of a random projection, until a
 node has at most ``LEAF`` vectors or its projections hardly differ. Vectors close to a split go to
 both sides, so leaves overlap. Vectors are compared within leaves, in blocks where a leaf is
-large, and a pair that meets in many leaves counts in the smallest shared leaf alone. A block sends back
-link counts and a spanning forest, not its pairs.
+large, and a pair that meets in many leaves counts in the smallest shared leaf alone. A group too tight to split
+is nearly the same leaf in every tree, so large leaves are laid out in blocks by the first large leaf of their members,
+and members who met there are not compared again. A block sends back link counts and a spanning forest, not its pairs.
 
 Exact copies form a class before and are compared once.
 
@@ -87,6 +88,30 @@ def leaves(vectors: DataFrame, similarity: float) -> DataFrame:
     return out
 
 
+def seats(lists: DataFrame) -> DataFrame:
+    """(id, all, leaf, own, with): in every leaf of an id, its block and the blocks that this is compared with.
+
+    ``first`` is the smallest large leaf of an id. Members of a leaf with the same ``first`` before it met there, so where they
+    are many they get blocks of their own, which are not compared with each other; the others share blocks that are.
+    """
+    large = F.filter("in", lambda x: x["members"] > LEAF)
+    at = lists.select("id", F.col("in.leaf").alias("all"), F.array_min(F.transform(large, lambda x: x["leaf"])).alias("first"), F.explode("in").alias("at"))
+    at = at.select("id", "all", "first", "at.leaf", (F.col("at.members") > LEAF).alias("large"))
+    met = at.where("large").groupBy("leaf", "first").agg(F.count("*").alias("n"))
+    met = cut(met.withColumn("seat", F.when((F.col("first") < F.col("leaf")) & (F.col("n") > LEAF), F.col("first"))), "met")
+    plan = met.groupBy("leaf", "seat").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    by_leaf = Window.partitionBy("leaf")
+    plan = plan.withColumn("start", (F.sum("blocks").over(by_leaf.orderBy("seat")) - F.col("blocks")).cast("int")).withColumn("total", F.sum("blocks").over(by_leaf).cast("int"))
+    plan = plan.withColumn("seat", F.coalesce("seat", "leaf"))  # a seat of its own is never the leaf itself
+    met = cut(met.withColumn("seat", F.coalesce("seat", "leaf")).select("leaf", "first", "seat").join(plan, ["leaf", "seat"]), "seats")
+    at = checked_join(at, met, ["leaf", "first"], "left")
+    own = F.col("start") + F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    others = F.sequence(F.lit(0), F.col("total") - 1)
+    others = F.when(F.col("seat") == F.col("leaf"), others).otherwise(F.filter(others, lambda x: (x < F.col("start")) | (x >= F.col("start") + F.col("blocks"))))
+    one = ~F.col("large")
+    return at.select("id", "all", "leaf", F.when(one, F.lit(0)).otherwise(own).alias("own"), F.when(one, F.array(F.lit(0))).otherwise(others).alias("with"))
+
+
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest index of each index's component under the links (i, j)."""
     root = np.arange(n)
@@ -166,11 +191,9 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.98) -> DataFrame:
         own = F.shiftrightunsigned(F.xxhash64("low", "class"), 2).bitwiseOR(F.lit(1 << 62))
         classes = cut(checked_join(classes, repeated, "low", "left").withColumn("id", F.when(F.col("again"), own).otherwise(F.col("low"))), "classes")
     lists = leaves(classes, similarity).groupBy("id").agg(F.collect_list(F.struct("leaf", "members")).alias("in"))  # at most a few per tree
-    rows = classes.join(lists, "id").select("id", "label", F.size("embedding").alias("dim"), "copies", "embedding", F.col("in.leaf").alias("all"), F.explode("in").alias("at"))
-    blocks = F.ceil(F.col("at.members") / BLOCK).cast("int")
-    rows = rows.withColumn("leaf", F.col("at.leaf")).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("block_i", F.least("own", "with")).withColumn("block_j", F.greatest("own", "with")).drop("at", "with", "blocks")
+    places = seats(cut(lists, "leaves"))
+    rows = classes.join(places, "id").select("id", "label", F.size("embedding").alias("dim"), "copies", "embedding", "all", "leaf", "own", F.explode("with").alias("with"))
+    rows = rows.withColumn("block_i", F.least("own", "with")).withColumn("block_j", F.greatest("own", "with")).drop("with")
     found = cut(rows.groupBy("label", "dim", "leaf", "block_i", "block_j").applyInPandas(compare(similarity), "id long, other long, links long"), "links")
     links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))

@@ -118,7 +118,8 @@ def store(docs: DataFrame, decisions: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["text_key", "digests", "complete", "chunks"])
 
     keyed = docs.select("doc_id", "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text_key"))
-    return in_small_batches(checked_join(keyed, decisions, "text_key", "left")).mapInPandas(run, "text_key binary, digests array<binary>, complete boolean, chunks array<struct<digest: binary, bytes: binary, lent: boolean>>")
+    held = 100 + 50 * sum(F.coalesce(F.size(c), F.lit(0)) for c in ("lent", "foreign"))  # a decision lists all shared digests of a medium
+    return in_small_batches(checked_join(keyed, decisions, "text_key", "left", size=held)).mapInPandas(run, "text_key binary, digests array<binary>, complete boolean, chunks array<struct<digest: binary, bytes: binary, lent: boolean>>")
 
 
 def stored_form(digests: list[bytes], parts: list[bytes]) -> bytes:

@@ -259,7 +259,7 @@ def scan(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["kind"]], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    out = checked_join(read.select("doc_id", "key", "spans"), terms, "key", "left", limit=MOST_TERMS)
+    out = checked_join(read.select("doc_id", "key", "spans"), terms, "key", "left", limit=MOST_TERMS, size=100 + 24 * F.size("terms"))
     more = F.transform(F.coalesce("terms", F.array().cast("array<struct<start: bigint, end: bigint>>")), lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("kind"), x["end"].alias("end")))
     everything = F.array_sort(F.concat("spans", more))
     return out.select(
@@ -292,5 +292,5 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
             done.append("".join(out) + text[at:] if out else text)
         return pd.Series(done, dtype=object)
 
-    keyed = checked_join(in_small_batches(docs).withColumn("_pii_key", text_key()), terms, "_pii_key", "left", limit=MOST_TERMS)
+    keyed = checked_join(in_small_batches(docs).withColumn("_pii_key", text_key()), terms, "_pii_key", "left", limit=MOST_TERMS, size=100 + 24 * F.size("_pii_start"))
     return keyed.withColumn("text", clean("text", "_pii_start", "_pii_end")).select(*docs.columns)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, embeddings, langid, licenses, media, mixing, pii, quality, secret_scan, sketches
+from almanac.llm import bpe, common, embeddings, langid, licenses, media, mixing, pii, quality, secret_scan, sketches
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, spans string, size string, copies int"
 
@@ -706,6 +706,43 @@ def test_differing_finds_every_link_of_a_crowd(spark):
     assert linked and components(found & linked) == components(linked)
 
 
+def test_seats_meet_in_the_first_shared_leaf(spark):
+    """Overlapping leaves, nearly equal large ones included: each pair is compared in its smallest shared leaf, and large repetitions are not."""
+    leaves = {-9: range(0, 1500), -4: range(0, 1400), 3: range(300, 1800), 8: range(1700, 1800), 11: range(1200, 1900)}
+    within = {i: [(leaf, len(m)) for leaf, m in leaves.items() if i in m] for i in range(1900)}
+    lists = spark.createDataFrame([(i, v) for i, v in within.items()], "id long, in array<struct<leaf: long, members: long>>")
+    seen = np.zeros((1900, 1900), bool)
+    got = embeddings.seats(lists).collect()
+    for leaf, members in leaves.items():
+        own, others = np.full(1900, -1), {}
+        for r in got:
+            if r.leaf == leaf:
+                own[r.id], others[r.id] = r.own, set(r["with"])
+        assert set(others) == set(members)
+        earlier = [set(m) for low, m in leaves.items() if low < leaf]
+        for i in members:
+            first = [j for j in members if not any(i in m and j in m for m in earlier)]
+            met = [j for j in first if own[j] in others[i] and own[i] in others[j]]
+            assert met == first
+            seen[i, first] = True
+    assert all(seen[i, j] for i in range(0, 1900, 7) for j in range(1900) if set(dict(within[i])) & set(dict(within[j])))
+    assert not any(r["with"] for r in got if r.leaf == -4)  # a leaf inside an earlier one costs nothing
+
+
+@pytest.mark.parametrize("most", [common.BROADCAST_BYTES, 0])
+def test_joins_bounded_in_bytes(spark, monkeypatch, most):
+    """Media with shared chunks and texts with terms: the same rows, joined by a broadcast or by a shuffle."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    shared = words(1500, 71)
+    rows = [(i, f"{shared} {i} mail a{i % 3}@example.org zork{"abc"[i % 3]}") for i in range(9)] + [(9, None), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.n_bytes for r in media.chunked_media(docs).collect()) == sorted(len((t or "").encode()) for _, t in rows)
+    found = {r.doc_id: r for r in pii.scan(docs).collect()}
+    assert len(found) == 11 and all(found[i].n_email == 1 and found[i].n_term >= 1 for i in range(9)) and found[9].n_term == 0
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("zork" not in clean[i] and "@" not in clean[i] for i in range(9)) and clean[10] == ""
+
+
 def test_forest_with_repeated_ids_and_clashing_columns(spark):
     """One vec_id with several vectors: each links by itself, and components carry the smallest vec_id."""
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
