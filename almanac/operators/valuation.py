@@ -63,18 +63,20 @@ def known_type(kind: Column) -> Column:
     return F.when(kind.isin(*METHODS), kind).otherwise("general")
 
 
-def mapped_facts(facts: DataFrame, companies: DataFrame) -> DataFrame:
-    """Facts (company_id, metric: a tag, ...) under the concept that the tag stands for in the company's kind of business; other tags go. A kind that is not known has the tags of a general one."""
+def mapped_facts(facts: DataFrame, companies: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Facts (company_id, metric: a tag, ...) under the concept that the tag stands for in the company's kind of business; other tags go, but those of ``kept`` stay under their own names. A kind that is not known has the tags of a general one."""
     typed = facts.withColumnRenamed("metric", "tag").join(companies.select("company_id", known_type(F.col("business_type")).alias("business_type")), "company_id")
-    tags = F.broadcast(concept_tags(facts.sparkSession))  # a fixed table
-    return typed.join(tags, ["business_type", "tag"]).withColumnRenamed("concept", "metric").drop("tag")
+    tags = concept_tags(facts.sparkSession)
+    if kept:
+        tags = tags.unionByName(facts.sparkSession.createDataFrame([(kind, tag, tag) for kind in METHODS for tag in kept], tags.schema))
+    return typed.join(F.broadcast(tags), ["business_type", "tag"]).withColumnRenamed("concept", "metric").drop("tag")  # a fixed table
 
 
 def pit_facts(filings: DataFrame, cutoff: str) -> DataFrame:
     """Per company, metric, unit and period (with its start, if filings have it) the latest filing at the cutoff that is not before the period's end."""
     known = filings.where((F.col("filed") <= F.lit(cutoff).cast("date")) & (F.col("filed") >= F.col("period_end")))
     start = ["period_start"] if "period_start" in filings.columns else []
-    w = Window.partitionBy("company_id", "metric", "unit", *start, "period_end").orderBy(F.col("filed").desc(), F.col("ordinal").asc())
+    w = Window.partitionBy("company_id", "unit", "metric", *start, "period_end").orderBy(F.col("filed").desc(), F.col("ordinal").asc())
     return known.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -112,6 +114,7 @@ def full_years(facts: DataFrame) -> DataFrame:
     is taken for what it says. Interim figures that make no year are left out.
     """
     key = ["company_id", "metric", "unit"]
+    facts = facts.repartition("company_id")  # which serves every step by company and more
     days = F.datediff("period_end", "period_start") + 1
     whole = facts.where(F.col("period_start").isNull() | days.between(*YEAR_DAYS)).withColumn("rank", F.lit(0))
     dated = facts.where("period_start is not null")
@@ -125,7 +128,7 @@ def full_years(facts: DataFrame) -> DataFrame:
     year = Window.partitionBy(*key).orderBy(F.unix_date("period_end")).rangeBetween(-TRAILING_DAYS, 0)
     sums = one.select(*key, "period_end", F.sum("value").over(year).alias("value"), F.max("available_date").over(year).alias("available_date"), F.count("*").over(year).alias("n"))
     trailing = sums.where("n = 4").select(*key, F.lit(None).cast("date").alias("period_start"), "period_end", "available_date", "value", F.lit(1).alias("rank"))
-    both = whole.select(*trailing.columns).unionByName(trailing)
+    both = whole.select(*trailing.columns).unionByName(trailing).repartition("company_id")
     kept = both.groupBy(*key, "period_end").agg(F.min_by(F.struct("value", "available_date"), F.struct("rank", F.unix_date("available_date") * -1)).alias("f"))
     return kept.select(*key, "period_end", "f.available_date", "f.value")
 
@@ -234,10 +237,14 @@ def value_companies(filings: DataFrame, companies: DataFrame, cutoff: str, growt
     from almanac.sources.shared import written
 
     rows = filings if "period_start" in filings.columns else filings.withColumn("period_start", F.lit(None).cast("date"))
-    known = pit_facts(rows, cutoff).withColumnRenamed("filed", "available_date").select("company_id", "metric", "unit", "period_start", "period_end", "available_date", "value")
-    # Concepts of cash flow, and tags of the balance sheet under their own names, in the unit of the company; all that follows reads them from one table.
-    balance = F.broadcast(balance_tags(filings.sparkSession).select(F.col("tag").alias("metric")))  # a fixed table
-    facts = written(in_one_unit(mapped_facts(known, companies).drop("business_type").unionByName(known.join(balance, "metric", "left_semi"))), "facts")
+    # Concepts of cash flow, and tags of the balance sheet under their own names. Other tags go before the one shuffle, by company, that all steps by
+    # company, unit and concept share, and so is the order in which the last filings are taken.
+    sheet = (*LIQUID_TAGS.values(), *DEBT_TAGS.values())
+    columns = ["company_id", "metric", "unit", "period_start", "period_end", "filed", "value", "ordinal"]
+    near = rows.where(F.col("metric").isin(*TAGS.values(), *sheet)).select(*columns).repartition("company_id")
+    known = pit_facts(mapped_facts(near, companies, sheet), cutoff).withColumnRenamed("filed", "available_date").drop("business_type", "ordinal")
+    # All that follows reads facts in the unit of the company from one table.
+    facts = written(in_one_unit(known), "facts")
     flows = facts.where(F.col("metric").isin(*REQUIRED, "accounts_receivable_change", "inventory_change"))
     parts = fcff(fcff_parts(full_years(flows)))
     last = latest(parts.where("reason is null or reason <> 'missing_metric'"), ["company_id"], "period_end").select("company_id", "period_end", "fcff", F.col("reason").alias("cash_reason"))

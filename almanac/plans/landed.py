@@ -279,18 +279,25 @@ _QUARTERS = """q0 as (select l_suppkey as company_id, ['OperatingIncomeLoss', 'I
   select s_suppkey as company_id, max(period_end) as period_end, round(arg_max(ebit * (1 - tax / pretax) + da - capex, period_end), 2) as fcff from supplier left join (select * from wide where ebit is not null and pretax is not null and tax is not null and da is not null and capex is not null) on company_id = s_suppkey and s_suppkey % 7 <> 0 group by 1""", 2)
 def company_values_by_quarter(s, d):
     """Cash flows of trailing years from quarters and from figures of the year to date; whole years in a second unit and types outside of the table don't disturb."""
-    start = F.date_trunc("quarter", "l_shipdate").cast("date")
-    tag = F.array(*[F.lit(valuation.TAGS[c]) for c in valuation.REQUIRED])
-    lines = v.table(s, d, "lineitem").withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(5)))).where("l_partkey % 5 <> t % 2 + 3")
-    rows = lines.groupBy(F.col("l_suppkey").alias("company_id"), F.element_at(tag, F.col("t")).alias("metric"), start.alias("period_start"), F.last_day(F.add_months(start, 2)).alias("period_end")).agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
-    w = Window.partitionBy("company_id", "metric", F.year("period_end")).orderBy("period_end")
-    whole = F.size(F.collect_set("period_end").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))) == 4
+    start, part, price = F.date_trunc("quarter", "l_shipdate").cast("date"), F.col("l_partkey") % 5, F.col("l_extendedprice")
+    # Five tags have two sums: those in odd places leave out the parts of one remainder, those in even places of another.
+    tags = [valuation.TAGS[c] for c in valuation.REQUIRED]
+    sides = [(part != left, [F.lit(t) for t in tags[place::2]]) for place, left in ((0, 4), (1, 3))]
+    sums = [[F.sum(F.when(has, price)).alias(f"sum{i}"), F.count(F.when(has, 1)).alias(f"n{i}")] for i, (has, _) in enumerate(sides)]
+    quarters = v.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("company_id"), start.alias("period_start")).agg(*sums[0], *sums[1]).repartition("company_id")
+    side = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.round(f"sum{i}", 2).alias("value"), F.col(f"n{i}").alias("n"), F.array(*metrics).alias("metrics")) for i, (_, metrics) in enumerate(sides)]))
+    rows = quarters.select("company_id", "period_start", F.last_day(F.add_months("period_start", 2)).alias("period_end"), side.alias("s")).select("company_id", "period_start", "period_end", "s.*").where("n > 0")
+    w = Window.partitionBy("company_id", "side", F.year("period_end")).orderBy("period_end")
+    whole = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) == 4
     # Figures of the year to date stand for quarters where all four of a year are there.
     ytd = rows.withColumn("whole", whole).withColumn("sum", F.sum("value").over(w)).withColumn("first", F.trunc("period_end", "year"))
     cumulative = (F.col("company_id") % 4 == 0) & F.col("whole")
-    rows = ytd.select("company_id", "metric", F.when(cumulative, F.col("first")).otherwise(F.col("period_start")).alias("period_start"), "period_end", F.when(cumulative, F.round("sum", 2)).otherwise(F.col("value")).alias("value"), F.lit("USD").alias("unit"))
-    year = rows.where("month(period_end) = 12 and company_id % 3 = 0").select("company_id", "metric", F.trunc("period_end", "year").alias("period_start"), "period_end", (F.col("value") * 7).alias("value"), F.lit("CNY").alias("unit"))
-    filings = rows.unionByName(year).withColumn("filed", F.date_add("period_end", 45)).withColumn("ordinal", F.lit(0))
+    rows = ytd.select("company_id", "metrics", F.when(cumulative, F.col("first")).otherwise(F.col("period_start")).alias("period_start"), "period_end", F.when(cumulative, F.round("sum", 2)).otherwise(F.col("value")).alias("value"))
+    own = F.struct("period_start", "value", F.lit("USD").alias("unit"))
+    year = F.struct(F.trunc("period_end", "year").alias("period_start"), (F.col("value") * 7).alias("value"), F.lit("CNY").alias("unit"))
+    filed = rows.select("company_id", "period_end", "metrics", F.explode(F.array_compact(F.array(own, F.when((F.month("period_end") == 12) & (F.col("company_id") % 3 == 0), year)))).alias("f"))
+    rows = filed.select("company_id", F.explode("metrics").alias("metric"), "f.unit", "f.period_start", "period_end", "f.value")
+    filings = rows.withColumn("filed", F.date_add("period_end", 45)).withColumn("ordinal", F.lit(0))
     n = F.col("s_suppkey")
     companies = v.table(s, d, "supplier").select(n.alias("company_id"), F.when(n % 7 == 0, "bank").when(n % 2 == 0, "odd kind").otherwise("general").alias("business_type"), F.lit(1000.0).alias("shares"), F.lit(200.0).alias("price"))
     return valuation.value_companies(filings, companies, CUTOFF).select("company_id", "period_end", "fcff")
