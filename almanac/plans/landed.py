@@ -176,9 +176,10 @@ def planned_vintages(s, d):
 @query("""select 'US:' || lpad(cast(l_suppkey as varchar), 10, '0') as company_id, l_returnflag as metric, case when l_linenumber % 2 = 0 then 'USD' else 'CNY' end as unit, cast(min(o_orderdate) as date) as period_start, cast(l_shipdate as date) as period_end, cast(l_shipdate as date) + 30 as filed, round(sum(l_extendedprice), 2) as value,
   'SEC/' || case when l_linenumber % 3 = 0 then '10-Q' else '10-K' end || '/' || cast(max(l_orderkey) as varchar) as source from lineitem join orders on l_orderkey = o_orderkey where l_linenumber % 5 <> 4 group by l_suppkey, l_returnflag, l_linenumber, l_shipdate""", 2)
 def landed_facts(s, d):
-    """Nested documents, one per company, of tags, units and facts; forms that are not periodic are left out."""
+    """Nested documents, a line per company, of tags, units and facts; forms that are not periodic are left out."""
     root = shared_folder(s, "facts")
     lines = v.table(s, d, "lineitem").join(v.table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    lines = lines.repartition("l_suppkey")  # which serves all groups below
     n = F.col("l_linenumber")
     by = lines.groupBy("l_suppkey", "l_returnflag", "l_linenumber", "l_shipdate").agg(F.round(F.sum("l_extendedprice"), 2).alias("val"), F.min("o_orderdate").cast("date").alias("start"), F.max("l_orderkey").cast("string").alias("accn"))
     form = F.when(n % 5 == 4, "8-K").when(n % 3 == 0, "10-Q").otherwise("10-K")
@@ -186,8 +187,8 @@ def landed_facts(s, d):
     units = by.groupBy("l_suppkey", "l_returnflag", F.when(n % 2 == 0, "USD").otherwise("CNY").alias("unit")).agg(F.collect_list(fact).alias("list"))
     tags = units.groupBy("l_suppkey", "l_returnflag").agg(F.map_from_entries(F.collect_list(F.struct("unit", "list"))).alias("units"))
     docs = tags.groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", F.struct(F.lit("x").alias("label"), "units")))).alias("tags"))
-    docs.select(F.to_json(F.struct(F.col("l_suppkey").alias("cik"), F.create_map(F.lit("us-gaap"), "tags").alias("facts"))).alias("value"), "l_suppkey").write.partitionBy("l_suppkey").text(root)
-    return readers.read_company_facts(s, f"{root}/*").drop("ordinal")
+    docs.select(F.to_json(F.struct(F.col("l_suppkey").alias("cik"), F.create_map(F.lit("us-gaap"), "tags").alias("facts"))).alias("value")).write.text(root)
+    return readers.read_company_facts(s, root, lines=True).drop("ordinal")
 
 
 @query("select sha256(n_name || chr(10)) as sha256, cast(strlen(n_name) + 1 as bigint) as length from nation")

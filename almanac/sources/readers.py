@@ -162,9 +162,12 @@ def capture_vintages(spark: SparkSession, fetched: DataFrame, root: str) -> Data
     return done
 
 
-def read_company_facts(spark: SparkSession, path: str) -> DataFrame:
-    """(company_id, metric, unit, period_start, period_end, value, filed, source, ordinal) of periodic reports; a fact of a moment has no start."""
-    raw = spark.read.schema(FACTS).option("multiLine", "true").json(path)
+def read_company_facts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(company_id, metric, unit, period_start, period_end, value, filed, source, ordinal) of periodic reports; a fact of a moment has no start.
+
+    A file is one company's document or, with ``lines``, has a document in every line: many companies then need few files, and Spark splits them.
+    """
+    raw = spark.read.schema(FACTS).option("multiLine", not lines).json(path)
     tags = raw.select(F.format_string("US:%010d", "cik").alias("company_id"), F.explode("facts").alias("_", "tags")).select("company_id", F.explode("tags").alias("metric", "t"))
     facts = tags.select("company_id", "metric", F.explode("t.units").alias("unit", "list")).select("company_id", "metric", "unit", F.posexplode("list").alias("ordinal", "f"))
     return facts.where(F.col("f.form").isin(*PERIODIC)).select("company_id", "metric", "unit", F.col("f.start").alias("period_start"), F.col("f.end").alias("period_end"), F.col("f.val").alias("value"), F.col("f.filed").alias("filed"), F.concat_ws("/", F.lit("SEC"), "f.form", "f.accn").alias("source"), "ordinal")

@@ -1,10 +1,13 @@
 """How often rows are read and shuffled: figures of Spark's own stages, which grow with the tables."""
 
 import datetime as dt
+import os
 
 from almanac.operators import valuation
+from almanac.plans import landed
+from almanac.sources import readers
 
-D = dt.date
+D, DATA = dt.date, "/root/testdata/sf0.001"
 
 
 def stages(spark, run):
@@ -35,3 +38,19 @@ def test_facts_of_companies_are_shuffled_a_few_times(spark):
     _, shuffled = stages(spark, lambda: got.extend(valuation.value_companies(filings, companies, "2021-12-31").collect()))
     assert len(got) == 40 and {r.period_end for r in got} == {D(2020, 12, 28)}
     assert shuffled < 4 * len(rows), shuffled / len(rows)
+
+
+def test_documents_of_companies_land_in_few_files(spark, tmp_path, monkeypatch):
+    """As many files as tasks, not as companies; each line is a document."""
+    monkeypatch.setattr(landed, "shared_folder", lambda s, name: str(tmp_path / name))
+    companies = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_suppkey").distinct().count()
+    assert landed.landed_facts(spark, DATA).select("company_id").distinct().count() == companies > 4
+    files = [f for _, _, found in os.walk(tmp_path / "facts") for f in found if f.startswith("part-")]
+    assert len(files) <= 4
+
+
+def test_company_facts_by_line(spark, tmp_path):
+    fact = '{"cik": %d, "facts": {"us-gaap": {"Cash": {"label": "x", "units": {"USD": [{"end": "2017-09-30", "val": %d, "filed": "2017-11-03", "form": "10-K", "accn": "a"}]}}}}}'
+    (tmp_path / "all.json").write_text("\n".join(fact % (k, k * 10) for k in range(1, 4)) + "\n")
+    got = readers.read_company_facts(spark, str(tmp_path), lines=True).collect()
+    assert sorted((r.company_id, r.value) for r in got) == [("US:0000000001", 10.0), ("US:0000000002", 20.0), ("US:0000000003", 30.0)]
