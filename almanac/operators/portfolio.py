@@ -7,6 +7,9 @@ symbols, and all windows are keyed by strategy, so strategies are accounted for
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -386,33 +389,53 @@ def deposit_summary(accounts: DataFrame) -> DataFrame:
     return by.join(xirr(flows), "account", "left")
 
 
+def _roots(times: pa.Array, amounts: pa.Array, steps: int) -> pa.Array:
+    """Rates at which flows (a list of times and one of amounts per account) are worth nothing; all accounts of a batch are halved at once."""
+    counts = pc.list_value_length(times).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(counts):
+        return pa.array([], pa.float64())
+    t, amount = (x.flatten().to_numpy(zero_copy_only=False).astype(np.float64) for x in (times, amounts))
+    starts = np.cumsum(counts) - counts
+
+    def sign(rate: np.ndarray) -> np.ndarray:
+        return np.sign(np.add.reduceat(amount * np.repeat(1 + rate, counts) ** -t, starts))
+
+    with np.errstate(all="ignore"):
+        lo, high = np.full(len(counts), -0.9999), np.ones(len(counts))
+        at_low = sign(lo)
+        for _ in range(25):
+            wider = ~(at_low * sign(high) <= 0) & (high < 1e6)
+            if not wider.any():
+                break
+            high = np.where(wider, high * 2 + 1, high)
+        fine, hi = at_low * sign(high) <= 0, high
+        for _ in range(steps):
+            mid = (lo + hi) / 2
+            same = sign(mid) == at_low
+            now = np.where(same, mid, lo), np.where(same, hi, mid)
+            if np.array_equal(now[0], lo) and np.array_equal(now[1], hi):  # no number lies between the two: further steps change nothing
+                break
+            lo, hi = now
+    return pa.array((lo + hi) / 2, mask=~fine)
+
+
 def xirr(flows: DataFrame, steps: int = 160) -> DataFrame:
     """(account, xirr): money-weighted return a year of dated flows (account, date, amount).
 
     Flows of a day are summed first, so an account holds one value per day. The bracket [-0.9999, 1] is widened until the value of the flows changes
     its sign, then halved on that sign; null unless flows have both signs, or if there is no change below a million.
     """
-    daily = flows.groupBy("account", "date").agg(F.sum("amount").alias("amount"))
-    first = Window.partitionBy("account")
-    dated = daily.withColumn("t", F.datediff("date", F.min("date").over(first)) / 365.25)
-    rows = dated.groupBy("account").agg(F.array_sort(F.collect_list(F.struct("t", "amount"))).alias("flows"))
-    signs = flows.groupBy("account").agg((F.max("amount") > 0).alias("has_in"), (F.min("amount") < 0).alias("has_out"))
-
-    def sign(rate: Column) -> Column:
-        return F.signum(F.aggregate("flows", F.lit(0.0), lambda acc, f: acc + f["amount"] * F.pow(1 + rate, -f["t"])))
-
-    low = F.lit(-0.9999)
-    high = F.aggregate(F.sequence(F.lit(1), F.lit(25)), F.lit(1.0), lambda h, _: F.when((sign(low) * sign(h) > 0) & (h < 1e6), h * 2 + 1).otherwise(h))
-    bracketed = rows.join(signs, "account").withColumn("high", high).withColumn("at_low", sign(low)).withColumn("at_high", sign(F.col("high")))
-
-    def step(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        same = sign(mid) == F.col("at_low")
-        return F.struct(F.when(same, mid).otherwise(s["lo"]).alias("lo"), F.when(same, s["hi"]).otherwise(mid).alias("hi"))
-
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(low.alias("lo"), F.col("high").alias("hi")), step, lambda s: (s["lo"] + s["hi"]) / 2)
-    fine = F.col("has_in") & F.col("has_out") & (F.col("at_low") * F.col("at_high") <= 0)
-    return bracketed.select("account", F.when(fine, root).alias("xirr"))
+    daily = flows.groupBy("account", "date").agg(F.sum("amount").cast("double").alias("amount"), F.max("amount").alias("most"), F.min("amount").alias("least"))
+    fine = (F.max("most") > 0) & (F.min("least") < 0)
+    by = daily.groupBy("account").agg(F.array_sort(F.collect_list(F.struct("date", "amount"))).alias("flows"), F.min("date").alias("first"), fine.alias("fine"))
+    times = F.transform("flows", lambda f: F.datediff(f["date"], F.col("first")) / 365.25)
+
+    @F.arrow_udf("double")
+    def roots(times: pa.Array, amounts: pa.Array) -> pa.Array:
+        return _roots(times, amounts, steps)
+
+    rows = by.select("account", "fine", roots(times, F.col("flows.amount")).alias("root"))
+    return rows.select("account", F.when(F.col("fine"), F.col("root")).alias("xirr"))
 
 
 def take_profit_triggers(nav: DataFrame, tiers: tuple[float, ...]) -> DataFrame:

@@ -3,7 +3,7 @@
 import datetime as dt
 import os
 
-from almanac.operators import valuation
+from almanac.operators import portfolio, valuation
 from almanac.plans import landed
 from almanac.sources import readers
 
@@ -54,3 +54,26 @@ def test_company_facts_by_line(spark, tmp_path):
     (tmp_path / "all.json").write_text("\n".join(fact % (k, k * 10) for k in range(1, 4)) + "\n")
     got = readers.read_company_facts(spark, str(tmp_path), lines=True).collect()
     assert sorted((r.company_id, r.value) for r in got) == [("US:0000000001", 10.0), ("US:0000000002", 20.0), ("US:0000000003", 30.0)]
+
+
+def test_flows_are_shuffled_twice_and_solved_in_batches(spark):
+    """Flows go by day, then by account, and are read once; rates as by halving in plain Python, also without a root, a sign or a date."""
+    rows = [(a, D(2015, 1, 1) + dt.timedelta(37 * k * (1 + a % 5)), -10.0 - (a * k) % 7) for a in range(60) for k in range(12)]
+    rows += [(a, D(2024, 1, 1), (0.2 + a / 20) * 200) for a in range(60)]
+    rows += [(100, D(2020, 1, 1), -1.0), (100, D(2020, 1, 1), 5.0), (101, D(2020, 1, 1), -5.0), (101, None, 6.0), (102, D(2020, 1, 1), -5.0), (102, D(2021, 1, 1), None), (103, D(2020, 1, 1), -5.0), (103, D(2020, 6, 1), 5e9), (104, D(2020, 1, 1), 0.0)]
+    flows = spark.createDataFrame(rows, "account int, date date, amount double")
+    got = {}
+    _, shuffled = stages(spark, lambda: got.update({r.account: r.xirr for r in portfolio.xirr(flows).collect()}))
+    assert shuffled <= 2 * len(rows)
+    assert {a: got.pop(a) for a in range(100, 105)} == dict.fromkeys(range(100, 105))
+
+    def worth(account, rate):
+        own = [(d, x) for a, d, x in rows if a == account]
+        return sum(x * (1 + rate) ** (-(d - min(own)[0]).days / 365.25) for d, x in own)
+
+    for account, rate in got.items():
+        lo, hi = -0.9999, 1e6  # worth falls with the rate: paid in first, paid out last
+        for _ in range(160):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if worth(account, mid) > 0 else (lo, mid)
+        assert abs(rate - lo) < 1e-9
