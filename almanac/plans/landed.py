@@ -10,7 +10,7 @@ from almanac.operators import asof, contracts, factors, harvest, ledger, portfol
 from almanac.plans import views as v
 from almanac.plans.base import CUTOFF, query
 from almanac.sources import catalog, readers
-from almanac.sources.shared import shared_folder
+from almanac.sources.shared import shared_folder, written
 from almanac.streaming.ledger import folder_value
 
 # Release pages: the kind, period and value of each follow from page_id; the given page stands around and inside of them.
@@ -84,7 +84,7 @@ def _land(df, path, **options):
 
 def _landed_snapshots(s, d):
     """Three layouts: with the basis in another order, without it, and with fourteen columns behind quoted names that hold commas and line ends."""
-    root, obs = shared_folder(s, "snapshots"), _obs(s, d)
+    root, obs = shared_folder(s, "snapshots"), written(_obs(s, d), "obs")  # for all three layouts
     digit = F.substring("series_id", 1, 1).cast("int") % 3
     _land(obs.where(digit == 0).select("series_id", "availability_basis", "value", "available_date", "observation_date"), f"{root}/a")
     _land(obs.where(digit == 1).select("series_id", "observation_date", "value", "available_date"), f"{root}/b")
@@ -115,7 +115,7 @@ def sidecar_violations(s, d):
 
 def _landed_prices(s, d):
     root = shared_folder(s, "prices")
-    rows = v.daily_prices(s, d).withColumnRenamed("symbol", "series_id").withColumn("day", F.dayofmonth("date"))
+    rows = written(v.daily_prices(s, d), "daily").withColumnRenamed("symbol", "series_id").withColumn("day", F.dayofmonth("date"))  # for all three layouts
     text = F.when(F.col("day") == 2, "never").otherwise(F.col("date").cast("string"))
     price = F.when(F.col("day") == 3, "-1").otherwise(F.col("price").cast("string"))
     dated = F.concat(F.date_sub("date", 1).cast("string"), F.lit("T23:30:00-01:00"))
@@ -162,7 +162,7 @@ def landed_vintages(s, d):
 @query(f"select series_id, count(distinct vintage) filter (vintage > date '{CUTOFF}') as captured, count(distinct vintage) filter (vintage <= date '{CUTOFF}') as skipped from v_ledger group by 1")
 def captured_vintages(s, d):
     """A second capture of all vintages after a first one up to a date: only the later ones are written."""
-    root, rows = shared_folder(s, "captured"), v.ledger(s, d)
+    root, rows = shared_folder(s, "captured"), written(v.ledger(s, d), "ledger")  # for both captures
     readers.capture_vintages(s, rows.where(F.col("vintage") <= CUTOFF), root)
     return readers.capture_vintages(s, rows, root)
 

@@ -10,6 +10,8 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from almanac.sources.shared import written
+
 OBSERVATION = "observation_date string, observation_period string, available_date string, availability_basis string, availability_evidence_url string, source_value_url string, value string"
 FACTS = "cik bigint, facts map<string, map<string, struct<label: string, units: map<string, array<struct<start: date, end: date, val: double, filed: date, form: string, accn: string>>>>>>"
 PERIODIC = ("10-K", "10-Q", "20-F", "40-F")
@@ -149,9 +151,10 @@ def plan_vintages(spark: SparkSession, symbols: DataFrame, start: str, end: str,
 def capture_vintages(spark: SparkSession, fetched: DataFrame, root: str) -> DataFrame:
     """Write fetched rows (series_id, vintage, observation_date, value) of vintages that the archive lacks; rows without a value go.
 
-    Returns (series_id, captured, skipped): vintages written and found there.
+    Returns (series_id, captured, skipped): vintages written and found there. What is fetched is computed once, so counts and files are of the same rows.
     """
     schema = "observation_date date, value double, series_id string, vintage date"
+    fetched = written(fetched.select("series_id", "vintage", "observation_date", "value"), "fetched")
     spark.createDataFrame([], schema).write.mode("append").partitionBy("series_id", "vintage").parquet(root)
     there = spark.read.schema(schema).parquet(root).select("series_id", "vintage", F.lit(True).alias("there")).distinct()
     marked = fetched.select("series_id", "vintage").distinct().join(there, ["series_id", "vintage"], "left")

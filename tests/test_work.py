@@ -3,8 +3,11 @@
 import datetime as dt
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from almanac.operators import portfolio, valuation
-from almanac.plans import landed
+from almanac.plans import landed, registry, views
 from almanac.sources import readers
 
 D, DATA = dt.date, "/root/testdata/sf0.001"
@@ -77,3 +80,32 @@ def test_flows_are_shuffled_twice_and_solved_in_batches(spark):
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if worth(account, mid) > 0 else (lo, mid)
         assert abs(rate - lo) < 1e-9
+
+
+@pytest.mark.parametrize("name, view, column", [("captured_vintages", "ledger", "value"), ("landed_prices", "daily_prices", "price"), ("landed_snapshots", "observations", "value")])
+def test_rows_of_several_writes_are_computed_once(spark, monkeypatch, name, view, column):
+    seen, given = spark.sparkContext.accumulator(0), getattr(views, view)
+    expected = given(spark, DATA).count()
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    count = F.udf(counted, "double").asNondeterministic()
+    monkeypatch.setattr(views, view, lambda s, d: given(s, d).withColumn(column, count(column)))
+    registry.QUERIES[name](spark, DATA).collect()
+    assert seen.value == expected > 0
+
+
+def test_fetched_rows_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = [("CPI", D(2024, 1, k), D(2023, 12, 31), float(k)) for k in range(1, 11)]
+    fetched = spark.createDataFrame(rows, "series_id string, vintage date, observation_date date, value double").withColumn("value", counted("value"))
+    assert [tuple(r) for r in readers.capture_vintages(spark, fetched, str(tmp_path / "a")).collect()] == [("CPI", 10, 0)]
+    assert seen.value == len(rows)
