@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from almanac.operators import asof, factors, ledger, portfolio, research
 from almanac.plans import views as v
 from almanac.plans.base import CUTOFF, query
-from almanac.sources.shared import shared_folder
+from almanac.sources.shared import shared_folder, written
 from almanac.streaming.ledger import stream_ledger
 
 DECISIONS = "select unnest([date '1995-12-31', date '1996-12-31', date '1997-12-31']) as decision_date"
@@ -408,6 +408,7 @@ def ledger_stream(s, d):
     """
     root = shared_folder(s, "ledger")
     rows = asof.latest(v.watch(s, d).where(F.col("retrieved_at").cast("date") <= CUTOFF), ["series_id", "observation_period"], "vintage", "retrieved_at")
+    rows = written(rows, "landed")  # for all three batches
     june = rows.where("month(observation_date) = 6")
     # Landed out of order: 09:00 reads one more, 01:00 three more, and 00:00 what is stored.
     revised = june.withColumn("value", F.col("value") + 1).withColumn("retrieved_at", F.expr("retrieved_at + interval 9 hours"))

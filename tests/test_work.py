@@ -82,7 +82,7 @@ def test_flows_are_shuffled_twice_and_solved_in_batches(spark):
         assert abs(rate - lo) < 1e-9
 
 
-@pytest.mark.parametrize("name, view, column", [("captured_vintages", "ledger", "value"), ("landed_prices", "daily_prices", "price"), ("landed_snapshots", "observations", "value")])
+@pytest.mark.parametrize("name, view, column", [("captured_vintages", "ledger", "value"), ("ledger_stream", "watch", "value"), ("landed_prices", "daily_prices", "price"), ("landed_snapshots", "observations", "value")])
 def test_rows_of_several_writes_are_computed_once(spark, monkeypatch, name, view, column):
     seen, given = spark.sparkContext.accumulator(0), getattr(views, view)
     expected = given(spark, DATA).count()
